@@ -67,7 +67,7 @@ def fold_key(text) -> Column:
     src, dst, many = _ascii_folds()
     # Ligatures and fractions become several letters. They are rare, so only rows that
     # contain one pay for the character map.
-    table = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in many.items())), F.lit("\x02"), F.lit("\x01"))
     widened = F.array_join(
         F.transform(F.split(base, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
     to_ascii = lambda t: F.regexp_replace(F.translate(t, src, dst), r"[^\x00-\x7F]+", "")

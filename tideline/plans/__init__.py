@@ -3,7 +3,7 @@
 from tideline.plans.registry import ORACLES, QUERIES
 
 
-MODULES = ("text",)
+MODULES = ("text", "corpus")
 
 
 def load() -> tuple[dict, dict]:
