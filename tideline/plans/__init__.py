@@ -3,7 +3,7 @@
 from tideline.plans.registry import ORACLES, QUERIES
 
 
-MODULES = ("text", "corpus")
+MODULES = ("text", "corpus", "score", "evaluate")
 
 
 def load() -> tuple[dict, dict]:
