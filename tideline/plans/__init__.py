@@ -3,7 +3,7 @@
 from tideline.plans.registry import ORACLES, QUERIES
 
 
-MODULES = ("text", "corpus", "score", "evaluate")
+MODULES = ("text", "corpus", "score", "evaluate", "dialog")
 
 
 def load() -> tuple[dict, dict]:
