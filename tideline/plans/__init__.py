@@ -3,7 +3,7 @@
 from tideline.plans.registry import ORACLES, QUERIES
 
 
-MODULES = ("text", "corpus", "score", "evaluate", "dialog")
+MODULES = ("text", "corpus", "score", "evaluate", "dialog", "mt", "cost")
 
 
 def load() -> tuple[dict, dict]:
