@@ -52,9 +52,11 @@ def gram_counts(pairs: DataFrame, hyp: Column, ref: Column, max_n: int, sep: str
     """(pair_id, n, matched, said, wanted): clipped matches and n-gram totals of both sides.
 
     Texts are shuffled once, by pair; the two group-bys over the much larger n-gram rows are
-    served by that partitioning.
+    served by that partitioning. The partition number is stated, since Spark would otherwise
+    merge partitions by the size of the texts, not of the n-grams they become.
     """
-    units = pairs.select("pair_id", hyp.alias("_h"), ref.alias("_r")).repartition("pair_id")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = pairs.select("pair_id", hyp.alias("_h"), ref.alias("_r")).repartition(parts, "pair_id")
     for side in ("_h", "_r"):
         units = units.withColumn(side, F.flatten(F.array(*[_grams(F.col(side), n, sep) for n in range(1, max_n + 1)])))
     both = F.concat(F.transform("_h", lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(1).alias("h"), F.lit(0).alias("r"))),

@@ -15,6 +15,7 @@ from tideline.session import cut_lineage
 BLOCK, GAP = 20, 4
 HELD_OUT = ("src0", "src1")
 SPLITS = fixed.SPLITS
+BANNED_RE_SQL = f"len({sql_word_matches('c', dim.BANNED_WORDS)}) > 0"
 
 
 def corpus(spark, sf):
