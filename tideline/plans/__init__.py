@@ -3,7 +3,7 @@
 from tideline.plans.registry import ORACLES, QUERIES
 
 
-MODULES = ("text", "corpus", "score", "evaluate", "dialog", "mt", "cost", "content", "io", "stream")
+MODULES = ("text", "corpus", "score", "evaluate", "dialog", "mt", "cost", "content", "io", "stream", "neardup")
 
 
 def load() -> tuple[dict, dict]:
