@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tideline.functions.text import _col, hint_score, phrase_hits
+from tideline.functions.text import _col, has_any_phrase, hint_score
+from tideline.functions.vector import let
 
 # The names of the decision contract.
 DECISIONS = ("answer", "clarify", "escalate")
@@ -26,17 +27,19 @@ def _verdict(label, proba, decision, template, reason) -> Column:
 def keyword_decide(text, hints: dict[str, Sequence[str]], out_of_scope: Sequence[str], second=False,
                    prefix: str = "adv_") -> Column:
     """Verdict without a model: phrase hits answer, out-of-scope words go to a human, else ask once."""
-    best = hint_score(text, hints)
-    outside = phrase_hits(text, out_of_scope) > 0
     second = F.lit(second) if isinstance(second, bool) else second
-    hit = best["hits"] > 0
-    label = F.when(hit, best["label"]).otherwise(F.lit(OTHER))
-    decision = (F.when(hit, "answer").when(outside | second, "escalate").otherwise("clarify"))
-    template = (F.when(hit, F.concat(F.lit(prefix), best["label"]))
-                 .when(outside | second, REJECT_TEMPLATE).otherwise(ASK_TEMPLATE))
-    reason = (F.when(hit, "").when(outside, "out_of_scope")
-               .when(second, "still_unclear").otherwise("unreadable"))
-    return _verdict(label, F.when(hit, KEYWORD_PROBA).otherwise(0.0), decision, template, reason)
+
+    def verdict(best, outside):
+        hit, handed = best["hits"] > 0, outside | second
+        return _verdict(
+            F.when(hit, best["label"]).otherwise(F.lit(OTHER)), F.when(hit, KEYWORD_PROBA).otherwise(0.0),
+            F.when(hit, "answer").when(handed, "escalate").otherwise("clarify"),
+            F.when(hit, F.concat(F.lit(prefix), best["label"])).when(handed, REJECT_TEMPLATE).otherwise(ASK_TEMPLATE),
+            F.when(hit, "").when(outside, "out_of_scope").when(second, "still_unclear").otherwise("unreadable"))
+
+    # Each text is searched once, and for out-of-scope words only where no hint was found.
+    return let(hint_score(text, hints), lambda best: let(
+        (best["hits"] == 0) & has_any_phrase(text, out_of_scope), lambda outside: verdict(best, outside)))
 
 
 def decide(label, proba, llm_label, llm_sure, second, threshold: float = THRESHOLD, question=None,

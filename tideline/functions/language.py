@@ -49,7 +49,8 @@ def tag_language(text, lexicons: Sequence[Lexicon], default, pattern: str = r"[a
     """
     words = F.filter(F.transform(words_of(text, pattern), lambda w: F.btrim(w, F.lit("'"))), lambda w: w != "")
     default = default if isinstance(default, Column) else F.lit(default)
-    scores = F.array(*[F.struct(lexicon_hits(words, lx).alias("hits"), F.lit(lx.lang).alias("lang")) for lx in lexicons])
+    scores = let(words, lambda ws: F.array(*[
+        F.struct(lexicon_hits(ws, lx).alias("hits"), F.lit(lx.lang).alias("lang")) for lx in lexicons]))
 
     def decide(found):
         top = F.array_max(found)

@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tideline.functions.vector import let
+
 # Letters, digits and underscore of every script. Java's \w and \b know ASCII only.
 WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]+"
@@ -140,21 +142,39 @@ def append_missing_terms(english, terms) -> Column:
              .otherwise(english))
 
 
+def _has_phrase(low: Column, phrase: str) -> Column:
+    """Whole-word test on lower-case text. Most texts lack a phrase, so a plain byte search goes
+    first; the pattern then leads with the literal and checks the word start behind it."""
+    p = re.escape(phrase)
+    return low.contains(phrase) & low.rlike(rf"{p}(?<!{WORD}{p})s?(?!{WORD})")
+
+
 def phrase_hits(text, phrases: Sequence[str]) -> Column:
     """How many different phrases occur as whole words, plural s allowed."""
-    low = F.lower(F.coalesce(_col(text), F.lit("")))
+    return let(F.lower(F.coalesce(_col(text), F.lit(""))), lambda low: _count_phrases(low, phrases))
+
+
+def _count_phrases(low: Column, phrases: Sequence[str]) -> Column:
     total = F.lit(0)
     for phrase in phrases:
-        total = total + low.rlike(whole_words([phrase], plural=True)).cast("int")
+        total = total + _has_phrase(low, phrase.lower()).cast("int")
     return total
 
 
+def has_any_phrase(text, phrases: Sequence[str]) -> Column:
+    """Whether one of the phrases occurs; the first one found ends the search."""
+    return let(F.lower(F.coalesce(_col(text), F.lit(""))),
+               lambda low: reduce(lambda x, y: x | y, [_has_phrase(low, p.lower()) for p in phrases]))
+
+
 def hint_score(text, hints: dict[str, Sequence[str]]) -> Column:
     """Best label by phrase hits; the first label wins a tie. Struct of label and hits."""
-    scores = F.array(*[F.struct(phrase_hits(text, ph).alias("hits"), F.lit(-i).alias("rank"), F.lit(lab).alias("label"))
-                       for i, (lab, ph) in enumerate(hints.items())])
-    best = F.array_max(scores)
-    return F.struct(best["label"].alias("label"), best["hits"].alias("hits"))
+    def best_of(low):
+        scores = F.array(*[F.struct(_count_phrases(low, ph).alias("hits"), F.lit(-i).alias("rank"), F.lit(lab).alias("label"))
+                           for i, (lab, ph) in enumerate(hints.items())])
+        return let(F.array_max(scores), lambda best: F.struct(best["label"].alias("label"), best["hits"].alias("hits")))
+
+    return let(F.lower(F.coalesce(_col(text), F.lit(""))), best_of)
 
 
 def flag_terms(texts, pattern: str) -> Column:

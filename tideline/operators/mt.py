@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.text import strip, text_key
+from tideline.functions.vector import let
+
+_COUNTS = pa.list_(pa.struct([("n", pa.int32()), ("matched", pa.int64()), ("said", pa.int64()), ("wanted", pa.int64())]))
 
 
 def squeeze(text, lower: bool = True) -> Column:
@@ -14,11 +21,6 @@ def squeeze(text, lower: bool = True) -> Column:
     return F.regexp_replace(strip(F.lower(t) if lower else t), r"\s+", " ")
 
 
-def chars_of(text: Column) -> Column:
-    """Array of characters; an empty text has none."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
 def tokens_13a(text) -> Column:
     """Tokens of the mteval-v13a rules: punctuation apart, except inside numbers."""
     t = F.col(text) if isinstance(text, str) else text
@@ -40,53 +42,74 @@ def tokens(text) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
-def _grams(units: Column, n: int, sep: str) -> Column:
-    """All runs of ``n`` units as (order, gram); array access keeps this linear in the length."""
-    count = F.size(units) - n + 1
-    runs = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
-        F.lit(n).alias("n"), F.concat_ws(sep, *[F.get(units, i + j) for j in range(n)]).alias("gram")))
-    return F.when(count > 0, runs).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+def _clipped(h: np.ndarray, r: np.ndarray, max_n: int) -> Iterator[tuple[int, int, int]]:
+    """(matched, said, wanted) per order, for two sequences of unit numbers.
+
+    An n-gram's number is its rank among the pairs (rank of its first n - 1 units, last unit), so
+    equal numbers mean equal n-grams.
+    """
+    base = int(max(h.max(initial=0), r.max(initial=0))) + 1
+    gh, gr = h, r
+    for n in range(1, max_n + 1):
+        if n > 1:
+            gh, gr = (g[:-1] * base + u[n - 1:] if len(g) else g for g, u in ((gh, h), (gr, r)))
+        grams, number = np.unique(np.concatenate([gh, gr]), return_inverse=True)
+        gh, gr = number[:len(gh)], number[len(gh):]
+        counts = [np.bincount(g, minlength=len(grams)) for g in (gh, gr)]
+        yield int(np.minimum(*counts).sum()), len(gh), len(gr)
+
+
+def _numbered(h, r) -> list[np.ndarray]:
+    """The units of both sides, characters or words, as small whole numbers."""
+    if isinstance(h, str):
+        sides = [np.frombuffer(u.encode("utf-32-le"), dtype=np.uint32) for u in (h, r)]
+        number = np.unique(np.concatenate(sides), return_inverse=True)[1].astype(np.int64)
+        return [number[:len(sides[0])], number[len(sides[0]):]]
+    seen: dict[str, int] = {}
+    return [np.array([seen.setdefault(w, len(seen)) for w in u], dtype=np.int64) for u in (h, r)]
 
 
-def gram_counts(pairs: DataFrame, hyp: Column, ref: Column, max_n: int, sep: str = "") -> DataFrame:
-    """(pair_id, n, matched, said, wanted): clipped matches and n-gram totals of both sides.
+def gram_counts(pairs: DataFrame, hyp: Column, ref: Column, max_n: int) -> DataFrame:
+    """``pairs`` with ``counts``: per order n, clipped matches and n-gram totals of both sides.
 
-    Texts are shuffled once, by pair; the two group-bys over the much larger n-gram rows are
-    served by that partitioning. The partition number is stated, since Spark would otherwise
-    merge partitions by the size of the texts, not of the n-grams they become.
+    Characters if the sides are strings, words if they are arrays. A pair is scored where it lies:
+    its n-grams, several times its text, are neither exploded nor shuffled.
     """
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = pairs.select("pair_id", hyp.alias("_h"), ref.alias("_r")).repartition(parts, "pair_id")
-    for side in ("_h", "_r"):
-        units = units.withColumn(side, F.flatten(F.array(*[_grams(F.col(side), n, sep) for n in range(1, max_n + 1)])))
-    both = F.concat(F.transform("_h", lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(1).alias("h"), F.lit(0).alias("r"))),
-                    F.transform("_r", lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(0).alias("h"), F.lit(1).alias("r"))))
-    grams = units.select("pair_id", F.explode(both).alias("g"))
-    per = grams.groupBy("pair_id", "g.n", "g.gram").agg(F.sum("g.h").alias("h"), F.sum("g.r").alias("r"))
-    return per.groupBy("pair_id", "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("said"), F.sum("r").alias("wanted"))
+    @F.arrow_udf("array<struct<n:int,matched:long,said:long,wanted:long>>")
+    def count(hs: pa.Array, rs: pa.Array) -> pa.Array:
+        rows = [[{"n": n, "matched": m, "said": s, "wanted": w} for n, (m, s, w) in enumerate(_clipped(*_numbered(h, r), max_n), 1)]
+                for h, r in zip(hs.to_pylist(), rs.to_pylist())]
+        return pa.array(rows, type=_COUNTS)
+
+    return pairs.withColumn("counts", count(hyp, ref))
 
 
 def _f_score(p: Column, r: Column, beta: float) -> Column:
     return F.coalesce(F.try_divide((1 + beta ** 2) * p * r, beta ** 2 * p + r), F.lit(0.0)) * 100
 
 
+def _mean_share(counts: Column, total: str) -> Column:
+    """Mean of matched over total, over the orders both sides have."""
+    shares = F.transform(F.filter(counts, lambda c: (c["said"] > 0) & (c["wanted"] > 0)), lambda c: c["matched"] / c[total])
+    return let(shares, lambda xs: F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), F.size(xs)))
+
+
 def chrf_sentence(pairs: DataFrame, max_n: int = 6, beta: float = 2) -> DataFrame:
     """(pair_id, chrf): mean precision and recall over the orders both sides have."""
-    counts = gram_counts(pairs, chars_of(squeeze("hyp")), chars_of(squeeze("ref")), max_n)
-    usable = (F.col("said") > 0) & (F.col("wanted") > 0)
-    p, r = (F.avg(F.when(usable, F.col("matched") / F.col(c))) for c in ("said", "wanted"))
-    per = counts.groupBy("pair_id").agg(p.alias("p"), r.alias("r"))
-    scored = per.select("pair_id", _f_score(F.col("p"), F.col("r"), beta).alias("chrf"))
-    # A pair of two empty texts has no n-gram at all.
-    return (pairs.select("pair_id").join(scored, "pair_id", "left")
-            .select("pair_id", F.coalesce("chrf", F.lit(0.0)).alias("chrf")))
+    counted = gram_counts(pairs, squeeze("hyp"), squeeze("ref"), max_n).select("pair_id", "counts")
+    means = counted.select("pair_id", _mean_share(F.col("counts"), "said").alias("p"), _mean_share(F.col("counts"), "wanted").alias("r"))
+    return means.select("pair_id", _f_score(F.col("p"), F.col("r"), beta).alias("chrf"))
+
+
+def _corpus_counts(counted: DataFrame) -> DataFrame:
+    per = counted.select(F.explode("counts").alias("c"))
+    return per.groupBy("c.n").agg(*[F.sum(f"c.{x}").alias(x) for x in ("matched", "said", "wanted")])
 
 
 def chrf_corpus(pairs: DataFrame, max_n: int = 6, beta: float = 2) -> DataFrame:
     """Corpus score: counts summed over all pairs first; white space does not count."""
-    bare = lambda c: chars_of(F.regexp_replace(c, r"\s+", ""))
-    counts = (gram_counts(pairs, bare("hyp"), bare("ref"), max_n).groupBy("n")
-              .agg(*[F.sum(c).alias(c) for c in ("matched", "said", "wanted")]))
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    counts = _corpus_counts(gram_counts(pairs, bare("hyp"), bare("ref"), max_n))
     both = (F.col("said") > 0) & (F.col("wanted") > 0)
     p, r = (F.avg(F.when(both, F.col("matched") / F.col(c))) for c in ("said", "wanted"))
     return counts.agg(p.alias("p"), r.alias("r")).select(F.round(_f_score(F.col("p"), F.col("r"), beta), 6).alias("chrf"))
@@ -94,7 +117,7 @@ def chrf_corpus(pairs: DataFrame, max_n: int = 6, beta: float = 2) -> DataFrame:
 
 def bleu_corpus(pairs: DataFrame, max_n: int = 4, tokenize=tokens_13a) -> DataFrame:
     """Corpus BLEU with brevity penalty; an order without a match is smoothed by halving."""
-    counts = gram_counts(pairs, tokenize("hyp"), tokenize("ref"), max_n, sep=" ")
+    counts = _corpus_counts(gram_counts(pairs, tokenize("hyp"), tokenize("ref"), max_n))
     total = counts.agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}")
                          for n in range(1, max_n + 1) for c in ("matched", "said", "wanted")])
     logs, misses, usable = F.lit(0.0), F.lit(0), F.lit(True)

@@ -23,7 +23,7 @@ from tideline.functions.text import clean_generated, generated_reason, norm_text
 from tideline.functions.vector import let
 from tideline.session import cut_lineage
 
-HOT_BLOCK, MAX_ROUNDS = 256, 6
+HOT_BLOCK, MAX_ROUNDS, GOOD_ROUND = 256, 6, 0.9
 
 
 def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,6 +52,7 @@ def assign_leaders(nodes: DataFrame, lead: DataFrame, member: DataFrame, near: C
     its place in the order.
     """
     state = nodes.select("node", F.lit(None).cast("long").alias("leader"))
+    open_count = state.count()
     for _ in range(MAX_ROUNDS):
         fresh = state.filter("leader IS NULL").select("node")
         heads = cut_lineage(lead.join(fresh, "node", "left_semi").groupBy("block").agg(F.min("node").alias("head"), F.count("*").alias("n")))
@@ -65,6 +66,9 @@ def assign_leaders(nodes: DataFrame, lead: DataFrame, member: DataFrame, near: C
         state = cut_lineage(state.join(joined, "node", "left").join(sure.withColumn("_lead", F.lit(True)), "node", "left")
                             .select("node", F.when(F.col("_lead"), F.col("node")).when(F.col("leader") == F.col("node"), F.col("leader"))
                                     .otherwise(F.least("leader", "_new")).alias("leader")))
+        before, open_count = open_count, state.filter("leader IS NULL").count()
+        if open_count > GOOD_ROUND * before:
+            break  # what is left is not made of copies; pairs settle it
     fresh = state.filter("leader IS NULL").select("node")
     followers = state.filter("leader IS NULL OR leader <> node").select("node")
     a = lead.join(fresh, "node", "left_semi").select(F.col("node").alias("a"), "block")
@@ -97,19 +101,29 @@ def band_keys(words: Column, n_words: int, word_bits: int, max_distance: int, ag
     return let(bands, lambda bs: F.transform(choices, lambda c: F.xxhash64(c, F.transform(c, lambda i: F.get(bs, i)))))
 
 
+def bands_to_agree(nodes: int, bits: int, max_distance: int, per_block: int = 256) -> int:
+    """Fewest agreeing bands whose key is long enough for blocks of ``per_block`` nodes on average."""
+    for agree in (1, 2):
+        if 2 ** (bits * agree // (max_distance + agree)) * per_block >= nodes:
+            return agree
+    return 3
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def fingerprint_groups(items: DataFrame, max_distance: int = 20, n_words: int = 4, word_bits: int = 64, agree: int = 2) -> DataFrame:
+def fingerprint_groups(items: DataFrame, max_distance: int = 20, n_words: int = 4, word_bits: int = 64,
+                       agree: int | None = None) -> DataFrame:
     """(id, label, leader): near-duplicate groups within a label.
 
     Items are (id, label, views): the codes of an item in all its orientations, its own first. A
     leader's own code is compared with every orientation of a later item. Items with equal codes
     are one node, so copies cost one row each.
     """
-    keyed = items.withColumn("_code", F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.flatten("views"), ",")), 256))
+    keyed = cut_lineage(items.withColumn("_code", F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.flatten("views"), ",")), 256)))
     nodes = cut_lineage(keyed.groupBy("_code").agg(F.min("id").alias("node"), F.first("label").alias("label"), F.first("views").alias("views")))
+    agree = agree or bands_to_agree(nodes.count(), n_words * word_bits, max_distance)
     keys = lambda v: band_keys(v, n_words, word_bits, max_distance, agree)
     block = lambda ks: F.explode(F.transform(ks, lambda k: F.xxhash64(k, F.col("label"))))
     lead = cut_lineage(nodes.select("node", block(keys(F.get("views", F.lit(0)))).alias("block")))

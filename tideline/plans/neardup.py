@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.functions.text import norm_text
@@ -16,14 +17,15 @@ WORDS, WORD_BITS, DISTANCE = 8, 32, 20
 def fingerprints(docs):
     """A 256-bit difference code per document: are there more words in a hash cell than in the next one."""
     words = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.explode(F.split(norm_text("text"), " ")).alias("w"))
-    cell = (F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % 256).cast("int")
+    cell = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % 256
     counts = words.groupBy("id", "label", cell.alias("cell")).agg(F.count("*").alias("n"))
-    # At most 256 cells per document are collected.
-    per = counts.groupBy("id", "label").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("c"))
-    at = lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.when(at(i) > at((i + 1) % 256), "1").otherwise("0"))
-    code = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: F.conv(F.array_join(F.slice(bits, w * WORD_BITS + 1, WORD_BITS), ""), 2, 10).cast("long"))
-    return per.select("id", "label", F.array(code).alias("views"))
+    # At most 256 cells per document meet in this window.
+    nxt = Window.partitionBy("id").orderBy("cell")
+    more = ~((F.lead("cell").over(nxt) == F.col("cell") + 1) & (F.lead("n").over(nxt) >= F.col("n")))
+    bits = counts.select("id", "label", F.floor(F.col("cell") / WORD_BITS).alias("word"), F.when(
+        F.coalesce(more, F.lit(True)), F.shiftleft(F.lit(1).cast("long"), (WORD_BITS - 1 - F.col("cell") % WORD_BITS).cast("int"))).otherwise(0).alias("bit"))
+    code = F.array(*[F.coalesce(F.sum(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)) for w in range(WORDS)])
+    return bits.groupBy("id").agg(F.first("label").alias("label"), F.array(code).alias("views"))
 
 
 SQL_CODES = f"""w AS (SELECT doc_id AS id, lang AS label, unnest(string_split({sql_norm('text')}, ' ')) AS w FROM documents),
@@ -31,8 +33,8 @@ SQL_CODES = f"""w AS (SELECT doc_id AS id, lang AS label, unnest(string_split({s
     m AS (SELECT i.id, i.label, g.cell, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT id, label FROM w) i CROSS JOIN (SELECT unnest(range(256)) AS cell) g
       LEFT JOIN c ON c.id = i.id AND c.cell = g.cell),
     codes AS (SELECT label, id, list(word ORDER BY wd) AS code, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM (
-      SELECT a.id, a.label, a.cell // 32 AS wd, CAST(sum(CASE WHEN a.n > b.n THEN 1::BIGINT << (31 - a.cell % 32) ELSE 0 END) AS BIGINT) AS word
-      FROM m a JOIN m b ON a.id = b.id AND b.cell = (a.cell + 1) % 256 GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+      SELECT a.id, a.label, a.cell // 32 AS wd, CAST(sum(CASE WHEN a.n > coalesce(b.n, 0) THEN 1::BIGINT << (31 - a.cell % 32) ELSE 0 END) AS BIGINT) AS word
+      FROM m a LEFT JOIN m b ON a.id = b.id AND b.cell = a.cell + 1 GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
 SQL_GROUPS = f"""{SQL_CODES}, walk AS (
       SELECT label, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS leader, []::STRUCT(id BIGINT, code BIGINT[])[] AS leaders FROM (SELECT DISTINCT label FROM codes)
       UNION ALL
