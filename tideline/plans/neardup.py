@@ -23,7 +23,7 @@ def fingerprints(docs):
     nxt = Window.partitionBy("id").orderBy("cell")
     more = ~((F.lead("cell").over(nxt) == F.col("cell") + 1) & (F.lead("n").over(nxt) >= F.col("n")))
     bits = counts.select("id", "label", F.floor(F.col("cell") / WORD_BITS).alias("word"), F.when(
-        F.coalesce(more, F.lit(True)), F.shiftleft(F.lit(1).cast("long"), (WORD_BITS - 1 - F.col("cell") % WORD_BITS).cast("int"))).otherwise(0).alias("bit"))
+        F.coalesce(more, F.lit(True)), F.call_function("shiftleft", F.lit(1).cast("long"), (WORD_BITS - 1 - F.col("cell") % WORD_BITS).cast("int"))).otherwise(0).alias("bit"))
     code = F.array(*[F.coalesce(F.sum(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)) for w in range(WORDS)])
     return bits.groupBy("id").agg(F.first("label").alias("label"), F.array(code).alias("views"))
 
