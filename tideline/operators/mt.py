@@ -38,8 +38,7 @@ def tokens_13a(text) -> Column:
 
 
 def tokens(text) -> Column:
-    t = squeeze(text, lower=False)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return F.filter(F.split(squeeze(text, lower=False), " "), lambda w: w != "")
 
 
 def _clipped(h: np.ndarray, r: np.ndarray, max_n: int) -> Iterator[tuple[int, int, int]]:
