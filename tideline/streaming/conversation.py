@@ -76,7 +76,7 @@ class Conversation(StatefulProcessor):
         for due in sorted(d for d in s["open"] if d <= until):
             s["open"].remove(due)
             s.update(pending="followup", asked_id=None, asked=None)
-            yield self._row(phone, None, "followup", "followup_q", s, due=due)
+            yield self._row(phone, None, "followup", "followup_q", s, template="followup_q", due=due)
 
     @staticmethod
     def _row(phone, row_id, kind, action, s, label=None, decision=None, template=None, original=None, welcome=False, alert=False, due=None):
