@@ -128,14 +128,10 @@ def upsample(small: DataFrame, times: int) -> DataFrame:
 def seeded_holdout(df: DataFrame, at_most: int, share: int, seed: int, row_id: str = "id") -> DataFrame:
     """Adds ``part``: the first min(at_most, n div share) rows of the seeded order are the test part.
 
-    The test ids are few by definition (``at_most``), so only they are ranked.
+    The test rows are few by definition (``at_most``); every task keeps no more than that.
     """
-    ranked = (df.select(row_id, seeded(seed, row_id).alias("_h")).orderBy("_h", row_id).limit(at_most)
-              .withColumn("_r", F.row_number().over(Window.orderBy("_h", row_id))))
-    size = df.agg(F.floor(F.count("*") / share).alias("_n")).withColumn("_one", F.lit(1))
-    test = (ranked.withColumn("_one", F.lit(1)).join(size, "_one").filter(F.col("_r") <= F.col("_n"))
-            .select(row_id, F.lit(True).alias("_test")))
-    return (df.join(test, row_id, "left")
+    first = df.select(row_id).orderBy(seeded(seed, row_id), row_id).limit(min(at_most, df.count() // share))
+    return (df.join(first.withColumn("_test", F.lit(True)), row_id, "left")
             .withColumn("part", F.when(F.col("_test"), "test").otherwise("train")).drop("_test"))
 
 
@@ -152,17 +148,23 @@ def drop_report(df: DataFrame, reason: str) -> DataFrame:
 
 
 def balance_warnings(df: DataFrame, splits: Sequence[str], least: int = 30, train: str = "train") -> DataFrame:
-    """One row per warning: small cell, empty cell, unbalanced training classes."""
-    counts = df.groupBy("label", "split").agg(F.count("*").alias("n"))
-    grid = counts.select("label").distinct().withColumn("split", F.explode(F.array(*[F.lit(s) for s in splits])))
-    cells = grid.join(counts, ["label", "split"], "left").fillna(0, ["n"])
-    small = cells.filter((F.col("n") < least) & (F.col("split") != train)).select("label", "split", F.lit("small").alias("warning"), "n")
-    empty = cells.filter("n = 0").select("label", "split", F.lit("empty").alias("warning"), "n")
-    # Classes without a training row do not count here, they are reported as empty.
-    ends = counts.filter(F.col("split") == train).agg(F.max("n").alias("hi"), F.min("n").alias("lo"))
-    skew = ends.filter("hi > 2 * lo").select(F.lit("*").alias("label"), F.lit(train).alias("split"),
-                                             F.lit("unbalanced").alias("warning"), F.col("hi").alias("n"))
-    return small.unionByName(empty).unionByName(skew)
+    """One row per warning: small cell, empty cell, unbalanced training classes.
+
+    The rows are counted once; everything after works on one row per label.
+    """
+    wide = df.groupBy("label").pivot("split", list(splits)).agg(F.count(F.lit(1))).fillna(0)
+    labels = Window.partitionBy(F.lit(1))
+    # Classes without a training row do not count for the balance, they are reported as empty.
+    held = F.when(F.col(train) > 0, F.col(train))
+    wide = wide.select("*", F.max(held).over(labels).alias("_hi"), F.min(held).over(labels).alias("_lo"), F.min("label").over(labels).alias("_first"))
+
+    def warning(cond, label, split, name, n):
+        return F.when(cond, F.struct(label.alias("label"), F.lit(split).alias("split"), F.lit(name).alias("warning"), n.cast("long").alias("n")))
+
+    found = [warning(F.col(s) < least, F.col("label"), s, "small", F.col(s)) for s in splits if s != train]
+    found += [warning(F.col(s) == 0, F.col("label"), s, "empty", F.col(s)) for s in splits]
+    found.append(warning((F.col("_hi") > 2 * F.col("_lo")) & (F.col("label") == F.col("_first")), F.lit("*"), train, "unbalanced", F.col("_hi")))
+    return wide.select(F.explode(F.array_compact(F.array(*found))).alias("w")).select("w.*")
 
 
 def straddling_groups(df: DataFrame) -> DataFrame:

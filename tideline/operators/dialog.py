@@ -24,6 +24,7 @@ from tideline.dims import fixed
 from tideline.functions.clock import followup_due_epoch
 from tideline.functions.decision import OTHER
 from tideline.operators.scan import running
+from tideline.session import cut_lineage
 
 ORDER = ["at", "id"]
 HOUR = 3600
@@ -38,20 +39,20 @@ def mute_flag() -> Column:
     return F.when(F.col("kw") == "STOP", True).when(F.col("kw") == "START", False)
 
 
-def mute_state(msgs: DataFrame) -> DataFrame:
-    """Adds ``muted``: the sender is stopped and this message gets no reply.
+def is_plain() -> Column:
+    """No control word: STOP is always acknowledged and START always lifts it, so neither is ever muted."""
+    return ~F.coalesce(F.col("kw").isin("STOP", "START"), F.lit(False))
 
-    STOP is always acknowledged and START always lifts it, so neither is muted itself.
-    """
+
+def mute_state(msgs: DataFrame) -> DataFrame:
+    """Adds ``muted``: the sender is stopped and this message gets no reply."""
     out = running(msgs, ["phone"], hour_of(), ORDER, lasts={"_stopped": mute_flag()})
-    control = F.coalesce(F.col("kw").isin("STOP", "START"), F.lit(False))
-    return out.withColumn("muted", F.coalesce("_stopped", F.lit(False)) & ~control).drop("_stopped")
+    return out.withColumn("muted", F.coalesce("_stopped", F.lit(False)) & is_plain()).drop("_stopped")
 
 
 def first_contact(msgs: DataFrame) -> DataFrame:
     """(phone, at, id) of the message that is welcomed: the first one that is no control word and not muted."""
-    plain = ~F.coalesce(F.col("kw").isin("STOP", "START"), F.lit(False)) & ~F.col("muted")
-    first = msgs.filter(plain).groupBy("phone").agg(F.min(F.struct(*ORDER)).alias("f"))
+    first = msgs.filter(is_plain() & ~F.col("muted")).groupBy("phone").agg(F.min(F.struct(*ORDER)).alias("f"))
     return first.select("phone", "f.*")
 
 
@@ -83,7 +84,7 @@ def _by_state(state: Column, digit: Column, nothing: Column, question: Column, a
     return (F.when(state == QUESTION, question).when((state == FOLLOWUP) & digit, answered).otherwise(nothing))
 
 
-def conversation(msgs: DataFrame, pair: Callable[[Column], Column]) -> DataFrame:
+def conversation(msgs: DataFrame, pair: Callable[[Column], Column], start: str = "en") -> DataFrame:
     """One row per message: what was done about it.
 
     ``pair`` maps the struct of the earlier message (``label proba llm_label llm_sure price_en``
@@ -92,11 +93,16 @@ def conversation(msgs: DataFrame, pair: Callable[[Column], Column]) -> DataFrame
     since any report in between would have used it up, so that verdict can be formed for every
     report before it is known which ones answer a question.
     """
-    known = language_state(mute_state(msgs))
+    # Each scan reads its input twice, for the chunk totals and for the rows, so what one scan
+    # yields is stored before the next one starts.
+    known = running(msgs, ["phone"], hour_of(), ORDER, lasts={"_stopped": mute_flag(), "_lang": F.col("lang_event")})
+    known = known.withColumn("muted", F.coalesce("_stopped", F.lit(False)) & is_plain())
+    known = cut_lineage(known.withColumn("lang", F.coalesce("lang_event", "_lang", F.lit(start))).drop("_stopped", "_lang"))
     report = F.col("kw").isNull() & ~F.col("price") & ~F.col("muted")
-    known = known.withColumn("_report", report)
-    known = running(known, ["phone"], hour_of(), ORDER, lasts={
+    met = is_plain() & ~F.col("muted")
+    known = running(known.withColumn("_report", report), ["phone"], hour_of(), ORDER, sums={"_met": met.cast("long")}, lasts={
         "_prev": F.when(F.col("_report"), F.struct(F.col("id").alias("id"), F.col("opinion").alias("opinion")))})
+    known = known.withColumn("welcome", met & (F.col("_met") == 0))
     solo_asks = (F.col("decision") == "clarify") & ~((F.col("label") == OTHER) & F.col("price_en"))
     job = lambda label, decision: (decision == "answer") & label.isin(*fixed.FOLLOWED_UP)
     rows = (known.withColumn("_pair", pair(F.col("_prev.opinion"))).withColumn("_hour", hour_of())
@@ -115,6 +121,7 @@ def conversation(msgs: DataFrame, pair: Callable[[Column], Column]) -> DataFrame
     in_run = Window.partitionBy("phone", "_hour", "_run").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     rows = (rows.withColumn("_q", F.coalesce(F.sum(F.col("_asks").cast("int")).over(in_run), F.lit(0)))
             .withColumn("_lead_digit", F.coalesce(F.first(F.when(F.col("_asks"), F.col("_digit")), ignorenulls=True).over(in_run), F.lit(False))))
+    rows = cut_lineage(rows)
 
     def state_of(start: Column) -> Column:
         """Pending state just before the row, if its hour starts in ``start``."""
@@ -158,9 +165,6 @@ def conversation(msgs: DataFrame, pair: Callable[[Column], Column]) -> DataFrame
     folded = line.select("phone", F.explode(F.aggregate("hs", zero, step)["starts"]).alias("s"))
     started = folded.select("phone", F.col("s.hour").alias("_hour"), F.col("s.state").alias("_start"))
     rows = rows.join(started, ["phone", "_hour"], "left").withColumn("_state", state_of(F.coalesce("_start", F.lit(NOTHING))))
-
-    first = first_contact(known).select("phone", "id", F.lit(True).alias("welcome"))
-    rows = rows.join(first, ["phone", "id"], "left").withColumn("welcome", F.coalesce("welcome", F.lit(False)))
     return rows.select("id", "phone", "at", "epoch", "kw", "lang", "muted", "welcome", *_reply())
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.dims import fixed
 from tideline.functions.text import image_number
 from tideline.operators.scan import row_position
+from tideline.session import cut_lineage
 
 _BATCH = 1 << 16
 
@@ -41,6 +42,8 @@ def allocate_splits(units: DataFrame, frozen: DataFrame | None = None, ratios: d
     """
     ratios = ratios or fixed.RATIOS
     names, parts = list(ratios), [r / sum(ratios.values()) for r in ratios.values()]
+    # The units are read for their starts, runs and positions; they are few next to the rows behind them.
+    units = cut_lineage(units)
     if frozen is None:
         known = units.withColumn("_split", F.lit(None).cast("string"))
     else:
@@ -71,9 +74,9 @@ def allocate_splits(units: DataFrame, frozen: DataFrame | None = None, ratios: d
     placed = row_position(ordered, ["label"], F.struct("_big", F.substring("_hash", 1, 3)), ["_big", "_hash"], "pos")
     new = placed.join(chosen, ["label", "pos"]).select("label", "unit", "weight", "split")
     if frozen is None:
-        return new
+        return cut_lineage(new)
     old = known.filter(F.col("_split").isNotNull()).select("label", "unit", "weight", F.col("_split").alias("split"))
-    return old.unionByName(new)
+    return cut_lineage(old.unionByName(new))
 
 
 def hash_splits(df: DataFrame, unit: str, ratios: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
