@@ -109,6 +109,12 @@ def test_stream_equals_batch_in_many_batches(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, conversation(spark, sf).collect()))
 
 
+def test_shorter_chunks_change_nothing(spark):
+    msgs = messages(spark, "/root/testdata/sf0.001")
+    a, b = (dg.conversation(msgs, pair_verdict, seconds=n).select(*CONVERSATION_COLUMNS) for n in (3600, 600))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_followups_skip_stops_and_the_future(spark):
     msgs = messages(spark, "/root/testdata/sf0.001")
     jobs = spark.createDataFrame([(1, 10, 1, 100), (1, 50_000_000, 2, 100), (2, 10, 3, 100), (3, 10, 4, 900)], "phone long, at long, id long, due long")

@@ -2,11 +2,14 @@
 
 import random
 
+import pytest
+
 from tideline.operators import neardup as nd
 
 
-def test_fingerprints_with_orientations_and_a_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(nd, "HOT_BLOCK", 8)
+@pytest.mark.parametrize("hot", [2, 8])
+def test_fingerprints_with_orientations_and_a_hot_group(spark, monkeypatch, hot):
+    monkeypatch.setattr(nd, "HOT_BLOCK", hot)
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(30)]
     items = []
@@ -25,7 +28,7 @@ def test_fingerprints_with_orientations_and_a_hot_group(spark, monkeypatch):
         want[i] = i if hit is None else hit
     signed = lambda c: c - (1 << 64) if c >> 63 else c
     df = spark.createDataFrame([(i, lab, [[signed(v)] for v in vs]) for i, lab, vs in items], "id long, label string, views array<array<long>>")
-    got = {r.id: r.leader for r in nd.fingerprint_groups(df, max_distance=5, n_words=1, word_bits=64, agree=2).collect()}
+    got = {r.id: r.leader for r in nd.fingerprint_groups(df, max_distance=5, n_words=1, word_bits=64, agree=1).collect()}
     assert got == want
 
 

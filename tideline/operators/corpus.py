@@ -19,16 +19,14 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def quality_reason(consistency, image_quality, text, flagged: str, keep_flagged: bool = False,
+def quality_reason(consistency: Column, image_quality: Column, flagged: Column, keep_flagged: bool = False,
                    keep_inconsistent: bool = False) -> Column:
-    """Why a described photo is left out, or null."""
-    reason = F.lit(None).cast("string")
-    if not keep_flagged:
-        reason = F.when(text.rlike(flagged), "flagged")
-    if not keep_inconsistent:
-        reason = (F.when(F.coalesce(consistency == "no", F.lit(False)), "inconsistent")
-                   .when(F.coalesce(image_quality == "poor", F.lit(False)), "poor_image").otherwise(reason))
-    return reason
+    """Why a described photo is left out, or null. ``flagged``: its text holds a word it should not."""
+    reason = F.lit(None).cast("string") if keep_flagged else F.when(flagged, "flagged")
+    if keep_inconsistent:
+        return reason
+    return (F.when(F.coalesce(consistency == "no", F.lit(False)), "inconsistent")
+             .when(F.coalesce(image_quality == "poor", F.lit(False)), "poor_image").otherwise(reason))
 
 
 def decontaminate(corpus: DataFrame, heldout: DataFrame, key: Column | None = None) -> DataFrame:
@@ -108,7 +106,7 @@ def budget_cutoff(df: DataFrame, cost: str, limit, row_id: str = "id") -> DataFr
 
 def resume_todo(jobs: DataFrame, done: DataFrame, on: str, fold_case: bool = False) -> DataFrame:
     """Jobs whose id (or case-folded text) is not done yet."""
-    fold = (lambda c: F.lower(c)) if fold_case else (lambda c: F.col(c))
+    fold = (lambda c: F.unhex(F.sha2(F.lower(c), 256))) if fold_case else (lambda c: F.col(c))
     return (jobs.withColumn("_id", fold(on)).join(done.select(fold(on).alias("_id")).distinct(), "_id", "left_anti")
             .drop("_id"))
 

@@ -31,8 +31,8 @@ HOUR = 3600
 NOTHING, QUESTION, FOLLOWUP = 0, 1, 2
 
 
-def hour_of(epoch="epoch") -> Column:
-    return F.floor(F.col(epoch) / HOUR)
+def hour_of(epoch="epoch", seconds: int = HOUR) -> Column:
+    return F.floor(F.col(epoch) / seconds)
 
 
 def mute_flag() -> Column:
@@ -84,7 +84,7 @@ def _by_state(state: Column, digit: Column, nothing: Column, question: Column, a
     return (F.when(state == QUESTION, question).when((state == FOLLOWUP) & digit, answered).otherwise(nothing))
 
 
-def conversation(msgs: DataFrame, pair: Callable[[Column], Column], start: str = "en") -> DataFrame:
+def conversation(msgs: DataFrame, pair: Callable[[Column], Column], start: str = "en", seconds: int = HOUR) -> DataFrame:
     """One row per message: what was done about it.
 
     ``pair`` maps the struct of the earlier message (``label proba llm_label llm_sure price_en``
@@ -92,20 +92,25 @@ def conversation(msgs: DataFrame, pair: Callable[[Column], Column], start: str =
     label, decision, template_id and price_en. A question is always about the report just before,
     since any report in between would have used it up, so that verdict can be formed for every
     report before it is known which ones answer a question.
+
+    ``seconds`` is the length of a chunk. Shorter ones suit very busy senders; it must divide the
+    hour, since follow-ups fall due on full hours.
     """
+    if HOUR % seconds:
+        raise ValueError("a chunk must divide the hour")
     # Each scan reads its input twice, for the chunk totals and for the rows, so what one scan
     # yields is stored before the next one starts.
-    known = running(msgs, ["phone"], hour_of(), ORDER, lasts={"_stopped": mute_flag(), "_lang": F.col("lang_event")})
+    known = running(msgs, ["phone"], hour_of(seconds=seconds), ORDER, lasts={"_stopped": mute_flag(), "_lang": F.col("lang_event")})
     known = known.withColumn("muted", F.coalesce("_stopped", F.lit(False)) & is_plain())
     known = cut_lineage(known.withColumn("lang", F.coalesce("lang_event", "_lang", F.lit(start))).drop("_stopped", "_lang"))
     report = F.col("kw").isNull() & ~F.col("price") & ~F.col("muted")
     met = is_plain() & ~F.col("muted")
-    known = running(known.withColumn("_report", report), ["phone"], hour_of(), ORDER, sums={"_met": met.cast("long")}, lasts={
+    known = running(known.withColumn("_report", report), ["phone"], hour_of(seconds=seconds), ORDER, sums={"_met": met.cast("long")}, lasts={
         "_prev": F.when(F.col("_report"), F.struct(F.col("id").alias("id"), F.col("opinion").alias("opinion")))})
     known = known.withColumn("welcome", met & (F.col("_met") == 0))
     solo_asks = (F.col("decision") == "clarify") & ~((F.col("label") == OTHER) & F.col("price_en"))
     job = lambda label, decision: (decision == "answer") & label.isin(*fixed.FOLLOWED_UP)
-    rows = (known.withColumn("_pair", pair(F.col("_prev.opinion"))).withColumn("_hour", hour_of())
+    rows = (known.withColumn("_pair", pair(F.col("_prev.opinion"))).withColumn("_hour", hour_of(seconds=seconds))
             .withColumn("_stop", F.coalesce(F.col("kw") == "STOP", F.lit(False)))
             .withColumn("_asks", F.col("_report") & solo_asks).withColumn("_digit", F.col("digit").isNotNull())
             .withColumn("_due", followup_due_epoch("epoch")))
@@ -156,8 +161,8 @@ def conversation(msgs: DataFrame, pair: Callable[[Column], Column], start: str =
                     F.array().cast("array<struct<hour:bigint,state:int>>").alias("starts"))
 
     def step(acc, h):
-        start = F.when(F.exists(acc["open"], lambda d: d <= h["hour"] * HOUR), FOLLOWUP).otherwise(acc["state"])
-        still = F.when(h["stopped"], F.array().cast("array<bigint>")).otherwise(F.filter(acc["open"], lambda d: d > h["hour"] * HOUR))
+        start = F.when(F.exists(acc["open"], lambda d: d <= h["hour"] * seconds), FOLLOWUP).otherwise(acc["state"])
+        still = F.when(h["stopped"], F.array().cast("array<bigint>")).otherwise(F.filter(acc["open"], lambda d: d > h["hour"] * seconds))
         opened = F.when(F.get(h["jobs"], start) > 0, F.array(h["due"])).otherwise(F.array().cast("array<bigint>"))
         return F.struct(F.get(h["exits"], start).alias("state"), F.array_union(still, opened).alias("open"),
                         F.concat(acc["starts"], F.array(F.struct(h["hour"].alias("hour"), start.alias("state")))).alias("starts"))

@@ -44,13 +44,20 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return open_
 
 
-def assign_leaders(nodes: DataFrame, lead: DataFrame, member: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+Blocks = tuple[DataFrame, DataFrame]
+
+
+def assign_leaders(nodes: DataFrame, blocks: Blocks, near: Callable[[DataFrame], DataFrame],
+                   finer: Callable[[DataFrame], Blocks] | None = None) -> DataFrame:
     """(node, leader) for every node.
 
-    ``lead`` and ``member`` are (node, block): where a node is looked for as a leader and where it
-    looks for one. ``near`` keeps the pairs (a, b), a before b, that are near. A node's number is
-    its place in the order.
+    ``blocks`` are two tables (node, block): where a node is looked for as a leader and where it looks
+    for one. ``near`` keeps the pairs (a, b), a before b, that are near. A node's number is its
+    place in the order. Blocks that stay large though they hold no copies are not paired up: a
+    near pair that shares no other block has both its nodes in such blocks, and those nodes get the
+    longer keys of ``finer``.
     """
+    lead, member = blocks
     state = nodes.select("node", F.lit(None).cast("long").alias("leader"))
     open_count = state.count()
     for _ in range(MAX_ROUNDS):
@@ -71,9 +78,21 @@ def assign_leaders(nodes: DataFrame, lead: DataFrame, member: DataFrame, near: C
             break  # what is left is not made of copies; pairs settle it
     fresh = state.filter("leader IS NULL").select("node")
     followers = state.filter("leader IS NULL OR leader <> node").select("node")
-    a = lead.join(fresh, "node", "left_semi").select(F.col("node").alias("a"), "block")
-    b = member.join(followers, "node", "left_semi").select(F.col("node").alias("b"), "block")
-    edges = cut_lineage(near(a.join(b, "block").filter("a < b").select("a", "b").distinct()))
+
+
+    def candidates(lead: DataFrame, member: DataFrame) -> DataFrame:
+        a = lead.join(fresh, "node", "left_semi").select(F.col("node").alias("a"), "block")
+        b = member.join(followers, "node", "left_semi").select(F.col("node").alias("b"), "block")
+        return a.join(b, "block").filter("a < b").select("a", "b")
+
+    large = cut_lineage(lead.join(fresh, "node", "left_semi").groupBy("block").agg(F.count("*").alias("n"))
+                        .filter(F.col("n") > HOT_BLOCK).select("block"))
+    if finer is None or large.isEmpty():
+        pairs = candidates(lead, member)
+    else:
+        inside = cut_lineage(lead.unionByName(member).join(large, "block", "left_semi").select("node").distinct())
+        pairs = candidates(*(t.join(large, "block", "left_anti") for t in blocks)).unionByName(candidates(*finer(inside)))
+    edges = cut_lineage(near(pairs.distinct()))
     among = edges.join(fresh.withColumnRenamed("node", "b"), "b", "left_semi")
     leaders = cut_lineage(greedy_leaders(fresh, among))
     joined = (edges.join(leaders.withColumnRenamed("node", "a"), "a", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("_new")))
@@ -124,23 +143,34 @@ def fingerprint_groups(items: DataFrame, max_distance: int = 20, n_words: int =
     keyed = cut_lineage(items.withColumn("_code", F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.flatten("views"), ",")), 256)))
     nodes = cut_lineage(keyed.groupBy("_code").agg(F.min("id").alias("node"), F.first("label").alias("label"), F.first("views").alias("views")))
     agree = agree or bands_to_agree(nodes.count(), n_words * word_bits, max_distance)
-    keys = lambda v: band_keys(v, n_words, word_bits, max_distance, agree)
-    block = lambda ks: F.explode(F.transform(ks, lambda k: F.xxhash64(k, F.col("label"))))
-    lead = cut_lineage(nodes.select("node", block(keys(F.get("views", F.lit(0)))).alias("block")))
-    member = cut_lineage(nodes.select("node", block(F.array_distinct(F.flatten(F.transform("views", keys)))).alias("block")))
-    own = nodes.select(F.col("node").alias("a"), F.col("label").alias("_la"), F.get("views", F.lit(0)).alias("_code_a"))
+    own_code = F.get("views", F.lit(0))
+
+    def blocks(some: DataFrame, agree: int) -> Blocks:
+        keys = lambda v: band_keys(v, n_words, word_bits, max_distance, agree)
+        block = lambda ks: F.explode(F.transform(ks, lambda k: F.xxhash64(k, F.col("label")))).alias("block")
+        lead = some.select("node", block(keys(own_code)))
+        member = some.select("node", block(F.array_distinct(F.flatten(F.transform("views", keys)))))
+        return cut_lineage(lead), cut_lineage(member)
+
+    def finer(inside: DataFrame) -> Blocks:
+        return blocks(nodes.join(inside, "node", "left_semi"), agree + 1)
+
+    own = nodes.select(F.col("node").alias("a"), F.col("label").alias("_la"), own_code.alias("_code_a"))
     all_ = nodes.select(F.col("node").alias("b"), F.col("label").alias("_lb"), F.col("views").alias("_views_b"))
 
     def near(pairs: DataFrame) -> DataFrame:
         closest = F.array_min(F.transform("_views_b", lambda v: hamming(F.col("_code_a"), v)))
         return (pairs.join(own, "a").join(all_, "b").filter(F.col("_la") == F.col("_lb")).filter(closest <= max_distance).select("a", "b"))
 
-    led = assign_leaders(nodes, lead, member, near)
+    led = assign_leaders(nodes, blocks(nodes, agree), near, finer)
     return (keyed.select("id", "label", "_code").join(nodes.select("_code", "node"), "_code").join(led, "node").select("id", "label", "leader"))
 
 
 # ---- texts within a batch -------------------------------------------------------------------
-SMALL_BATCH, GRAM = 64, 3
+SMALL_BATCH = 64
+# (n-gram length, shortest text, longest text): short texts have too few long n-grams. The ranges overlap by
+# more than near texts can differ in length, so a near pair lies in one of them together.
+GRAMS = ((3, 3, 39), (6, 36, None))
 
 
 def similar(a: Column, b: Column, ratio: float) -> Column:
@@ -149,22 +179,24 @@ def similar(a: Column, b: Column, ratio: float) -> Column:
     return (gap < (1 - ratio) * longer + 1) & (1 - F.levenshtein(a, b) / longer > ratio)
 
 
-def rare_grams(nodes: DataFrame, ratio: float) -> DataFrame:
+def rare_grams(nodes: DataFrame, ratio: float, gram: int, shortest: int, longest: int | None) -> DataFrame:
     """(node, block): the rarest character n-grams of a text, as many as a near text cannot all miss.
 
-    With fewer than (1 - ratio) * M edits, two texts share all but GRAM n-grams per edit. Taken in
-    one order of rarity, their first so many n-grams must then have one in common.
+    With fewer than (1 - ratio) * M edits, M the longer length, two texts share all but ``gram``
+    n-grams per edit. Taken in one order of rarity, their first so many n-grams then meet.
     """
-    n = F.char_length("_norm") - GRAM + 1
-    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("_norm", i, F.lit(GRAM)))
-    rows = nodes.filter(n > 0).select("batch", "node", n.alias("n"), F.explode(grams).alias("gram"))
+    size = F.char_length("_norm")
+    n = size - gram + 1
+    nodes = nodes.filter(size >= shortest) if longest is None else nodes.filter(size.between(shortest, longest))
+    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("_norm", i, F.lit(gram)))
+    rows = nodes.select("batch", "node", n.alias("n"), F.explode(grams).alias("gram"))
     counted = rows.groupBy("batch", "node", "n", "gram").agg(F.count("*").alias("times"))
     # Repeated n-grams are told apart by their number, so that common ones are counted with repeats.
     each = counted.select("batch", "node", "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "times"), lambda i: F.struct("gram", i.alias("no")))).alias("g"))
     freq = each.groupBy("batch", "g").agg(F.count("*").alias("df"))
     ranked = each.join(freq, ["batch", "g"]).groupBy("batch", "node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    share = 1 - GRAM * (1 - ratio)
-    must = F.greatest(F.ceil(share * (F.col("n") + GRAM - 1)) - (GRAM - 1), F.lit(1))
+    share = 1 - gram * (1 - ratio)
+    must = F.ceil(F.round(share * (F.col("n") + gram - 1), 6)) - (gram - 1)
     head = F.slice("gs", F.lit(1), (F.col("n") - must + 1).cast("int"))
     return ranked.select("node", "batch", F.explode(head).alias("x")).select("node", F.xxhash64("batch", "x.g").alias("block"))
 
@@ -183,7 +215,12 @@ def dedup_in_batches(msgs: DataFrame, banned: str, ratio: float = 0.9, longest:
     size = nodes.groupBy("batch").agg(F.count("*").alias("n"))
     small = nodes.join(size.filter(F.col("n") <= SMALL_BATCH), "batch", "left_semi")
     large = nodes.join(size.filter(F.col("n") > SMALL_BATCH), "batch", "left_semi")
-    blocks = cut_lineage(small.select("node", F.xxhash64("batch").alias("block")).unionByName(rare_grams(large, ratio)))
+    if 1 - max(g for g, *_ in GRAMS) * (1 - ratio) <= 0:
+        raise ValueError("ratio too low for the n-gram lengths")
+    blocks = small.select("node", F.xxhash64("batch").alias("block"))
+    for gram in GRAMS:
+        blocks = blocks.unionByName(rare_grams(large, ratio, *gram))
+    blocks = cut_lineage(blocks)
     texts = nodes.select(F.col("node").alias("a"), F.col("batch").alias("_ba"), F.col("_norm").alias("_a"))
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -191,6 +228,6 @@ def dedup_in_batches(msgs: DataFrame, banned: str, ratio: float = 0.9, longest:
         return (pairs.join(texts, "a").join(other, "b").filter(F.col("_ba") == F.col("_bb"))
                 .filter(similar(F.col("_a"), F.col("_b"), ratio)).select("a", "b"))
 
-    led = assign_leaders(nodes, blocks, blocks, near).filter("node = leader").select(F.col("node").alias("id"), F.lit(True).alias("_kept"))
+    led = assign_leaders(nodes, (blocks, blocks), near).filter("node = leader").select(F.col("node").alias("id"), F.lit(True).alias("_kept"))
     return (marked.join(led, "id", "left")
             .select("id", "batch", F.when(F.col("_why").isNotNull(), F.col("_why")).when(F.col("_kept"), "kept").otherwise("duplicate").alias("outcome")))

@@ -73,9 +73,11 @@ def split_corpus(spark, sf):
         WHEN len({sql_word_matches('text', dim.FLAG_WORDS)}) > 0 THEN 'flagged' END, 'kept') AS reason,
         count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    # The text is judged before the join, so only the verdict is shuffled.
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").rlike(FLAG_RE).alias("flagged"))
+    docs = docs.join(table(spark, sf, "labels"), "doc_id", "left")
     reason = co.quality_reason(F.when(F.col("toxic") == 1, "no").otherwise("yes"),
-                               F.when(F.col("quality") == 0, "poor").otherwise("ok"), F.col("text"), FLAG_RE)
+                               F.when(F.col("quality") == 0, "poor").otherwise("ok"), F.col("flagged"))
     return docs.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -86,12 +88,10 @@ def _(spark, sf):
         WHEN len({sql_word_matches('text', dim.BANNED_WORDS)}) > 0 THEN 'banned' END AS reason
       FROM documents LEFT JOIN labels USING (doc_id)) WHERE reason IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    quality = co.quality_reason(F.when(F.col("toxic") == 1, "no"), F.when(F.col("quality") == 0, "poor"),
-                                F.col("text"), FLAG_RE, keep_flagged=True)
-    reason = F.coalesce(quality, F.when(F.char_length(tx.strip("text")) < 3, "too_short"),
-                        F.when(F.col("text").rlike(tx.whole("|".join(dim.BANNED_WORDS))), "banned"))
-    return co.drop_report(docs.select(reason.alias("why")), "why")
+    own = F.when(F.char_length(tx.strip("text")) < 3, "too_short").when(F.col("text").rlike(tx.whole("|".join(dim.BANNED_WORDS))), "banned")
+    docs = table(spark, sf, "documents").select("doc_id", own.alias("own")).join(table(spark, sf, "labels"), "doc_id", "left")
+    quality = co.quality_reason(F.when(F.col("toxic") == 1, "no"), F.when(F.col("quality") == 0, "poor"), F.lit(False), keep_flagged=True)
+    return co.drop_report(docs.select(F.coalesce(quality, "own").alias("why")), "why")
 
 
 @query("decontaminate", f"""
