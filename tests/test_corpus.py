@@ -85,3 +85,14 @@ def test_holdout_takes_a_quarter_of_few_rows(spark):
 def test_budget_keeps_the_row_that_crosses(spark):
     df = spark.range(10).withColumn("cost", F.lit(1.0))
     assert co.budget_cutoff(df, "cost", 2.5).count() == 3
+
+
+def test_service_topics_and_blocks(spark):
+    topic = "replies to an advisor: better"
+    rows = [(i, f"message {i}", topic, "handwritten") for i in range(6)] + [(6, " x ", topic, "handwritten"), (7, "late one", topic, "generated"),
+                                                                             (8, "hello", "no such topic", "generated"), (9, None, topic, "generated")]
+    df = spark.createDataFrame(rows, "id long, text string, topic string, source string")
+    got = {r.source_id: (r.label, r.group, r.reason) for r in co.sms_rows(df, fixed.TOPIC_LABELS).collect()}
+    assert [got[f"sms#{i}"][1][-3:] for i in (0, 3, 4, 5, 7)] == ["000", "000", "001", "001", "000"]
+    assert got["sms#0"][1] == "sms-replies-to-an-advisor-better-000" and got["sms#0"][0] == "other"
+    assert [got[f"sms#{i}"][2] for i in (5, 6, 8, 9)] == [None, "too_short", "unmapped_topic", "too_short"]

@@ -112,3 +112,10 @@ def test_price_board_and_costs(spark):
     assert got == {"m": "On 1 May: B 15,000-16,000; A 1,500", "n": "none"}
     sizes = spark.createDataFrame([(750, 10), (3136, 1568), (20, 20)], "w int, h int")
     assert [r[0] for r in sizes.select(cs.image_tokens(F.col("w"), F.col("h"))).collect()] == [10, 1600, 1]
+
+
+def test_stages_are_removed_on_request(spark):
+    from tideline.session import cut_lineage, drop_stages
+
+    cut_lineage(spark.range(3))
+    assert drop_stages(spark) >= 1 and drop_stages(spark) == 0

@@ -70,3 +70,12 @@ def test_delivery_outcomes(spark):
              (201, '{"SMSMessageData": {"Message": "x"}}', "nobody"), (200, "oops", "unreadable"), (200, "{}", "unreadable"), (500, "{}", "refused")]
     df = spark.createDataFrame(cases, "s int, b string, want string")
     assert all(r[0] == r[1] for r in df.select("want", ev.delivery_outcome(F.col("s"), F.col("b"))).collect())
+
+
+def test_missing_vectors_have_no_score(spark):
+    df, _, _ = data(spark, 40)
+    head = sc.centroid_head(df, "truth", F.col("embedding"), 5, 0.4)
+    holes = df.withColumn("embedding", F.when(F.col("id") % 3 != 0, F.col("embedding")))
+    rows = {r.id: r.top for r in sc.score_linear(holes, head).collect()}
+    whole = {r.id: r.top for r in sc.score_linear(df, head).collect()}
+    assert all(rows[i] == (whole[i] if i % 3 else None) for i in whole)

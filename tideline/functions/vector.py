@@ -1,9 +1,7 @@
-"""Arithmetic on array columns, all inside the JVM."""
+"""Helpers for array columns, all inside the JVM."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,28 +10,6 @@ def total(arr) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
 
 
-def dot(a, b) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: x * y))
-
-
 def let(value, body) -> Column:
     """``body`` applied to ``value`` computed once: inside a lambda a name is not re-evaluated."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def softmax(logits) -> Column:
-    """Shifted by the largest logit, so no exponent overflows."""
-    exps = let(logits, lambda zs: let(F.array_max(zs), lambda top: F.transform(zs, lambda z: F.exp(z - top))))
-    return let(exps, lambda es: let(total(es), lambda s: F.transform(es, lambda e: e / s)))
-
-
-def entropy_norm(proba, k: int) -> Column:
-    """Shannon entropy over ln k: 0 certain, 1 uniform."""
-    terms = F.transform(proba, lambda p: p * F.ln(F.greatest(p, F.lit(1e-12))))
-    return -total(terms) / F.lit(math.log(k))
-
-
-def argmax_name(proba, names) -> Column:
-    """Name at the first position of the largest value."""
-    position = F.array_position(proba, F.array_max(proba))
-    return F.element_at(F.array(*[F.lit(n) for n in names]), position.cast("int"))

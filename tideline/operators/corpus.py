@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.text import text_key
+from tideline.functions.text import strip, text_key, topic_slug
 from tideline.operators.scan import id_chunk, row_position, running
 
 
@@ -19,6 +19,41 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
+CORPUS_COLUMNS = ("text", "label", "group", "source_id", "kind", "reason")
+MIN_CHARS = 3
+
+
+def photo_rows(records: DataFrame, flagged: str, **keep) -> DataFrame:
+    """Corpus rows of described photos (id, label, group, descriptions, image_quality, label_consistency).
+
+    ``reason`` says why a row is left out, null if it is not.
+    """
+    rows = records.withColumn("text", F.explode("descriptions"))
+    reason = quality_reason(F.col("label_consistency"), F.col("image_quality"), F.col("text").rlike(flagged), **keep)
+    return rows.select("text", "label", "group", F.col("id").alias("source_id"), F.lit("photo").alias("kind"), reason.alias("reason"))
+
+
+def batch_rows(records: DataFrame) -> DataFrame:
+    """Corpus rows of generated batches (batch_id, group, kind, label, messages)."""
+    rows = records.select("*", F.posexplode("messages").alias("_no", "text"))
+    return rows.select("text", "label", "group", F.concat_ws("#", "batch_id", "_no").alias("source_id"), F.coalesce("kind", F.lit("other")).alias("kind"),
+                       F.when(F.char_length(strip("text")) < MIN_CHARS, "too_short").alias("reason"))
+
+
+def sms_rows(records: DataFrame, labels: dict[str, str], block: int = 8, small_block: int = 4, small_source: str = "handwritten") -> DataFrame:
+    """Corpus rows of messages (id, text, topic, source): the label comes from the topic, a group is
+    a block of a topic's usable messages in order, with smaller blocks for the small source."""
+    names = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in labels.items())), F.lit("\x02"), F.lit("\x01"))
+    text = strip(F.coalesce("text", F.lit("")))
+    rows = records.select("id", text.alias("text"), "topic", "source", F.try_element_at(names, F.coalesce("topic", F.lit(""))).alias("label"))
+    reason = F.when(F.col("label").isNull(), "unmapped_topic").when(F.char_length("text") < MIN_CHARS, "too_short")
+    rows = rows.withColumn("reason", reason)
+    rows = running(rows, ["topic"], id_chunk("id"), ["id"], sums={"_n": F.col("reason").isNull().cast("long")})
+    size = F.when(F.col("source") == small_source, small_block).otherwise(block)
+    group = F.format_string("sms-%s-%03d", topic_slug("topic"), F.floor(F.col("_n") / size))
+    return rows.select("text", "label", group.alias("group"), F.concat(F.lit("sms#"), "id").alias("source_id"), F.lit("sms").alias("kind"), "reason")
+
+
 def quality_reason(consistency: Column, image_quality: Column, flagged: Column, keep_flagged: bool = False,
                    keep_inconsistent: bool = False) -> Column:
     """Why a described photo is left out, or null. ``flagged``: its text holds a word it should not."""

@@ -17,7 +17,7 @@ _COUNTS = pa.list_(pa.struct([("n", pa.int32()), ("matched", pa.int64()), ("said
 
 def squeeze(text, lower: bool = True) -> Column:
     """White space to single spaces, none at the ends."""
-    t = F.col(text) if isinstance(text, str) else text
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     return F.regexp_replace(strip(F.lower(t) if lower else t), r"\s+", " ")
 
 
@@ -107,7 +107,7 @@ def _corpus_counts(counted: DataFrame) -> DataFrame:
 
 def chrf_corpus(pairs: DataFrame, max_n: int = 6, beta: float = 2) -> DataFrame:
     """Corpus score: counts summed over all pairs first; white space does not count."""
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
     counts = _corpus_counts(gram_counts(pairs, bare("hyp"), bare("ref"), max_n))
     both = (F.col("said") > 0) & (F.col("wanted") > 0)
     p, r = (F.avg(F.when(both, F.col("matched") / F.col(c))) for c in ("said", "wanted"))

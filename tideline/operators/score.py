@@ -48,7 +48,8 @@ def score_linear(df: DataFrame, head: LinearHead, embedding="embedding", keep_pr
     def score(vectors: pa.Array) -> pa.Array:
         if isinstance(vectors, pa.ChunkedArray):
             vectors = vectors.combine_chunks()
-        x = np.asarray(vectors.flatten(), dtype=np.float64).reshape(len(vectors), d)
+        given = vectors.drop_null()
+        x = np.asarray(given.flatten(), dtype=np.float64).reshape(len(given), d)
         logits = x @ coef.T + bias
         z = logits / temp
         e = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
@@ -58,8 +59,12 @@ def score_linear(df: DataFrame, head: LinearHead, embedding="embedding", keep_pr
         offsets = pa.array(np.arange(len(z) + 1, dtype=np.int32) * k, type=pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(m.ravel())) for m in (logits, p)]
         best = p.max(axis=1) if len(p) else np.zeros(0)
-        return pa.StructArray.from_arrays([*lists, pa.array(top.astype(np.int32)), pa.array(best), pa.array(h)],
+        out = pa.StructArray.from_arrays([*lists, pa.array(top.astype(np.int32)), pa.array(best), pa.array(h)],
                                           names=["logits", "proba", "top", "p_top", "entropy"])
+        if not vectors.null_count:
+            return out
+        missing = np.asarray(vectors.is_null())
+        return out.take(pa.array(np.cumsum(~missing) - 1, mask=missing))  # a missing vector has no score
 
     vec = F.col(embedding) if isinstance(embedding, str) else embedding
     names = F.array(*[F.lit(c) for c in head.classes])

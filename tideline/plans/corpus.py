@@ -148,6 +148,40 @@ def _(spark, sf):
                  F.sum(F.char_length("text")).alias("chars")))
 
 
+# Documents as described photos (a line is a description), turns as generated batches (a line is a
+# message), parts as messages with a topic.
+PART_TOPICS = {"ECONOMY": "leaf_rust", "SMALL": "phoma", "LARGE": "healthy", "PROMO": "other"}
+
+
+@query("load_rows", f"""
+    WITH p AS (SELECT unnest(string_split(text, chr(10))) AS text, lang AS label, source AS "group", 'd' || doc_id AS source_id, 'photo' AS kind,
+        toxic = 1 AS bad, quality = 0 AS poor FROM documents LEFT JOIN labels USING (doc_id)),
+    b AS (SELECT conv_id, turn, role, list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))) AS ms FROM conversations),
+    s AS (SELECT *, CASE WHEN label IS NULL THEN 'unmapped_topic' WHEN length(text) < 3 THEN 'too_short' END AS reason FROM (
+        SELECT p_partkey AS id, p_name AS text, p_type AS topic, p_size, CASE p_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PART_TOPICS.items())} END AS label
+        FROM part)),
+    n AS (SELECT *, count(*) FILTER (reason IS NULL) OVER (PARTITION BY topic ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM s)
+    SELECT md5(text) AS text_md5, label, "group", source_id, kind,
+      CASE WHEN bad THEN 'inconsistent' WHEN poor THEN 'poor_image' WHEN len({sql_word_matches('text', dim.FLAG_WORDS)}) > 0 THEN 'flagged' END AS reason FROM p
+    UNION ALL
+    SELECT md5(m[1]), 'other', 'c' || conv_id, 'c' || conv_id || '-' || turn || '#' || m[2], CASE role WHEN 'user' THEN 'ask' ELSE 'other' END,
+      CASE WHEN length(regexp_replace(m[1], '^\\s+|\\s+$', '', 'g')) < 3 THEN 'too_short' END FROM (SELECT *, unnest(ms) AS m FROM b)
+    UNION ALL
+    SELECT md5(text), label, format('sms-{{}}-{{:03d}}', lower(topic), n // CASE WHEN p_size > 40 THEN 4 ELSE 8 END), 'sms#' || id, 'sms', reason FROM n""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    photos = docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("lang").alias("label"), F.col("source").alias("group"),
+                         F.split("text", "\n").alias("descriptions"), F.when(F.col("quality") == 0, "poor").alias("image_quality"),
+                         F.when(F.col("toxic") == 1, "no").alias("label_consistency"))
+    batches = table(spark, sf, "conversations").select(
+        F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("batch_id"), F.concat(F.lit("c"), "conv_id").alias("group"),
+        F.when(F.col("role") == "user", "ask").alias("kind"), F.lit("other").alias("label"), F.split("text", "\n").alias("messages"))
+    sms = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.col("p_type").alias("topic"),
+                                          F.when(F.col("p_size") > 40, "handwritten").otherwise("generated").alias("source"))
+    rows = co.union_sources(co.photo_rows(photos, FLAG_RE), co.batch_rows(batches), co.sms_rows(sms, PART_TOPICS))
+    return rows.select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "label", "group", "source_id", "kind", "reason")
+
+
 @query("upsample", """
     SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM (
       SELECT source, n_chars FROM documents WHERE lang = 'en'

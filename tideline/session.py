@@ -50,6 +50,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_stages: list[str] = []
+
+
 def cut_lineage(df):
     """Store ``df`` in the shared folder and go on from the stored copy.
 
@@ -57,4 +60,15 @@ def cut_lineage(df):
     """
     path = fresh_path(df.sparkSession, "stage")
     df.write.parquet(path)
+    _stages.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Removes the intermediate tables of this process; call it once results are written."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_stages)
+    while _stages:
+        path = hadoop(_stages.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
