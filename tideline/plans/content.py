@@ -49,7 +49,7 @@ def _(spark, sf):
 # A conversation log: assistant turns that open a talk are template texts, other texts may be cached.
 @query("transcript_english", """
     WITH m AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'out' ELSE 'in' END AS direction, text,
-        CASE WHEN turn % 3 <> 2 THEN md5(text) END AS text_en FROM conversations),
+        CASE WHEN length(text) > 100 THEN md5(text) END AS text_en FROM conversations),
     t AS (SELECT text, 'T:' || left(text, 20) AS en FROM (SELECT DISTINCT text FROM conversations WHERE role = 'assistant' AND turn = 1)),
     c AS (SELECT DISTINCT text, 'C:' || left(text, 20) AS en FROM conversations WHERE turn > 2)
     SELECT conv_id, turn, CASE WHEN direction = 'out' AND t.en IS NOT NULL THEN t.en ELSE coalesce(c.en, text_en) END AS english,
@@ -58,7 +58,7 @@ def _(spark, sf):
 def _(spark, sf):
     conv = table(spark, sf, "conversations")
     msgs = conv.select("conv_id", "turn", F.when(F.col("role") == "assistant", "out").otherwise("in").alias("direction"), "text",
-                       F.when(F.col("turn") % 3 != 2, F.md5(F.col("text").cast("binary"))).alias("text_en"))
+                       F.when(F.char_length("text") > 100, F.md5(F.col("text").cast("binary"))).alias("text_en"))
     short = lambda head: F.concat(F.lit(head), F.left("text", F.lit(20)))
     opening = conv.filter("role = 'assistant' AND turn = 1").select("text").distinct()
     templates = opening.select(F.sha2("text", 256).alias("template_id"), F.explode(F.array(

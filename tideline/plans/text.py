@@ -346,11 +346,11 @@ def _(spark, sf):
 
 
 @query("unit_key", """
-    SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN source ELSE format('{}-blk{:04d}', lang, doc_id // 100) END AS unit
+    SELECT doc_id, CASE WHEN lang IN ('de', 'es') THEN source ELSE format('{}-blk{:04d}', lang, doc_id // 100) END AS unit
     FROM documents""")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    kind = F.when(F.col("doc_id") % 3 == 0, "photo").when(F.col("doc_id") % 3 == 1, "photo").otherwise("sms")
+    kind = F.when(F.col("lang").isin("de", "es"), "sms").otherwise("photo")
     sid = F.concat(F.lit("set/"), F.col("n_chars"), F.lit("_"), F.col("doc_id"), F.lit(".jpg"))
     return docs.select("doc_id", tx.unit_key(kind, sid, "lang", "source").alias("unit"))
 
