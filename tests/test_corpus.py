@@ -16,7 +16,7 @@ from tideline.operators.scan import id_chunk, running
 def skewed(spark, n=3000):
     """A third of the rows under one key."""
     rng = random.Random(5)
-    rows = [(i, "hot" if rng.random() < 0.34 else f"k{rng.randrange(50)}", rng.choice([None, True, False]), rng.randrange(9)) for i in range(n)]
+    rows = [(i, "hot" if rng.random() < 0.34 else rng.choice([None, *(f"k{j}" for j in range(50))]), rng.choice([None, True, False]), rng.randrange(9)) for i in range(n)]
     return spark.createDataFrame(rows, "id long, key string, flag boolean, x int")
 
 
@@ -90,9 +90,9 @@ def test_budget_keeps_the_row_that_crosses(spark):
 def test_service_topics_and_blocks(spark):
     topic = "replies to an advisor: better"
     rows = [(i, f"message {i}", topic, "handwritten") for i in range(6)] + [(6, " x ", topic, "handwritten"), (7, "late one", topic, "generated"),
-                                                                             (8, "hello", "no such topic", "generated"), (9, None, topic, "generated")]
+                                                                             (8, "hello", "no such topic", "generated"), (9, None, topic, "generated"), (10, "no topic", None, "generated")]
     df = spark.createDataFrame(rows, "id long, text string, topic string, source string")
     got = {r.source_id: (r.label, r.group, r.reason) for r in co.sms_rows(df, fixed.TOPIC_LABELS).collect()}
     assert [got[f"sms#{i}"][1][-3:] for i in (0, 3, 4, 5, 7)] == ["000", "000", "001", "001", "000"]
     assert got["sms#0"][1] == "sms-replies-to-an-advisor-better-000" and got["sms#0"][0] == "other"
-    assert [got[f"sms#{i}"][2] for i in (5, 6, 8, 9)] == [None, "too_short", "unmapped_topic", "too_short"]
+    assert [got[f"sms#{i}"][2] for i in (5, 6, 8, 9, 10)] == [None, "too_short", "unmapped_topic", "too_short", "unmapped_topic"]

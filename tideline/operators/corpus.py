@@ -91,7 +91,8 @@ def first_per_key(df: DataFrame, key: Column, row_id: str, priority: Column | No
     """One row per key: the best priority, then the smallest id.
 
     The winner is found from (key, id) alone by a hash aggregate that combines on the map side;
-    full rows move once, by their id, which is never skewed.
+    full rows move once, by their id, which is never skewed. With a priority, ids are packed below
+    it and must lie in 0 .. 2**58.
     """
     rank = F.col(row_id) if priority is None else F.shiftleft(priority.cast("long"), 58) + F.col(row_id)
     best = df.groupBy(key.alias("_key")).agg(F.min(rank).alias("_rank"))

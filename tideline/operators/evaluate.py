@@ -155,22 +155,23 @@ def exact_median(df: DataFrame, by: str, value: str, cells: int = 4096) -> DataF
     A histogram between the group's ends finds the one or two cells that hold the middle; only their
     different values, with counts, are then put in order.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_x"))
-    ends = rows.groupBy(by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
+    # The group is a struct, so that a null group joins with itself.
+    rows = df.filter(F.col(value).isNotNull()).select(F.struct(by).alias("_g"), F.col(value).cast("double").alias("_x"))
+    ends = rows.groupBy("_g").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / cells
     cell = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(cells - 1))).otherwise(0)
-    placed = rows.join(ends, by).select(by, "_x", "_n", cell.alias("_cell"))
-    hist = placed.groupBy(by, "_cell").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
-    before = Window.partitionBy(by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(ends, "_g").select("_g", "_x", "_n", cell.alias("_cell"))
+    hist = placed.groupBy("_g", "_cell").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))
     lower, upper = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
     inside = lambda p: (F.col("_before") <= p) & (p < F.col("_before") + F.col("_k"))
-    middle = hist.filter(inside(lower) | inside(upper)).select(by, "_cell", "_before")
-    values = (placed.join(middle, [by, "_cell"]).groupBy(by, "_cell", "_before", "_n", "_x").agg(F.count("*").alias("_k")))
-    upto = Window.partitionBy(by, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    middle = hist.filter(inside(lower) | inside(upper)).select("_g", "_cell", "_before")
+    values = (placed.join(middle, ["_g", "_cell"]).groupBy("_g", "_cell", "_before", "_n", "_x").agg(F.count("*").alias("_k")))
+    upto = Window.partitionBy("_g", "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     values = values.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_k").over(upto), F.lit(0)))
     picked = [F.max(F.when(inside(p), F.col("_x"))) for p in (lower, upper)]
-    return values.groupBy(by).agg(((picked[0] + picked[1]) / 2).alias("median"))
+    return values.groupBy("_g").agg(((picked[0] + picked[1]) / 2).alias("median")).select(F.col("_g")[by].alias(by), "median")
 
 
 def latency_stats(df: DataFrame, by: str, value: str, accuracy: int | None = None) -> DataFrame:
@@ -178,8 +179,8 @@ def latency_stats(df: DataFrame, by: str, value: str, accuracy: int | None = Non
     aggs = [F.max(value).alias("worst"), F.round(F.avg(value), 6).alias("mean"), F.count(F.lit(1)).alias("n")]
     if accuracy is not None:
         return df.groupBy(by).agg(F.percentile_approx(value, 0.5, accuracy).alias("median"), *aggs)
-    mid = exact_median(df, by, value).withColumn("median", F.round("median", 6))
-    return df.groupBy(by).agg(*aggs).join(mid, by, "left")
+    mid = exact_median(df, by, value).select(F.col(by).alias("_by"), F.round("median", 6).alias("median"))
+    return df.groupBy(by).agg(*aggs).join(mid, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def delivery_outcome(status: Column, body: Column) -> Column:

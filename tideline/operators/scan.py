@@ -28,22 +28,24 @@ def running(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[s
     ``chunk`` must never decrease along ``order``; ``order`` must be total within a key.
     """
     sums, lasts, keys = sums or {}, lasts or {}, list(keys)
-    df = df.withColumn("_chunk", chunk)
+    # Key and chunk travel as one struct: unlike a bare null key, a struct holding null joins with its like.
+    df = df.withColumn("_chunk", chunk).withColumn("_at", F.struct(*keys, "_chunk"))
     for name, value in {**sums, **lasts}.items():
         df = df.withColumn(f"_v_{name}", value)
-    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    totals = df.groupBy(*keys, "_chunk").agg(
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    totals = df.groupBy("_at").agg(
         *[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in sums],
-        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_c_{n}") for n in lasts])
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_c_{n}") for n in lasts])
+    before = (Window.partitionBy(*[F.col("_at")[k] for k in keys]).orderBy(F.col("_at")["_chunk"])
+              .rowsBetween(Window.unboundedPreceding, -1))
     carried = totals.select(
-        *keys, "_chunk", *[F.sum(f"_c_{n}").over(before).alias(f"_b_{n}") for n in sums],
+        "_at", *[F.sum(f"_c_{n}").over(before).alias(f"_b_{n}") for n in sums],
         *[F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_b_{n}") for n in lasts])
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(carried, [*keys, "_chunk"])
+    inside = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.join(carried, "_at")
     new = [(F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) + F.coalesce(f"_b_{n}", F.lit(0))).alias(n) for n in sums]
     new += [F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), f"_b_{n}").alias(n) for n in lasts]
-    keep = [c for c in df.columns if c != "_chunk" and not c.startswith("_v_")]
+    keep = [c for c in df.columns if c not in ("_chunk", "_at") and not c.startswith("_v_")]
     return out.select(*keep, *new)
 
 
