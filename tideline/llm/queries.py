@@ -39,3 +39,36 @@ def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     from tideline.llm.bpe import round_trip
 
     return round_trip(documents(spark, folder, "doc_id", "text"), vocabulary_path()).drop("text")
+
+
+SHARD_LIMIT = 1 << 20
+RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+@query
+def op2_shards(spark: SparkSession, folder: str) -> DataFrame:
+    from tideline.llm import sharding
+
+    rows = documents(spark, folder, "doc_id", "text").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), sharding.hash_bits("doc_id", "text").alias("hash"))
+    return sharding.shard_rows(rows, SHARD_LIMIT)
+
+
+@query
+def op6_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
+    from tideline.llm.mixing import taken
+
+    return taken(documents(spark, folder, "doc_id", "source", "text")).drop("source")
+
+
+@query
+def op10_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """A page whose address ends in the number of a labelled document has that document's label."""
+    from tideline.llm.urls import judge_urls, path_of
+
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy(F.col("doc_id").cast("string").alias("_doc")).agg(
+        F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).otherwise(0.0)).alias("good"))
+    doc = F.nullif(F.regexp_extract(path_of(F.col("url")), r"/(\d+)(?:\.html)?/?$", 1), F.lit(""))
+    labelled = pages.withColumn("_doc", doc).join(labels, "_doc", "left").drop("_doc")
+    return judge_urls(labelled, RULES, label="good").select("page_id", "host", "path", "rule", "verdict", "template", "purity")
