@@ -8,6 +8,7 @@ arrays. Only words with a failing pair are merged by the definition.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,9 @@ class Verdicts:
         return told[back]
 
 
-def encode_words(v: ByteBpe, words: list[bytes], verdicts: Verdicts) -> list[list[int]]:
+def encode_words(v: ByteBpe, words: list[str], verdicts: Verdicts) -> list[list[int]]:
     """Encodings of pieces, and the same as merging by definition."""
+    words = [w.encode() for w in words]
     proposed = [propose(v, w) for w in words]
     sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
     flat = np.fromiter((t for p in proposed for t in p), np.int64, int(sizes.sum()))
@@ -91,12 +93,15 @@ def encode_texts(v: ByteBpe, texts: list[str], cache, verdicts: Verdicts) -> lis
     split = [[(part, None if part in v.special else CHUNKS.findall(part)) for part in v.split_special(t) if part] for t in texts]
     known, unknown = cache.find([c for parts in split for _, found in parts if found for c in found])
     if unknown:
-        cut = [[p.encode() for p in v.pieces(c)] for c in unknown]
-        pieces = list(dict.fromkeys(p for c in cut for p in c))
-        packed = {p: np.array(ids, "<u4").tobytes() for p, ids in zip(pieces, encode_words(v, pieces, verdicts), strict=True)}
+        cut = [v.pieces(c) for c in unknown]
+        packed, new = cache.find([p for c in cut for p in c])
+        for piece, ids in zip(new, encode_words(v, new, verdicts), strict=True):
+            packed[piece] = ids = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= 64:
+                cache.put(piece, ids)
         for chunk, own in zip(unknown, cut, strict=True):
-            ids = known[chunk] = b"".join(packed[p] for p in own)
-            if len(chunk) <= 64:
+            known[chunk] = ids = b"".join(map(packed.__getitem__, own))
+            if len(own) > 1 and len(chunk) <= 64:
                 cache.put(chunk, ids)
     special = {s: np.array([i], "<u4").tobytes() for s, i in v.special.items()}
     return [b"".join(special[part] if found is None else b"".join(map(known.__getitem__, found)) for part, found in parts)

@@ -19,8 +19,9 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # White space belongs to the word after it, so text may be cut here before the finer split.
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WHITE = {chr(c) for c in range(0x3001) if re.match(f"[{SPACE}]", chr(c))}
+NONE = 1 << 62
 PAIRS_KEPT = 1_000_000
-WORDS_KEPT = 250_000
+WORDS_KEPT = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,22 +55,36 @@ class ByteBpe:
             raise ValueError("added tokens with options are not read")
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.size = max(self.bytes_of) + 1
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # of two ids: the rank and the id made, in one number
         for rank, pair in enumerate(model["merges"]):
             left, right = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
-            self.merges[self.ids[left] << 32 | self.ids[right]] = rank, self.ids[left + right]
+            self.merges[self.ids[left] << 32 | self.ids[right]] = rank << 32 | self.ids[left + right]
         self.longest: dict[bytes, int] = {}
         for t in self.ids:
             self.longest[t[:2]] = max(self.longest.get(t[:2], 0), len(t))
-        self.longest_end: dict[int, int] = {}
-        for t in self.ids:
-            self.longest_end[t[-1]] = max(self.longest_end.get(t[-1], 0), len(t))
         self.one = [self.ids[bytes([b])] for b in range(256)]
         self.pieces = regex.compile(PIECES).findall
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split \
             if self.special else lambda text: [text]
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
+        self._endings = None
+
+    def endings(self):
+        """An automaton that gives, for each place of a byte string, the tokens that end there, longest first.
+
+        Tokens whose own bytes encode otherwise never occur in an encoding and are left out.
+        """
+        if self._endings is None:
+            import ahocorasick
+
+            found = ahocorasick.Automaton()
+            for t, i in self.ids.items():
+                if self.stands(i):
+                    found.add_word(t.decode("latin-1"), (i, len(t)))
+            found.make_automaton()
+            self._endings = found
+        return self._endings
 
     def exact(self, word: bytes) -> list[int]:
         """The encoding by definition: merge the neighbours of lowest rank, leftmost first, until none merge."""
@@ -77,13 +92,36 @@ class ByteBpe:
         n, merges = len(ids), self.merges
         if n < 2:
             return ids
+        if n > 48:
+            return self._exact_long(ids)
+        get = merges.get
+        told = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while told:
+            least = min(told)
+            if least == NONE:
+                break
+            at = told.index(least)
+            ids[at] = made = least & 0xFFFFFFFF
+            del ids[at + 1], told[at]
+            if at < len(told):
+                told[at] = get(made << 32 | ids[at + 1], NONE)
+            if at:
+                told[at - 1] = get(ids[at - 1] << 32 | made, NONE)
+        return ids
+
+    def _exact_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap and links, for words of any length."""
+        n, merges = len(ids), self.merges
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = []
+
+        def offer(i: int, j: int) -> None:
+            m = merges.get(ids[i] << 32 | ids[j])
+            if m is not None:
+                heapq.heappush(heap, (m >> 32, i, ids[i], ids[j], m & 0xFFFFFFFF))
+
         for i in range(n - 1):
-            m = merges.get(ids[i] << 32 | ids[i + 1])
-            if m:
-                heap.append((m[0], i, ids[i], ids[i + 1], m[1]))
-        heapq.heapify(heap)
+            offer(i, i + 1)
         while heap:
             _, i, a, b, made = heapq.heappop(heap)
             j = after[i] if ids[i] == a else n
@@ -93,14 +131,9 @@ class ByteBpe:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                m = merges.get(made << 32 | ids[k])
-                if m:
-                    heapq.heappush(heap, (m[0], i, made, ids[k], m[1]))
+                offer(i, k)
             if before[i] >= 0:
-                h = before[i]
-                m = merges.get(ids[h] << 32 | made)
-                if m:
-                    heapq.heappush(heap, (m[0], h, ids[h], made, m[1]))
+                offer(before[i], i)
         return [t for t in ids if t >= 0]
 
     def stands(self, token: int) -> bool:

@@ -22,22 +22,17 @@ ADDED = ("n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 def piece_counts(v: ByteBpe, piece: bytes) -> list[int]:
     """Tokens of each prefix of a piece, the empty one first."""
-    n, get, last, count = len(piece), v.ids.get, [-1] * (len(piece) + 1), [0] * (len(piece) + 1)
-    stands, compatible, alone, pairs = v.stands, v.compatible, v.alone, v.pairs
-    for end in range(1, n + 1):
-        for begin in range(max(0, end - v.longest_end[piece[end - 1]]), end):
-            t = get(piece[begin:end])
-            if t is None:
-                continue
-            ok = alone.get(t)
-            if not (stands(t) if ok is None else ok):
+    last, count, done, pairs = [-1] * (len(piece) + 1), [0] * (len(piece) + 1), 0, v.pairs
+    for at, (t, size) in v.endings().iter(piece.decode("latin-1")):  # of each place, the tokens that end there
+        end = at + 1
+        if end == done:
+            continue
+        begin = at + 1 - size
+        if begin:
+            ok = pairs.get(last[begin] << 32 | t)
+            if not (v.compatible(last[begin], t) if ok is None else ok):
                 continue
-            if begin:
-                ok = pairs.get(last[begin] << 32 | t)
-                if not (compatible(last[begin], t) if ok is None else ok):
-                    continue
-            last[end], count[end] = t, count[begin] + 1
-            break
+        last[end], count[end], done = t, count[begin] + 1, end
     return count
 
 
@@ -120,16 +115,18 @@ def fitting(v: ByteBpe, text: str, limit: int) -> int:
 def chunk_counts(v: ByteBpe, found: list[str], cache=None) -> dict[str, int]:
     """Tokens of each chunk."""
     known, unknown = cache.find(found) if cache else ({}, list(dict.fromkeys(found)))
-    pieces: dict[str, int] = {}
-    for chunk in unknown:
-        total = 0
-        for piece in v.pieces(chunk):
-            c = pieces.get(piece)
-            if c is None:
-                c = pieces[piece] = piece_counts(v, piece.encode())[-1]
-            total += c
-        known[chunk] = total
-        if cache and len(chunk) <= 64:
+    if not unknown:
+        return known
+    cut = [v.pieces(chunk) for chunk in unknown]
+    pieces = list(dict.fromkeys(p for own in cut for p in own))
+    of, new = cache.find(pieces) if cache else ({}, pieces)
+    for piece in new:
+        of[piece] = piece_counts(v, piece.encode())[-1]
+        if cache and len(piece) <= 64:
+            cache.put(piece, of[piece])
+    for chunk, own in zip(unknown, cut, strict=True):
+        known[chunk] = total = sum(map(of.__getitem__, own))
+        if cache and len(own) > 1 and len(chunk) <= 64:
             cache.put(chunk, total)
     return known
 
