@@ -72,3 +72,19 @@ def op10_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     doc = F.nullif(F.regexp_extract(path_of(F.col("url")), r"/(\d+)(?:\.html)?/?$", 1), F.lit(""))
     labelled = pages.withColumn("_doc", doc).join(labels, "_doc", "left").drop("_doc")
     return judge_urls(labelled, RULES, label="good").select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from tideline.llm.quality import FEATURES, judge_ids
+
+    return judge_ids(documents(spark, folder, "doc_id", "source", "text")).select("doc_id", *FEATURES, "base_failed", "kept")
+
+
+def _oracles() -> None:
+    from tideline.llm import quality
+
+    ORACLES["op1_quality_rules"] = quality.oracle_sql()
+
+
+_oracles()
