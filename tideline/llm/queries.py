@@ -81,6 +81,13 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_ids(documents(spark, folder, "doc_id", "source", "text")).select("doc_id", *FEATURES, "base_failed", "kept")
 
 
+@query
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from tideline.llm.neardup import near_duplicates
+
+    return near_duplicates(documents(spark, folder, "doc_id", "text"), words=4)
+
+
 def _oracles() -> None:
     from tideline.llm import quality
 
