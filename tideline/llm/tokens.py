@@ -8,7 +8,7 @@ exact count at every prefix, so truncation and budgets need no further encoding.
 from __future__ import annotations
 
 from bisect import bisect_left
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,7 +82,7 @@ def _piece_prefixes(v: ByteBpe, piece: str) -> list[int]:
     return [counts[e] for e in ends]
 
 
-def fitting(v: ByteBpe, text: str, limit: int) -> int:
+def fitting(v: ByteBpe, text: str, limit: int, cache=None) -> int:
     """Code points of the longest prefix of at most ``limit`` tokens that does not end inside a special
     string, from counts at chunk ends and the prefix counts of the two chunks before the limit."""
     if limit < 1:
@@ -97,8 +97,9 @@ def fitting(v: ByteBpe, text: str, limit: int) -> int:
             continue
         if done >= limit:
             break
-        found = CHUNKS.findall(part)
-        table = chunk_counts(v, found)
+        found = list(islice(CHUNKS.finditer(part), limit - done + 2))  # each chunk is a token at least
+        found = [m.group() for m in found]
+        table = chunk_counts(v, found, cache)
         sums = [done, *accumulate((table[c] for c in found), initial=done)][1:]
         stop = bisect_left(sums, limit + 1)
         if stop < len(sums):  # the limit lies in the chunk that ends at ``stop``
@@ -154,7 +155,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 512)
                     elif part:
                         found = CHUNKS.findall(part)
                         total += sum(map(chunk_counts(v, found, cache).__getitem__, found))
-                rows.append((len(t.encode()), total, total > limit, len(t) if total <= limit else fitting(v, t, limit)))
+                rows.append((len(t.encode()), total, total > limit, len(t) if total <= limit else fitting(v, t, limit, cache)))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True))],
