@@ -88,6 +88,15 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder, "doc_id", "text"), words=4)
 
 
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tideline.llm import toxicity
+
+    docs = documents(spark, folder, "doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def _oracles() -> None:
     from tideline.llm import quality
 
