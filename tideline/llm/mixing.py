@@ -158,3 +158,22 @@ def taken(df: DataFrame, **options) -> DataFrame:
     joined = rows.withColumn("_with", F.when(F.col("size") > 0, F.col("place"))).alias("r").join(
         sums.alias("s"), (F.col("r._rank") == F.col("s._rank")) & (F.col("r._with") == F.col("s.place")), "left")
     return joined.select("doc_id", "r.source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_texts(df: DataFrame, **options) -> DataFrame:
+    """The mix as documents: for every row and round in which words of it are taken, a row with all columns of ``df``, its ``text``
+    cut down to the words taken, in their order with single spaces (unchanged if all are taken), and ``n_chars`` set anew.
+
+    Rows without a taken word are absent. Options and odd cases are those of ``mix``.
+    """
+    rows, spans = mix(df, **options)
+    parts = spans.groupBy("_rank", "place", "round").agg(F.array_sort(F.collect_list(F.struct("first", "n_words"))).alias("_spans"), F.sum("n_words").alias("_taken"))
+    named = rows.filter("size > 0").select("_rank", "place", "doc_id", "source", "tie", "size").join(parts, ["_rank", "place"])
+    texts = df.withColumn("tie", F.md5("text")).dropDuplicates(["doc_id", "source", "tie"])
+    met = texts.alias("d").join(named.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & F.col("d.source").eqNullSafe(F.col("n.source"))
+                                & (F.col("d.tie") == F.col("n.tie")))
+    words = F.regexp_extract_all("d.text", F.lit(WORD), 0)
+    cut = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
+    text = F.when(F.col("_taken") == F.col("size"), F.col("d.text")).otherwise(cut)
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return met.select([new[c].alias(c) if c in new else F.col(f"d.{c}").alias(c) for c in df.columns])

@@ -206,12 +206,13 @@ def hot_links(nodes: DataFrame, hot: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, words: int = 5) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``df`` (``doc_id``, ``text``, any others).
+    """Per row of ``df`` (``doc_id``, ``text``, any others): ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``group_key``, ``row_key``.
 
     ``component_id`` is the least ``doc_id`` that is reachable through links, the row's own if it has none;
     ``kept`` is true where they are equal. A null or wordless text has an empty set and is linked with nothing. Rows
     that repeat a doc_id each keep their line, and all of them with ``component_id = doc_id`` are kept. A null doc_id never
-    lends its name unless its group has no other, and such a row is kept only if its group has no id at all.
+    lends its name unless its group has no other, and such a row is kept only if its group has no id at all. ``group_key`` tells
+    groups apart without ids, ``row_key`` joins back to rows. An empty table gives an empty one.
     """
     rows = cut_lineage(sketches(df.select("doc_id", "text", row_key().alias("row_key")), words, ["doc_id", "row_key"]))
     nodes = cut_lineage(rows.filter("digest is not null").dropDuplicates(["digest"]).select(
@@ -227,7 +228,16 @@ def near_duplicates(df: DataFrame, words: int = 5) -> DataFrame:
     named = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     named = named.join(grouped, "digest", "left")
     heads = named.filter("root is not null").groupBy("root").agg(F.min("least").alias("head"))
-    named = cut_lineage(named.join(heads, "root", "left").select("digest", F.coalesce("head", "least").alias("component_id")))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = cut_lineage(named.join(heads, "root", "left").select("digest", "root", F.coalesce("head", "least").alias("component_id")))
+    out = rows.select("doc_id", "n_shingles", "digest", "row_key").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    group = F.when(F.col("digest").isNull(), F.concat(F.lit("row "), F.col("row_key"))).when(F.col("root").isNotNull(), F.concat(F.lit("group "), F.col("root"))) \
+        .otherwise(F.concat(F.lit("set "), F.hex("digest")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), group.alias("group_key"), "row_key")
+
+
+def one_per_group(df: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``df`` with the least ``doc_id`` of each group (null ids last), all columns; equal rows count as one."""
+    told = near_duplicates(df, words)
+    best = told.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best")).select("best.row_key")
+    return df.withColumn("row_key", row_key()).join(best, "row_key", "left_semi").dropDuplicates(["row_key"]).select(df.columns)

@@ -85,7 +85,7 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from tideline.llm.neardup import near_duplicates
 
-    return near_duplicates(documents(spark, folder, "doc_id", "text"), words=4)
+    return near_duplicates(documents(spark, folder, "doc_id", "text"), words=4).drop("group_key", "row_key")
 
 
 @query
@@ -97,6 +97,14 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from tideline.llm.fingerprints import edit_report, lexicon
+
+    docs = documents(spark, folder, "doc_id", "text")
+    return edit_report(docs, lexicon(docs))
+
+
 def _oracles() -> None:
     from tideline.llm import quality
 
