@@ -4,7 +4,7 @@ The kernel of two words counts the letter triples both contain in order, each we
 letters it stretches over, so an insult keeps most of its likeness when letters are put in between. A sentence is
 described by its words' kernel values with a few landmark strings, the largest per landmark; multiplied with the
 inverse root of the landmarks' own kernel matrix these are the coordinates in which the machine is linear. A
-document scores as its worst sentence.
+document is judged by its worst sentence and by how many come near the border.
 
 Landmarks, machine and calibration are fitted on a bounded sample of labelled documents; every document is scored whole.
 """
@@ -147,11 +147,20 @@ class Model:
     landmarks: tuple[str, ...] = ()
     weights: np.ndarray = None
     bias: float = -1.0
-    slope: float = 0.0
+    slopes: tuple[float, float] = (0.0, 0.0)
     offset: float = -30.0
 
-    def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -30, 30)))
+    def probability(self, sentences: list[np.ndarray]) -> np.ndarray:
+        """Of documents, from the landmark values of their sentences."""
+        x = np.array([evidence(f @ self.weights + self.bias if len(f) else (), self.bias) for f in sentences]).reshape(-1, 2)
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.slopes) + self.offset, -30, 30)))
+
+
+def evidence(decisions, bias: float) -> tuple[float, float]:
+    """What the decisions on its sentences say of a document: the worst one, and how much all those near the border add up to."""
+    if not len(decisions):
+        return bias, 0.0
+    return max(bias, float(decisions.max())), math.log1p(float(np.maximum(decisions + 1, 0).sum()))
 
 
 def sentence_features(texts: list[str], landmarks: tuple[str, ...], name: str) -> list[np.ndarray]:
@@ -195,8 +204,15 @@ def pick_landmarks(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n
         odds = math.log((toxic[s] + 0.5) / (n_toxic + 1)) - math.log((clean.get(s, 0) + 0.5) / (n_clean + 1))
         return odds * math.sqrt(toxic[s])
 
-    ranked = sorted((s for s in toxic if toxic[s] >= 3), key=lambda s: (-tie(s), s))[:4000]
-    ranked = [s for s in ranked if toxic[s] / n_toxic > 4 * (clean.get(s, 0) + 0.5) / n_clean]
+    share, strings = n_toxic / (n_toxic + n_clean), len(toxic) + len(clean)
+
+    def sure(s: str) -> bool:
+        """Whether the tie is beyond what chance gives the best of so many strings."""
+        t, c = toxic[s], clean.get(s, 0)
+        gain = t * math.log(t / (t + c) / share) + (c * math.log(c / (t + c) / (1 - share)) if c else 0)
+        return t / n_toxic > 4 * c / n_clean and gain > math.log(max(1000, strings)) + 4
+
+    ranked = sorted(filter(sure, toxic), key=lambda s: (-tie(s), s))[:4000]
     chosen: list[str] = []
     norms = dict(zip(ranked, own_norms(ranked), strict=True)) if ranked else {}
     for s in ranked:
@@ -242,9 +258,8 @@ def fit_machine(features: list[np.ndarray], labels: np.ndarray, shares: tuple[fl
         own, bias = squared_hinge(x, y, 1000.0)
         weights = root @ own
         scores = [f @ weights + bias for f in features]
-    decision = np.array([s.max() if len(s) else bias for s in scores])
-    slope, offset = calibrate(np.maximum(decision, bias), labels, shares)
-    return Model(tuple(landmarks), weights, bias, slope, offset)
+    slopes, offset = calibrate(np.array([evidence(s, bias) for s in scores]), labels, shares)
+    return Model(tuple(landmarks), weights, bias, slopes, offset)
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, c: float) -> tuple[np.ndarray, float]:
@@ -262,21 +277,21 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, c: float) -> tuple[np.ndarray, f
     return w[:-1], float(w[-1])
 
 
-def calibrate(decision: np.ndarray, labels: np.ndarray, shares: tuple[float, float]) -> tuple[float, float]:
-    """Logistic slope and offset, with sampled classes weighed back to their true shares and softened targets."""
+def calibrate(found: np.ndarray, labels: np.ndarray, shares: tuple[float, float]) -> tuple[tuple[float, float], float]:
+    """Logistic slopes and offset, with sampled classes weighed back to their true shares and softened targets."""
     n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     weight = np.where(labels == 1, shares[1] / n1, shares[0] / n0) * len(labels)
-    x = np.stack([decision, np.ones_like(decision)], axis=1)
-    w = np.zeros(2)
+    x = np.hstack([found, np.ones((len(found), 1))])
+    w = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-4 * np.eye(2)
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-4 * np.eye(len(w))
         step = np.linalg.solve(h, x.T @ (weight * (target - p)) - 1e-4 * w)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return (float(w[0]), float(w[1])), float(w[2])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -326,7 +341,7 @@ def train(df: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: in
     def worst(batches):
         for batch in slices(batches):
             rows = sentence_features(texts_of(batch.column(1)), fixed, name)
-            rows = [f[np.argsort(-f.max(axis=1), kind="stable")[:4]].ravel() if len(f) else f.ravel() for f in rows]
+            rows = [f[np.argsort(-f.max(axis=1), kind="stable")[:16]].ravel() if len(f) else f.ravel() for f in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["label", "f"])
 
     found = sample.select("label", "text").mapInArrow(worst, "label int, f array<double>").collect()
@@ -348,8 +363,7 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
     def run(batches):
         for batch in slices(batches, 256):
             found = sentence_features(texts_of(batch.column(batch.num_columns - 1)), model.landmarks, name) if model.landmarks else [()] * batch.num_rows
-            decision = np.array([max(model.bias, (f @ model.weights + model.bias).max()) if len(f) else model.bias for f in found])
-            p = model.probability(decision)
+            p = model.probability(found)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return source.mapInArrow(run, source.drop("_scored").schema.add("score", "double").add("predicted", "integer"))
