@@ -105,6 +105,13 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edit_report(docs, lexicon(docs))
 
 
+@query
+def op9_language_scores(spark: SparkSession, folder: str) -> DataFrame:
+    from tideline.llm.lm import language_scores
+
+    return language_scores(documents(spark, folder, "doc_id", "text"))
+
+
 def _oracles() -> None:
     from tideline.llm import quality
 
