@@ -169,11 +169,11 @@ def mixed_texts(df: DataFrame, **options) -> DataFrame:
     rows, spans = mix(df, **options)
     parts = spans.groupBy("_rank", "place", "round").agg(F.array_sort(F.collect_list(F.struct("first", "n_words"))).alias("_spans"), F.sum("n_words").alias("_taken"))
     named = rows.filter("size > 0").select("_rank", "place", "doc_id", "source", "tie", "size").join(parts, ["_rank", "place"])
-    texts = df.withColumn("tie", F.md5("text")).dropDuplicates(["doc_id", "source", "tie"])
+    texts = df.withColumn("_tie", F.md5("text")).dropDuplicates(["doc_id", "source", "_tie"])
     met = texts.alias("d").join(named.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & F.col("d.source").eqNullSafe(F.col("n.source"))
-                                & (F.col("d.tie") == F.col("n.tie")))
+                                & (F.col("d._tie") == F.col("n.tie")))
     words = F.regexp_extract_all("d.text", F.lit(WORD), 0)
-    cut = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
-    text = F.when(F.col("_taken") == F.col("size"), F.col("d.text")).otherwise(cut)
+    cut = F.array_join(F.flatten(F.transform("n._spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
+    text = F.when(F.col("n._taken") == F.col("n.size"), F.col("d.text")).otherwise(cut)
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return met.select([new[c].alias(c) if c in new else F.col(f"d.{c}").alias(c) for c in df.columns])

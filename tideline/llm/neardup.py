@@ -240,4 +240,5 @@ def one_per_group(df: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``df`` with the least ``doc_id`` of each group (null ids last), all columns; equal rows count as one."""
     told = near_duplicates(df, words)
     best = told.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best")).select("best.row_key")
-    return df.withColumn("row_key", row_key()).join(best, "row_key", "left_semi").dropDuplicates(["row_key"]).select(df.columns)
+    keyed = df.withColumn("_row_key", row_key())
+    return keyed.join(best.toDF("_row_key"), "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(df.columns)

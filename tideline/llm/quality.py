@@ -25,6 +25,7 @@ RULES = {
     "repeated_lines": "n_dup_lines > 5 and 10 * n_dup_lines > n_words",
     "odd_words": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
 }
+LEAST_STRENGTH = 10.0  # documents that the prior counts for at least, so a host of few documents is never damned by them alone
 BASE = ("too_short", "repetitive")
 
 
@@ -100,7 +101,7 @@ def host_verdicts(measured: DataFrame, host: str, limit: float) -> DataFrame:
     mean = F.col("x") / F.col("n")
     beyond = (F.col("q") - F.col("n") * mean * mean - (F.col("k") - 1) * mean * (1 - mean)) / F.col("n")
     # Without spread beyond chance the hosts are alike and the prior is as strong as all documents.
-    strength = F.when(beyond > 0, F.least(F.greatest(mean * (1 - mean) / beyond - 1, F.lit(1.0)), F.col("n").cast("double"))).otherwise(F.col("n").cast("double"))
+    strength = F.when(beyond > 0, F.least(F.greatest(mean * (1 - mean) / beyond - 1, F.lit(LEAST_STRENGTH)), F.col("n").cast("double"))).otherwise(F.col("n").cast("double"))
     priors = told.select("rule", mean.alias("mean"), strength.alias("strength"))
     shrunk = each.join(priors, "rule").select("_host", "host_docs", "rule", ((F.col("failed") + F.col("mean") * F.col("strength"))
                                                                              / (F.col("host_docs") + F.col("strength"))).alias("rate"))
@@ -156,7 +157,7 @@ def oracle_sql(limit: float = 0.5) -> str:
     sums AS (SELECT rule, CAST(sum(host_docs) AS DOUBLE) AS n, sum(failed) / CAST(sum(host_docs) AS DOUBLE) AS m,
                     sum(failed * (failed / CAST(host_docs AS DOUBLE))) AS q, count(*) AS k FROM rates GROUP BY rule),
     beyond AS (SELECT rule, n, m, (q - n * m * m - (k - 1) * m * (1 - m)) / n AS b FROM sums),
-    priors AS (SELECT rule, m, CASE WHEN b > 0 THEN least(greatest(m * (1 - m) / b - 1, 1), n) ELSE n END AS s FROM beyond),
+    priors AS (SELECT rule, m, CASE WHEN b > 0 THEN least(greatest(m * (1 - m) / b - 1, {LEAST_STRENGTH}), n) ELSE n END AS s FROM beyond),
     verdicts AS (SELECT r.source, max((r.failed + p.m * p.s) / (r.host_docs + p.s)) AS rate FROM rates r JOIN priors p USING (rule) GROUP BY r.source)
     SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
            CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, ({base}) AS base_failed,

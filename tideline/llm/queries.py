@@ -113,9 +113,10 @@ def op9_language_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from tideline.llm import quality
+    from tideline.llm import quality, sharding
 
     ORACLES["op1_quality_rules"] = quality.oracle_sql()
+    ORACLES["op2_shards"] = sharding.oracle_sql(SHARD_LIMIT)
 
 
 _oracles()

@@ -95,3 +95,19 @@ def shard_rows(rows: DataFrame, limit: int) -> DataFrame:
 def _named(df: DataFrame) -> DataFrame:
     bits = F.lpad(F.bin(F.col("_prefix")), F.col("shard_depth"), F.lit("0"))
     return df.withColumn("shard", F.when(F.col("shard_depth") == 0, F.lit("")).otherwise(bits)).drop("_prefix", "hash")
+
+
+def oracle_sql(limit: int) -> str:
+    """The same question for another engine, over the table ``documents`` with the key (doc_id, text)."""
+    return f"""
+    WITH h AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+                      CAST('0x' || substr(md5(coalesce('=' || CAST(doc_id AS VARCHAR), '-') || chr(10) || coalesce('=' || text, '-')), 1, {BITS // 4}) AS BIGINT) AS hash
+               FROM documents),
+    p AS (SELECT depth, hash >> ({BITS} - depth) AS prefix, sum(n_bytes) AS bytes, count(*) AS n
+          FROM (SELECT *, unnest(range(0, {BITS + 1})) AS depth FROM h) GROUP BY ALL),
+    f AS (SELECT h.doc_id, h.n_bytes, p.depth, p.prefix, p.n, p.bytes, row_number() OVER (PARTITION BY h.doc_id, h.hash ORDER BY p.depth) AS k
+          FROM h JOIN p ON p.prefix = h.hash >> ({BITS} - p.depth) WHERE p.bytes <= {limit} OR p.n = 1 OR p.depth = {BITS})
+    SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(depth AS INT) AS shard_depth, CAST(n AS BIGINT) AS shard_rows, CAST(bytes AS BIGINT) AS shard_bytes,
+           bytes <= {limit} AS shard_fits, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INT), '0') END AS shard
+    FROM f WHERE k = 1
+    """
