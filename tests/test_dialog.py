@@ -96,17 +96,27 @@ def test_stop_and_erase_cancel_timers(spark, tmp_path):
     assert [r.welcome for r in got if r.id == 12] == [True]  # erased: a new sender again
 
 
-def test_stream_equals_batch_in_many_batches(spark, tmp_path):
-    sf = "/root/testdata/sf0.001"
-    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = str(tmp_path / "ev")
-    cuts = events.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.0)
-    for lo, hi in zip([-1, *cuts], [*cuts, float("inf")]):
-        events.filter((F.col("event_id") > lo) & (F.col("event_id") <= hi)).coalesce(1).write.mode("append").parquet(folder)
-    src = file_stream(spark, folder, events.schema, max_files=1).withWatermark("ts", "10 minutes")
-    got = spark.read.parquet(ps.run_to_end(spark, conversation_stream(message_columns(src, keep=["ts"]))))
-    got = got.filter("kind IN ('reply', 'muted')").select(*CONVERSATION_COLUMNS)
-    assert sorted(map(str, got.collect())) == sorted(map(str, conversation(spark, sf).collect()))
+def test_replay_of_interleaved_files_equals_the_batch_fold(spark, tmp_path, monkeypatch):
+    sf, folder = "/root/testdata/sf0.001", str(tmp_path / "ev")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    for part in range(4):  # each file spans the whole time
+        events.filter(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(folder)
+    msgs = message_columns(spark.read.parquet(folder))
+    want = sorted(map(str, conversation(spark, sf).collect()))
+    for rows in (250, 10_000):
+        got = spark.read.parquet(ps.replay(spark, msgs, rows=rows))
+        assert sorted(map(str, got.filter("kind IN ('reply', 'muted')").select(*CONVERSATION_COLUMNS).collect())) == want
+
+
+def test_late_rows_are_not_dropped_in_silence(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="later than the watermark"):
+        folder = str(tmp_path / "in")
+        progress, path = str(tmp_path / "p"), str(tmp_path / "o")
+        for rows in (log((5 * DAY, "help")), log((0, "clear"), first_id=2), log((6 * DAY, "help"), first_id=3)):
+            df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("epoch"))
+            df.coalesce(1).write.mode("append").parquet(folder)
+            src = file_stream(spark, folder, df.schema, max_files=1).withWatermark("ts", "1 minute")
+            ps.run_to_end(spark, conversation_stream(src), path=path, progress=progress)
 
 
 def test_shorter_chunks_change_nothing(spark):

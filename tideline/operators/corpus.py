@@ -87,17 +87,16 @@ def drop_ambiguous(corpus: DataFrame, key: Column | None = None, label: str = "l
     return keyed.join(ambiguous_keys(keyed, "_key", label), "_key", "left_anti").drop("_key")
 
 
-def first_per_key(df: DataFrame, key: Column, row_id: str, priority: Column | None = None) -> DataFrame:
-    """One row per key: the best priority, then the smallest id.
+def first_per_key(df: DataFrame, key: Column, row_id: str, priority: Column | None = None, priorities: int = 1) -> DataFrame:
+    """One row per key: the best priority (0 to ``priorities`` - 1), then the smallest id.
 
-    The winner is found from (key, id) alone by a hash aggregate that combines on the map side;
-    full rows move once, by their id, which is never skewed. With a priority, ids are packed below
-    it and must lie in 0 .. 2**58.
+    The winner is found from key, priority and id by a hash aggregate that combines on the map side: the least id of
+    each priority, of which the first that exists wins. Full rows move once, by their id, which is never skewed.
     """
-    rank = F.col(row_id) if priority is None else F.shiftleft(priority.cast("long"), 58) + F.col(row_id)
-    best = df.groupBy(key.alias("_key")).agg(F.min(rank).alias("_rank"))
-    winners = best.select((F.col("_rank") if priority is None else F.col("_rank").bitwiseAND((1 << 58) - 1)).alias(row_id))
-    return df.join(winners, row_id, "left_semi")
+    rank = F.lit(0) if priority is None else priority
+    least = [F.min(F.when(rank == p, F.col(row_id))).alias(f"_least{p}") for p in range(priorities)]
+    best = df.groupBy(key.alias("_key")).agg(*least)
+    return df.join(best.select(F.coalesce(*[f"_least{p}" for p in range(priorities)]).alias(row_id)), row_id, "left_semi")
 
 
 def dedup_protected(df: DataFrame, order: Sequence[str], key: Column | None = None, split: str = "split",
@@ -106,7 +105,7 @@ def dedup_protected(df: DataFrame, order: Sequence[str], key: Column | None = No
     rank = F.lit(len(order))
     for i, name in reversed(list(enumerate(order))):
         rank = F.when(F.col(split) == name, i).otherwise(rank)
-    return first_per_key(df, text_key("text") if key is None else key, row_id, rank)
+    return first_per_key(df, text_key("text") if key is None else key, row_id, rank, len(order) + 1)
 
 
 def seeded(seed: int, key) -> Column:

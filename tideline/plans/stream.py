@@ -4,41 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.plans.dialog import CONVERSATION_COLUMNS, SQL_CONVERSATION, SQL_MESSAGES, message_columns
+from tideline.plans.dialog import CONVERSATION_COLUMNS, SQL_CONVERSATION, SQL_MESSAGES, messages
 from tideline.plans.registry import query, table
-from tideline.session import fresh_path
+from tideline.session import cut_lineage, fresh_path
 from tideline.sources.sinks import write_outbound
 from tideline.streaming.conversation import ROCKSDB, conversation_stream
 from tideline.streaming.inbound import dedup_inbound, file_stream, inbound_stream
 
-FILES_PER_BATCH = 256
+ROWS_PER_BATCH = 1_000_000
+LATENESS = "10 minutes"
+TICK = "TICK"  # keyword of a row that only moves time on
 
 
 def events_stream(spark, sf):
     """The table's files as a stream; the star lets one file and a folder of files be read alike."""
-    schema = table(spark, sf, "events").schema
-    return file_stream(spark, f"{sf}/events.parquet*", schema, max_files=FILES_PER_BATCH)
+    return file_stream(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema)
 
 
-def run_to_end(spark, stream, write=None, mode="append"):
-    """Processes everything available and returns the path of the written rows."""
-    path = fresh_path(spark, "stream")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", fresh_path(spark, "progress")).trigger(availableNow=True)
+def run_to_end(spark, stream, write=None, mode="append", path=None, progress=None):
+    """Processes everything available and returns the path of the written rows; fails if a row came too late to count."""
+    path = path or fresh_path(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress or fresh_path(spark, "progress")).trigger(availableNow=True)
     writer = writer.foreachBatch(lambda df, n: write(df, n, path)) if write else writer.format("parquet").option("path", path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    writer.start().awaitTermination()
+    done = writer.start()
+    done.awaitTermination()
+    late = sum(op.numRowsDroppedByWatermark for p in done.recentProgress for op in p.stateOperators)
+    if late:
+        raise RuntimeError(f"{late} rows came later than the watermark allows; order the source or raise the delay")
     return path
 
 
-def talk(spark, sf):
-    raw = events_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-    msgs = message_columns(raw, keep=["ts"])
-    return conversation_stream(msgs)
+def replay(spark, msgs, write=None, rows=ROWS_PER_BATCH):
+    """Runs stored messages through the conversation stream in order of time, whatever files they lie in.
+
+    A state that depends on order needs its batches in order, so the log is cut into slices of time with about ``rows``
+    rows each, and every slice is one micro-batch that follows the one before it. No row is late, as a slice starts where the
+    watermark has not been yet. A last row of no sender moves the watermark on, so that all follow-ups
+    due by the end of the log are sent.
+    """
+    msgs = msgs.withColumn("ts", F.timestamp_seconds("epoch"))
+    n, last = msgs.agg(F.count(F.lit(1)), F.max("epoch")).first()
+    slices = max(1, -(-n // rows))
+    if slices > 1:
+        msgs = cut_lineage(msgs.repartitionByRange(slices, "epoch").sortWithinPartitions("epoch"))  # a slice then reads its part only
+    cuts = sorted(set(msgs.approxQuantile("epoch", [i / slices for i in range(1, slices)], 0.1 / slices))) if slices > 1 else []
+    log, progress, path = fresh_path(spark, "log"), fresh_path(spark, "progress"), fresh_path(spark, "stream")
+    parts = [msgs.filter((F.col("epoch") >= lo) & (F.col("epoch") < hi)) for lo, hi in zip([-(1 << 62), *cuts], [*cuts, 1 << 62], strict=True)]
+    if last is not None:
+        tick = msgs.limit(1).withColumns({c: F.lit(None).cast(t) for c, t in msgs.dtypes}).withColumns(
+            {"kw": F.lit(TICK), "ts": F.timestamp_seconds(F.lit(last)) + F.expr(f"INTERVAL {LATENESS}")})
+        parts.append(tick)
+    for part in parts:
+        part.write.mode("append").parquet(log)
+        stream = file_stream(spark, log, msgs.schema).withWatermark("ts", LATENESS)
+        run_to_end(spark, conversation_stream(stream), write, path=path, progress=progress)
+    return path
 
 
 @query("stream_conversation", SQL_CONVERSATION)
 def _(spark, sf):
-    path = run_to_end(spark, talk(spark, sf))
+    path = replay(spark, messages(spark, sf))
     return spark.read.parquet(path).filter("kind IN ('reply', 'muted')").select(*CONVERSATION_COLUMNS)
 
 
@@ -46,7 +72,7 @@ def _(spark, sf):
     WITH c AS ({SQL_CONVERSATION}) SELECT 'messages' AS sink, action, count(*) AS n FROM c WHERE action <> 'muted' GROUP BY 2
     UNION ALL SELECT 'alerts', action, count(*) FROM c WHERE alert GROUP BY 2""")
 def _(spark, sf):
-    path = run_to_end(spark, talk(spark, sf), lambda df, n, p: write_outbound(df, n, f"{p}/messages", f"{p}/alerts"))
+    path = replay(spark, messages(spark, sf), lambda df, n, p: write_outbound(df, n, f"{p}/messages", f"{p}/alerts"))
     parts = [spark.read.parquet(f"{path}/{s}").select(F.lit(s).alias("sink"), "action") for s in ("messages", "alerts")]
     return parts[0].unionByName(parts[1]).groupBy("sink", "action").agg(F.count("*").alias("n"))
 
@@ -54,13 +80,11 @@ def _(spark, sf):
 @query("stream_followups", f"""
     WITH c AS ({SQL_CONVERSATION}), m AS ({'WITH ' + SQL_MESSAGES} SELECT phone, id, n, kw, epoch FROM msgs)
     SELECT c.phone, c.due, count(*) AS n FROM c JOIN m ON m.id = c.id WHERE c.due IS NOT NULL
-      AND c.due <= (SELECT max(epoch) - 600 FROM m)
+      AND c.due <= (SELECT max(epoch) FROM m)
       AND NOT EXISTS (SELECT 1 FROM m s WHERE s.phone = c.phone AND s.kw = 'STOP' AND s.n > m.n AND s.epoch < c.due) GROUP BY 1, 2""")
 def _(spark, sf):
-    rows = spark.read.parquet(run_to_end(spark, talk(spark, sf))).filter("kind = 'followup'")
-    # Rows after the last watermark are left to a later run, so the count stops there.
-    last = table(spark, sf, "events").agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()[0] - 600
-    return rows.filter(F.col("due") <= last).groupBy("phone", "due").agg(F.count("*").alias("n"))
+    rows = spark.read.parquet(replay(spark, messages(spark, sf))).filter("kind = 'followup'")
+    return rows.groupBy("phone", "due").agg(F.count("*").alias("n"))
 
 
 @query("stream_dedup", """

@@ -85,6 +85,7 @@ class Conversation(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         phone, s = key[0], self._load()
+        rows = [r for r in rows if r.kw != "TICK"]  # a row that only moves time on
         for r in sorted(rows, key=lambda x: (x.at, x.id)):
             if r.kw == "ERASE":
                 for due in s["open"]:
