@@ -7,8 +7,8 @@ Jaccard similarity of the full sets. Linked documents form groups.
 
 Documents with equal sets are one node from the start. A list longer than ``HOT`` (a passage that very many texts
 share, or a large family of near copies) is not paired. A pair that shares a short list too is found there; a pair whose common
-values may all lie in long lists is found among the "hot" nodes, which are blocked by two neighbouring values of
-the sketch and compared chunk by chunk with their full sets, whatever their number.
+values may all lie in long lists is found among the "hot" nodes, which are blocked by the first values of
+their sketches and compared chunk by chunk with their full sets, whatever their number.
 """
 
 from __future__ import annotations
@@ -30,12 +30,13 @@ INDEX = 32  # of them in inverted lists
 # once in 10^7 pairs, and fewer than 35 of 64 once in 10^6. Sets of at most as many values are compared exactly.
 LEAST_COMMON, LEAST_SHARE = 13, 35 / 64
 HOT = 128  # entries of a list that is still paired
-CHUNK_ROWS, CHUNK_SHINGLES = 256, 2_000_000
+KEYS = 12  # values by which hot nodes are blocked
+CHUNK_ROWS, CHUNK_SHINGLES = 768, 500_000
 
 
 class _Hashes(dict):
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -142,16 +143,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def hot_links(nodes: DataFrame, hot: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among hot nodes that connect whatever is similar.
 
-    Two similar sets have two neighbouring values in common, so nodes that share none are never compared. What
-    is connected by such values is cut into chunks of few rows of like size; each two chunks meet in one group, and sizes too
-    far apart do not meet. A group compares full sets exactly and returns a spanning forest, not its pairs.
+    Of the ``KEYS`` least values of their union two similar sets have one in common (but once in 10^8 pairs), so nodes that are not
+    connected by such values are never compared. What is connected is cut into chunks of rows of like size; each two chunks meet in
+    one group, and sizes too far apart do not meet. A group compares full sets exactly and returns a spanning forest, not its pairs.
     """
-    own = nodes.join(hot, "id").select("id", "n_shingles", F.slice("sketch", 1, INDEX).alias("s"))
-    near = F.when(F.size("s") == 1, F.array(F.struct(F.col("s")[0].alias("x"), F.lit(0).cast("long").alias("y")))).otherwise(
-        F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("x"), F.slice(F.col("s"), F.lit(2), F.size("s") - 1).alias("y")))
-    keyed = own.select("id", F.explode(near).alias("k")).select("id", F.col("k.x").alias("x"), F.col("k.y").alias("y"))
-    heads = keyed.groupBy("x", "y").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    cluster = components(keyed.join(heads, ["x", "y"]).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+    own = nodes.join(hot, "id").select("id", "n_shingles", F.slice("sketch", 1, KEYS).alias("s"))
+    keyed = own.select("id", F.explode("s").alias("value"))
+    heads = keyed.groupBy("value").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    cluster = components(keyed.join(heads, "value").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
     # Of sets in one class or in neighbouring ones the smaller may have 0.8 of the larger.
     size_class = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(1.25))).cast("int")
     placed = cut_lineage(own.select("id", "n_shingles").join(cluster, "id").withColumn("size_class", size_class))
