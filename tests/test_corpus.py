@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -96,3 +97,19 @@ def test_service_topics_and_blocks(spark):
     assert [got[f"sms#{i}"][1][-3:] for i in (0, 3, 4, 5, 7)] == ["000", "000", "001", "001", "000"]
     assert got["sms#0"][1] == "sms-replies-to-an-advisor-better-000" and got["sms#0"][0] == "other"
     assert [got[f"sms#{i}"][2] for i in (5, 6, 8, 9, 10)] == [None, "too_short", "unmapped_topic", "too_short", "unmapped_topic"]
+
+
+def test_winners_for_ids_of_every_size(spark):
+    rows = [(2**60, "a", "test"), (5, "b", "train"), (-3, "c", "train"), (-2**63, "a", "train"), (2**63 - 1, "a", "test"), (7, "b", "calib"), (9, "b", "calib"), (-9, "c", "other")]
+    got = co.dedup_protected(spark.createDataFrame(rows, "id long, text string, split string"), ("test", "calib", "train")).collect()
+    assert sorted(r.id for r in got) == [-3, 7, 2**60]
+
+
+def test_splits_keep_nulls_and_refuse_doubled_units(spark):
+    units = spark.createDataFrame([("a", "u1", 5), (None, "u2", 3), ("a", None, 2), ("b", "u3", 9)], "label string, unit string, weight long")
+    got = sp.allocate_splits(units)
+    assert got.count() == 4 and sp.apply_splits(units, got).count() == 4
+    frozen = spark.createDataFrame([("u2", "test"), (None, "calib")], "unit string, split string")
+    assert {r.unit: r.split for r in sp.allocate_splits(units, frozen).collect() if r.unit in (None, "u2")} == {"u2": "test", None: "calib"}
+    with pytest.raises(ValueError, match="u1"):
+        sp.allocate_splits(units.union(spark.createDataFrame([("b", "u1", 1)], units.schema)))

@@ -8,6 +8,7 @@ from tideline.plans import load
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = load()
+WITHOUT_TWIN = ("fit_temperature",)  # an iterative fit; tests/test_score.py compares it with numpy
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,6 @@ def con():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     ok, rows, _, note = compare(spark, con, QUERIES[name], ORACLES.get(name), SF)
-    assert ok is not False, note
+    assert ok or name in WITHOUT_TWIN, note or "no SQL twin"
     assert not note, note
     assert rows >= 0

@@ -82,3 +82,8 @@ def test_units_slugs_and_menu(spark):
     assert column(spark, ["Replies to an advisor: better!"], tx.topic_slug("t")) == ["replies-to-an-advisor-better"]
     menu = column(spark, ["", "1", "2", "2* rust ", "3*x", "9"], tx.menu_route("t"))
     assert [(m.entry, m.free_text) for m in menu] == [("menu", None), ("prices", None), ("ask_report", None), ("report", "rust"), ("agent", None), ("menu", None)]
+
+
+def test_fold_key_beyond_the_basic_plane(spark):
+    rows = [("\U0001d42c\U0001d42d\U0001d428\U0001d429.",), ("Stóp ﬁn",), ("\U0001f600 hi",)]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string").select(tx.fold_key("t")).collect()] == ["stop", "stop fin", "hi"]

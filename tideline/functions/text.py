@@ -47,15 +47,15 @@ def text_key(text) -> Column:
 def _ascii_folds() -> tuple[str, str, dict[str, str]]:
     """Characters whose compatibility decomposition leaves ASCII, by rule.
 
-    Returns the one-to-one part as two aligned strings, and the rest as a map.
+    Returns the one-to-one part of the basic plane as two aligned strings, and the rest as a map.
     """
     single_from, single_to, many = [], [], {}
-    for cp in range(0x80, 0x10000):
+    for cp in range(0x80, 0x110000):
         if 0xD800 <= cp <= 0xDFFF:
             continue
         ch = chr(cp)
         folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
-        if len(folded) == 1:
+        if len(folded) == 1 and cp < 0x10000:
             single_from.append(ch)
             single_to.append(folded)
         elif folded:
@@ -67,8 +67,8 @@ def fold_key(text) -> Column:
     """Whole-message key: trimmed, lower case, accents off, ASCII only, end punctuation off."""
     base = F.lower(strip(text))
     src, dst, many = _ascii_folds()
-    # Ligatures and fractions become several letters. They are rare, so only rows that
-    # contain one pay for the character map.
+    # Ligatures and fractions become several letters, and letters beyond the basic plane are no single
+    # character to ``translate``. They are rare, so only rows that contain one pay for the character map.
     table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in many.items())), F.lit("\x02"), F.lit("\x01"))
     widened = F.array_join(
         F.transform(F.split(base, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")

@@ -139,6 +139,8 @@ def train_head(train: DataFrame, calib: DataFrame, label: str, embedding: str =
     from pyspark.ml.functions import array_to_vector
 
     counts = {r[0]: r[1] for r in train.groupBy(label).count().limit(MAX_CLASSES + 1).collect()}
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     classes, n = tuple(sorted(counts)), sum(counts.values())
     weight = F.create_map(*[F.lit(x) for c in classes for x in (c, n / (len(classes) * counts[c]))])
     rows = cut_lineage(train.select(

@@ -16,6 +16,12 @@ from tideline.session import cut_lineage
 _BATCH = 1 << 16
 
 
+def _join_like(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins on keys in which a null meets a null: as a struct a null is a value like others."""
+    left, right = left.withColumn("_like", F.struct(*keys)), right.withColumn("_like", F.struct(*keys)).drop(*keys)
+    return left.join(right, "_like", how).drop("_like")
+
+
 def unit_weights(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("label", "unit").agg(F.count("*").alias("weight"))
 
@@ -38,22 +44,26 @@ def allocate_splits(units: DataFrame, frozen: DataFrame | None = None, ratios: d
 
     New units are taken largest first, ties in seeded hash order. The choice depends only on the
     sequence of weights, so a task receives per label the few (weight, number of units) runs and
-    yields choices in batches; units meet their choice by position. No task holds the units.
+    yields choices in batches; units meet their choice by position. No task holds the units. Null labels and units are
+    values like others. A unit under two labels raises, as no split could hold it without a leak.
     """
     ratios = ratios or fixed.RATIOS
     names, parts = list(ratios), [r / sum(ratios.values()) for r in ratios.values()]
     # The units are read for their starts, runs and positions; they are few next to the rows behind them.
     units = cut_lineage(units)
+    both = units.groupBy("unit").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("unit").limit(5).collect()
+    if both:
+        raise ValueError(f"units under more than one label: {[r.unit for r in both]}")
     if frozen is None:
         known = units.withColumn("_split", F.lit(None).cast("string"))
     else:
-        known = units.join(frozen.select("unit", F.col("split").alias("_split")), "unit", "left")
+        known = _join_like(units, frozen.select("unit", F.col("split").alias("_split")), ["unit"], "left")
     todo = known.filter(F.col("_split").isNull()).drop("_split")
     start = known.groupBy("label").agg(*[
         F.coalesce(F.sum(F.when(F.col("_split") == s, F.col("weight"))), F.lit(0)).alias(f"_h{i}") for i, s in enumerate(names)])
     runs = (todo.groupBy("label", "weight").agg(F.count("*").alias("n"))
             .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("weight", "n")), asc=False).alias("runs")))
-    plan = runs.join(start, "label").select(
+    plan = _join_like(runs, start, ["label"]).select(
         "label", F.transform("runs", lambda r: r["weight"]).alias("weights"), F.transform("runs", lambda r: r["n"]).alias("ns"),
         F.array(*[F.col(f"_h{i}") for i in range(len(names))]).alias("start"))
 
@@ -72,7 +82,7 @@ def allocate_splits(units: DataFrame, frozen: DataFrame | None = None, ratios: d
     chosen = plan.repartition("label").mapInPandas(place, "label string, pos long, split string")
     ordered = todo.withColumn("_hash", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("unit")), 256)).withColumn("_big", -F.col("weight"))
     placed = row_position(ordered, ["label"], F.struct("_big", F.substring("_hash", 1, 3)), ["_big", "_hash"], "pos")
-    new = placed.join(chosen, ["label", "pos"]).select("label", "unit", "weight", "split")
+    new = _join_like(placed, chosen, ["label", "pos"]).select("label", "unit", "weight", "split")
     if frozen is None:
         return cut_lineage(new)
     old = known.filter(F.col("_split").isNotNull()).select("label", "unit", "weight", F.col("_split").alias("split"))
@@ -92,7 +102,8 @@ def hash_splits(df: DataFrame, unit: str, ratios: dict[str, float] | None = None
 
 
 def apply_splits(corpus: DataFrame, assignment: DataFrame) -> DataFrame:
-    return corpus.join(assignment.select("unit", "split"), "unit")
+    """Adds the split of the row's unit under the row's label, so no row is doubled; rows without one are left out."""
+    return _join_like(corpus, assignment.select("label", "unit", "split"), ["label", "unit"])
 
 
 def near_foreign_block(corpus: DataFrame, assignment: DataFrame, block: int = 100, gap: int = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from tideline.dims import fixed
 from tideline.functions import text as tx
 from tideline.operators import corpus as co
 from tideline.operators import splits as sp
+from tideline.operators.scan import row_position
 from tideline.plans.registry import query, quoted, sql_norm, table
 from tideline.plans.text import FLAG_RE, dim, sql_word_matches
 from tideline.session import cut_lineage
@@ -389,10 +390,10 @@ def _(spark, sf):
 
 
 @query("first_pairs", """
-    SELECT conv_id, turn, left(text, 40) AS head FROM conversations WHERE role = 'user' AND text <> '' ORDER BY conv_id, turn LIMIT 30""")
+    SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND text <> '' ORDER BY conv_id, turn LIMIT 30""")
 def _(spark, sf):
     return (table(spark, sf, "conversations").filter("role = 'user' AND text <> ''")
-            .orderBy("conv_id", "turn").limit(30).select("conv_id", "turn", F.left("text", F.lit(40)).alias("head")))
+            .orderBy("conv_id", "turn").limit(30).select("conv_id", "turn", "text"))
 
 
 @query("capped_items", """
@@ -402,9 +403,8 @@ def _(spark, sf):
             .select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), F.substring("text", 1, 500).alias("head")))
 
 
-@query("price_order", """SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place
-    FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 100""")
+@query("price_order", "SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM part")
 def _(spark, sf):
-    top = table(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(100)
-    w = F.row_number().over(co.Window.orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long")
-    return top.select("p_partkey", "p_retailprice", w.alias("place"))
+    parts = table(spark, sf, "part").select("p_partkey", "p_retailprice", (-F.col("p_retailprice")).alias("_down"))
+    placed = row_position(parts, [], F.floor("_down"), ["_down", "p_partkey"], "place")
+    return placed.select("p_partkey", "p_retailprice", (F.col("place") + 1).alias("place"))
