@@ -56,7 +56,8 @@ def distance(a, b):
     return row[-1]
 
 
-def test_batches_small_and_large_agree_with_the_rule(spark, monkeypatch):
+@pytest.mark.parametrize("ratio", [0.75, 0.84, 0.9, 0.95])
+def test_batches_agree_with_the_rule(spark, ratio):
     rng = random.Random(4)
     seeds = ["".join(rng.choice("abcdefg ") for _ in range(rng.randrange(2, 70))).strip() or "x" for _ in range(25)]
     rows = []
@@ -65,15 +66,13 @@ def test_batches_small_and_large_agree_with_the_rule(spark, monkeypatch):
         for _ in range(rng.randrange(4)):
             t[rng.randrange(len(t))] = rng.choice("abcdefg")
         rows.append((i, rng.randrange(2), "".join(t)))
-    want, kept = {}, {0: [], 1: []}
+    rows += [(1000, 7, "r" + "qwerty uiop asdf ghjkl zxcvb nmqwert"), (1001, 7, "r" + "qwerty uiop asdf ghjkl zxcvb nmqwert" + "yuiopz")]
+    want, kept = {}, {0: [], 1: [], 7: []}
     for i, batch, t in rows:
         norm = " ".join(t.split())
-        dup = any(k == norm or 1 - distance(k, norm) / max(len(k), len(norm)) > 0.9 for k in kept[batch])
+        dup = any(k == norm or 1 - distance(k, norm) / max(len(k), len(norm)) > ratio for k in kept[batch])
         want[i] = "duplicate" if dup else "kept"
         if not dup:
             kept[batch].append(norm)
     df = spark.createDataFrame(rows, "id long, batch int, text string")
-    for small in (64, 1000):
-        monkeypatch.setattr(nd, "SMALL_BATCH", small)
-        got = {r.id: r.outcome for r in nd.dedup_in_batches(df, r"(?!)").collect()}
-        assert got == want, small
+    assert {r.id: r.outcome for r in nd.dedup_in_batches(df, r"(?!)", ratio).collect()} == want

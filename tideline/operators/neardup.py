@@ -14,7 +14,9 @@ on the item order only, and here it is reached without comparing all pairs:
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,10 +169,23 @@ def fingerprint_groups(items: DataFrame, max_distance: int = 20, n_words: int =
 
 
 # ---- texts within a batch -------------------------------------------------------------------
-SMALL_BATCH = 64
-# (n-gram length, shortest text, longest text): short texts have too few long n-grams. The ranges overlap by
-# more than near texts can differ in length, so a near pair lies in one of them together.
-GRAMS = ((3, 3, 39), (6, 36, None))
+def gram_ranges(ratio: float) -> list[tuple[int, int, int | None]]:
+    """(n-gram length, shortest text, longest text) by which texts meet, for any ratio above 2/3.
+
+    Of n-grams of length g two near texts share at least one if the shorter has more than (g - 1) / (1 - g (1 - ratio)) characters.
+    Short texts therefore go by single characters, longer ones by longer n-grams, which fewer texts share. The shorter of a
+    near pair has more than ``ratio`` of the longer's length, so ranges overlap by that much and each near pair
+    lies in one of them together.
+    """
+    ranges, low = [], 1
+    for gram, longer, usual in ((1, 3, 4), (3, 6, 39), (6, None, None)):
+        share = 0.0 if longer is None else 1 - longer * (1 - ratio)
+        if share <= 1e-9:
+            return [*ranges, (gram, low, None)]
+        high = max(usual, math.ceil((math.floor((longer - 1) / share) + 1) / ratio))
+        ranges.append((gram, low, high))
+        low = math.floor(ratio * (high + 1) + 1e-9)
+    return ranges
 
 
 def similar(a: Column, b: Column, ratio: float) -> Column:
@@ -205,21 +220,16 @@ def dedup_in_batches(msgs: DataFrame, banned: str, ratio: float = 0.9, longest:
     """(id, batch, outcome) of generated messages (id, batch, text): kept, or why not.
 
     Cleaned first; then a message is a duplicate if an earlier kept one of its batch has the same
-    normal form or is similar to it. A batch is one reply of a generator and small, so its pairs
-    are few; a batch that is not small goes by its rare n-grams instead.
+    normal form or is similar to it. Batches of every size go by their rare n-grams.
     """
+    if ratio <= 2 / 3:
+        raise ValueError("ratio too low for n-grams")
     marked = msgs.select("id", "batch", clean_generated("text").alias("_text"))
     marked = marked.withColumn("_why", generated_reason("_text", banned, longest)).withColumn("_norm", norm_text("_text"))
     usable = marked.filter(F.col("_why").isNull())
     nodes = cut_lineage(usable.groupBy("batch", "_norm").agg(F.min("id").alias("node")))
-    size = nodes.groupBy("batch").agg(F.count("*").alias("n"))
-    small = nodes.join(size.filter(F.col("n") <= SMALL_BATCH), "batch", "left_semi")
-    large = nodes.join(size.filter(F.col("n") > SMALL_BATCH), "batch", "left_semi")
-    if 1 - max(g for g, *_ in GRAMS) * (1 - ratio) <= 0:
-        raise ValueError("ratio too low for the n-gram lengths")
-    blocks = small.select("node", F.xxhash64("batch").alias("block"))
-    for gram in GRAMS:
-        blocks = blocks.unionByName(rare_grams(large, ratio, *gram))
+    parts = [rare_grams(nodes, ratio, *part) for part in gram_ranges(ratio)]
+    blocks = reduce(DataFrame.unionByName, parts)
     blocks = cut_lineage(blocks)
     texts = nodes.select(F.col("node").alias("a"), F.col("batch").alias("_ba"), F.col("_norm").alias("_a"))
 
