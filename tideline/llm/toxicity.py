@@ -165,7 +165,7 @@ def evidence(decisions, bias: float) -> tuple[float, float]:
 
 def sentence_features(texts: list[str], landmarks: tuple[str, ...], name: str) -> list[np.ndarray]:
     """For each text a matrix with a row for each sentence that has a word like some landmark (none: no rows)."""
-    cache = kept(f"toxic words:{name}", lambda: Recent(400_000))
+    cache = kept(f"toxic words:{name}", lambda: Recent(200_000))
     marks = list(landmarks)
     norms = kept(f"toxic norms:{name}", lambda: own_norms(marks))
     words = [words_of(t) for t in texts]

@@ -11,16 +11,21 @@ import pyarrow as pa
 ROWS = 1024  # rows handled at once; long texts make even this many a fair batch
 
 
+HELD = 3  # values a worker keeps, as many as one operator needs
+
+
 def kept(name: str, make: Callable):
     """What ``make()`` gives, made once per worker process and kept for its later tasks.
 
     Functions travel by value, so their module globals are new in each task; a module object
-    entered in ``sys.modules`` stays.
+    entered in ``sys.modules`` stays. Only the values used last are kept, so the stages of a pipeline do not add up.
     """
-    store = sys.modules.setdefault("tideline_worker_store", types.ModuleType("tideline_worker_store")).__dict__
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    store = sys.modules.setdefault("tideline_worker_store", types.ModuleType("tideline_worker_store")).__dict__.setdefault("held", {})
+    value = store.pop(name) if name in store else make()
+    store[name] = value
+    while len(store) > HELD:
+        del store[next(iter(store))]
+    return value
 
 
 class Recent:
