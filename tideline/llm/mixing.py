@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tideline.functions.vector import let
 from tideline.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -173,7 +174,8 @@ def mixed_texts(df: DataFrame, **options) -> DataFrame:
     met = texts.alias("d").join(named.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & F.col("d.source").eqNullSafe(F.col("n.source"))
                                 & (F.col("d._tie") == F.col("n.tie")))
     words = F.regexp_extract_all("d.text", F.lit(WORD), 0)
-    cut = F.array_join(F.flatten(F.transform("n._spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
+    # Bound by ``let``, as an expression inside a lambda would split the text anew for every span.
+    cut = let(words, lambda w: F.array_join(F.flatten(F.transform("n._spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["n_words"].cast("int")))), " "))
     text = F.when(F.col("n._taken") == F.col("n.size"), F.col("d.text")).otherwise(cut)
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return met.select([new[c].alias(c) if c in new else F.col(f"d.{c}").alias(c) for c in df.columns])
