@@ -119,3 +119,18 @@ def test_stages_are_removed_on_request(spark):
 
     cut_lineage(spark.range(3))
     assert drop_stages(spark) >= 1 and drop_stages(spark) == 0
+
+
+def test_price_replies_are_filled(spark):
+    from tideline.operators import content
+    from tideline.plans import load
+
+    got = load()[0]["render_reply"](spark, "/root/testdata/sf0.001").collect()
+    assert any(r.template_id == "prices" for r in got) and not [r.text for r in got if "{" in r.text]
+    rows = [("prices", "en", "On {date}: {body}"), ("prices", "lg", "Ku {date}: {body}"), ("prices_unavailable", "en", "none"), ("help", "en", "{date}")]
+    templates = spark.createDataFrame(rows, "template_id string, lang string, text string")
+    board = spark.createDataFrame([("prices", "1 May", "A 5")], "template_id string, date string, body string")
+    filled = {(r.template_id, r.lang): r.text for r in content.filled_templates(templates, board).collect()}
+    assert filled["prices", "lg"] == "Ku 1 May: A 5" and filled["help", "en"] == "{date}"
+    empty = {(r.template_id, r.lang): r.text for r in content.filled_templates(templates, board.limit(0)).collect()}
+    assert empty["prices", "en"] == "none"

@@ -20,6 +20,18 @@ def render_reply(replies: DataFrame, templates: DataFrame, base: str = "en") ->
     return out.withColumn("text", F.coalesce("_own", "_base")).filter(F.col("text").isNotNull()).drop("_own", "_base")
 
 
+def filled_templates(templates: DataFrame, board: DataFrame, key: str = "prices", unavailable: str = "prices_unavailable") -> DataFrame:
+    """The templates as they are sent: that of the prices filled with the date and body of the day's board.
+
+    ``board`` has (template_id, date, body), a row for ``key`` or none; without a row or a body the unavailable text of the language stands in.
+    """
+    spare = templates.filter(F.col("template_id") == unavailable).select(F.lit(key).alias("template_id"), "lang", F.col("text").alias("_spare"))
+    out = templates.join(board, "template_id", "left").join(spare, ["template_id", "lang"], "left")
+    full = F.replace(F.replace("text", F.lit("{date}"), F.col("date")), F.lit("{body}"), F.col("body"))
+    text = F.when(F.col("template_id") != key, F.col("text")).when(F.col("body").isNull(), F.col("_spare")).otherwise(full)
+    return out.select("template_id", "lang", text.alias("text"))
+
+
 def reverse_template(sent: DataFrame, templates: DataFrame, text: str = "text", base: str = "en") -> DataFrame:
     """Adds ``english``: the base text of the template a sent text came from, in whatever language."""
     english = templates.filter(F.col("lang") == base).select("template_id", F.col("text").alias("_en"))

@@ -24,14 +24,43 @@ def lit(v):
     return "'" + (v or "").replace("'", "''") + "'"
 
 
-SQL_TEMPLATES = "(VALUES " + ", ".join(f"({lit(k)}, {lit(v.get('en'))}, {lit(v.get('lg'))})" for k, v in TEMPLATES.items()) + ") t(template_id, en, lg)"
+PRICE_DATE = "1 May"
+# Grades and their prices by market; the first market's board goes into the price message.
+SQL_LINES = """g AS (SELECT p_brand, p_type AS grade, max(p_retailprice) AS price, min(p_retailprice) FILTER (p_size > 10) AS low,
+        max(p_retailprice) FILTER (p_size > 45) AS high FROM part GROUP BY 1, 2),
+    l AS (SELECT p_brand, -price AS o, grade AS g, CASE WHEN low > 0 AND high > 0 THEN format('{:,}', CAST(round(low) AS BIGINT)) || '-'
+        || format('{:,}', CAST(round(high) AS BIGINT)) ELSE format('{:,}', CAST(round(price) AS BIGINT)) END AS a FROM g)"""
+SQL_VALUES = "(VALUES " + ", ".join(f"({lit(k)}, {lit(v.get('en'))}, {lit(v.get('lg'))})" for k, v in TEMPLATES.items()) + ") v(template_id, en, lg)"
+
+
+def sql_filled(lang: str) -> str:
+    return (f"CASE WHEN template_id = 'prices' THEN coalesce(replace(replace({lang}, '{{date}}', '{PRICE_DATE}'), '{{body}}', body), "
+            f"{lit(TEMPLATES['prices_unavailable'].get(lang))}) ELSE {lang} END AS {lang}")
+
+
+SQL_TEMPLATES = f"""(WITH {SQL_LINES}, b AS (SELECT string_agg(g || ' ' || a, '; ' ORDER BY o, g) AS body FROM l WHERE p_brand = (SELECT min(p_brand) FROM part))
+    SELECT template_id, {sql_filled('en')}, {sql_filled('lg')} FROM {SQL_VALUES} LEFT JOIN b ON true) t"""
 SQL_REPLIES = f"""(SELECT c.id, c.phone, c.template_id, c.lang, CASE WHEN c.lang = 'lg' AND t.lg <> '' THEN t.lg ELSE t.en END AS text
     FROM ({SQL_CONVERSATION}) c JOIN {SQL_TEMPLATES} USING (template_id) WHERE t.en <> '' OR (c.lang = 'lg' AND t.lg <> ''))"""
 
 
+def market_grades(spark, sf):
+    return (table(spark, sf, "part").groupBy("p_brand", F.col("p_type").alias("grade"))
+            .agg(F.max("p_retailprice").alias("price"), F.min(F.when(F.col("p_size") > 10, F.col("p_retailprice"))).alias("low"),
+                 F.max(F.when(F.col("p_size") > 45, F.col("p_retailprice"))).alias("high")))
+
+
+def sent_templates(spark, sf):
+    """The service's templates with the price message of the first market."""
+    first = table(spark, sf, "part").agg(F.min("p_brand").alias("p_brand"))
+    body = ct.price_board(market_grades(spark, sf).join(first, "p_brand", "left_semi"), "p_brand", F.lit("{body}"), F.lit(None).cast("string"))
+    board = body.select(F.lit("prices").alias("template_id"), F.lit(PRICE_DATE).alias("date"), F.col("board").alias("body"))
+    return ct.filled_templates(template_rows(templates_wide(spark)), board)
+
+
 def replies(spark, sf):
     rows = conversation(spark, sf).select("id", "phone", "template_id", "lang").filter("template_id IS NOT NULL")
-    return ct.render_reply(rows, template_rows(templates_wide(spark)))
+    return ct.render_reply(rows, sent_templates(spark, sf))
 
 
 @query("render_reply", f"SELECT id, phone, template_id, lang, text FROM {SQL_REPLIES}")
@@ -43,7 +72,7 @@ def _(spark, sf):
     (SELECT text, arg_min(en, template_id) AS en FROM (SELECT template_id, en, unnest([en, lg]) AS text FROM {SQL_TEMPLATES})
      WHERE text <> '' GROUP BY 1) b USING (text)""")
 def _(spark, sf):
-    return ct.reverse_template(replies(spark, sf).select("id", "text"), template_rows(templates_wide(spark))).select("id", "text", "english")
+    return ct.reverse_template(replies(spark, sf).select("id", "text"), sent_templates(spark, sf)).select("id", "text", "english")
 
 
 # A conversation log: assistant turns that open a talk are template texts, other texts may be cached.
@@ -67,17 +96,9 @@ def _(spark, sf):
     return ct.transcript_english(msgs, templates.select("template_id", "t.*"), cache).select("conv_id", "turn", "english", "via")
 
 
-@query("price_board", """
-    WITH g AS (SELECT p_brand, p_type AS grade, max(p_retailprice) AS price, min(p_retailprice) FILTER (p_size > 10) AS low,
-        max(p_retailprice) FILTER (p_size > 45) AS high FROM part GROUP BY 1, 2),
-    l AS (SELECT p_brand, -price AS o, grade AS g, CASE WHEN low > 0 AND high > 0 THEN format('{:,}', CAST(round(low) AS BIGINT)) || '-'
-        || format('{:,}', CAST(round(high) AS BIGINT)) ELSE format('{:,}', CAST(round(price) AS BIGINT)) END AS a FROM g)
-    SELECT p_brand, 'Prices on 1 May: ' || string_agg(g || ' ' || a, '; ' ORDER BY o, g) AS board FROM l GROUP BY 1""")
+@query("price_board", f"WITH {SQL_LINES} SELECT p_brand, 'Prices on {PRICE_DATE}: ' || string_agg(g || ' ' || a, '; ' ORDER BY o, g) AS board FROM l GROUP BY 1")
 def _(spark, sf):
-    grades = (table(spark, sf, "part").groupBy("p_brand", F.col("p_type").alias("grade"))
-              .agg(F.max("p_retailprice").alias("price"), F.min(F.when(F.col("p_size") > 10, F.col("p_retailprice"))).alias("low"),
-                   F.max(F.when(F.col("p_size") > 45, F.col("p_retailprice"))).alias("high")))
-    return ct.price_board(grades, "p_brand", F.lit("Prices on 1 May: {body}"), F.lit("No prices today."))
+    return ct.price_board(market_grades(spark, sf), "p_brand", F.lit(f"Prices on {PRICE_DATE}: {{body}}"), F.lit("No prices today."))
 
 
 # Templates made from the part names: long ones, ones without a translation, ones with other placeholders.
