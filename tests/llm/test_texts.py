@@ -184,6 +184,25 @@ def test_probabilities_add_up(spark, monkeypatch):
         assert math.isclose(sum(n + lm.ADD for t, n in held.items() if t not in short and t & lm.CLASS_BITS == c) + lm.ADD, corpus.mass[c])
 
 
+def test_tokens_below_the_shortlist_are_learnt(spark):
+    rng = random.Random(4)
+    pairs = [(f"l{i}a", f"r{i}b") for i in range(40)]  # all on the right are in one class, none is in the shortlist
+    rows = [(i, " ".join(w for _ in range(100) for w in rng.choice(pairs))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counts = lm.token_counts(df)
+    corpus = lm.corpus_of(counts, 5, lm.LEAST_SHARE)
+    weights = lm.train(df, corpus)
+    place = lambda word: corpus.ids(lm.tokens_of(word)[:1])
+    chance = lambda m, word, before: np.exp(lm.log_probabilities(m, corpus.output_of[place(word)], place(before), place("none"))
+                                            + lm.path_log_probabilities(m, corpus, place(word), place(before), place("none")))[0]
+    told = [(chance(weights, r, a), chance(weights, r, b)) for (a, r), (b, _) in zip(pairs, pairs[1:] + pairs[:1], strict=True) if corpus.output_of[place(r)[0]] >= 5]
+    assert len(told) > 30 and np.mean([x > 2 * y for x, y in told]) > 0.9
+    every = np.arange(corpus.places)  # all places after one context add up to one
+    h = np.full_like(every, 7)
+    whole = np.exp(lm.log_probabilities(weights, corpus.output_of[every], h, h) + lm.path_log_probabilities(weights, corpus, every, h, h))
+    assert math.isclose(whole.sum(), 1, rel_tol=1e-4)
+
+
 def test_language_scores_of_odd_rows(spark):
     got = lm.language_scores(odd(spark)).collect()
     assert len(got) == 6 and sorted(r.n_tokens for r in got) == [1, 1, 6, 6, 6, 60_001]

@@ -2,11 +2,14 @@
 
 The model predicts the next token from the two before it: their vectors, weighed by position, add up to a predicted
 vector, whose products with the vectors of all outputs, plus a bias, are normalised to probabilities. Outputs are the most frequent
-tokens and, for all other tokens, classes by their last letters. Within a class a token has its share of the class's counts,
-with one place for unknown ones, so probabilities over all tokens add up to one.
+tokens and, for all other tokens, classes by their last letters. The frequent tokens of a class are the leaves of a binary tree,
+whose nodes have vectors and biases too: the same predicted vector decides at each node on the way to a token. One more leaf is for
+the tokens of the class below the least share; there a token has its share of their counts, with one place for unknown
+ones. So probabilities over all tokens add up to one, and as a context every frequent token has its own vector.
 
 Training reads every training document: each task makes one pass of noise-contrastive steps over its own
-documents from common values, and the values are averaged by tokens. Counts of tokens are a shuffled table that grows
+documents from common values (at the nodes of trees plain logistic steps), and each row of values is averaged over
+the tasks that moved it, by how often they did. Counts of tokens are a shuffled table that grows
 with the corpus; only the frequent tokens, whose number is bounded by their share, travel to the tasks.
 """
 
@@ -58,14 +61,23 @@ class Corpus:
     short_times: np.ndarray
     mass: np.ndarray  # of each class: counts of its tokens outside the shortlist with ADD each, and ADD for an unknown one
     class_times: np.ndarray
+    rest: np.ndarray  # of each class: what ``mass`` is without the frequent tokens
+    output_of: np.ndarray  # of each place (the frequent tokens, then the rest of each class): its output
+    nodes: np.ndarray  # of each place: the nodes from the top of its class's tree, filled up with -1
+    left: np.ndarray  # whether the place is on the left of them
+    node_bias: np.ndarray  # logits of the counts on the left
 
     @property
     def outputs(self) -> int:
         return len(self.shortlist) + CLASSES
 
+    @property
+    def places(self) -> int:
+        return len(self.frequent) + CLASSES
+
     def ids(self, tokens: np.ndarray) -> np.ndarray:
-        at, found = lookup(self.shortlist, tokens)
-        return np.where(found, at, len(self.shortlist) + (tokens & np.uint64(CLASS_BITS)).astype(np.int64))
+        at, found = lookup(self.frequent, tokens)
+        return np.where(found, at, len(self.frequent) + (tokens & np.uint64(CLASS_BITS)).astype(np.int64))
 
     @property
     def noise(self) -> np.ndarray:
@@ -81,13 +93,43 @@ def lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == keys
 
 
+def trees(of_class: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``nodes``, ``left`` and ``node_bias`` of one binary tree a class; leaves in the order of their mass, halved by mass at each node.
+
+    ``of_class`` has the class of each leaf, or -1 for what is in no tree.
+    """
+    order = np.lexsort((-mass, of_class))
+    order = order[of_class[order] >= 0]
+    sums = np.r_[0.0, np.cumsum(mass[order])]
+    lo = np.flatnonzero(np.r_[True, np.diff(of_class[order]) != 0]) if len(order) else np.empty(0, np.int64)
+    hi, made, levels = np.r_[lo[1:], len(order)] if len(order) else lo, 0, []
+    while len(lo):
+        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+        mid = np.clip(np.searchsorted(sums, (sums[lo] + sums[hi]) / 2), lo + 1, hi - 1)
+        size = hi - lo
+        leaf = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lo, size)
+        node = np.full(len(mass), -1, np.int32)
+        side = np.zeros(len(mass), bool)
+        node[order[leaf]] = np.repeat(made + np.arange(len(lo)), size)
+        side[order[leaf]] = leaf < np.repeat(mid, size)
+        levels.append((node, side, np.log(sums[mid] - sums[lo]) - np.log(sums[hi] - sums[mid])))
+        made += len(lo)
+        lo, hi = np.concatenate([lo, mid]), np.concatenate([mid, hi])
+    levels = [x for x in levels if len(x[2])]
+    if not levels:
+        return np.empty((len(mass), 0), np.int32), np.empty((len(mass), 0), bool), np.empty(0)
+    return np.stack([x[0] for x in levels], axis=1), np.stack([x[1] for x in levels], axis=1), np.concatenate([x[2] for x in levels])
+
+
 @dataclass
 class Weights:
-    """Vectors of contexts (one more than outputs: the start) and outputs, biases, and weights of the two positions."""
+    """Vectors of contexts (one more than places: the start), outputs and nodes, biases, and weights of the two positions."""
 
     context: np.ndarray
     output: np.ndarray
     bias: np.ndarray
+    node: np.ndarray
+    node_bias: np.ndarray
     position: np.ndarray
 
     def predicted(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -95,23 +137,26 @@ class Weights:
 
     def rows(self) -> np.ndarray:
         """All values as rows of one width."""
-        n, d = self.output.shape
-        wide = np.zeros((len(self.context) + n + 2, d + 1))
-        wide[:len(self.context), :d], wide[len(self.context):-2, :d] = self.context, self.output
-        wide[len(self.context):-2, d], wide[-2:, :d] = self.bias, self.position
-        return wide
+        wide = lambda x, bias: np.hstack([x, bias[:, None]])
+        return np.vstack([wide(self.context, np.zeros(len(self.context))), wide(self.output, self.bias), wide(self.node, self.node_bias),
+                          wide(self.position, np.zeros(2))]).astype(np.float32)
 
     @staticmethod
-    def of(rows: np.ndarray) -> Weights:
-        n, d = (len(rows) - 3) // 2, rows.shape[1] - 1
-        out = rows[n + 1:-2]
-        return Weights(rows[:n + 1, :d].astype(np.float32), out[:, :d].astype(np.float32), out[:, d].astype(np.float32), rows[-2:, :d].astype(np.float32))
+    def of(rows: np.ndarray, corpus: Corpus) -> Weights:
+        context, output, node, position = np.split(rows.astype(np.float32), np.cumsum([corpus.places + 1, corpus.outputs, len(corpus.node_bias)]))
+        parts = (context[:, :-1], output[:, :-1], output[:, -1], node[:, :-1], node[:, -1], position[:, :-1])
+        return Weights(*map(np.ascontiguousarray, parts))
 
 
 def start_weights(corpus: Corpus, size: int) -> Weights:
+    """Nodes start at the counts below them; contexts that may be rare start at nothing."""
     rng, n = np.random.default_rng(7), corpus.outputs
     small = lambda rows: rng.normal(0, 0.5, (rows, size)).astype(np.float32)
-    return Weights(small(n + 1), small(n), np.log(corpus.noise).astype(np.float32), np.full((2, size), 1.0, np.float32))
+    context = np.zeros((corpus.places + 1, size), np.float32)
+    often = np.r_[np.flatnonzero(corpus.output_of[:len(corpus.frequent)] < len(corpus.shortlist)), np.arange(len(corpus.frequent), corpus.places + 1)]
+    context[often] = small(n + 1)
+    return Weights(context, small(n), np.log(corpus.noise).astype(np.float32), np.zeros((len(corpus.node_bias), size), np.float32),
+                   corpus.node_bias.astype(np.float32), np.full((2, size), 1.0, np.float32))
 
 
 def contexts(ids: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,42 +173,69 @@ def contexts(ids: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray,
 
 @dataclass
 class Learner:
-    """Noise-contrastive steps with step sizes that fall by the gradients seen."""
+    """Noise-contrastive steps at the outputs and logistic ones in the trees, with step sizes that fall by the gradients seen."""
 
     weights: Weights
+    corpus: Corpus
     noise: np.ndarray
     samples: int = 32
     batch: int = 1024
     rate: float = 0.15
     seen: list = field(default_factory=list)
+    moved: list = field(default_factory=list)
 
     def learn(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray, rng: np.random.Generator) -> None:
+        """``w``, ``h1`` and ``h2`` are places."""
         for at in range(0, len(w), self.batch):
             part = slice(at, at + self.batch)
             self.step(w[part], h1[part], h2[part], rng)
 
     def step(self, w, h1, h2, rng) -> None:
-        m, k = self.weights, self.samples
+        m, k, told = self.weights, self.samples, self.corpus
+        if not self.seen:
+            self.seen = [np.full(x.shape, 1.0, np.float32) for x in (m.output, m.bias, m.position, m.context, m.node, m.node_bias)]
+            self.moved = [np.zeros(len(x), np.int64) for x in (m.context, m.output, m.node, m.position)]
         false = rng.choice(len(self.noise), k, p=self.noise)
         shift = np.log(k * self.noise).astype(np.float32)
         q = m.predicted(h1, h2)
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        true_err = sigmoid((q * m.output[w]).sum(1) + m.bias[w] - shift[w]) - 1
+        o = told.output_of[w]
+        true_err = sigmoid((q * m.output[o]).sum(1) + m.bias[o] - shift[o]) - 1
         false_err = sigmoid(q @ m.output[false].T + m.bias[false] - shift[false])
-        dq = true_err[:, None] * m.output[w] + false_err @ m.output[false]
+        dq = true_err[:, None] * m.output[o] + false_err @ m.output[false]
         d = q.shape[1]
-        out = scatter(w, true_err[:, None] * q, m.output.shape)
+        out = scatter(o, true_err[:, None] * q, m.output.shape)
         np.add.at(out, false, false_err.T @ q)
-        bias = np.bincount(w, true_err, len(m.bias))
+        bias = np.bincount(o, true_err, len(m.bias))
         np.add.at(bias, false, false_err.sum(0))
-        context = scatter(h1, dq * m.position[0], m.context.shape) + scatter(h2, dq * m.position[1], m.context.shape)
+        tail = np.flatnonzero(o >= len(told.shortlist))
+        paths = told.nodes[w[tail]]
+        row, level = np.nonzero(paths >= 0)
+        if len(row):
+            node, left, of = paths[row, level], told.left[w[tail]][row, level], tail[row]
+            near, vectors = q[of], m.node[node]
+            err = sigmoid(np.einsum("ij,ij->i", near, vectors) + m.node_bias[node]) - left
+            err = err.astype(np.float32)
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            dq[of[first]] += np.add.reduceat(err[:, None] * vectors, first)
+            some, at, times = np.unique(node, return_inverse=True, return_counts=True)
+            self.move(m.node, 4, scatter(at, err[:, None] * near, (len(some), d)), some)
+            self.move(m.node_bias, 5, np.bincount(at, err, len(some)), some)
+            self.moved[2][some] += times
         position = np.stack([(dq * m.context[h1]).sum(0), (dq * m.context[h2]).sum(0)])
-        grads = [context, out, bias, position]
-        if not self.seen:
-            self.seen = [np.full(g.shape, 1.0) for g in grads]
-        for value, grad, seen in zip((m.context, m.output, m.bias, m.position), grads, self.seen, strict=True):
-            seen += grad * grad
-            value -= (self.rate * grad / np.sqrt(seen)).astype(np.float32)
+        some, at, times = np.unique(np.concatenate([h1, h2]), return_inverse=True, return_counts=True)
+        context = scatter(at, np.concatenate([dq * m.position[0], dq * m.position[1]]), (len(some), d))
+        self.move(m.context, 3, context, some)
+        for i, (value, grad) in enumerate(((m.output, out), (m.bias, bias), (m.position, position))):
+            self.move(value, i, grad, slice(None))
+        self.moved[0][some] += times
+        self.moved[1] += np.bincount(np.concatenate([o, false]), minlength=len(m.bias))
+        self.moved[3] += len(w)
+
+    def move(self, value, which, grad, rows) -> None:
+        seen = self.seen[which]
+        seen[rows] += grad * grad
+        value[rows] -= (self.rate * grad / np.sqrt(seen[rows])).astype(np.float32)
 
 
 def scatter(rows: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -189,6 +261,23 @@ def log_probabilities(m: Weights, w: np.ndarray, h1: np.ndarray, h2: np.ndarray,
     return out
 
 
+def path_log_probabilities(m: Weights, corpus: Corpus, w: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each place within its output: 0 for tokens of the shortlist, else along the way through the tree."""
+    out = np.zeros(len(w))
+    tail = np.flatnonzero(corpus.output_of[w] >= len(corpus.shortlist))
+    for start in range(0, len(tail), 65_536):
+        at = tail[start:start + 65_536]
+        q = m.predicted(h1[at], h2[at])
+        for level in range(corpus.nodes.shape[1]):
+            node = corpus.nodes[w[at], level]
+            if (node < 0).any():
+                open_ = node >= 0
+                at, q, node = at[open_], q[open_], node[open_]
+            x = np.einsum("ij,ij->i", q, m.node[node]) + m.node_bias[node]
+            out[at] -= np.logaddexp(0, np.where(corpus.left[w[at], level], -x, x))
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
@@ -227,11 +316,20 @@ def corpus_of(counts: DataFrame, shortlist: int, least_share: float) -> Corpus:
     per_class = {r[0]: r[1:] for r in counts.groupBy((F.col("token").bitwiseAND(CLASS_BITS)).alias("c")).agg(F.sum("n"), F.count(F.lit(1))).collect()}
     held = np.array([per_class.get(c, (0, 0)) for c in range(CLASSES)], float)
     np.add.at(held, (tokens[best] & np.uint64(CLASS_BITS)).astype(np.int64), np.stack([-times[best], -np.ones(len(best))], axis=1).reshape(-1, 2))
-    return Corpus(total, distinct, tokens, times, tokens[best], times[best], held[:, 0] + ADD * held[:, 1] + ADD, held[:, 0])
+    mass, class_times = held[:, 0] + ADD * held[:, 1] + ADD, held[:, 0].copy()
+    own = (tokens & np.uint64(CLASS_BITS)).astype(np.int64)
+    tail = np.ones(len(tokens), bool)
+    tail[best] = False
+    np.add.at(held, own[tail], np.stack([-times[tail], -np.ones(tail.sum())], axis=1).reshape(-1, 2))
+    rest = held[:, 0] + ADD * held[:, 1] + ADD
+    output_of = np.r_[len(best) + own, len(best) + np.arange(CLASSES)]
+    output_of[best] = np.arange(len(best))
+    of_class = np.r_[np.where(tail, own, -1), np.arange(CLASSES)]
+    return Corpus(total, distinct, tokens, times, tokens[best], times[best], mass, class_times, rest, output_of, *trees(of_class, np.r_[times + ADD, rest]))
 
 
 def train(df: DataFrame, corpus: Corpus, size: int = 16, passes: int = 1) -> Weights:
-    """Weights after ``passes`` rounds over all training texts, each task on its own documents, averaged by tokens."""
+    """Weights after ``passes`` rounds over all training texts, each task on its own documents, averaged row by row."""
     weights, spark = start_weights(corpus, size), df.sparkSession
     if not corpus.total:
         return weights
@@ -240,24 +338,27 @@ def train(df: DataFrame, corpus: Corpus, size: int = 16, passes: int = 1) -> Wei
 
         def run(batches, shared=shared, turn=turn):
             told, rows = shared.value
-            learner, rng, n = Learner(Weights.of(rows), told.noise, rate=0.15 / (turn + 1)), None, 0
+            learner, rng = Learner(Weights.of(rows, told), told, told.noise, rate=0.15 / (turn + 1)), None
             for batch in slices(batches):
                 ids = [told.ids(tokens_of(t)) for t in texts_of(batch.column(0))]
                 if ids:
-                    w, h1, h2 = contexts(ids, told.outputs)
+                    w, h1, h2 = contexts(ids, told.places)
                     rng = rng or np.random.default_rng([turn, len(w), int(w[:64].sum())])
                     learner.learn(w, h1, h2, rng)
-                    n += len(w)
-            if n:
-                made = learner.weights.rows()
-                offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(made)), pa.int32()), pa.array([n] * len(made), pa.int64()),
-                                                  pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))], names=["i", "n", "v"])
-
-        made = df.select("text").mapInArrow(run, "i int, n long, v array<double>")
+            if rng:
+                n, moved = np.concatenate(learner.moved), learner.weights.rows() - rows
+                for at in np.array_split(np.flatnonzero(n), max(1, np.count_nonzero(n) // 20_000)):
+                    made = moved[at]
+                    offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))],
+                                                     names=["i", "n", "v"])
+
+        made = df.select("text").mapInArrow(run, "i int, n long, v array<float>")
         mean = made.groupBy("i").agg(*[(F.sum(F.col("n") * F.col("v")[j]) / F.sum("n")).alias(f"v{j}") for j in range(size + 1)])
-        rows = mean.orderBy("i").toPandas()  # one row per output and context
-        weights = Weights.of(rows.drop(columns="i").to_numpy())
+        told = mean.toPandas()  # one row per context, output and node
+        rows = weights.rows()
+        rows[told["i"].to_numpy()] += told.drop(columns="i").to_numpy()
+        weights = Weights.of(rows, corpus)
     return weights
 
 
@@ -272,20 +373,20 @@ def score(df: DataFrame, counts: DataFrame, corpus: Corpus, weights: Weights) ->
 
     def run(batches):
         told, rows = shared.value
-        m = Weights.of(rows)
-        log_times, log_mass = np.log10(told.times + ADD), np.log10(told.mass)
+        m = Weights.of(rows, told)
+        log_times, log_rest = np.log10(told.times + ADD), np.log10(told.rest)
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
             docs = [tokens_of(t) for t in texts_of(batch.column(1))]
             sizes = [len(d) for d in docs]
             tokens = np.concatenate(docs)
             owner = np.repeat(np.arange(len(docs)), sizes)
-            w, h1, h2 = contexts([told.ids(d) for d in docs], told.outputs)
-            model = log_probabilities(m, w, h1, h2) / np.log(10)
-            at, frequent = lookup(told.frequent, tokens)
-            own = np.where(frequent, log_times[at], 0.0) if len(log_times) else np.zeros(len(tokens))
-            tail = w >= len(told.shortlist)
-            model[tail] += own[tail] - log_mass[w[tail] - len(told.shortlist)]
+            w, h1, h2 = contexts([told.ids(d) for d in docs], told.places)
+            model = (log_probabilities(m, told.output_of[w], h1, h2) + path_log_probabilities(m, told, w, h1, h2)) / np.log(10)
+            frequent = w < len(told.frequent)
+            own = np.zeros(len(w))
+            own[frequent] = log_times[w[frequent]]
+            model[~frequent] -= log_rest[w[~frequent] - len(told.frequent)]
             per = lambda x: np.bincount(owner, x, len(docs))
             rare_owner, rare = owner[~frequent], tokens[~frequent]
             order = np.lexsort((rare, rare_owner))
