@@ -176,3 +176,12 @@ def test_bad_templates_are_learnt(spark):
     assert (of[None].host, of[None].path, of[None].rule) == ("", "", None) == (of["no scheme"].host, of["no scheme"].path, of["no scheme"].rule)
     assert (of["HTTP://EXAMPLE.com/EN/x"].host, of["HTTP://EXAMPLE.com/EN/x"].rule) == ("example.com", "com/") and of["http://com"].rule is None
     assert urls.judge_urls(df.limit(0), queries.RULES, label="good").count() == 0
+
+
+def test_small_sections_are_told_apart_by_their_labels(spark):
+    rows = [(f"http://{host}.org/s{chr(97 + k)}/{i}", float((k == 7) == (host == "bad"))) for host in ("good", "bad") for k in range(25) for i in range(40)]
+    df = spark.createDataFrame([*rows, ("http://good.org/sh/777", None), ("http://bad.org/sh/777", None)], "url string, good double")
+    of = {r.url: r for r in urls.judge_urls(df, (), label="good").collect()}
+    assert (of["http://good.org/sh/777"].learnt, of["http://bad.org/sh/777"].learnt) == ("block", "allow")
+    assert (of["http://good.org/sa/3"].learnt, of["http://bad.org/sa/3"].learnt) == ("allow", "block")
+    assert of["http://good.org/sh/777"].template == "/sh/*"
