@@ -185,3 +185,10 @@ def test_small_sections_are_told_apart_by_their_labels(spark):
     assert (of["http://good.org/sh/777"].learnt, of["http://bad.org/sh/777"].learnt) == ("block", "allow")
     assert (of["http://good.org/sa/3"].learnt, of["http://bad.org/sa/3"].learnt) == ("allow", "block")
     assert of["http://good.org/sh/777"].template == "/sh/*"
+
+
+def test_deep_branches_are_told_apart(spark):
+    rows = [(f"http://h.org/a/b/c/d/e/{s}/{i}", g) for s, g in (("good", 1.0), ("spam", 0.0)) for i in range(40)] + [("http://h.org/" + "x/" * 60, None)]
+    of = {r.url: r for r in urls.judge_urls(spark.createDataFrame(rows, "url string, good double"), (), label="good").collect()}
+    assert (of["http://h.org/a/b/c/d/e/good/3"].learnt, of["http://h.org/a/b/c/d/e/spam/3"].learnt) == ("allow", "block")
+    assert of["http://h.org/a/b/c/d/e/spam/3"].template == "/a/b/c/d/e/spam/*" and of["http://h.org/" + "x/" * 60].template == "/*" * 60

@@ -140,7 +140,7 @@ def merge_similar(kept: DataFrame, node: list[str], prior: float, z: float) -> D
     return cut.join(names.select(*part, "many", "inner"), part).withColumn("branch", branch)
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", label: str | None = None, levels: int | None = 4,
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", label: str | None = None, levels: int | None = None,
                min_share: float = 0.05, min_pages: int = 3, prior: float = 10.0, z: float = 1.96, least_good: float = 0.4) -> DataFrame:
     """Adds ``host``, ``path``, ``rule``, ``verdict`` and, from the tree, ``template``, ``purity`` and ``learnt``.
 
