@@ -72,6 +72,13 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch, hot):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_small_set_and_its_larger_copies(spark):
+    base = [f"b{i}" for i in range(35)]  # 32 shingles, all in each of 200 sets of 40
+    docs = [(0, " ".join(base))] + [(1 + i, " ".join(base + [f"x{i}y{k}" for k in range(8)])) for i in range(200)]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_groups(docs, 4) and {r.component_id for r in got} == {0}
+
+
 def test_groups_of_odd_rows(spark):
     got = neardup.near_duplicates(odd(spark), words=4).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == [

@@ -82,10 +82,15 @@ def sketches(df: DataFrame, words: int, carry: list[str], text: str = "text") ->
 
 
 def _required(n: Column) -> Column:
-    """Values that a set of ``n`` has at least in common with a similar one among the indexed ones."""
+    """Values that two similar sets, the larger of ``n``, have at least in common among the indexed ones."""
     return F.when(n <= INDEX, F.ceil(n * 0.8)).otherwise(F.lit(LEAST_COMMON))
 
 
+def _left_by_partner(n: Column) -> Column:
+    """Values that a set of ``n`` has at least in common with a similar one, of which the partner may be too large to index all."""
+    return F.when(n * 100 <= INDEX * 80, F.ceil(n * 0.8)).otherwise(F.lit(LEAST_COMMON))
+
+
 def overlapping_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a`` < ``b`` with enough overlap in short lists, and the ids of hot nodes.
 
@@ -106,7 +111,7 @@ def overlapping_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = hot.select("id", "hot")
     counted = counted.join(of.toDF("a", "hot_a"), "a", "left").join(of.toDF("b", "hot_b"), "b", "left").fillna(0, ["hot_a", "hot_b"])
     enough = F.col("common") + F.least("hot_a", "hot_b") >= _required(F.col("n"))
-    return counted.filter(enough).select("a", "b"), hot.filter(F.col("hot") >= _required(F.col("n_shingles"))).select("id")
+    return counted.filter(enough).select("a", "b"), hot.filter(F.col("hot") >= _left_by_partner(F.col("n_shingles"))).select("id")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
