@@ -133,6 +133,18 @@ def test_held_out_toxic_documents_are_found(spark):
     assert toxicity.train(df.limit(0), labels).landmarks == () == toxicity.train(df, labels.limit(0)).landmarks
 
 
+def test_all_sentences_of_clean_documents_are_learnt_from(spark, monkeypatch):
+    docs, _, labels = toxic_table(spark)
+    long = [(2000 + i, "a snorwikk. " * 60, False) for i in range(40)]
+    seen, fit = [], toxicity.fit_machine
+    monkeypatch.setattr(toxicity, "fit_machine", lambda features, *rest: seen.extend(map(len, features)) or fit(features, *rest))
+    df = spark.createDataFrame(docs + long, "doc_id long, text string, bad boolean")
+    model = toxicity.train(df, labels.unionByName(spark.createDataFrame([(i, 0) for i, _, _ in long], "doc_id long, toxic int")))
+    assert max(seen) >= 60
+    unseen = spark.createDataFrame([("a snorwikk. " * 300,), ("the re snorvik st.",)], "text string")
+    assert {len(r.text) > 100: r.predicted for r in toxicity.score(unseen, model).collect()} == {True: 0, False: 1}
+
+
 def test_edits_and_fingerprints(spark):
     docs = sorted(docs_of(spark), key=lambda d: -d[0])
     got = {r.doc_id: r for r in queries.op8_fingerprints(spark, SF).collect()}

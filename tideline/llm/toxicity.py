@@ -252,9 +252,10 @@ def fit_machine(features: list[np.ndarray], labels: np.ndarray, shares: tuple[fl
                 x.append(f[[int(s.argmax())]])
                 y.append(np.ones(1))
             elif not label:
-                x.append(np.vstack([f, np.zeros((1, m))]))
+                x.append(np.vstack([f, np.zeros((1, m), f.dtype)]))
                 y.append(-np.ones(len(f) + 1))
-        x, y = np.vstack(x) @ root, np.concatenate(y)
+        x, y = np.vstack(x), np.concatenate(y)
+        x = x @ root.astype(x.dtype)
         own, bias = squared_hinge(x, y, 1000.0)
         weights = root @ own
         scores = [f @ weights + bias for f in features]
@@ -265,12 +266,17 @@ def fit_machine(features: list[np.ndarray], labels: np.ndarray, shares: tuple[fl
 def squared_hinge(x: np.ndarray, y: np.ndarray, c: float) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear machine with squared hinge loss, classes weighed alike, by Newton steps."""
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * c / len(y) * 100
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, ridge = np.zeros(x1.shape[1]), np.diag(np.r_[np.ones(x.shape[1]), 1e-6])
     for _ in range(50):
-        active = y * (x1 @ w) < 1
-        a = x1[active] * weight[active, None]
-        new = np.linalg.solve(ridge + a.T @ x1[active], a.T @ y[active])
+        left, right = ridge.copy(), np.zeros(len(w))
+        for at in range(0, len(x1), 16_384):  # rows may be many and of single precision
+            part = x1[at:at + 16_384].astype(float)
+            active = y[at:at + 16_384] * (part @ w) < 1
+            a = part[active] * weight[at:at + 16_384][active, None]
+            left += a.T @ part[active]
+            right += a.T @ y[at:at + 16_384][active]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-9:
             break
         w = new
@@ -302,8 +308,8 @@ def train(df: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: in
     """Fits on at most ``per_class`` labelled documents of each class, taken in the order of a hash of their id.
 
     ``labels`` has ``doc_id`` and ``toxic``; held-out ids are not learnt from. The words of the sample are counted in Spark;
-    the driver receives at most 20,000 counted strings and, of each sampled document, its few worst sentences
-    as landmark values. Without labels of both classes the model gives the share of toxic labels (0 without labels).
+    the driver receives at most 20,000 counted strings and, of each sampled document, the landmark values of all
+    sentences that have any (those that are not 0). Without labels of both classes the model gives the share of toxic labels (0 without labels).
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
@@ -338,16 +344,21 @@ def train(df: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: in
         return fit_machine([], np.zeros(0), shares, [])
     fixed, name = tuple(marks), "|".join(marks)
 
-    def worst(batches):
+    def valued(batches):
         for batch in slices(batches):
-            rows = sentence_features(texts_of(batch.column(1)), fixed, name)
-            rows = [f[np.argsort(-f.max(axis=1), kind="stable")[:16]].ravel() if len(f) else f.ravel() for f in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["label", "f"])
-
-    found = sample.select("label", "text").mapInArrow(worst, "label int, f array<double>").collect()
-    features = [np.array(r.f).reshape(-1, len(marks)) for r in found]
-    order = sorted(range(len(found)), key=lambda i: (found[i].label, found[i].f))
-    return fit_machine([features[i] for i in order], np.array([found[i].label for i in order]), shares, marks)
+            rows = [f.astype(np.float32) for f in sentence_features(texts_of(batch.column(1)), fixed, name)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in rows], pa.int32()),
+                                              pa.array([np.flatnonzero(f).astype("<i4").tobytes() for f in rows], pa.binary()),
+                                              pa.array([f[f != 0].astype("<f4").tobytes() for f in rows], pa.binary())], names=["label", "n", "places", "f"])
+
+    found = sample.select("label", "text").mapInArrow(valued, "label int, n int, places binary, f binary").collect()
+    found.sort(key=lambda r: (r.label, r.n, bytes(r.places), bytes(r.f)))
+    features = []
+    for r in found:
+        f = np.zeros((r.n, len(marks)), np.float32)
+        f.ravel()[np.frombuffer(r.places, "<i4")] = np.frombuffer(r.f, "<f4")
+        features.append(f)
+    return fit_machine(features, np.array([r.label for r in found]), shares, marks)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
