@@ -145,6 +145,16 @@ def test_all_sentences_of_clean_documents_are_learnt_from(spark, monkeypatch):
     assert {len(r.text) > 100: r.predicted for r in toxicity.score(unseen, model).collect()} == {True: 0, False: 1}
 
 
+def test_letters_dealt_over_a_long_document_are_joined():
+    clean = "the re st on ha. wo ly er is. " * 20
+    marks = ("snorvik", "grublex")
+    assert 0.35 <= toxicity.likeness(["snoxriv"], list(marks), toxicity.own_norms(list(marks)))["snoxriv"][1].max() < 0.9
+    dealt = ["s. n. o. r. v. i. k", "s - n - o - r - v - i - k", "s * n * o * r * v * i * k"]
+    plain, *found = toxicity.sentence_features([f"{clean}the snoxriv er. {x} is wo. {clean}" for x in ("st", *dealt)], marks, "test dealt")
+    assert len(plain) == 1 and plain.max() < 0.9
+    assert all(f[:, 0].max() > 0.9 for f in found)
+
+
 def test_edits_and_fingerprints(spark):
     docs = sorted(docs_of(spark), key=lambda d: -d[0])
     got = {r.doc_id: r for r in queries.op8_fingerprints(spark, SF).collect()}

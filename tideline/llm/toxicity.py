@@ -129,7 +129,7 @@ def _runs(rows: np.ndarray) -> tuple[list[int], list[int], list[int]]:
 def words_of(text: str) -> list[str]:
     """Lower-cased words without marks at their ends; runs of single letters also as one word, words with
     marks inside also without them; long words cut."""
-    found = [w.strip(EDGES) for w in text.lower().split()]
+    found = [w for w in (w.strip(EDGES) for w in text.lower().split()) if w]
     singles = bytes([len(w) == 1 for w in found])
     if b"\1\1\1" in singles:
         for run in re.finditer(b"\1{3,}", singles):
@@ -164,7 +164,8 @@ def evidence(decisions, bias: float) -> tuple[float, float]:
 
 
 def sentence_features(texts: list[str], landmarks: tuple[str, ...], name: str) -> list[np.ndarray]:
-    """For each text a matrix with a row for each sentence that has a word like some landmark (none: no rows)."""
+    """For each text a matrix with a row for each sentence that has a word like some landmark (none: no rows), and one for
+    such words that only the whole text has, as the cut of sentences takes them apart."""
     cache = kept(f"toxic words:{name}", lambda: Recent(200_000))
     marks = list(landmarks)
     norms = kept(f"toxic norms:{name}", lambda: own_norms(marks))
@@ -178,23 +179,25 @@ def sentence_features(texts: list[str], landmarks: tuple[str, ...], name: str) -
     for text, own in zip(texts, words, strict=True):
         rows = []
         if not like.keys().isdisjoint(own):
+            left = {w for w in own if w in like}
             for sentence in SENTENCES.split(text):
-                found = [like[w] for w in words_of(sentence) if w in like]
+                found = [w for w in words_of(sentence) if w in like]
+                left.difference_update(found)
                 if found:
-                    row = np.zeros(len(marks))
-                    for cols, values in found:
-                        np.maximum.at(row, cols, values)
-                    rows.append(row)
-            if not rows:  # a word that the cut of sentences takes apart
-                row = np.zeros(len(marks))
-                for w in own:
-                    if w in like:
-                        np.maximum.at(row, *like[w])
-                rows.append(row)
+                    rows.append(_row([like[w] for w in found], len(marks)))
+            if left:
+                rows.append(_row([like[w] for w in left], len(marks)))
         out.append(np.array(rows) if rows else np.zeros((0, len(marks))))
     return out
 
 
+def _row(found: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
+    row = np.zeros(width)
+    for cols, values in found:
+        np.maximum.at(row, cols, values)
+    return row
+
+
 def pick_landmarks(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, most: int, others: int) -> list[str]:
     """Landmarks: strings tied to toxic documents, each unlike those before it, and the clean strings most like them.
 
