@@ -11,7 +11,6 @@ from tideline.dims import fixed
 from tideline.operators import corpus as co
 from tideline.operators import evaluate as ev
 from tideline.operators import splits as sp
-from tideline.operators.scan import id_chunk, running
 
 
 def skewed(spark, n=3000):
@@ -21,14 +20,6 @@ def skewed(spark, n=3000):
     return spark.createDataFrame(rows, "id long, key string, flag boolean, x int")
 
 
-def test_running_equals_one_window_per_key(spark):
-    df = skewed(spark)
-    w = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    want = df.select("id", F.coalesce(F.sum("x").over(w), F.lit(0)).alias("s"), F.last("flag", ignorenulls=True).over(w).alias("f"))
-    got = running(df, ["key"], id_chunk("id", 64), ["id"], sums={"s": F.col("x")}, lasts={"f": F.col("flag")}).select("id", "s", "f")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_exact_median_on_ties_and_skew(spark):
     df = skewed(spark).withColumn("v", F.when(F.col("key") == "hot", F.floor(F.col("x") / 4) * 1.0).otherwise(F.col("id") / 7.0))
     want = {r[0]: r[1] for r in df.groupBy("key").agg(F.median("v")).collect()}

@@ -119,10 +119,14 @@ def test_late_rows_are_not_dropped_in_silence(spark, tmp_path):
             ps.run_to_end(spark, conversation_stream(src), path=path, progress=progress)
 
 
-def test_shorter_chunks_change_nothing(spark):
+def test_cuts_change_nothing(spark):
+    """Messages of all days pushed into two hours and a third of them under one sender, cut every 40 rows or not at all."""
     msgs = messages(spark, "/root/testdata/sf0.001")
-    a, b = (dg.conversation(msgs, pair_verdict, seconds=n).select(*CONVERSATION_COLUMNS) for n in (3600, 600))
-    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    busy = msgs.withColumn("phone", F.when(F.col("id") % 3 == 0, F.lit(1).cast(msgs.schema["phone"].dataType)).otherwise(F.col("phone"))) \
+        .withColumn("epoch", F.lit(START) + F.floor((F.col("epoch") - START) % 7000)).withColumn("at", F.col("epoch") * 1_000_000)
+    for df in (msgs, busy):
+        a, b = (dg.conversation(df, pair_verdict, cut_rows=n).select(*CONVERSATION_COLUMNS) for n in (1 << 16, 40))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
 def test_followups_skip_stops_and_the_future(spark):

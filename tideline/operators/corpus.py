@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.text import strip, text_key, topic_slug
-from tideline.operators.scan import id_chunk, row_position, running
+from tideline.operators.scan import row_position, running
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def sms_rows(records: DataFrame, labels: dict[str, str], block: int = 8, small_b
     rows = records.select("id", text.alias("text"), "topic", "source", F.try_element_at(names, F.coalesce("topic", F.lit(""))).alias("label"))
     reason = F.when(F.col("label").isNull(), "unmapped_topic").when(F.char_length("text") < MIN_CHARS, "too_short")
     rows = rows.withColumn("reason", reason)
-    rows = running(rows, ["topic"], id_chunk("id"), ["id"], sums={"_n": F.col("reason").isNull().cast("long")})
+    rows = running(rows, ["topic"], ["id"], sums={"_n": F.col("reason").isNull().cast("long")})
     size = F.when(F.col("source") == small_source, small_block).otherwise(block)
     group = F.format_string("sms-%s-%03d", topic_slug("topic"), F.floor(F.col("_n") / size))
     return rows.select("text", "label", group.alias("group"), F.concat(F.lit("sms#"), "id").alias("source_id"), F.lit("sms").alias("kind"), "reason")
@@ -129,13 +129,13 @@ def shuffled_limit(df: DataFrame, n: int, seed: int, row_id: str = "id") -> Data
 
 def block_groups(df: DataFrame, topic: str, size: int, row_id: str = "id") -> DataFrame:
     """Adds ``block``: the n-th row of a topic belongs to block n div size."""
-    out = row_position(df, [topic], id_chunk(row_id), [row_id], "_n")
+    out = row_position(df, [topic], [row_id], "_n")
     return out.withColumn("block", F.format_string("%s-%03d", F.col(topic), F.floor(F.col("_n") / size))).drop("_n")
 
 
 def budget_cutoff(df: DataFrame, cost: str, limit, row_id: str = "id") -> DataFrame:
     """Rows started before the spend reached the limit; the row that crosses it is kept."""
-    out = running(df, [], id_chunk(row_id), [row_id], sums={"spent_before": F.col(cost)})
+    out = running(df, [], [row_id], sums={"spent_before": F.col(cost)})
     return out.filter(F.col("spent_before") < limit)
 
 

@@ -81,7 +81,7 @@ def allocate_splits(units: DataFrame, frozen: DataFrame | None = None, ratios: d
 
     chosen = plan.repartition("label").mapInPandas(place, "label string, pos long, split string")
     ordered = todo.withColumn("_hash", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("unit")), 256)).withColumn("_big", -F.col("weight"))
-    placed = row_position(ordered, ["label"], F.struct("_big", F.substring("_hash", 1, 3)), ["_big", "_hash"], "pos")
+    placed = row_position(ordered, ["label"], ["_big", "_hash"], "pos")
     new = _join_like(placed, chosen, ["label", "pos"]).select("label", "unit", "weight", "split")
     if frozen is None:
         return cut_lineage(new)

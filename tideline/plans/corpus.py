@@ -406,5 +406,5 @@ def _(spark, sf):
 @query("price_order", "SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM part")
 def _(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_retailprice", (-F.col("p_retailprice")).alias("_down"))
-    placed = row_position(parts, [], F.floor("_down"), ["_down", "p_partkey"], "place")
+    placed = row_position(parts, [], ["_down", "p_partkey"], "place")
     return placed.select("p_partkey", "p_retailprice", (F.col("place") + 1).alias("place"))

@@ -150,6 +150,6 @@ query("conversation", SQL_CONVERSATION)(conversation)
 
 @query("transcript", "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations")
 def _(spark, sf):
-    from tideline.operators.scan import id_chunk, row_position
+    from tideline.operators.scan import row_position
     conv = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    return dg.transcript(row_position(conv, ["conv_id"], id_chunk("turn"), ["turn"], "place"), "conv_id", "turn")
+    return dg.transcript(row_position(conv, ["conv_id"], ["turn"], "place"), "conv_id", "turn")
