@@ -112,6 +112,16 @@ def op9_language_scores(spark: SparkSession, folder: str) -> DataFrame:
     return language_scores(documents(spark, folder, "doc_id", "text"))
 
 
+@query
+def op11_language_ids(spark: SparkSession, folder: str) -> DataFrame:
+    from tideline.llm import language
+    from tideline.llm.toxicity import held_out
+
+    docs = documents(spark, folder, "doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    profiles = language.learn(docs.filter(~F.col("held_out")))
+    return language.predict(docs.drop("lang"), profiles).drop("text")
+
+
 def _oracles() -> None:
     from tideline.llm import quality, sharding
 
