@@ -122,8 +122,17 @@ def op11_language_ids(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.drop("lang"), profiles).drop("text")
 
 
+@query
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    from tideline.llm.phrases import phrases
+
+    return phrases(documents(spark, folder, "text", "lang"))
+
+
 def _oracles() -> None:
-    from tideline.llm import quality, sharding
+    from tideline.llm import phrases, quality, sharding
+
+    ORACLES["op13_phrases"] = phrases.oracle_sql()
 
     ORACLES["op1_quality_rules"] = quality.oracle_sql()
     ORACLES["op2_shards"] = sharding.oracle_sql(SHARD_LIMIT)
