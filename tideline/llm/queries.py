@@ -129,8 +129,17 @@ def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases(documents(spark, folder, "text", "lang"))
 
 
+@query
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from tideline.llm.tries import prefix_trie
+
+    return prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 def _oracles() -> None:
-    from tideline.llm import phrases, quality, sharding
+    from tideline.llm import phrases, quality, sharding, tries
+
+    ORACLES["op12_conversation_trie"] = tries.oracle_sql()
 
     ORACLES["op13_phrases"] = phrases.oracle_sql()
 
