@@ -22,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 PRIMES = (999999999999999989, 999999999999999967, 999999999999999877, 999999999999999863, 999999999999999809)  # larger than any block count
 CELLS = 1024  # of the slot range, by which a draw meets its source
 ROWS_PER_BUCKET = 20_000
+SLOTS_PER_TASK = 1 << 18
 
 
 def number(*parts: Column | str) -> Column:
@@ -96,7 +97,9 @@ def drawn_slots(spark, told: DataFrame, shard_slots: int, seed: str) -> DataFram
         .groupBy("shard", "_rank").agg(F.count(F.lit(1)).alias("count"))
     counts = cut_lineage(counts)  # what each shard drew from each source
     numbered = counts.withColumn("_end", F.sum("count").over(W.partitionBy("_rank").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)))
-    each = numbered.select("shard", "_rank", F.explode(F.sequence(F.col("_end") - F.col("count"), F.col("_end") - 1)).alias("k")) \
+    # Dealt out by shard before the slots are written out: a task gets the few rows of its shards, not all of a source. The
+    # number is given, as these rows are few until then and would else be put together again.
+    each = numbered.repartition(max(1, -(-all_slots // SLOTS_PER_TASK)), "shard").select("shard", "_rank", F.explode(F.sequence(F.col("_end") - F.col("count"), F.col("_end") - 1)).alias("k")) \
         .join(told.select("_rank", "slots"), "_rank")
     drawn = counts.groupBy("_rank").agg(F.sum("count").alias("drawn"))
     balance = told.select("_rank", "slots").join(drawn, "_rank", "left").fillna(0, ["drawn"])
