@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -258,4 +259,27 @@ def test_pipeline_stage_by_stage(spark):
         if check == "mix":
             assert all(r.n_chars == len(r.text) for r in after)
         docs = made
-    assert docs.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() > 0
+    assert docs.columns == ["doc_id", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() > 0
+    assert all(len(r.ids) == r.n_tokens and hashlib.sha256(struct.pack(f"<{len(r.ids)}I", *r.ids)).hexdigest() == r.ids_sha256 for r in docs.limit(50).collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, empty texts, repeated rows, added columns with the names the stages use, and no rows at all."""
+    clean = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, clean, "en", "x", 5), (1, clean, "en", "x", 5), (None, None, None, None, None), (None, clean + " more", None, None, 0), (2, "", "en", "y", 0),
+            (3, clean.replace("word7", "other"), "en", "y", 9), (4, " ".join(f"own{i}" for i in range(80)), "de", "x", 1)]
+    names = ("score", "predicted", "kept", "n_words", "size", "place", "group_key", "ids", "_tie", "n_tokens")
+    docs = spark.createDataFrame([(*r, *(7,) * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for df in (docs, docs.limit(0)):
+        at, left = df, []
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, at, SF)
+            assert name == "tokens" or set(made.columns) <= set(docs.columns) and {"doc_id", "text", "source", "n_chars"} <= set(made.columns), (name, made.columns)
+            at = corpus_pipeline.cut_lineage(made)
+            left.append(at.count())
+        if df is docs:
+            assert left[0] == 7 and left[1] == 5  # too short ones go
+            assert left[2] == 2  # copies and near copies of one text are one document
+            assert {len(r.ids) == r.n_tokens for r in at.collect()} == {True}
+        else:
+            assert left == [0] * 5

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.bytebpe import CHUNKS, ByteBpe, recent, vocabulary
+from tideline.llm.bytebpe import CHUNKS, OWNER, ByteBpe, recent, vocabulary
 from tideline.llm.worker import kept, slices, texts_of
 
 ADDED = ("ids", "decoded")
@@ -113,9 +113,14 @@ def decode_ids(v: ByteBpe, ids: bytes) -> str:
     return b"".join(map(v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def ids_array(packed: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
+
+
 def _encoder(path: str):
     v = vocabulary(path)
-    return v, recent("chunk ids", path), kept(f"verdicts:{path}", lambda: Verdicts(v))
+    return v, recent("chunk ids", path), kept(f"verdicts:{path}", lambda: Verdicts(v), OWNER)
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -126,9 +131,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         v, cache, verdicts = _encoder(path)
         for batch in slices(batches):
             packed = encode_texts(v, texts_of(batch.column(batch.num_columns - 1)), cache, verdicts)
-            offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids_array(packed)], names=[*keep, "ids"])
 
     source = df.select(*keep, F.col(text).alias("_encoded"))
     return source.mapInArrow(run, source.drop("_encoded").schema.add("ids", T.ArrayType(T.IntegerType())))
@@ -148,24 +151,28 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return source.mapInArrow(run, source.drop("_decoded").schema.add("decoded", "string"))
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """Adds ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned 32-bit numbers) and
-    ``decoded_sha256`` (of the text that the ids give back), without passing ids between processes.
+    ``decoded_sha256`` (of the text that the ids give back), without passing ids between processes; with ``with_ids`` also ``ids`` (array of int).
 
     Every row stays, repeated rows too; a null text counts as empty. Columns with these names are replaced.
     """
-    added = ("n_tokens", "ids_sha256", "decoded_sha256")
+    added = (*(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256")
     keep = [c for c in df.columns if c not in added]
 
     def run(batches):
         v, cache, verdicts = _encoder(path)
         for batch in slices(batches):
             packed = encode_texts(v, texts_of(batch.column(batch.num_columns - 1)), cache, verdicts)
-            new = [pa.array([len(p) // 4 for p in packed], pa.int64()),
-                   pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
-                   pa.array([hashlib.sha256(decode_ids(v, p).encode()).hexdigest() for p in packed], pa.string())]
+            new = [ids_array(packed)] if with_ids else []
+            new += [pa.array([len(p) // 4 for p in packed], pa.int64()),
+                    pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                    pa.array([hashlib.sha256(decode_ids(v, p).encode()).hexdigest() for p in packed], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*keep, *added])
 
     source = df.select(*keep, F.col(text).alias("_encoded"))
-    schema = source.drop("_encoded").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = source.drop("_encoded").schema
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     return source.mapInArrow(run, schema)

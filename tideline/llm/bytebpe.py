@@ -21,7 +21,8 @@ CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WHITE = {chr(c) for c in range(0x3001) if re.match(f"[{SPACE}]", chr(c))}
 NONE = 1 << 62
 PAIRS_KEPT = 1_000_000
-WORDS_KEPT = 400_000
+BYTES_KEPT = 40 << 20  # of words and their tokens, twice
+OWNER = "tokens"  # of what a worker keeps: counting and encoding share it
 
 
 def byte_letters() -> dict[str, int]:
@@ -156,8 +157,8 @@ class ByteBpe:
 
 def vocabulary(path: str) -> ByteBpe:
     """The vocabulary of this worker process, read once."""
-    return kept(f"bytebpe:{path}", lambda: ByteBpe(path))
+    return kept(f"bytebpe:{path}", lambda: ByteBpe(path), OWNER)
 
 
-def recent(name: str, path: str) -> Recent:
-    return kept(f"{name}:{path}", lambda: Recent(WORDS_KEPT))
+def recent(name: str, path: str, weigh=len) -> Recent:
+    return kept(f"{name}:{path}", lambda: Recent(BYTES_KEPT, weigh), OWNER)

@@ -144,7 +144,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 512)
     source = df.select(*keep, F.col(text).alias("_counted"))
 
     def run(batches):
-        v, cache = vocabulary(path), recent("chunk counts", path)
+        v, cache = vocabulary(path), recent("chunk counts", path, lambda n: 0)
         for batch in slices(batches):
             rows = []
             for t in texts_of(batch.column(batch.num_columns - 1)):

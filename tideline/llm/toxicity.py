@@ -166,7 +166,7 @@ def evidence(decisions, bias: float) -> tuple[float, float]:
 def sentence_features(texts: list[str], landmarks: tuple[str, ...], name: str) -> list[np.ndarray]:
     """For each text a matrix with a row for each sentence that has a word like some landmark (none: no rows), and one for
     such words that only the whole text has, as the cut of sentences takes them apart."""
-    cache = kept(f"toxic words:{name}", lambda: Recent(200_000))
+    cache = kept(f"toxic words:{name}", lambda: Recent(40 << 20, lambda v: 112 + 8 * len(v) if len(v) else 0))
     marks = list(landmarks)
     norms = kept(f"toxic norms:{name}", lambda: own_norms(marks))
     words = [words_of(t) for t in texts]

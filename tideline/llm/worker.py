@@ -2,44 +2,60 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+ENTRY = 180  # bytes of a dictionary's slot and the headers of a key and a value
 ROWS = 1024  # rows handled at once; long texts make even this many a fair batch
 
 
-HELD = 3  # values a worker keeps, as many as one operator needs
-
-
-def kept(name: str, make: Callable):
+def kept(name: str, make: Callable, owner: str | None = None):
     """What ``make()`` gives, made once per worker process and kept for its later tasks.
 
     Functions travel by value, so their module globals are new in each task; a module object
-    entered in ``sys.modules`` stays. Only the values used last are kept, so the stages of a pipeline do not add up.
+    entered in ``sys.modules`` stays. It holds the values of one ``owner`` (the module of ``make``, unless given): when another
+    operator asks for its first value, those of the one before are dropped and their memory is handed back before
+    the new value is made, so the stages of a pipeline do not add up.
     """
-    store = sys.modules.setdefault("tideline_worker_store", types.ModuleType("tideline_worker_store")).__dict__.setdefault("held", {})
-    value = store.pop(name) if name in store else make()
-    store[name] = value
-    while len(store) > HELD:
-        del store[next(iter(store))]
-    return value
+    store = sys.modules.setdefault("tideline_worker_store", types.ModuleType("tideline_worker_store")).__dict__
+    owner = owner or make.__module__
+    if store.get("owner") != owner:
+        store["owner"], store["held"] = owner, {}
+        hand_back()
+    held = store["held"]
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def hand_back() -> None:
+    """Returns freed memory to the system, where its allocator offers that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 class Recent:
-    """A dictionary that forgets: two generations of at most ``size`` entries.
+    """A dictionary that forgets: two generations of about ``size`` bytes each; ``weigh`` tells the bytes of a value.
 
     A key found in the older one moves to the newer one, so frequent keys stay.
     """
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self, size: int, weigh: Callable = len):
+        self.size, self.weigh, self.used, self.new, self.old = size, weigh, 0, {}, {}
 
     def put(self, key, value) -> None:
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
+        if self.used >= self.size:
+            self.old, self.new, self.used = self.new, {}, 0
+        self.used += len(key) + self.weigh(value) + ENTRY
         self.new[key] = value
 
     def find(self, keys: list) -> tuple[dict, list]:
@@ -53,7 +69,7 @@ class Recent:
                     unknown[k] = None
                     continue
                 self.put(k, v)
-                new = self.new
+                new, old = self.new, self.old
             found[k] = v
         return found, list(unknown)
 
