@@ -33,8 +33,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every row of the mix."""
-    return bpe.round_trip(docs.select("doc_id", "source", "text"), vocabulary_path()).drop("text")
+    """The token ids of every row of the mix, and their digests. Rows of one document hold the words that different rounds took of it."""
+    return bpe.round_trip(docs.select("doc_id", "source", "text"), vocabulary_path(), with_ids=True).drop("text")
 
 
 STAGES = [("toxicity", toxic_out), ("quality rules", poor_out), ("near duplicates", copies_out), ("mixing sources", mixed), ("tokens", encoded)]
