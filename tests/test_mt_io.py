@@ -99,9 +99,6 @@ def test_sinks(spark, tmp_path):
     counts = {(r.split, r.label): r.n for r in sk.write_split_partitioned(df, str(tmp_path / "parts")).collect()}
     assert counts == {("test", "b"): 1, ("calib", "a"): 1, ("test", "a"): 1} and (tmp_path / "parts" / "split=calib").exists()
     batch = spark.createDataFrame([("reply", 1), ("alert", 1), ("muted", 2)], "kind string, id int")
-    for _ in range(2):  # a repeated batch must not be stored twice
-        sk.write_outbound(batch, 7, str(tmp_path / "m"), str(tmp_path / "a"))
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 1 and spark.read.parquet(str(tmp_path / "a")).count() == 1
     assert sk.erase_phone(batch.withColumnRenamed("id", "phone"), spark.createDataFrame([(1,)], "phone int")).count() == 1
 
 

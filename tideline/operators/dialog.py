@@ -193,10 +193,14 @@ def _reply() -> list[Column]:
             F.when(paired, F.col("_prev.id")).alias("original_id"), alert.alias("alert"), due.alias("due")]
 
 
+# Why a human is called, by action; an escalated report speaks through its verdict.
+ALERT_NOTES = {"help": "asked for HELP", "agent_requested": "asked for an agent", "followup_worse": "follow-up: getting worse"}
+
+
 def alert_text(phone, note, original, english, label, proba, reason) -> Column:
     """What a human needs to act on, one fact per line; absent facts take no line."""
     line = lambda head, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(head), c))
-    proposed = F.when(label.isNotNull(), F.concat(label, F.lit(" (p="), F.format_string("%.2f", F.coalesce(proba, F.lit(0.0))), F.lit(")")))
+    proposed = F.when(label.isNotNull(), F.concat(label, F.lit(" (p="), F.format_string("%.2f", F.floor(F.coalesce(proba, F.lit(0.0)) * 100 + 0.5) / 100), F.lit(")")))
     return F.concat_ws("\n", F.concat(phone.cast("string"), F.lit(" needs a human.")), F.when(note != "", note), line("Said: ", original),
                        F.when(label.isNotNull(), F.concat(F.lit("English: "), F.coalesce(english, original))), line("Proposed: ", proposed), line("Why: ", reason))
 

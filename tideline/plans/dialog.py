@@ -14,8 +14,11 @@ from tideline.plans.text import SQL_LABEL_LIST, SQL_OPINIONS, event_opinions, sq
 NAMES = {"alpha": "leaf_rust", "beta": "phoma", "gamma": "healthy", "other": "other"}
 
 
-def message_columns(events, keep=()):
-    """Message columns of dialog from an events frame; row-level only, so a stream can use it too."""
+def message_columns(events, keep=(), facts=False):
+    """Message columns of dialog from an events frame; row-level only, so a stream can use it too.
+
+    ``facts`` adds what an alert tells: the message, its English and why the two opinions led to no answer.
+    """
     rows = event_opinions(events)
     rename = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), F.col(c))
     k, kind = F.col("k"), F.col("event_type")
@@ -26,19 +29,20 @@ def message_columns(events, keep=()):
         F.col("event_id").alias("id"), F.col("user_id").alias("phone"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
         epoch_of("ts").alias("epoch"), kw.alias("kw"), (kw.isNull() & (kind == "purchase")).alias("price"), rename("label").alias("label"),
         F.when(kind == "view", F.col("proba") / 2).otherwise(F.col("proba")).alias("proba"), rename("llm_label").alias("llm_label"),
-        *keep, F.col("llm_sure"), (k % 11 == 0).alias("price_en"), (kind.isin("click", "view", "error") & kw.isNull() & (k % 6 == 0)).alias("_d"), k)
+        *keep, kind.alias("said"), F.col("llm_sure"), (k % 11 == 0).alias("price_en"), (kind.isin("click", "view", "error") & kw.isNull() & (k % 6 == 0)).alias("_d"), k)
     rows = rows.select("*", F.when(F.col("_d"), (k % 3 + 1 + F.pmod(F.floor(k / 6), F.lit(3))).cast("string")).alias("digit0"))
     lang = (F.when(F.col("_d"), None).when(F.col("kw").isNotNull(), F.when(k % 4 == 0, "lg"))
              .when(k % 3 == 0, "en").when(k % 3 == 1, "lg"))
     v = dec.decide("label", "proba", "llm_label", "llm_sure", False)
     return (rows.withColumn("digit", F.when(F.col("digit0").isin("1", "2", "3"), F.col("digit0")))
             .withColumn("lang_event", lang).withColumn("_v", v)
-            .select(*keep, "id", "phone", "at", "epoch", "kw", "price", "digit", "lang_event", "price_en", "label", "_v.decision", "_v.template_id",
+            .select(*keep, *([F.concat_ws(" #", "said", "k").alias("said"), F.when(F.col("lang_event") == "lg", F.concat(F.lit("in English #"), "k")).alias("english"),
+                              F.when(k % 5 == 0, "no second opinion").alias("reason")] if facts else []), "id", "phone", "at", "epoch", "kw", "price", "digit", "lang_event", "price_en", "label", "_v.decision", "_v.template_id",
                     F.struct("label", "proba", "llm_label", "llm_sure", "price_en").alias("opinion")))
 
 
-def messages(spark, sf):
-    return message_columns(table(spark, sf, "events"))
+def messages(spark, sf, facts=False):
+    return message_columns(table(spark, sf, "events"), facts=facts)
 
 
 def pair_verdict(earlier):

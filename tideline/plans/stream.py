@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.operators.dialog import ALERT_NOTES
+from tideline.plans.content import SQL_REPLIES, SQL_TEMPLATES, sent_templates
 from tideline.plans.dialog import CONVERSATION_COLUMNS, SQL_CONVERSATION, SQL_MESSAGES, messages
 from tideline.plans.registry import query, table
 from tideline.session import cut_lineage, fresh_path
-from tideline.sources.sinks import write_outbound
 from tideline.streaming.conversation import ROCKSDB, conversation_stream
 from tideline.streaming.inbound import dedup_inbound, file_stream, inbound_stream
+from tideline.streaming.outbox import Outbox, outbound
 
 ROWS_PER_BATCH = 1_000_000
 LATENESS = "10 minutes"
@@ -68,15 +70,6 @@ def _(spark, sf):
     return spark.read.parquet(path).filter("kind IN ('reply', 'muted')").select(*CONVERSATION_COLUMNS)
 
 
-@query("stream_outbound", f"""
-    WITH c AS ({SQL_CONVERSATION}) SELECT 'messages' AS sink, action, count(*) AS n FROM c WHERE action <> 'muted' GROUP BY 2
-    UNION ALL SELECT 'alerts', action, count(*) FROM c WHERE alert GROUP BY 2""")
-def _(spark, sf):
-    path = replay(spark, messages(spark, sf), lambda df, n, p: write_outbound(df, n, f"{p}/messages", f"{p}/alerts"))
-    parts = [spark.read.parquet(f"{path}/{s}").select(F.lit(s).alias("sink"), "action") for s in ("messages", "alerts")]
-    return parts[0].unionByName(parts[1]).groupBy("sink", "action").agg(F.count("*").alias("n"))
-
-
 @query("stream_followups", f"""
     WITH c AS ({SQL_CONVERSATION}), m AS ({'WITH ' + SQL_MESSAGES} SELECT phone, id, n, kw, epoch FROM msgs)
     SELECT c.phone, c.due, count(*) AS n FROM c JOIN m ON m.id = c.id WHERE c.due IS NOT NULL
@@ -87,6 +80,34 @@ def _(spark, sf):
     return rows.groupBy("phone", "due").agg(F.count("*").alias("n"))
 
 
+SQL_FIRED = f"""(WITH c AS ({SQL_CONVERSATION}), m AS ({'WITH ' + SQL_MESSAGES} SELECT phone, id, n, kw, epoch, lang_event FROM msgs)
+    SELECT DISTINCT c.phone, c.due, coalesce((SELECT arg_max(l.lang_event, l.n) FROM m l WHERE l.phone = c.phone AND l.epoch < c.due AND l.lang_event IS NOT NULL), 'en') AS lang
+    FROM c JOIN m ON m.id = c.id WHERE c.due <= (SELECT max(epoch) FROM m)
+      AND NOT EXISTS (SELECT 1 FROM m s WHERE s.phone = c.phone AND s.kw = 'STOP' AND s.n > m.n AND s.epoch < c.due))"""
+SQL_ALERT_NOTE = "CASE action " + " ".join(f"WHEN '{a}' THEN '{n}'" for a, n in ALERT_NOTES.items()) + " END"
+
+
+def sql_said(template: str, lang: str) -> str:
+    return f"(SELECT CASE WHEN {lang} = 'lg' AND t.lg <> '' THEN t.lg ELSE t.en END FROM {SQL_TEMPLATES} WHERE template_id = '{template}')"
+
+
+@query("stream_outbound", f"""
+    SELECT 'reply' AS kind, phone, 'reply:' || id AS key, text FROM {SQL_REPLIES}
+    UNION ALL SELECT 'welcome', phone, 'welcome:' || phone, {sql_said('welcome', 'c.lang')} FROM ({SQL_CONVERSATION}) c WHERE welcome
+    UNION ALL SELECT 'followup', phone, 'followup:' || phone || ':' || due, {sql_said('followup_q', 'f.lang')} FROM {SQL_FIRED} f
+    UNION ALL SELECT 'alert', c.phone, 'alert:' || c.id, concat_ws(chr(10), c.phone || ' needs a human.', {SQL_ALERT_NOTE}, 'Said: ' || m.kind || ' #' || m.k,
+        CASE WHEN c.label IS NOT NULL THEN 'English: ' || CASE WHEN m.lang_event = 'lg' THEN 'in English #' || m.k ELSE m.kind || ' #' || m.k END END,
+        'Proposed: ' || c.label || printf(' (p=%.2f)', floor(greatest(m.proba, o.proba) * 100 + 0.5) / 100), CASE WHEN c.label IS NOT NULL AND m.k % 5 = 0 THEN 'Why: no second opinion' END)
+      FROM ({SQL_CONVERSATION}) c JOIN (WITH {SQL_MESSAGES} SELECT * FROM msgs) m USING (id) LEFT JOIN (WITH {SQL_MESSAGES} SELECT id, proba FROM msgs) o ON o.id = c.original_id
+      WHERE c.alert""")
+def _(spark, sf):
+    """All that goes out over the log, with the price board of the first market in the price message."""
+    templates = cut_lineage(sent_templates(spark, sf))
+    box = Outbox(spark, fresh_path(spark, "outbox"))
+    replay(spark, messages(spark, sf, facts=True), lambda df, n, p: box.put(outbound(df, templates)))
+    return box.sent().select("kind", "phone", "key", "text")
+
+
 @query("stream_dedup", """
     SELECT user_id, count(*) AS n FROM (SELECT user_id FROM events WHERE event_type = 'error'
       UNION ALL SELECT DISTINCT user_id FROM events WHERE event_type <> 'error') GROUP BY 1""")

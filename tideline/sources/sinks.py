@@ -1,4 +1,4 @@
-"""Sinks: split-partitioned tables, good and bad records, sorted corpora, outbound logs."""
+"""Sinks: split-partitioned tables, good and bad records, sorted corpora."""
 
 from __future__ import annotations
 
@@ -40,17 +40,6 @@ def write_sorted_corpus(df: DataFrame, path: str, order=CORPUS_ORDER, fmt: str =
     out.write.mode("overwrite").format(fmt).save(path)
 
 
-def write_outbound(batch: DataFrame, batch_id: int, messages: str, alerts: str) -> None:
-    """One micro-batch to the message log and the alert table.
-
-    Each batch owns a folder named by its id, overwritten whole, so a batch that is run again after
-    a failure leaves nothing twice.
-    """
-    stored = cut_lineage(batch)
-    stored.filter("kind = 'reply'").write.mode("overwrite").parquet(f"{messages}/batch={batch_id}")
-    stored.filter("kind = 'alert'").write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
-
-
 def erase_phone(df: DataFrame, phones: DataFrame, key: str = "phone") -> DataFrame:
     """The table without the rows of the given senders."""
     return df.join(phones.select(key).distinct(), key, "left_anti")

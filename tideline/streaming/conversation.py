@@ -19,9 +19,10 @@ from tideline.functions.decision import OTHER, THRESHOLD
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = ("phone long, id long, kind string, action string, label string, decision string, template_id string, "
-          "original_id long, lang string, welcome boolean, alert boolean, due long")
+          "original_id long, lang string, welcome boolean, alert boolean, due long, epoch long, said string, english string, proba double, reason string")
 STATE = ("stopped boolean, welcomed boolean, lang string, pending string, asked_id long, label string, proba double, "
          "llm_label string, llm_sure boolean, price_en boolean, open array<long>")
+FACTS = ("said", "english", "reason")  # what an alert tells of the message, where the input has it
 REQUIRED = ("id", "phone", "at", "epoch", "kw", "price", "digit", "lang_event", "price_en", "label", "decision", "template_id", "opinion")
 
 
@@ -76,12 +77,13 @@ class Conversation(StatefulProcessor):
         for due in sorted(d for d in s["open"] if d <= until):
             s["open"].remove(due)
             s.update(pending="followup", asked_id=None, asked=None)
-            yield self._row(phone, None, "followup", "followup_q", s, template="followup_q", due=due)
+            yield self._row(phone, None, "followup", "followup_q", s, template="followup_q", due=due, epoch=due)
 
     @staticmethod
-    def _row(phone, row_id, kind, action, s, label=None, decision=None, template=None, original=None, welcome=False, alert=False, due=None):
+    def _row(phone, row_id, kind, action, s, label=None, decision=None, template=None, original=None, welcome=False, alert=False, due=None, epoch=None,
+             said=None, english=None, proba=None, reason=None):
         return Row(phone=phone, id=row_id, kind=kind, action=action, label=label, decision=decision, template_id=template,
-                   original_id=original, lang=s["lang"], welcome=welcome, alert=alert, due=due)
+                   original_id=original, lang=s["lang"], welcome=welcome, alert=alert, due=due, epoch=epoch, said=said, english=english, proba=proba, reason=reason)
 
     def handleInputRows(self, key, rows, timerValues):
         phone, s = key[0], self._load()
@@ -108,10 +110,10 @@ class Conversation(StatefulProcessor):
                 for due in s["open"]:
                     self.handle.deleteTimer(due * 1000)
                 s["open"] = []
-            yield self._row(phone, r.id, "reply", action, s, template=action)
+            yield self._row(phone, r.id, "reply", action, s, template=action, epoch=r.epoch)
             return
         if s["stopped"]:
-            yield self._row(phone, r.id, "muted", "muted", s)
+            yield self._row(phone, r.id, "muted", "muted", s, epoch=r.epoch)
             return
         welcome, s["welcomed"] = not s["welcomed"], True
         quick = {"PRICE": "prices", "HELP": "help", "AGENT": "agent_requested"}.get(r.kw) or ("prices" if r.price else None)
@@ -120,12 +122,13 @@ class Conversation(StatefulProcessor):
             if r.digit is not None:
                 quick = "followup_worse" if fixed.FOLLOWUP_ANSWERS[r.digit] == "worse" else "followup_ok"
         if quick:
-            yield from self._emit(phone, r.id, quick, s, template=quick, welcome=welcome)
+            yield from self._emit(phone, r, quick, s, template=quick, welcome=welcome)
             return
         given = r.opinion if isinstance(r.opinion, dict) else r.opinion.asDict()
         mine, original = Opinion(**given), None
+        proba = mine.proba
         if s["pending"] == "clarify":
-            v, original = self.pair(s["asked"], mine), s["asked_id"]
+            v, original, proba = self.pair(s["asked"], mine), s["asked_id"], max(s["asked"].proba, mine.proba)
             s.update(pending="", asked_id=None, asked=None)
         else:
             v = Verdict(r.label, r.decision, r.template_id, r.price_en)
@@ -138,7 +141,7 @@ class Conversation(StatefulProcessor):
                 s.update(pending="clarify", asked_id=r.id, asked=mine)
             elif action == "answer" and v.label in fixed.FOLLOWED_UP:
                 due = self._schedule(s, r.epoch)
-        yield from self._emit(phone, r.id, action, s, v.label, v.decision, template, original, welcome, due)
+        yield from self._emit(phone, r, action, s, v.label, v.decision, template, original, welcome, due, proba)
 
     def _schedule(self, s, epoch):
         due = (epoch + 3 * 86400 + 3 * 3600) // 86400 * 86400 + 15 * 3600
@@ -146,11 +149,16 @@ class Conversation(StatefulProcessor):
         self.handle.registerTimer(due * 1000)
         return due
 
-    def _emit(self, phone, row_id, action, s, label=None, decision=None, template=None, original=None, welcome=False, due=None):
+    def _emit(self, phone, r, action, s, label=None, decision=None, template=None, original=None, welcome=False, due=None, proba=None):
+        """The welcome of a first contact, the reply, and the alert if a human is needed."""
         alert = action in ("help", "agent_requested", "followup_worse", "escalate")
-        yield self._row(phone, row_id, "reply", action, s, label, decision, template, original, welcome, alert, due)
+        if welcome:
+            yield self._row(phone, r.id, "welcome", "welcome", s, template="welcome", epoch=r.epoch)
+        yield self._row(phone, r.id, "reply", action, s, label, decision, template, original, welcome, alert, due, r.epoch)
         if alert:
-            yield self._row(phone, row_id, "alert", action, s, label, decision, template, original, alert=True)
+            known = r.asDict()
+            facts = {c: known.get(c) for c in FACTS if c == "said" or label is not None}
+            yield self._row(phone, r.id, "alert", action, s, label, decision, template, original, alert=True, epoch=r.epoch, proba=proba, **facts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         s = self._load()
