@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import pytest
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -52,6 +54,30 @@ def test_allocate_splits_equals_the_sequential_rule(spark):
         assert got == place(units, fixed.RATIOS, 3, existing)
 
 
+@pytest.mark.parametrize("ratios", [[0.7, 0.15, 0.15], [0.5, 0.5], [0.8, 0.1, 0.05, 0.05], [0.333, 0.667], [0.123, 0.877], [1.0]])
+def test_patterns_equal_the_rule_unit_by_unit(ratios):
+    """Random runs and frozen starts far from their shares, ties included, against the rule one unit after the other."""
+    rng, parts = random.Random(len(ratios)), [r / sum(ratios) for r in ratios]
+    for _ in range(15):
+        have = [rng.choice([0, 0, 7, 900]) for _ in ratios]
+        runs = [(w, rng.choice([1, 3, 50, 2500])) for w in sorted(rng.sample(range(1, 60), 4), reverse=True)]
+        got = [r.pattern[i % len(r.pattern)] for _, rs in sp.placing(ratios, have, runs) for r in rs for i in range(r.length)]
+        want, placed = [], sum(have)
+        for w, n in runs:
+            for _ in range(n):
+                placed += w
+                lack = [r * placed - h for r, h in zip(parts, have)]
+                best = lack.index(max(lack))
+                have[best] += w
+                want.append(best)
+        assert got == want
+
+
+def test_a_run_takes_few_steps_however_long_it_is():
+    runs = list(sp.placing(list(fixed.RATIOS.values()), [0, 10**6, 5], [(7, 10**7), (1, 10**9)]))
+    assert sum(r.length for _, rs in runs for r in rs) == 10**9 + 10**7 and sum(len(rs) for _, rs in runs) < 400
+
+
 def test_gap_drops_only_rows_near_a_foreign_block(spark):
     rows = [(i, "photo", f"d/1_{i}.jpg", "a", "train" if i < 100 else "test") for i in range(60, 140)] + [(999, "sms", "s", "a", "train")]
     df = spark.createDataFrame(rows, "id long, kind string, source_id string, label string, split string")
