@@ -1,7 +1,11 @@
 """Translation metrics, readers and sinks on small inputs."""
 
+import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import content as ct
@@ -29,6 +33,31 @@ def test_chrf_sentence(spark):
         assert abs(got[key] - want) < 1e-9, key
 
 
+@pytest.mark.parametrize("units", [1, 30, 1 << 19])
+@pytest.mark.parametrize("words", [False, True])
+def test_counts_of_a_batch_by_definition(units, words, monkeypatch):
+    """All pairs of a batch at once, in stretches of any size, with empty sides, nulls and letters beyond the first plane."""
+    monkeypatch.setattr(mt, "UNITS", units)
+    rng = random.Random(units)
+    draw = lambda: None if rng.random() < 0.1 else [rng.choice(["a", "b", "é", "𝔘", "ab"]) for _ in range(rng.choice([0, 1, 3, 12, 40]))]
+    sides = [(draw(), draw()) for _ in range(60)]
+    kind = pa.list_(pa.string()) if words else pa.string()
+    made = [pa.array([x if words or x is None else "".join(x) for x in side], kind) for side in zip(*sides)]
+    got = mt._counted(made[0].slice(3), made[1].slice(3), 5).to_pylist()
+    for (h, r), counts in zip(sides[3:], got):
+        h, r = (tuple(x or ()) if words else "".join(x or ()) for x in (h, r))
+        assert counts == [{"n": n, "matched": (grams(h, n) & grams(r, n)).total(), "said": max(0, len(h) - n + 1), "wanted": max(0, len(r) - n + 1)} for n in range(1, 6)]
+    assert mt._counted(made[0].slice(0, 0), made[1].slice(0, 0), 5).to_pylist() == []
+
+
+def test_a_pair_too_long_for_one_number(monkeypatch):
+    """Ranks and places that do not fit one number are sorted by their places."""
+    h, r = pa.array(["ab" * 50, "x"]), pa.array(["ba" * 60, "x"])
+    want = mt._counted(h, r, 6).to_pylist()
+    monkeypatch.setattr(mt, "_in_order", lambda high, at: (np.sort(high), at[np.argsort(high, kind="stable")]))
+    assert mt._counted(h, r, 6).to_pylist() == want
+
+
 def test_bleu_identity_and_smoothing(spark):
     df = spark.createDataFrame([("a", "The cat, sat on it.", "The cat, sat on it."), ("b", "no", "yes")], "pair_id string, hyp string, ref string")
     assert mt.bleu_corpus(df.filter("pair_id = 'a'")).first().bleu == 100.0

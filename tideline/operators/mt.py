@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,8 @@ from tideline.functions.vector import let
 
 _COUNTS = pa.list_(pa.struct([("n", pa.int32()), ("matched", pa.int64()), ("said", pa.int64()), ("wanted", pa.int64())]))
 
+UNITS = 1 << 19  # characters or words counted at once
+
 
 def squeeze(text, lower: bool = True) -> Column:
     """White space to single spaces, none at the ends."""
@@ -41,31 +42,74 @@ def tokens(text) -> Column:
     return F.filter(F.split(squeeze(text, lower=False), " "), lambda w: w != "")
 
 
-def _clipped(h: np.ndarray, r: np.ndarray, max_n: int) -> Iterator[tuple[int, int, int]]:
-    """(matched, said, wanted) per order, for two sequences of unit numbers.
+def _units(side: pa.Array) -> tuple[np.ndarray | pa.Array, np.ndarray]:
+    """All units of a column, one text after the other, and the length of each text: code points of strings, words of arrays."""
+    if pa.types.is_list(side.type):
+        return side.flatten(), pc.fill_null(pc.list_value_length(side), 0).to_numpy().astype(np.int64)
+    codes = np.frombuffer("".join(pc.fill_null(side, "").to_pylist()).encode("utf-32-le"), np.uint32)
+    return codes, pc.fill_null(pc.utf8_length(side), 0).to_numpy().astype(np.int64)
 
-    An n-gram's number is its rank among the pairs (rank of its first n - 1 units, last unit), so
-    equal numbers mean equal n-grams.
-    """
-    base = int(max(h.max(initial=0), r.max(initial=0))) + 1
-    gh, gr = h, r
-    for n in range(1, max_n + 1):
-        if n > 1:
-            gh, gr = (g[:-1] * base + u[n - 1:] if len(g) else g for g, u in ((gh, h), (gr, r)))
-        grams, number = np.unique(np.concatenate([gh, gr]), return_inverse=True)
-        gh, gr = number[:len(gh)], number[len(gh):]
-        counts = [np.bincount(g, minlength=len(grams)) for g in (gh, gr)]
-        yield int(np.minimum(*counts).sum()), len(gh), len(gr)
+
+def _numbered(h, r) -> tuple[np.ndarray, np.ndarray]:
+    """The units of both sides as small whole numbers."""
+    if isinstance(h, pa.Array):
+        number = pa.concat_arrays([h, r]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        return number[:len(h)], number[len(h):]
+    seen = np.zeros(0x110000, bool)
+    seen[h] = seen[r] = True
+    number = np.cumsum(seen) - 1
+    return number[h], number[r]
 
 
-def _numbered(h, r) -> list[np.ndarray]:
-    """The units of both sides, characters or words, as small whole numbers."""
-    if isinstance(h, str):
-        sides = [np.frombuffer(u.encode("utf-32-le"), dtype=np.uint32) for u in (h, r)]
-        number = np.unique(np.concatenate(sides), return_inverse=True)[1].astype(np.int64)
-        return [number[:len(sides[0])], number[len(sides[0]):]]
-    seen: dict[str, int] = {}
-    return [np.array([seen.setdefault(w, len(seen)) for w in u], dtype=np.int64) for u in (h, r)]
+def _in_order(high: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``high`` ascending and ``at`` likewise: as one number where both fit, since plain sorting is faster than sorting places."""
+    bits = int(at.max(initial=0)).bit_length()
+    if int(high.max(initial=0)).bit_length() + bits < 64:
+        both = np.sort(high << bits | at)
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.argsort(high, kind="stable")
+    return high[order], at[order]
+
+
+def _clipped(units: np.ndarray, pair: np.ndarray, end: np.ndarray, refs: int, pairs: int, max_n: int) -> np.ndarray:
+    """Clipped matches, a row per pair and a column per order, of all pairs at once.
+
+    ``units`` holds all hypotheses, then from ``refs`` on all references; ``pair`` and ``end`` tell each place's pair and the end of its text.
+    An n-gram's number is its rank among (rank of its first n - 1 units, last unit). The first ranks are the pairs, so
+    equal numbers mean equal n-grams of one pair, and one sort per order counts them for every pair.
+    """
+    base, out = int(units.max(initial=0)) + 1, np.zeros((pairs, max_n), np.int64)
+    rank, at = pair.copy(), np.arange(len(units))
+    for n in range(1, max_n + 1):
+        at = at[at + n <= end[at]]
+        if not len(at):
+            break
+        grams, places = _in_order(rank[at] * base + units[at + n - 1], at)
+        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        rank[places] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(grams)]))
+        wanted = np.add.reduceat((places >= refs).astype(np.int64), first)
+        said = np.diff(np.r_[first, len(grams)]) - wanted
+        out[:, n - 1] = np.bincount(pair[places[first]], weights=np.minimum(said, wanted), minlength=pairs)
+    return out
+
+
+def _counted(h: pa.Array, r: pa.Array, max_n: int) -> pa.Array:
+    """Counts of the pairs of a batch; a stretch of pairs with about ``UNITS`` units is counted at once."""
+    orders, rows = np.arange(1, max_n + 1), []
+    sizes = [_units(x)[1] for x in (h, r)]
+    upto, low = np.cumsum(sizes[0] + sizes[1]), 0
+    while low < len(h):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + UNITS, "right")))
+        n, both = high - low, [_units(x.slice(low, high - low)) for x in (h, r)]
+        lengths = np.concatenate([both[0][1], both[1][1]])
+        pair, end = np.repeat(np.r_[np.arange(n), np.arange(n)], lengths), np.repeat(np.cumsum(lengths), lengths)
+        numbers = _numbered(both[0][0], both[1][0])
+        matched = _clipped(np.concatenate(numbers), pair, end, len(numbers[0]), n, max_n)
+        rows.append([np.tile(orders, n), matched.ravel(), *(np.maximum(x[1][:, None] + 1 - orders, 0).ravel() for x in both)])
+        low = high
+    columns = [np.concatenate(c) for c in zip(*rows)] if rows else [np.empty(0, np.int64)] * 4
+    flat = pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _COUNTS.value_type)], fields=list(_COUNTS.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * max_n, pa.int32()), flat)
 
 
 def gram_counts(pairs: DataFrame, hyp: Column, ref: Column, max_n: int) -> DataFrame:
@@ -76,9 +120,7 @@ def gram_counts(pairs: DataFrame, hyp: Column, ref: Column, max_n: int) -> DataF
     """
     @F.arrow_udf("array<struct<n:int,matched:long,said:long,wanted:long>>")
     def count(hs: pa.Array, rs: pa.Array) -> pa.Array:
-        rows = [[{"n": n, "matched": m, "said": s, "wanted": w} for n, (m, s, w) in enumerate(_clipped(*_numbered(h, r), max_n), 1)]
-                for h, r in zip(hs.to_pylist(), rs.to_pylist())]
-        return pa.array(rows, type=_COUNTS)
+        return _counted(hs, rs, max_n)
 
     return pairs.withColumn("counts", count(hyp, ref))
 
