@@ -4,9 +4,13 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import struct
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -241,6 +245,23 @@ def test_language_scores_of_odd_rows(spark):
     assert {(r.n_known, r.train_tokens) for r in unknown} == {(0, 0)} and all(math.isfinite(r.score) for r in unknown)
 
 
+def test_workers_need_not_have_the_package(tmp_path):
+    """A session that was started in another folder, whose workers cannot import this package."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from tideline.llm import language, lm, phrases
+from tideline.session import build_session
+spark = build_session("elsewhere", "local[2]", spark__sql__shuffle__partitions=2, spark__ui__enabled="false")
+docs = spark.createDataFrame([(i, "the cat sat on the mat and the dog " * 3, "en") for i in range(40)], "doc_id long, text string, lang string")
+assert lm.language_scores(docs).count() == language.predict(docs, language.learn(docs)).count() == 40 and phrases.phrases(docs).count() > 0
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert ran.stdout.strip().endswith("done"), ran.stderr[-2000:]
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns

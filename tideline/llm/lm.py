@@ -334,10 +334,11 @@ def train(df: DataFrame, corpus: Corpus, size: int = 16, passes: int = 1) -> Wei
     if not corpus.total:
         return weights
     for turn in range(passes):
-        shared = spark.sparkContext.broadcast((corpus, weights.rows()))
+        shared = spark.sparkContext.broadcast((vars(corpus), weights.rows()))
 
         def run(batches, shared=shared, turn=turn):
-            told, rows = shared.value
+            fields, rows = shared.value  # plain arrays: a broadcast names classes, which workers need not have
+            told = Corpus(**fields)
             learner, rng = Learner(Weights.of(rows, told), told, told.noise, rate=0.15 / (turn + 1)), None
             for batch in slices(batches):
                 ids = [told.ids(tokens_of(t)) for t in texts_of(batch.column(0))]
@@ -368,11 +369,12 @@ def score(df: DataFrame, counts: DataFrame, corpus: Corpus, weights: Weights) ->
     Frequent tokens are counted where the text is read. The others, each a small share of all, meet their counts
     in a join and are summed per row.
     """
-    shared = df.sparkSession.sparkContext.broadcast((corpus, weights.rows()))
+    shared = df.sparkSession.sparkContext.broadcast((vars(corpus), weights.rows()))
     schema = "_row long, doc_id long, n_tokens long, known long, base double, model double, rare array<long>, times array<int>"
 
     def run(batches):
-        told, rows = shared.value
+        fields, rows = shared.value
+        told = Corpus(**fields)
         m = Weights.of(rows, told)
         log_times, log_rest = np.log10(told.times + ADD), np.log10(told.rest)
         row = TaskContext.get().partitionId() << 40
