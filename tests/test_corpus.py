@@ -25,7 +25,7 @@ def skewed(spark, n=3000):
 def test_exact_median_on_ties_and_skew(spark):
     df = skewed(spark).withColumn("v", F.when(F.col("key") == "hot", F.floor(F.col("x") / 4) * 1.0).otherwise(F.col("id") / 7.0))
     want = {r[0]: r[1] for r in df.groupBy("key").agg(F.median("v")).collect()}
-    got = {r[0]: r[1] for r in ev.exact_median(df, "key", "v", cells=16).collect()}
+    got = {r[0]: r[1] for r in ev.exact_median(df, "key", "v", most=16).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
@@ -54,6 +54,21 @@ def test_allocate_splits_equals_the_sequential_rule(spark):
         assert got == place(units, fixed.RATIOS, 3, existing)
 
 
+def test_exact_median_under_heavy_tails(spark):
+    """Lognormal values, outliers at 1e12, one value that half of a group shares: exact, and no bracket holds more than was asked."""
+    rng = random.Random(8)
+    rows = [(g, rng.lognormvariate(0, 3) if rng.random() < 0.99 else 1e12) for g in ("a", "a", "b", None) for _ in range(900)]
+    rows += [("ties", 5.0 if i % 2 else rng.random() * 10) for i in range(901)] + [("one", 3.0), ("same", 1.0), ("same", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {r[0]: r[1] for r in df.groupBy("g").agg(F.median("v")).collect()}
+    for most in (8, 100):
+        got = {r[0]: r[1] for r in ev.exact_median(df, "g", "v", most=most).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-12 * abs(want[k]) for k in want)
+        found = ev.median_brackets(df.select(F.struct("g").alias("_g"), F.col("v").alias("_x")), most, cuts=16)
+        held = ev.in_bracket(df.select(F.struct("g").alias("_g"), F.col("v").alias("_x")), found).groupBy("_g").agg(F.countDistinct("_x").alias("n"))
+        assert max(r.n for r in held.collect()) <= 2 * (most + 1)
+
+
 @pytest.mark.parametrize("ratios", [[0.7, 0.15, 0.15], [0.5, 0.5], [0.8, 0.1, 0.05, 0.05], [0.333, 0.667], [0.123, 0.877], [1.0]])
 def test_patterns_equal_the_rule_unit_by_unit(ratios):
     """Random runs and frozen starts far from their shares, ties included, against the rule one unit after the other."""

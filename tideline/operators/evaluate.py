@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.dims import fixed
+from tideline.session import cut_lineage
 
 
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
@@ -149,28 +151,52 @@ def chain_summary(df: DataFrame, by: str) -> DataFrame:
         *[F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in ("answer", "clarify", "escalate")])
 
 
-def exact_median(df: DataFrame, by: str, value: str, cells: int = 4096) -> DataFrame:
+def median_brackets(rows: DataFrame, most: int, cuts: int = 256) -> DataFrame:
+    """Per group ``_g`` of ``rows`` (``_g``, ``_x``) the values among which its middle lies: from ``_lo`` to below ``_hi`` (null: no bound), with ``_n`` rows
+    in the group, ``_before`` of them below ``_lo`` and at most ``most`` between ``_lo`` and ``_hi``.
+
+    Bounds come from a sketch of the rows that are left, so they follow the values, however far the tails reach; exact counts per cell then
+    tell which cell holds the middle. A round leaves about one in ``cuts`` rows; a value that many rows share becomes a lower bound.
+    """
+    all_rows = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    none = F.lit(None).cast("double")
+    found = cut_lineage(all_rows.select("_g", "_n", F.lit(0).cast("long").alias("_before"), none.alias("_lo"), none.alias("_hi"), F.col("_n").alias("_inside")))
+    while not (wide := found.filter(F.col("_inside") > most)).isEmpty():
+        left = in_bracket(rows, wide)
+        bounds = left.groupBy("_g").agg(F.percentile_approx("_x", [i / cuts for i in range(cuts + 1)], 10_000).alias("_cuts"))
+        placed = left.join(bounds, "_g").withColumn("_cell", F.size(F.filter("_cuts", lambda c: c <= F.col("_x"))))
+        low = F.get("_cuts", F.col("_cell") - 1)
+        hist = placed.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("_k"), F.count_if(F.col("_x") > F.coalesce(low, F.col("_lo"), F.lit(float("-inf")))).alias("_open"),
+                                                 *[F.first(c).alias(c) for c in ("_n", "_before", "_lo", "_hi")])
+        line = Window.partitionBy("_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are cuts
+        hist = hist.withColumn("_below", F.col("_before") + F.coalesce(F.sum("_k").over(line), F.lit(0)))
+        middle = [F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)]
+        held = hist.filter(reduce(Column.__or__, [(F.col("_below") <= p) & (p < F.col("_below") + F.col("_k")) for p in middle]))
+        held = held.join(bounds, "_g").withColumn("_from", F.coalesce(F.get("_cuts", F.col("_cell") - 1), "_lo")).withColumn("_to", F.coalesce(F.get("_cuts", F.col("_cell")), "_hi"))
+        narrow = held.groupBy("_g").agg(F.first("_n").alias("_n"), F.min("_below").alias("_before"), F.min_by("_from", "_cell").alias("_lo"),
+                                        F.max_by("_to", "_cell").alias("_hi"), F.sum("_open").alias("_inside"))
+        found = cut_lineage(found.filter(F.col("_inside") <= most).unionByName(narrow.select(found.columns)))
+    return found
+
+
+def in_bracket(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+    x = F.col("_x")
+    return rows.join(brackets, "_g").filter((F.col("_lo").isNull() | (x >= F.col("_lo"))) & (F.col("_hi").isNull() | (x < F.col("_hi"))))
+
+
+def exact_median(df: DataFrame, by: str, value: str, most: int = 1 << 16) -> DataFrame:
     """(by, median) without holding a group's values in one place.
 
-    A histogram between the group's ends finds the one or two cells that hold the middle; only their
+    Brackets around the middle are narrowed until one holds at most ``most`` rows above its lower bound; only their
     different values, with counts, are then put in order.
     """
     # The group is a struct, so that a null group joins with itself.
     rows = df.filter(F.col(value).isNotNull()).select(F.struct(by).alias("_g"), F.col(value).cast("double").alias("_x"))
-    ends = rows.groupBy("_g").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / cells
-    cell = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(cells - 1))).otherwise(0)
-    placed = rows.join(ends, "_g").select("_g", "_x", "_n", cell.alias("_cell"))
-    hist = placed.groupBy("_g", "_cell").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
-    before = Window.partitionBy("_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))
-    lower, upper = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
-    inside = lambda p: (F.col("_before") <= p) & (p < F.col("_before") + F.col("_k"))
-    middle = hist.filter(inside(lower) | inside(upper)).select("_g", "_cell", "_before")
-    values = (placed.join(middle, ["_g", "_cell"]).groupBy("_g", "_cell", "_before", "_n", "_x").agg(F.count("*").alias("_k")))
-    upto = Window.partitionBy("_g", "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    values = in_bracket(rows, median_brackets(rows, most)).groupBy("_g", "_n", "_before", "_x").agg(F.count(F.lit(1)).alias("_k"))
+    upto = Window.partitionBy("_g").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     values = values.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_k").over(upto), F.lit(0)))
-    picked = [F.max(F.when(inside(p), F.col("_x"))) for p in (lower, upper)]
+    inside = lambda p: (F.col("_before") <= p) & (p < F.col("_before") + F.col("_k"))
+    picked = [F.max(F.when(inside(p), F.col("_x"))) for p in (F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))]
     return values.groupBy("_g").agg(((picked[0] + picked[1]) / 2).alias("median")).select(F.col("_g")[by].alias(by), "median")
 
 
