@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.operators import content as ct
 from tideline.plans.dialog import SQL_CONVERSATION, conversation
 from tideline.plans.registry import query, table
+from tideline.session import cut_lineage
 from tideline.sources.readers import template_rows
 
 TEMPLATES = json.loads((Path(__file__).parent.parent / "dims" / "templates.json").read_text(encoding="utf-8"))
@@ -55,7 +56,7 @@ def sent_templates(spark, sf):
     first = table(spark, sf, "part").agg(F.min("p_brand").alias("p_brand"))
     body = ct.price_board(market_grades(spark, sf).join(first, "p_brand", "left_semi"), "p_brand", F.lit("{body}"), F.lit(None).cast("string"))
     board = body.select(F.lit("prices").alias("template_id"), F.lit(PRICE_DATE).alias("date"), F.col("board").alias("body"))
-    return ct.filled_templates(template_rows(templates_wide(spark)), board)
+    return cut_lineage(ct.filled_templates(template_rows(templates_wide(spark)), board))  # a few rows that the plan meets twice
 
 
 def replies(spark, sf):
@@ -79,8 +80,8 @@ def _(spark, sf):
 @query("transcript_english", """
     WITH m AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'out' ELSE 'in' END AS direction, text,
         CASE WHEN length(text) > 100 THEN md5(text) END AS text_en FROM conversations),
-    t AS (SELECT text, 'T:' || left(text, 20) AS en FROM (SELECT DISTINCT text FROM conversations WHERE role = 'assistant' AND turn = 1)),
-    c AS (SELECT DISTINCT text, 'C:' || left(text, 20) AS en FROM conversations WHERE turn > 2)
+    t AS (SELECT text, 'T:' || text AS en FROM (SELECT DISTINCT text FROM conversations WHERE role = 'assistant' AND turn = 1)),
+    c AS (SELECT DISTINCT text, 'C:' || text AS en FROM conversations WHERE turn > 2)
     SELECT conv_id, turn, CASE WHEN direction = 'out' AND t.en IS NOT NULL THEN t.en ELSE coalesce(c.en, text_en) END AS english,
       CASE WHEN direction = 'out' AND t.en IS NOT NULL THEN 'template' WHEN c.en IS NOT NULL THEN 'cache' WHEN text_en IS NOT NULL THEN 'model' END AS via
     FROM m LEFT JOIN t USING (text) LEFT JOIN c USING (text)""")
@@ -88,11 +89,11 @@ def _(spark, sf):
     conv = table(spark, sf, "conversations")
     msgs = conv.select("conv_id", "turn", F.when(F.col("role") == "assistant", "out").otherwise("in").alias("direction"), "text",
                        F.when(F.char_length("text") > 100, F.md5(F.col("text").cast("binary"))).alias("text_en"))
-    short = lambda head: F.concat(F.lit(head), F.left("text", F.lit(20)))
+    made = lambda head: F.concat(F.lit(head), "text")
     opening = conv.filter("role = 'assistant' AND turn = 1").select("text").distinct()
     templates = opening.select(F.sha2("text", 256).alias("template_id"), F.explode(F.array(
-        F.struct(F.lit("lg").alias("lang"), F.col("text")), F.struct(F.lit("en").alias("lang"), short("T:").alias("text")))).alias("t"))
-    cache = conv.filter("turn > 2").select("text", short("C:").alias("translated")).distinct()
+        F.struct(F.lit("lg").alias("lang"), F.col("text")), F.struct(F.lit("en").alias("lang"), made("T:").alias("text")))).alias("t"))
+    cache = conv.filter("turn > 2").select("text", made("C:").alias("translated")).distinct()
     return ct.transcript_english(msgs, templates.select("template_id", "t.*"), cache).select("conv_id", "turn", "english", "via")
 
 

@@ -9,7 +9,7 @@ from tideline.functions import text as tx
 from tideline.operators import corpus as co
 from tideline.operators import splits as sp
 from tideline.operators.scan import row_position
-from tideline.plans.registry import query, quoted, sql_norm, table
+from tideline.plans.registry import query, quoted, sql_norm, sql_strip, table
 from tideline.plans.text import FLAG_RE, dim, sql_word_matches
 from tideline.session import cut_lineage
 
@@ -396,11 +396,16 @@ def _(spark, sf):
             .orderBy("conv_id", "turn").limit(30).select("conv_id", "turn", "text"))
 
 
-@query("capped_items", """
-    SELECT 'doc' AS src, doc_id AS id, substr(text, 1, 500) AS head FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 300)""")
+@query("capped_items", f"""
+    SELECT 'doc' AS src, doc_id AS id, CAST(0 AS BIGINT) AS seq, substr(text, 1, 500) AS head FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 300)
+    UNION ALL SELECT 'conv', conv_id, turn, body FROM (SELECT *, {sql_strip('text')} AS body FROM conversations
+      WHERE length({sql_strip('text')}) BETWEEN 1 AND 500 ORDER BY conv_id, turn LIMIT 300)""")
 def _(spark, sf):
-    return (table(spark, sf, "documents").orderBy("doc_id").limit(300)
-            .select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), F.substring("text", 1, 500).alias("head")))
+    """The first 300 of each: documents cut at 500 characters, messages that have at most so many; a longer message is refused, not cut."""
+    docs = table(spark, sf, "documents").orderBy("doc_id").limit(300).select(
+        F.lit("doc").alias("src"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("seq"), F.substring("text", 1, 500).alias("head"))
+    said = table(spark, sf, "conversations").withColumn("head", tx.strip("text")).filter(F.char_length("head").between(1, 500))
+    return docs.unionByName(said.orderBy("conv_id", "turn").limit(300).select(F.lit("conv").alias("src"), F.col("conv_id").alias("id"), F.col("turn").alias("seq"), "head"))
 
 
 @query("price_order", "SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM part")

@@ -102,7 +102,7 @@ def sql_said(template: str, lang: str) -> str:
       WHERE c.alert""")
 def _(spark, sf):
     """All that goes out over the log, with the price board of the first market in the price message."""
-    templates = cut_lineage(sent_templates(spark, sf))
+    templates = sent_templates(spark, sf)
     box = Outbox(spark, fresh_path(spark, "outbox"))
     replay(spark, messages(spark, sf, facts=True), lambda df, n, p: box.put(outbound(df, templates)))
     return box.sent().select("kind", "phone", "key", "text")
