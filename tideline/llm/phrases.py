@@ -23,8 +23,8 @@ from tideline.session import cut_lineage
 
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1103515245, 1664525023, 1291040389, 1812433253)
-PIECE = 1 << 18  # bytes hashed at once
-HELD = 1 << 19  # fingerprints a task holds before it counts them and hands them on
+PIECE = 1 << 17  # bytes hashed at once
+HELD = 1 << 18  # fingerprints a task holds before it counts them and hands them on
 LEAST_BITS, MOST_BITS = 20, 27  # of the table of frequent fingerprints: 16 MB at most
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
