@@ -19,7 +19,7 @@ def templates(spark):
 
 
 def batch(spark, ids, day=10):
-    return spark.createDataFrame([("reply", i, f"reply:{i}", f"text {i}", day) for i in ids] + [("welcome", 1, "welcome:1", "hello", -1)],
+    return spark.createDataFrame([("reply", i, f"reply:{i}", f"text {i}", day) for i in ids] + [("welcome", 1, "welcome:1", "hello", day)],
                                  "kind string, phone long, key string, text string, day long")
 
 
@@ -82,17 +82,18 @@ def test_keys_of_other_days_do_not_meet(spark, tmp_path):
     box = Outbox(spark, str(tmp_path / "box"))
     box.put(batch(spark, [1], day=10))
     box.put(batch(spark, [2], day=900))
-    assert keys(box.sent()) == {"reply:1": 1, "reply:2": 1, "welcome:1": 1}
+    box.put(batch(spark, [1], day=10))
+    assert keys(box.sent()) == {"reply:1": 1, "reply:2": 1, "welcome:1": 2}  # the key of another day is another message's
 
 
 def test_texts_of_all_kinds(spark, templates):
-    rows = [dict(kind="reply", id=1, action="help", template_id="help", lang="lg", epoch=DAY), dict(kind="welcome", id=1, action="welcome", template_id="welcome", lang="lg", epoch=DAY),
+    rows = [dict(kind="reply", id=1, action="help", template_id="help", lang="lg", welcome=True, epoch=DAY),
             dict(kind="followup", id=None, action="followup", template_id="followup_q", lang="en", due=3 * DAY, epoch=3 * DAY), dict(kind="muted", id=2, action="muted", epoch=DAY),
             dict(kind="alert", id=1, action="help", said="help me", epoch=DAY),
             dict(kind="alert", id=3, action="escalate", label="phoma", said="bulwadde", english="disease", proba=0.5, reason="no second opinion", epoch=DAY)]
     names = [f.split()[0] for f in OUTPUT.split(", ")]
     got = {r.key: (r.phone, r.day, r.text) for r in outbound(spark.createDataFrame([tuple({"phone": 7, **r}.get(n) for n in names) for r in rows], OUTPUT), templates).collect()}
-    assert got == {"reply:1": (7, 1, "help in lg"), "welcome:7": (7, -1, "welcome in lg"), f"followup:7:{3 * DAY}": (7, 3, "followup_q in en"),
+    assert got == {"reply:1": (7, 1, "help in lg"), "welcome:1": (7, 1, "welcome in lg"), f"followup:7:{3 * DAY}": (7, 3, "followup_q in en"),
                    "alert:1": (7, 1, "7 needs a human.\nasked for HELP\nSaid: help me"),
                    "alert:3": (7, 1, "7 needs a human.\nSaid: bulwadde\nEnglish: disease\nProposed: phoma (p=0.50)\nWhy: no second opinion")}
 

@@ -93,7 +93,7 @@ def sql_said(template: str, lang: str) -> str:
 
 @query("stream_outbound", f"""
     SELECT 'reply' AS kind, phone, 'reply:' || id AS key, text FROM {SQL_REPLIES}
-    UNION ALL SELECT 'welcome', phone, 'welcome:' || phone, {sql_said('welcome', 'c.lang')} FROM ({SQL_CONVERSATION}) c WHERE welcome
+    UNION ALL SELECT 'welcome', phone, 'welcome:' || c.id, {sql_said('welcome', 'c.lang')} FROM ({SQL_CONVERSATION}) c WHERE welcome
     UNION ALL SELECT 'followup', phone, 'followup:' || phone || ':' || due, {sql_said('followup_q', 'f.lang')} FROM {SQL_FIRED} f
     UNION ALL SELECT 'alert', c.phone, 'alert:' || c.id, concat_ws(chr(10), c.phone || ' needs a human.', {SQL_ALERT_NOTE}, 'Said: ' || m.kind || ' #' || m.k,
         CASE WHEN c.label IS NOT NULL THEN 'English: ' || CASE WHEN m.lang_event = 'lg' THEN 'in English #' || m.k ELSE m.kind || ' #' || m.k END END,

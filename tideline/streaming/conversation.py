@@ -150,10 +150,8 @@ class Conversation(StatefulProcessor):
         return due
 
     def _emit(self, phone, r, action, s, label=None, decision=None, template=None, original=None, welcome=False, due=None, proba=None):
-        """The welcome of a first contact, the reply, and the alert if a human is needed."""
+        """The reply, and the alert if a human is needed."""
         alert = action in ("help", "agent_requested", "followup_worse", "escalate")
-        if welcome:
-            yield self._row(phone, r.id, "welcome", "welcome", s, template="welcome", epoch=r.epoch)
         yield self._row(phone, r.id, "reply", action, s, label, decision, template, original, welcome, alert, due, r.epoch)
         if alert:
             known = r.asDict()

@@ -22,23 +22,23 @@ from tideline.operators.dialog import ALERT_NOTES, alert_text
 from tideline.session import cut_lineage
 
 ROW = "kind string, phone long, key string, text string, day long"
-FOR_EVER = -1  # the day of a key that is taken once and for all days
 DAY = 86400
 
 
 def message_key() -> Column:
-    """A reply and an alert belong to a message, a welcome to a sender, a follow-up to a sender and the time it is due."""
+    """A reply, a welcome and an alert belong to a message, a follow-up to a sender and the time it is due."""
     part = lambda *cols: F.concat_ws(":", "kind", *cols)
-    return F.when(F.col("kind") == "welcome", part("phone")).when(F.col("kind") == "followup", part("phone", "due")).otherwise(part("id"))
+    return F.when(F.col("kind") == "followup", part("phone", "due")).otherwise(part("id"))
 
 
 def outbound(rows: DataFrame, templates: DataFrame) -> DataFrame:
     """Output rows of the conversation as messages (``kind``, ``phone``, ``key``, ``text``, ``day``).
 
-    Replies, welcomes and follow-ups carry their template's text in the sender's language, alerts what a human needs to act on. Muted
-    rows and rows whose template has no text send nothing.
+    Replies, welcomes and follow-ups carry their template's text in the sender's language, alerts what a human needs to act on. The reply to a
+    first contact brings a welcome of its own. Muted rows and rows whose template has no text send nothing.
     """
-    rows = rows.withColumn("key", message_key()).withColumn("day", F.when(F.col("kind") == "welcome", F.lit(FOR_EVER)).otherwise(F.floor(F.col("epoch") / DAY)).cast("long"))
+    first = rows.filter("kind = 'reply' AND welcome").withColumns({"kind": F.lit("welcome"), "template_id": F.lit("welcome")})
+    rows = rows.unionByName(first).withColumn("key", message_key()).withColumn("day", F.floor(F.col("epoch") / DAY).cast("long"))
     said = render_reply(rows.filter(F.col("kind").isin("reply", "welcome", "followup")), templates)
     note = F.coalesce(*[F.when(F.col("action") == a, F.lit(n)) for a, n in ALERT_NOTES.items()], F.lit(""))
     alerts = rows.filter("kind = 'alert'").withColumn("text", alert_text(F.col("phone"), note, *[F.col(c) for c in ("said", "english", "label", "proba", "reason")]))
@@ -78,11 +78,10 @@ class Outbox:
     def claim(self, rows: DataFrame) -> str | None:
         """Takes the keys of ``rows`` that are free; the name of the claim, or None if there are none. Rows of one key are one message."""
         rows = cut_lineage(rows.groupBy("kind", "phone", "key", "day").agg(F.min("text").alias("text")))
-        low, high = rows.filter(F.col("day") != FOR_EVER).agg(F.min("day"), F.max("day")).first()
-        near = F.col("day") == FOR_EVER
-        if low is not None:
-            near = near | F.col("day").between(low, high)
-        new = cut_lineage(rows.join(self._read("claims").filter(near).select("key"), "key", "left_anti").select("kind", "phone", "key", "text", "day"))
+        low, high = rows.agg(F.min("day"), F.max("day")).first()
+        if low is None:
+            return None
+        new = cut_lineage(rows.join(self._read("claims").filter(F.col("day").between(low, high)).select("key"), "key", "left_anti").select("kind", "phone", "key", "text", "day"))
         if new.isEmpty():
             return None
         attempt = f"attempt={uuid.uuid4().hex}"
