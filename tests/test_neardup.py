@@ -1,5 +1,6 @@
 """Near-duplicate leaders against the one-by-one rule."""
 
+import difflib
 import random
 
 import pytest
@@ -47,6 +48,64 @@ def test_bands_always_share_a_key(spark):
         assert all(set(r.ka) & set(r.kb) for r in keys)
 
 
+def turned(code, side):
+    """All orientations by turning and mirroring the grid itself."""
+    grid, out = [code[i:i + side] for i in range(0, side * side, side)], []
+    for _ in range(4):
+        grid = ["".join(row) for row in zip(*grid[::-1], strict=True)]
+        out += ["".join(grid), "".join(row[::-1] for row in grid)]
+    return out
+
+
+@pytest.mark.parametrize("side", [3, 4, 16])
+def test_orientations_are_the_turns_of_the_grid(side):
+    code = [chr(200 + i) for i in range(side * side)]
+    made = ["".join(code[c] for c in cells) for cells in nd.orientations(side)]
+    assert made[0] == "".join(code) and sorted(made) == sorted(turned("".join(code), side))
+    assert sorted(c for o in nd.orbits(side) for c in o) == list(range(side * side))
+    assert sorted(c for b in nd.orbit_bands(side, 3) for c in b) == list(range(side * side))
+
+
+def test_orbit_keys_are_shared_by_all_near_codes_in_any_orientation(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        a = "".join(rng.choice("01") for _ in range(256))
+        b = list(a)
+        for c in rng.sample(range(256), 20):
+            b[c] = "10"[int(b[c])]
+        rows.append((i, a, rng.choice(turned("".join(b), 16)), rng.choice(turned(a, 16))))
+    df = spark.createDataFrame(rows, "i int, a string, b string, c string")
+    for agree in (1, 2):
+        for r in df.select(*[nd.orbit_keys(df[x], 16, 20, agree).alias(x) for x in "abc"]).collect():
+            assert r.a == r.c and set(r.a) & set(r.b)
+
+
+@pytest.mark.parametrize("hot", [2, 256])
+def test_turned_copies_join_the_earliest_leader(spark, monkeypatch, hot):
+    monkeypatch.setattr(nd, "HOT_BLOCK", hot)
+    rng = random.Random(9)
+    base = ["".join(rng.choice("01") for _ in range(64)) for _ in range(20)]
+    rows = []
+    for i in range(220):
+        code = list(base[0] if rng.random() < 0.34 else rng.choice(base))
+        for c in rng.sample(range(64), rng.randrange(5)):
+            code[c] = "10"[int(code[c])]
+        rows.append((i, rng.choice(["a", "b", None]), rng.choice(turned("".join(code), 8))))
+    rows += [(500, "a", None), (501, "a", "01"), (502, None, ""), (503, "a", None)]
+    want, leaders = {500: 500, 501: 501, 502: 502, 503: 503}, {"a": [], "b": [], None: []}
+    for i, label, code in rows[:220]:
+        views = turned(code, 8)
+        hit = next((j for j, c in leaders[label] if min(sum(x != y for x, y in zip(c, v, strict=True)) for v in views) <= 4), None)
+        if hit is None:
+            leaders[label].append((i, code))
+        want[i] = i if hit is None else hit
+    assert len(set(want.values())) < 150
+    df = spark.createDataFrame(rows, "id long, label string, code string")
+    assert {r.id: r.leader for r in nd.turned_groups(df, 4, 8, agree=1).collect()} == want
+    assert nd.turned_groups(df.limit(0), 4, 8).count() == 0
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -76,3 +135,28 @@ def test_batches_agree_with_the_rule(spark, ratio):
             kept[batch].append(norm)
     df = spark.createDataFrame(rows, "id long, batch int, text string")
     assert {r.id: r.outcome for r in nd.dedup_in_batches(df, r"(?!)", ratio).collect()} == want
+
+
+@pytest.mark.parametrize("ratio", [0.86, 0.9])
+def test_matching_blocks_agree_with_the_rule_on_all_pairs(spark, ratio):
+    rng = random.Random(11)
+    seeds = ["".join(rng.choice("abcdefg ") for _ in range(n)).strip() or "x" for n in [*range(1, 24), 60, 150, 230, 300]]
+    rows = []
+    for i in range(220):
+        t = seeds[-2] if rng.random() < 0.2 else rng.choice(seeds)
+        for _ in range(rng.randrange(5)):
+            at, kind = rng.randrange(len(t)), rng.randrange(4)
+            t = (t[:at] + rng.choice("abcdefg") + t[at + (kind != 1):] if kind < 2 else t[:at] + t[at + 1:] if kind == 2 else t[at:] + t[:at]) or "x"
+        rows.append((i, rng.randrange(2), t))
+    rows += [(300, 5, None), (301, 5, ""), (302, 5, "one of its own")]
+    want, kept, by_edits = {300: "empty_or_long", 301: "empty_or_long", 302: "kept"}, {0: [], 1: []}, 0
+    for i, batch, t in rows[:220]:
+        norm = " ".join(t.split())
+        dup = any(k == norm or difflib.SequenceMatcher(None, norm, k).ratio() > ratio for k in kept[batch])
+        by_edits += dup != any(k == norm or 1 - distance(k, norm) / max(len(k), len(norm)) > ratio for k in kept[batch])
+        want[i] = "empty_or_long" if not norm else "duplicate" if dup else "kept"
+        if norm and not dup:
+            kept[batch].append(norm)
+    assert by_edits  # the measures differ on these texts
+    df = spark.createDataFrame(rows, "id long, batch int, text string")
+    assert {r.id: r.outcome for r in nd.dedup_in_batches(df, r"(?!)", ratio, measure="blocks").collect()} == want

@@ -13,11 +13,13 @@ on the item order only, and here it is reached without comparing all pairs:
 
 from __future__ import annotations
 
+import difflib
 import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,6 +124,76 @@ def band_keys(words: Column, n_words: int, word_bits: int, max_distance: int, ag
     return let(bands, lambda bs: F.transform(choices, lambda c: F.xxhash64(c, F.transform(c, lambda i: F.get(bs, i)))))
 
 
+def orientations(side: int) -> list[list[int]]:
+    """The eight flips and quarter turns of a ``side`` x ``side`` grid: for each, which cell comes to stand where (its own first)."""
+    last = side - 1
+    turned = []
+    for swap, down, across in itertools.product((False, True), repeat=3):
+        cells = []
+        for y, x in itertools.product(range(side), repeat=2):
+            row, col = (x, y) if swap else (y, x)
+            cells.append((last - row if down else row) * side + (last - col if across else col))
+        turned.append(cells)
+    return turned
+
+
+def orbits(side: int) -> list[list[int]]:
+    """Cells that turn into each other, larger orbits first. Every orientation maps an orbit onto itself."""
+    seen = {tuple(sorted({cells[i] for cells in orientations(side)})) for i in range(side * side)}
+    return [list(o) for o in sorted(seen, key=lambda o: (-len(o), o))]
+
+
+def orbit_bands(side: int, m: int) -> list[list[int]]:
+    """The cells in ``m`` bands of whole orbits, of sizes as like as orbits allow."""
+    every = orbits(side)
+    if m > len(every):
+        raise ValueError("more bands than orbits")
+    bands: list[list[int]] = [[] for _ in range(m)]
+    for o in every:
+        min(bands, key=len).extend(o)
+    return bands
+
+
+def picked(bits: Column, cells: Sequence[int]) -> Column:
+    """The string of the given cells of an array of single characters."""
+    return F.array_join(F.transform(F.array(*[F.lit(c) for c in cells]), lambda i: F.get(bits, i)), "")
+
+
+def turned_codes(code: Column, side: int) -> Column:
+    """All orientations of a code given as a string of ``side * side`` zeros and ones, its own first."""
+    return let(F.split(code, ""), lambda bits: F.array(*[picked(bits, cells) for cells in orientations(side)]))
+
+
+def orbit_keys(code: Column, side: int, max_distance: int, agree: int) -> Column:
+    """Block keys that are the same for all orientations of a code, so a code has one set of them, not eight.
+
+    Bands are made of whole orbits, so an orientation moves bits inside their bands only. Codes that are within the distance in
+    some orientation agree there in ``agree`` whole bands; the least of a choice of bands over all orientations is then
+    the same for both.
+    """
+    bands = orbit_bands(side, max_distance + agree)
+    at = list(itertools.accumulate([1, *map(len, bands)]))
+    order = [c for band in bands for c in band]
+    views = lambda bits: F.array(*[picked(bits, [cells[c] for c in order]) for cells in orientations(side)])
+    spans = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(len(b)).alias("len")) for a, b in zip(at, bands, strict=False)])
+    cut = lambda view: F.transform(spans, lambda s: F.substring(view, s["at"], s["len"]))
+    choices = F.array(*[F.array(*[F.lit(i) for i in c]) for c in itertools.combinations(range(len(bands)), agree)])
+    least = lambda vs, c: F.array_min(F.transform(vs, lambda v: F.array_join(F.transform(c, lambda i: F.get(v, i)), "")))
+    return let(F.split(code, ""), lambda bits: let(F.transform(views(bits), cut), lambda vs: F.transform(choices, lambda c: F.xxhash64(c, least(vs, c)))))
+
+
+def words_of(code: Column, bits: int) -> Column:
+    """A string of zeros and ones as an array of 64-bit words."""
+    starts = F.array(*[F.lit(i) for i in range(1, bits + 1, 64)])
+    return F.transform(starts, lambda i: F.conv(F.substring(code, i, F.lit(64)), 2, -10).cast("long"))
+
+
+def closest(a: Column, views: Column, n_views: int, n_words: int) -> Column:
+    """Least distance of a code to any view of another one, written out so that it compiles to one loop-free expression."""
+    apart = lambda v, w: F.bit_count(F.get(a, F.lit(w)).bitwiseXOR(F.get(F.get(views, F.lit(v)), F.lit(w))))
+    return F.least(*[reduce(lambda x, y: x + y, [apart(v, w) for w in range(n_words)]) for v in range(n_views)])
+
+
 def bands_to_agree(nodes: int, bits: int, max_distance: int, per_block: int = 256) -> int:
     """Fewest agreeing bands whose key is long enough for blocks of ``per_block`` nodes on average."""
     for agree in (1, 2):
@@ -130,6 +202,14 @@ def bands_to_agree(nodes: int, bits: int, max_distance: int, per_block: int = 25
     return 3
 
 
+def orbit_bands_to_agree(nodes: int, side: int, max_distance: int, per_block: int = 256) -> int:
+    """As ``bands_to_agree`` for ``orbit_keys``: a band tells its bits less the three that name an orientation."""
+    for agree in (1, 2):
+        if 2 ** max(0, side * side * agree // (max_distance + agree) - 3) * per_block >= nodes:
+            return agree
+    return 3
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -168,6 +248,43 @@ def fingerprint_groups(items: DataFrame, max_distance: int = 20, n_words: int =
     return (keyed.select("id", "label", "_code").join(nodes.select("_code", "node"), "_code").join(led, "node").select("id", "label", "leader"))
 
 
+def turned_groups(items: DataFrame, max_distance: int = 20, side: int = 16, agree: int | None = None) -> DataFrame:
+    """(id, label, leader): near-duplicate groups within a label, whichever way round an item lies.
+
+    Items are (id, label, code), codes strings of ``side * side`` zeros and ones. The distance of two codes is the least over the eight
+    orientations of the later one; as these form a group it is the same both ways, and all orientations of a code are one
+    node, named by the least of them. Ids are unique. A null label is a label of its own; a null code or one of another
+    length is near nothing and leads itself.
+    """
+    bits = side * side
+    known = F.coalesce(F.length("code") == bits, F.lit(False))
+    views = F.when(known, turned_codes(F.col("code"), side))
+    keyed = cut_lineage(items.select("id", "label", views.alias("_views"))
+                        .select("id", "label", F.array_min("_views").alias("_code")))
+    alone = keyed.filter("_code IS NULL").select("id", "label", F.col("id").alias("leader"))
+    coded = keyed.filter("_code IS NOT NULL")
+    nodes = cut_lineage(coded.groupBy("label", "_code").agg(F.min("id").alias("node"))
+                        .withColumn("_views", F.transform(turned_codes(F.col("_code"), side), lambda v: words_of(v, bits))))
+    agree = agree or orbit_bands_to_agree(nodes.count(), side, max_distance)
+
+    def blocks(some: DataFrame, agree: int) -> Blocks:
+        keys = F.transform(orbit_keys(F.col("_code"), side, max_distance, agree), lambda k: F.xxhash64(k, F.col("label")))
+        both = cut_lineage(some.select("node", F.explode(F.array_distinct(keys)).alias("block")))
+        return both, both
+
+    own = nodes.select(F.col("node").alias("a"), F.col("label").alias("_la"), F.get("_views", F.lit(0)).alias("_code_a"))
+    all_ = nodes.select(F.col("node").alias("b"), F.col("label").alias("_lb"), F.col("_views").alias("_views_b"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        apart = closest(F.col("_code_a"), F.col("_views_b"), 8, math.ceil(bits / 64))
+        return (pairs.join(own, "a").join(all_, "b").filter(F.col("_la").eqNullSafe(F.col("_lb"))).filter(apart <= max_distance).select("a", "b"))
+
+    led = assign_leaders(nodes, blocks(nodes, agree), near, lambda inside: blocks(nodes.join(inside, "node", "left_semi"), agree + 1))
+    named = nodes.select(F.col("label").alias("_l"), F.col("_code").alias("_c"), "node").join(led, "node")
+    return (coded.join(named, F.col("label").eqNullSafe(F.col("_l")) & (F.col("_code") == F.col("_c"))).select("id", "label", "leader")
+            .unionByName(alone))
+
+
 # ---- texts within a batch -------------------------------------------------------------------
 def gram_ranges(ratio: float) -> list[tuple[int, int, int | None]]:
     """(n-gram length, shortest text, longest text) by which texts meet, for any ratio above 2/3.
@@ -194,6 +311,18 @@ def similar(a: Column, b: Column, ratio: float) -> Column:
     return (gap < (1 - ratio) * longer + 1) & (1 - F.levenshtein(a, b) / longer > ratio)
 
 
+def block_ratio(a: Column, b: Column) -> Column:
+    """Matching-block similarity 2 M / T: M characters in the longest common block and, on both sides of it, in the blocks of what is left.
+
+    The measure is the standard library's, whose first argument is the later text; the order matters where blocks tie.
+    """
+    @F.pandas_udf("double")
+    def ratio(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(first, second, strict=True)], dtype="float64")
+
+    return ratio(a, b)
+
+
 def rare_grams(nodes: DataFrame, ratio: float, gram: int, shortest: int, longest: int | None) -> DataFrame:
     """(node, block): the rarest character n-grams of a text, as many as a near text cannot all miss.
 
@@ -216,15 +345,25 @@ def rare_grams(nodes: DataFrame, ratio: float, gram: int, shortest: int, longest
     return ranked.select("node", "batch", F.explode(head).alias("x")).select("node", F.xxhash64("batch", "x.g").alias("block"))
 
 
-def dedup_in_batches(msgs: DataFrame, banned: str, ratio: float = 0.9, longest: int = 320) -> DataFrame:
+def dedup_in_batches(msgs: DataFrame, banned: str, ratio: float = 0.9, longest: int = 320, measure: str = "edits") -> DataFrame:
     """(id, batch, outcome) of generated messages (id, batch, text): kept, or why not.
 
     Cleaned first; then a message is a duplicate if an earlier kept one of its batch has the same
-    normal form or is similar to it. Batches of every size go by their rare n-grams.
+    normal form or is similar to it. Batches of every size go by their rare n-grams. A null text counts as empty.
+
+    Similar is, with the measure "edits", an edit similarity above ``ratio``, with "blocks" a matching-block ratio 2 M / T above it.
+    Matching blocks stand in the same order in both texts, so T - 2 M edits turn one into the other: above ``ratio`` these are fewer than
+    (1 - ratio) T, at most 2 (1 - ratio) of the longer text. Pairs by blocks thus are among those of edit similarity above
+    2 ``ratio`` - 1, which meet by n-grams and are counted inside the JVM; only those are measured in Python.
     """
+    if measure not in ("edits", "blocks"):
+        raise ValueError("measure is edits or blocks")
+    blocks_above = ratio if measure == "blocks" else None
+    if blocks_above is not None:
+        ratio = round(2 * ratio - 1, 9)
     if ratio <= 2 / 3:
         raise ValueError("ratio too low for n-grams")
-    marked = msgs.select("id", "batch", clean_generated("text").alias("_text"))
+    marked = msgs.select("id", "batch", clean_generated(F.coalesce("text", F.lit(""))).alias("_text"))
     marked = marked.withColumn("_why", generated_reason("_text", banned, longest)).withColumn("_norm", norm_text("_text"))
     usable = marked.filter(F.col("_why").isNull())
     nodes = cut_lineage(usable.groupBy("batch", "_norm").agg(F.min("id").alias("node")))
@@ -235,8 +374,11 @@ def dedup_in_batches(msgs: DataFrame, banned: str, ratio: float = 0.9, longest:
 
     def near(pairs: DataFrame) -> DataFrame:
         other = texts.select(F.col("a").alias("b"), F.col("_ba").alias("_bb"), F.col("_a").alias("_b"))
-        return (pairs.join(texts, "a").join(other, "b").filter(F.col("_ba") == F.col("_bb"))
-                .filter(similar(F.col("_a"), F.col("_b"), ratio)).select("a", "b"))
+        close = (pairs.join(texts, "a").join(other, "b").filter(F.col("_ba") == F.col("_bb"))
+                 .filter(similar(F.col("_a"), F.col("_b"), ratio)))
+        if blocks_above is not None:
+            close = close.filter(block_ratio(F.col("_b"), F.col("_a")) > blocks_above)
+        return close.select("a", "b")
 
     led = assign_leaders(nodes, (blocks, blocks), near).filter("node = leader").select(F.col("node").alias("id"), F.lit(True).alias("_kept"))
     return (marked.join(led, "id", "left")

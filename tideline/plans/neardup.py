@@ -11,43 +11,46 @@ from tideline.plans.corpus import BANNED_RE_SQL
 from tideline.plans.registry import query, sql_norm, table
 from tideline.plans.text import BANNED_RE, SQL_CLEANED
 
-WORDS, WORD_BITS, DISTANCE = 8, 32, 20
+SIDE, WORD_BITS, DISTANCE = 16, 32, 20
 
 
 def fingerprints(docs):
-    """A 256-bit difference code per document: are there more words in a hash cell than in the next one."""
+    """A 256-bit difference code per document: are there more words in a hash cell than in the next one. Cells fill a 16 x 16 grid row by row."""
     words = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.explode(F.split(norm_text("text"), " ")).alias("w"))
-    cell = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % 256
+    cell = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % (SIDE * SIDE)
     counts = words.groupBy("id", "label", cell.alias("cell")).agg(F.count("*").alias("n"))
     # At most 256 cells per document meet in this window.
     nxt = Window.partitionBy("id").orderBy("cell")
     more = ~((F.lead("cell").over(nxt) == F.col("cell") + 1) & (F.lead("n").over(nxt) >= F.col("n")))
     bits = counts.select("id", "label", F.floor(F.col("cell") / WORD_BITS).alias("word"), F.when(
         F.coalesce(more, F.lit(True)), F.call_function("shiftleft", F.lit(1).cast("long"), (WORD_BITS - 1 - F.col("cell") % WORD_BITS).cast("int"))).otherwise(0).alias("bit"))
-    code = F.array(*[F.coalesce(F.sum(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)) for w in range(WORDS)])
-    return bits.groupBy("id").agg(F.first("label").alias("label"), F.array(code).alias("views"))
+    words = [F.coalesce(F.sum(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)) for w in range(SIDE * SIDE // WORD_BITS)]
+    return bits.groupBy("id").agg(F.first("label").alias("label"), F.concat(*[F.lpad(F.bin(w), WORD_BITS, F.lit("0")) for w in words]).alias("code"))
 
 
 SQL_CODES = f"""w AS (SELECT doc_id AS id, lang AS label, unnest(string_split({sql_norm('text')}, ' ')) AS w FROM documents),
     c AS (SELECT id, label, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 256 AS cell, count(*) AS n FROM w GROUP BY 1, 2, 3),
     m AS (SELECT i.id, i.label, g.cell, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT id, label FROM w) i CROSS JOIN (SELECT unnest(range(256)) AS cell) g
       LEFT JOIN c ON c.id = i.id AND c.cell = g.cell),
-    codes AS (SELECT label, id, list(word ORDER BY wd) AS code, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM (
-      SELECT a.id, a.label, a.cell // 32 AS wd, CAST(sum(CASE WHEN a.n > coalesce(b.n, 0) THEN 1::BIGINT << (31 - a.cell % 32) ELSE 0 END) AS BIGINT) AS word
-      FROM m a LEFT JOIN m b ON a.id = b.id AND b.cell = a.cell + 1 GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+    bits AS (SELECT a.id, a.label, string_agg(CASE WHEN a.n > coalesce(b.n, 0) THEN '1' ELSE '0' END, '' ORDER BY a.cell) AS code
+      FROM m a LEFT JOIN m b ON a.id = b.id AND b.cell = a.cell + 1 GROUP BY 1, 2),
+    codes AS (SELECT id, label, code, row_number() OVER (PARTITION BY label ORDER BY id) AS k,
+      list_transform(range(8), lambda v: array_to_string(list_transform(range(256), lambda p:
+        substr(code, CAST(xor(CASE WHEN v >= 4 THEN p % 16 ELSE p // 16 END, CASE WHEN v % 2 = 1 THEN 15 ELSE 0 END) * 16
+          + xor(CASE WHEN v >= 4 THEN p // 16 ELSE p % 16 END, CASE WHEN v // 2 % 2 = 1 THEN 15 ELSE 0 END) + 1 AS BIGINT), 1)), '')) AS views FROM bits)"""
 SQL_GROUPS = f"""{SQL_CODES}, walk AS (
-      SELECT label, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS leader, []::STRUCT(id BIGINT, code BIGINT[])[] AS leaders FROM (SELECT DISTINCT label FROM codes)
+      SELECT label, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS leader, []::STRUCT(id BIGINT, code VARCHAR)[] AS leaders FROM (SELECT DISTINCT label FROM codes)
       UNION ALL
       SELECT label, k, id, coalesce(hit, id), CASE WHEN hit IS NULL THEN list_append(leaders, {{'id': id, 'code': code}}) ELSE leaders END FROM (
         SELECT c.label, c.k, c.id, c.code, w.leaders, list_filter(w.leaders, lambda l:
-          list_sum(list_transform(range(1, 9), lambda i: bit_count(xor(l.code[i], c.code[i])))) <= {DISTANCE})[1].id AS hit
+          list_min(list_transform(c.views, lambda v: hamming(l.code, v))) <= {DISTANCE})[1].id AS hit
         FROM walk w JOIN codes c ON c.label = w.label AND c.k = w.k + 1))"""
 
 
 @query("near_dup_fingerprints", f"WITH RECURSIVE {SQL_GROUPS} SELECT id, label, leader FROM walk WHERE k > 0")
 def _(spark, sf):
     codes = fingerprints(table(spark, sf, "documents").select("doc_id", "lang", "text"))
-    return nd.fingerprint_groups(codes, DISTANCE, WORDS, WORD_BITS)
+    return nd.turned_groups(codes, DISTANCE, SIDE)
 
 
 @query("near_dup_batches", f"""
@@ -67,3 +70,10 @@ def _(spark, sf):
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("batch"), "text")
     return nd.dedup_in_batches(docs, BANNED_RE)
+
+
+@query("near_dup_matching_blocks")
+def _(spark, sf):
+    """The batches again by matching blocks. SQL has no such measure; a test compares the operator with the rule on all pairs."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("batch"), "text")
+    return nd.dedup_in_batches(docs, BANNED_RE, measure="blocks")
