@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tideline.llm import fingerprints, lm, neardup, queries, toxicity
@@ -174,6 +175,49 @@ def test_edits_and_fingerprints(spark):
     assert np.mean([r.near_edited for r in got.values()]) > 0.3 > 0.05 > np.mean([r.near_next for r in got.values()])
 
 
+def plain_fingerprint(text, lexicon):
+    """I-Match with sets and plain integers: words, document counts and subsets one by one."""
+    terms = sorted({xxhash.xxh64_intdigest(w) for w in (text or "").encode().lower().split()})
+
+    def holds(term, k, density):
+        x = term ^ (k * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return (x ^ (x >> 31)) % density == 0
+
+    out = b""
+    for some, densities in (([t for t in terms if t in lexicon], (8, 32, 128, 512)), (terms, (8, 32))):
+        for k in range(16 * len(densities)):
+            held = [t for t in some if holds(t, k + 1, densities[k // 16])]
+            out += struct.pack("<I", (xxhash.xxh32_intdigest(b"".join(struct.pack("<Q", t) for t in held)) or 1) if held else 0)
+    return out.hex()
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    docs = docs_of(spark)
+    counts = collections.Counter(w for _, t in docs for w in set((t or "").encode().lower().split()))
+    lexicon = {xxhash.xxh64_intdigest(w) for w, n in counts.items() if max(2, 0.001 * len(docs)) <= n <= max(2, 0.1 * len(docs))}
+    got = {r.doc_id: r for r in queries.op8_fingerprints(spark, SF).collect()}
+    docs.sort(key=lambda d: -d[0])
+    for (i, text), (_, other) in list(zip(docs, docs[1:] + docs[:1], strict=True))[:40]:
+        n = len(text) // 3
+        assert got[i].fingerprint == plain_fingerprint(text, lexicon)
+        assert got[i].edited_fingerprint == plain_fingerprint(text[:len(text) - n] + other[:n], lexicon)
+
+
+def test_texts_lose_no_more_than_the_slots_of_a_term_that_goes():
+    lex = np.sort(np.array([xxhash.xxh64_intdigest(f"w{i}") for i in range(500)], np.uint64))
+    table = fingerprints.members(lex)
+    for n in (1, 7, 8, 9, 40):  # whatever the number of terms in the band
+        whole = np.frombuffer(fingerprints.fingerprint_of(" ".join(f"w{i}" for i in range(n)) + " a b c d e f g", lex, table), "<u4")
+        less = np.frombuffer(fingerprints.fingerprint_of(" ".join(f"w{i}" for i in range(n - 1)) + " a b c d e f g", lex, table), "<u4")
+        gone = np.array([xxhash.xxh64_intdigest(f"w{n - 1}")], np.uint64)
+        touched = np.concatenate([fingerprints.members(gone)[0], fingerprints.members(gone, fingerprints.WIDE)[0]])
+        assert ((whole != less) == touched).all()
+    many = np.arange(40_000, dtype=np.uint64)
+    assert (fingerprints.members(many) == np.concatenate([fingerprints.members(many[i:i + 1000]) for i in range(0, 40_000, 1000)])).all()
+
+
 def test_lexicon_is_the_band(spark):
     rows = [(f"common w{i % 5} rare{i}",) for i in range(50)]
     lex = fingerprints.lexicon(spark.createDataFrame(rows, "text string"), 0.1, 0.5)

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from tideline.llm.worker import kept, slices, texts_of
 from tideline.session import cut_lineage
 
-DENSITIES, EACH = (8, 32, 128, 512), 16  # a subset of density d keeps one term in d
-SLOTS = len(DENSITIES) * EACH
-FEW_TERMS, FEW_SLOTS = 8, 6
+DENSITIES, WIDE, EACH = (8, 32, 128, 512), (8, 32), 16  # a subset of density d keeps one term in d
+SLOTS, FEW_SLOTS = (len(DENSITIES) + len(WIDE)) * EACH, 6
+NARROW = len(DENSITIES) * EACH  # the slots of the lexicon's subsets; those of the wide band, of every term, follow
 LEXICON_LIMIT = 2_000_000
 
 
@@ -39,14 +39,19 @@ def terms_of(text: str) -> np.ndarray:
     return np.unique(np.fromiter(map(kept("term hashes", _Terms).__getitem__, found), np.uint64, len(found)))
 
 
-def members(terms: np.ndarray) -> np.ndarray:
-    """Which subsets hold which terms: a row per term, a column per subset."""
-    with np.errstate(over="ignore"):
-        x = terms[:, None] ^ (np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+def members(terms: np.ndarray, densities: tuple[int, ...] = DENSITIES) -> np.ndarray:
+    """Which subsets hold which terms: a row per term, a column per subset. Made in slices, so temporaries stay small."""
+    marks = np.arange(1, len(densities) * EACH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rest = np.repeat(np.array(densities, np.uint64) - np.uint64(1), EACH)  # densities are powers of two
+    out = np.empty((len(terms), len(marks)), bool)
+    for at in range(0, len(terms), 16_384):
+        x = terms[at:at + 16_384, None] ^ marks[None, :]
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(by)
         x ^= x >> np.uint64(31)
-    return x % np.repeat(np.array(DENSITIES, np.uint64), EACH)[None, :] == 0
+        out[at:at + 16_384] = (x & rest[None, :]) == 0
+    return out
 
 
 def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
@@ -85,29 +90,26 @@ def lexicon(df: DataFrame, low: float = 0.001, high: float = 0.1, text: str = "t
 
 
 def fingerprint_of(text: str, lex: np.ndarray, table: np.ndarray) -> bytes:
-    """Four bytes for each subset, zeros where it holds no term of the text.
+    """Four bytes for each subset, zeros where it holds no term of the text: subsets of the lexicon, then subsets of all terms.
 
-    A text with fewer than ``FEW_TERMS`` terms of the lexicon keeps all its terms.
+    Every text has both parts, whatever it holds: the band tells texts apart that have terms in it, the wide band the others.
     """
     terms = terms_of(text)
     at = np.searchsorted(lex, terms)
     at[at == len(lex)] = 0
     inside = lex[at] == terms if len(lex) else np.zeros(len(terms), bool)
-    if inside.sum() >= FEW_TERMS:
-        terms, rows = terms[inside], table[at[inside]]
-    else:
-        rows = members(terms)
     out = np.zeros(SLOTS, "<u4")
-    for k in np.flatnonzero(rows.any(axis=0)).tolist():
-        out[k] = xxhash.xxh32_intdigest(terms[rows[:, k]].tobytes()) or 1
+    for start, some, rows in ((0, terms[inside], table[at[inside]]), (NARROW, terms, members(terms, WIDE))):
+        for k in np.flatnonzero(rows.any(axis=0)).tolist():
+            out[start + k] = xxhash.xxh32_intdigest(some[rows[:, k]].tobytes()) or 1
     return out.tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:
     """0 to 1: of the subsets that hold a term of either, the share in which both agree, in the best density.
 
-    A density counts if at least ``FEW_SLOTS`` of its subsets hold a term; without one, all subsets count together. Equal
-    fingerprints have likeness 1.
+    A density of the lexicon counts if at least ``FEW_SLOTS`` of its subsets hold a term; where none does, as the texts have hardly a term
+    in the band, densities of the wide band count likewise; else all subsets count together. Equal fingerprints have likeness 1.
     """
     if a == b:
         return 1.0
@@ -115,6 +117,8 @@ def likeness(a: bytes, b: bytes) -> float:
     used = ((x > 0) | (y > 0)).reshape(-1, EACH).sum(axis=1)
     same = ((x == y) & (x > 0)).reshape(-1, EACH).sum(axis=1)
     enough = used >= FEW_SLOTS
+    if enough[:len(DENSITIES)].any():
+        enough[len(DENSITIES):] = False
     if enough.any():
         return float((same[enough] / used[enough]).max())
     return float(same.sum() / used.sum()) if used.sum() else 1.0
