@@ -186,10 +186,10 @@ def plain_fingerprint(text, lexicon):
         return (x ^ (x >> 31)) % density == 0
 
     out = b""
-    for some, densities in (([t for t in terms if t in lexicon], (8, 32, 128, 512)), (terms, (8, 32))):
+    for some, densities, kind, most in (([t for t in terms if t in lexicon], (8, 32, 128, 512), "<I", 0xFFFFFFFF), (terms, (8, 32), "<H", 0xFFFF)):
         for k in range(16 * len(densities)):
             held = [t for t in some if holds(t, k + 1, densities[k // 16])]
-            out += struct.pack("<I", (xxhash.xxh32_intdigest(b"".join(struct.pack("<Q", t) for t in held)) or 1) if held else 0)
+            out += struct.pack(kind, (xxhash.xxh32_intdigest(b"".join(struct.pack("<Q", t) for t in held)) & most or 1) if held else 0)
     return out.hex()
 
 
@@ -209,8 +209,8 @@ def test_texts_lose_no_more_than_the_slots_of_a_term_that_goes():
     lex = np.sort(np.array([xxhash.xxh64_intdigest(f"w{i}") for i in range(500)], np.uint64))
     table = fingerprints.members(lex)
     for n in (1, 7, 8, 9, 40):  # whatever the number of terms in the band
-        whole = np.frombuffer(fingerprints.fingerprint_of(" ".join(f"w{i}" for i in range(n)) + " a b c d e f g", lex, table), "<u4")
-        less = np.frombuffer(fingerprints.fingerprint_of(" ".join(f"w{i}" for i in range(n - 1)) + " a b c d e f g", lex, table), "<u4")
+        whole = fingerprints.slots_of(fingerprints.fingerprint_of(" ".join(f"w{i}" for i in range(n)) + " a b c d e f g", lex, table))
+        less = fingerprints.slots_of(fingerprints.fingerprint_of(" ".join(f"w{i}" for i in range(n - 1)) + " a b c d e f g", lex, table))
         gone = np.array([xxhash.xxh64_intdigest(f"w{n - 1}")], np.uint64)
         touched = np.concatenate([fingerprints.members(gone)[0], fingerprints.members(gone, fingerprints.WIDE)[0]])
         assert ((whole != less) == touched).all()

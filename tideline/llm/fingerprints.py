@@ -20,8 +20,8 @@ from tideline.llm.worker import kept, slices, texts_of
 from tideline.session import cut_lineage
 
 DENSITIES, WIDE, EACH = (8, 32, 128, 512), (8, 32), 16  # a subset of density d keeps one term in d
-SLOTS, FEW_SLOTS = (len(DENSITIES) + len(WIDE)) * EACH, 6
-NARROW = len(DENSITIES) * EACH  # the slots of the lexicon's subsets; those of the wide band, of every term, follow
+FEW_SLOTS = 6
+NARROW = 4 * len(DENSITIES) * EACH  # bytes of the lexicon's subsets, four each; those of the wide band, of every term, follow with two each
 LEXICON_LIMIT = 2_000_000
 
 
@@ -90,7 +90,7 @@ def lexicon(df: DataFrame, low: float = 0.001, high: float = 0.1, text: str = "t
 
 
 def fingerprint_of(text: str, lex: np.ndarray, table: np.ndarray) -> bytes:
-    """Four bytes for each subset, zeros where it holds no term of the text: subsets of the lexicon, then subsets of all terms.
+    """Four bytes for each subset of the lexicon, then two for each subset of all terms; zeros where it holds no term of the text.
 
     Every text has both parts, whatever it holds: the band tells texts apart that have terms in it, the wide band the others.
     """
@@ -98,11 +98,18 @@ def fingerprint_of(text: str, lex: np.ndarray, table: np.ndarray) -> bytes:
     at = np.searchsorted(lex, terms)
     at[at == len(lex)] = 0
     inside = lex[at] == terms if len(lex) else np.zeros(len(terms), bool)
-    out = np.zeros(SLOTS, "<u4")
-    for start, some, rows in ((0, terms[inside], table[at[inside]]), (NARROW, terms, members(terms, WIDE))):
+    out = []
+    for kind, some, rows in (("<u4", terms[inside], table[at[inside]]), ("<u2", terms, members(terms, WIDE))):
+        slots, most = np.zeros(rows.shape[1], kind), np.iinfo(kind).max
         for k in np.flatnonzero(rows.any(axis=0)).tolist():
-            out[start + k] = xxhash.xxh32_intdigest(some[rows[:, k]].tobytes()) or 1
-    return out.tobytes()
+            slots[k] = xxhash.xxh32_intdigest(some[rows[:, k]].tobytes()) & most or 1
+        out.append(slots.tobytes())
+    return b"".join(out)
+
+
+def slots_of(made: bytes) -> np.ndarray:
+    """The values of a fingerprint's subsets, the lexicon's first."""
+    return np.concatenate([np.frombuffer(made[:NARROW], "<u4"), np.frombuffer(made[NARROW:], "<u2")])
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -113,7 +120,7 @@ def likeness(a: bytes, b: bytes) -> float:
     """
     if a == b:
         return 1.0
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    x, y = slots_of(a), slots_of(b)
     used = ((x > 0) | (y > 0)).reshape(-1, EACH).sum(axis=1)
     same = ((x == y) & (x > 0)).reshape(-1, EACH).sum(axis=1)
     enough = used >= FEW_SLOTS
