@@ -7,6 +7,7 @@ from tideline.operators import dialog as dg
 from tideline.plans import stream as ps
 from tideline.plans.dialog import CONVERSATION_COLUMNS, conversation, message_columns, messages, pair_verdict
 from tideline.streaming.conversation import conversation_stream
+from tideline.streaming.replay import ordered_stream, run_to_end
 from tideline.streaming.inbound import dedup_inbound, file_stream
 
 DAY, START = 86400, 1_700_006_400  # a midnight in UTC
@@ -155,3 +156,17 @@ def test_alert_text(spark):
     got = [r[0] for r in df.select(dg.alert_text(*[F.col(c) for c in ("p", "n", "o", "e", "l", "pr", "r")])).collect()]
     assert got[0].split("\n") == ["+1 needs a human.", "asked", "Said: nfuufu", "English: dust", "Proposed: other (p=0.46)"]
     assert got[1].split("\n") == ["+2 needs a human.", "Said: hi"]
+
+
+def test_batches_of_a_replay_follow_the_order(spark, tmp_path):
+    """One query; each batch is a range of its own behind the one before, and the closing rows come last."""
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("at"))
+    seen = []
+    stream = ordered_stream(spark, rows, "at", rows=100, last=spark.createDataFrame([(5,)], "at long"))
+    run_to_end(spark, stream, lambda df, n, path: seen.append(tuple(df.agg(F.min("at"), F.max("at"), F.count("at")).first())))
+    assert seen[-1] == (5, 5, 1) and sum(n for _, _, n in seen) == 1001 and len(seen) > 8
+    assert all(a[1] < b[0] for a, b in zip(seen[:-2], seen[1:-1], strict=True)) and max(n for _, _, n in seen) < 200
+
+
+def test_replay_of_nothing(spark):
+    assert spark.read.parquet(ps.replay(spark, messages(spark, "/root/testdata/sf0.001").limit(0))).count() == 0

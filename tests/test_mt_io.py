@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.operators import content as ct
 from tideline.operators import cost as cs
 from tideline.operators import mt
+from tideline.plans.io import write_images
 from tideline.sources import readers as rd
 from tideline.sources import sinks as sk
 from tideline.streaming.inbound import inbound_stream
@@ -160,3 +161,47 @@ def test_price_replies_are_filled(spark):
     assert filled["prices", "lg"] == "Ku 1 May: A 5" and filled["help", "en"] == "{date}"
     empty = {(r.template_id, r.lang): r.text for r in content.filled_templates(templates, board.limit(0)).collect()}
     assert empty["prices", "en"] == "none"
+
+
+def test_a_batch_counts_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, ""), (3, "c")], "id int, text string")
+    reason = F.when(F.col("text") == "", "empty")
+    to = sk.good_bad_table(spark, str(tmp_path / "t"), df.schema)
+    assert to.read().count() == 0 and to.committed().count() == 0
+    assert sk.write_good_bad(df, reason, to, "run 1/0") and not sk.write_good_bad(df, reason, to, "run 1/0")
+    assert sk.write_good_bad(df.filter("id < 0"), reason, to, "empty") and sk.write_good_bad(df.filter("id > 2"), reason, to, "run 2/0")
+    got = sorted((r.sink, r.id, r.error) for r in sk.good_bad_table(spark, str(tmp_path / "t"), df.schema).read().collect())
+    assert got == [("bad", 2, "empty"), ("good", 1, None), ("good", 3, None), ("good", 3, None)]
+    assert {r.batch for r in to.committed().collect()} == {"run 1/0", "empty", "run 2/0"}
+
+
+def test_an_attempt_without_a_name_is_not_seen(spark, tmp_path, monkeypatch):
+    """One writer is killed before it takes the name, another loses the name to a faster one while it writes."""
+    to = sk.BatchTable(spark, str(tmp_path / "t"), "id int")
+    row = lambda n: spark.createDataFrame([(n,)], "id int")
+    take = sk.BatchTable._take
+
+    def killed(self, attempt, batch):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(sk.BatchTable, "_take", killed)
+    with pytest.raises(RuntimeError, match="killed"):
+        to.commit(row(1), "0")
+    assert to.read().count() == 0
+
+    def overtaken(self, attempt, batch):
+        monkeypatch.setattr(sk.BatchTable, "_take", take)
+        assert self.commit(row(2), batch)
+        return take(self, attempt, batch)
+
+    monkeypatch.setattr(sk.BatchTable, "_take", overtaken)
+    assert not to.commit(row(3), "0")
+    assert [r.id for r in to.read().collect()] == [2]
+
+
+def test_image_files(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.b/en/1"), (6, "http://a.b/xx/1"), (7, "http://a.b/en/2"), (8, "nothing"), (9, None)], "page_id long, url string")
+    path = str(tmp_path / "im ages+%")
+    write_images(pages, path)
+    report = rd.catalog_report(rd.read_image_catalog(spark, path), rd.drop_unreadable_images(spark, path))
+    assert sorted(map(tuple, report.collect())) == [("healthy", 2, 1, 2, 2), ("unlabelled", 3, 3, 3 * 2 + 1 * 3 + 2 * 3, 3)]

@@ -8,12 +8,12 @@ from tideline.operators.dialog import ALERT_NOTES
 from tideline.plans.content import SQL_REPLIES, SQL_TEMPLATES, sent_templates
 from tideline.plans.dialog import CONVERSATION_COLUMNS, SQL_CONVERSATION, SQL_MESSAGES, messages
 from tideline.plans.registry import query, table
-from tideline.session import cut_lineage, fresh_path
-from tideline.streaming.conversation import ROCKSDB, conversation_stream
+from tideline.session import fresh_path
+from tideline.streaming.conversation import conversation_stream
 from tideline.streaming.inbound import dedup_inbound, file_stream, inbound_stream
 from tideline.streaming.outbox import Outbox, outbound
+from tideline.streaming.replay import ROWS_PER_BATCH, ordered_stream, run_to_end
 
-ROWS_PER_BATCH = 1_000_000
 LATENESS = "10 minutes"
 TICK = "TICK"  # keyword of a row that only moves time on
 
@@ -23,45 +23,18 @@ def events_stream(spark, sf):
     return file_stream(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema)
 
 
-def run_to_end(spark, stream, write=None, mode="append", path=None, progress=None):
-    """Processes everything available and returns the path of the written rows; fails if a row came too late to count."""
-    path = path or fresh_path(spark, "stream")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress or fresh_path(spark, "progress")).trigger(availableNow=True)
-    writer = writer.foreachBatch(lambda df, n: write(df, n, path)) if write else writer.format("parquet").option("path", path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    done = writer.start()
-    done.awaitTermination()
-    late = sum(op.numRowsDroppedByWatermark for p in done.recentProgress for op in p.stateOperators)
-    if late:
-        raise RuntimeError(f"{late} rows came later than the watermark allows; order the source or raise the delay")
-    return path
-
-
 def replay(spark, msgs, write=None, rows=ROWS_PER_BATCH):
-    """Runs stored messages through the conversation stream in order of time, whatever files they lie in.
+    """Runs stored messages through the conversation stream in order of time, whatever files they lie in, and returns the path of its rows.
 
-    A state that depends on order needs its batches in order, so the log is cut into slices of time with about ``rows``
-    rows each, and every slice is one micro-batch that follows the one before it. No row is late, as a slice starts where the
-    watermark has not been yet. A last row of no sender moves the watermark on, so that all follow-ups
-    due by the end of the log are sent.
+    One query reads ranges of time with about ``rows`` rows each, one a batch. No row is late, as a range starts where the
+    watermark has not been yet. A last row of no sender moves the watermark on, so that all follow-ups due by the end of the log are sent.
     """
     msgs = msgs.withColumn("ts", F.timestamp_seconds("epoch"))
-    n, last = msgs.agg(F.count(F.lit(1)), F.max("epoch")).first()
-    slices = max(1, -(-n // rows))
-    if slices > 1:
-        msgs = cut_lineage(msgs.repartitionByRange(slices, "epoch").sortWithinPartitions("epoch"))  # a slice then reads its part only
-    cuts = sorted(set(msgs.approxQuantile("epoch", [i / slices for i in range(1, slices)], 0.1 / slices))) if slices > 1 else []
-    log, progress, path = fresh_path(spark, "log"), fresh_path(spark, "progress"), fresh_path(spark, "stream")
-    parts = [msgs.filter((F.col("epoch") >= lo) & (F.col("epoch") < hi)) for lo, hi in zip([-(1 << 62), *cuts], [*cuts, 1 << 62], strict=True)]
-    if last is not None:
-        tick = msgs.limit(1).withColumns({c: F.lit(None).cast(t) for c, t in msgs.dtypes}).withColumns(
-            {"kw": F.lit(TICK), "ts": F.timestamp_seconds(F.lit(last)) + F.expr(f"INTERVAL {LATENESS}")})
-        parts.append(tick)
-    for part in parts:
-        part.write.mode("append").parquet(log)
-        stream = file_stream(spark, log, msgs.schema).withWatermark("ts", LATENESS)
-        run_to_end(spark, conversation_stream(stream), write, path=path, progress=progress)
-    return path
+    end = msgs.agg(F.max("epoch").alias("_end")).filter("_end IS NOT NULL")
+    tick = end.select(*[(F.timestamp_seconds("_end") + F.expr(f"INTERVAL {LATENESS}")).alias(c) if c == "ts"
+                        else F.lit(TICK if c == "kw" else None).cast(t).alias(c) for c, t in msgs.dtypes])
+    stream = ordered_stream(spark, msgs, "epoch", rows, tick).withWatermark("ts", LATENESS)
+    return run_to_end(spark, conversation_stream(stream), write)
 
 
 @query("stream_conversation", SQL_CONVERSATION)
