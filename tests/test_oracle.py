@@ -8,8 +8,8 @@ from tideline.plans import load
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = load()
-# An iterative fit, compared with numpy in tests/test_score.py; a measure that SQL lacks, compared with the rule in tests/test_neardup.py.
-WITHOUT_TWIN = ("fit_temperature", "near_dup_matching_blocks")
+# A measure that SQL lacks, compared with the rule in tests/test_neardup.py.
+WITHOUT_TWIN = ("near_dup_matching_blocks",)
 
 
 @pytest.fixture(scope="module")

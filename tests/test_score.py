@@ -3,8 +3,10 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tideline.operators import corpus as co
 from tideline.operators import evaluate as ev
 from tideline.operators import score as sc
 
@@ -79,3 +81,28 @@ def test_missing_vectors_have_no_score(spark):
     rows = {r.id: r.top for r in sc.score_linear(holes, head).collect()}
     whole = {r.id: r.top for r in sc.score_linear(df, head).collect()}
     assert all(rows[i] == (whole[i] if i % 3 else None) for i in whole)
+
+
+def test_train_head_equals_a_plain_fit(spark):
+    """The same penalised loss by plain gradient steps in numpy; the gradient of Spark's sums vanishes at both heads and nowhere near."""
+    df, x, y = data(spark, 300)
+    head, losses = sc.train_head(df, df, "truth", c_grid=(0.1,), max_iter=200)
+    codes = np.array([head.classes.index(f"c{c}") for c in y])
+    k, n = len(head.classes), len(codes)
+    target, weight = np.eye(k)[codes], (n / (k * np.bincount(codes, minlength=k)))[codes]
+    coef, bias = np.zeros((k, x.shape[1])), np.zeros(k)
+    for _ in range(20_000):
+        error = (softmax(x @ coef.T + bias) - target) * weight[:, None] / n
+        coef, bias = coef - (error.T @ x + coef / (0.1 * n)), bias - error.sum(0)
+    centred = lambda a: a - a.mean(0)
+    assert np.abs(centred(head.coef) - centred(coef)).max() < 1e-3 and np.abs(centred(head.intercept) - centred(bias)).max() < 1e-3
+    plain = sc.LinearHead(head.classes, coef + 0.01, bias)
+    steep = lambda h: sc.head_gradient(df, h, "truth", 0.1).agg(F.max(F.abs("gradient"))).first()[0]
+    assert steep(head) < 1e-5 and steep(sc.LinearHead(head.classes, coef, bias)) < 1e-5 < steep(plain)
+
+
+def test_groups_that_straddle_raise(spark):
+    df = spark.createDataFrame([("g", "train"), ("h", "test"), ("g", "test")], "group string, split string")
+    with pytest.raises(ValueError, match="more than one split: g"):
+        co.without_straddling(df)
+    assert co.without_straddling(df.filter("group = 'h'")).count() == 1

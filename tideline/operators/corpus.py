@@ -200,9 +200,17 @@ def balance_warnings(df: DataFrame, splits: Sequence[str], least: int = 30, trai
     return wide.select(F.explode(F.array_compact(F.array(*found))).alias("w")).select("w.*")
 
 
-def straddling_groups(df: DataFrame) -> DataFrame:
+def straddling_groups(df: DataFrame, by: str = "group") -> DataFrame:
     """Groups with rows in more than one split."""
-    return df.groupBy("group").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
+    return df.groupBy(by).agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
+
+
+def without_straddling(df: DataFrame, by: str = "group") -> DataFrame:
+    """``df`` itself; raises, with some of the groups, if a group has rows in more than one split. ``df`` is read for it, so store it first."""
+    torn = straddling_groups(df.select(by, "split"), by).limit(5).collect()
+    if torn:
+        raise ValueError("in more than one split: " + ", ".join(sorted(str(r[by]) for r in torn)))
+    return df
 
 
 def group_label_check(df: DataFrame) -> DataFrame:

@@ -142,9 +142,8 @@ def train_head(train: DataFrame, calib: DataFrame, label: str, embedding: str =
     if len(counts) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     classes, n = tuple(sorted(counts)), sum(counts.values())
-    weight = F.create_map(*[F.lit(x) for c in classes for x in (c, n / (len(classes) * counts[c]))])
     rows = cut_lineage(train.select(
-        true_index(F.col(label), classes).cast("double").alias("label"), F.element_at(weight, F.col(label)).alias("weight"),
+        true_index(F.col(label), classes).cast("double").alias("label"), balanced_weight(counts, F.col(label)).alias("weight"),
         embedding)).withColumn("features", array_to_vector(embedding))
     held, losses, heads = cut_lineage(calib.select(label, embedding)), {}, {}
     for c in c_grid:
@@ -153,3 +152,27 @@ def train_head(train: DataFrame, calib: DataFrame, label: str, embedding: str =
         heads[c] = LinearHead(classes, model.coefficientMatrix.toArray(), model.interceptVector.toArray())
         losses[c] = nll_by_temperature(score_linear(held, heads[c], embedding, keep_proba=True), classes, label, [1.0])[0][1]
     return heads[min(losses, key=losses.get)], losses
+
+
+def balanced_weight(counts: dict[str, int], label: Column) -> Column:
+    """The weight that gives every class the same total."""
+    n = sum(counts.values())
+    return F.element_at(F.create_map(*[F.lit(x) for c, m in counts.items() for x in (c, n / (len(counts) * m))]), label)
+
+
+def head_gradient(df: DataFrame, head: LinearHead, label: str, c: float, embedding: str = "embedding") -> DataFrame:
+    """The gradient of the training loss of ``train_head`` at ``head``, one row per class and input: zero where the head is optimal.
+
+    ``i`` counts inputs from 0, the intercept is -1. Map tasks send one partial sum for each class and input.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()}
+    n = sum(counts.values())
+    errors = F.transform("proba", lambda p, k: p - (k == true_index(F.col(label), head.classes)).cast("double"))
+    rows = score_linear(df, head, embedding, keep_proba=True).select(
+        balanced_weight(counts, F.col(label)).alias("w"), errors.alias("e"), F.concat(F.array(F.lit(1.0)), F.col(embedding).cast("array<double>")).alias("x"))
+    sums = rows.select("w", "e", F.posexplode("x").alias("i", "x")).groupBy("i").agg(
+        F.array(*[F.sum(F.col("w") * F.get("e", F.lit(k)) * F.col("x")) / n for k in range(len(head.classes))]).alias("g"))
+    classes = [F.lit(x) for x in head.classes]
+    penalty = [F.get(F.array(*[F.lit(float(v)) for v in (0.0, *row)]), F.col("i")) for row in head.coef / (c * n)]
+    cells = sums.select("i", F.array(*[F.struct(x.alias("cls"), (F.get("g", F.lit(k)) + pull).alias("gradient")) for k, (x, pull) in enumerate(zip(classes, penalty, strict=True))]).alias("cells"))
+    return cells.select((F.col("i") - 1).alias("i"), F.explode("cells").alias("cell")).select("cell.cls", "i", "cell.gradient")

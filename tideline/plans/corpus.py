@@ -342,7 +342,8 @@ def curated(spark, sf):
     clean = cut_lineage(co.drop_ambiguous(clean, key))
     assignment = sp.allocate_splits(sp.unit_weights(clean))
     placed = sp.gap_exclusion(sp.apply_splits(clean, assignment), assignment, BLOCK, GAP)
-    return co.dedup_protected(placed, fixed.PROTECTED_ORDER, key)
+    kept = cut_lineage(co.dedup_protected(placed, fixed.PROTECTED_ORDER, key))
+    return co.without_straddling(kept, "unit")
 
 
 @query("curated_corpus", f"WITH RECURSIVE {SQL_CURATED} {pivot_sql('final')}")

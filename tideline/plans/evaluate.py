@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.dims import fixed
 from tideline.functions import decision as dec
 from tideline.operators import evaluate as ev
 from tideline.operators import score as sc
@@ -88,13 +89,27 @@ def _(spark, sf):
     return wide.select(lines.alias("r")).select("r.*")
 
 
-@query("fit_temperature")
+def sql_fit(rounds: int = 4, points: int = 12) -> str:
+    """The rounds of the fit one after the other; ``b<rounds>`` has the fitted temperature."""
+    lo, hi = fixed.TEMPERATURE_BOUNDS
+    steps = [f"top_ AS MATERIALIZED (SELECT vec_id, truth, cls, z, max(z) OVER (PARTITION BY vec_id) AS m FROM logit), b0 AS (SELECT ln({lo}::DOUBLE) AS lo, ln({hi}::DOUBLE) AS hi)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"""g{i} AS MATERIALIZED (SELECT lo, hi, (hi - lo) / {points - 1} AS step, exp(lo + k * ((hi - lo) / {points - 1})) AS t FROM b{i - 1}, (SELECT unnest(range({points})) AS k)),
+    n{i} AS (SELECT t, avg(v) AS v FROM (SELECT t, vec_id, ln(sum(exp((z - m) / t))) - max(z - m) FILTER (cls = truth) / t AS v FROM top_, g{i} GROUP BY 1, 2) GROUP BY 1),
+    b{i} AS MATERIALIZED (SELECT best, greatest(lo, ln(best) - step) AS lo, least(hi, ln(best) + step) AS hi FROM (SELECT arg_min(t, v) AS best FROM n{i}), (SELECT DISTINCT lo, hi, step FROM g{i}))""")
+    return ",\n    ".join(steps)
+
+
+@query("fit_temperature", f"""
+    WITH {SQL_SCORED}, {sql_fit()}
+    SELECT CAST(floor(p_top * 10) AS BIGINT) AS tenth, count(*) AS n, max(t) AS temperature
+    FROM (SELECT vec_id, 1 / sum(exp((z - m) / best)) AS p_top, round(max(best), 6) AS t FROM top_, b4 GROUP BY 1) GROUP BY 1""")
 def _(spark, sf):
     """Rows scored at the fitted temperature: how the confidence spreads."""
     rows, head = scored(spark, sf, temperature=1.0, keep_proba=True)
     t = sc.fit_temperature(rows, head.classes, "truth")
     again = sc.score_linear(table(spark, sf, "embeddings").select("vec_id", "embedding"), head.with_temperature(t))
-    return again.groupBy(F.floor(F.col("p_top") * 10).alias("tenth")).agg(F.count("*").alias("n"), F.lit(t).alias("temperature"))
+    return again.groupBy(F.floor(F.col("p_top") * 10).alias("tenth")).agg(F.count("*").alias("n"), F.lit(round(t, 6)).alias("temperature"))
 
 
 def sql_threshold(target: float) -> str:

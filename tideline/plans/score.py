@@ -122,17 +122,20 @@ def _(spark, sf):
 
 
 @query("train_head", """
-    SELECT split, count(*) AS n, true AS learnt FROM (SELECT CASE WHEN p < CAST(floor(0.7::DOUBLE * 4294967296) AS BIGINT) THEN 'train'
+    SELECT split, count(*) AS n, true AS learnt, true AS optimal FROM (SELECT CASE WHEN p < CAST(floor(0.7::DOUBLE * 4294967296) AS BIGINT) THEN 'train'
       WHEN p < CAST(floor(0.85::DOUBLE * 4294967296) AS BIGINT) THEN 'calib' ELSE 'test' END AS split
       FROM (SELECT *, CAST('0x' || substr(sha256('0:' || vec_id), 1, 8) AS BIGINT) AS p FROM embeddings)) GROUP BY 1""")
 def _(spark, sf):
-    """Logistic regression trained on one split, penalty chosen on the next: rows scored per split, and whether on the
-    training rows the loss is below that of a head of zeros."""
+    """Logistic regression trained on one split, penalty chosen on the next: rows scored per split, whether on the training rows the
+    loss is below that of a head of zeros, and whether the gradient of the penalised loss vanishes, which it does at the one best head only."""
     rows = sp.hash_splits(vectors(spark, sf), "vec_id")
-    head, _ = sc.train_head(rows.filter("split = 'train'"), rows.filter("split = 'calib'"), "truth")
+    train = rows.filter("split = 'train'")
+    head, losses = sc.train_head(train, rows.filter("split = 'calib'"), "truth")
     pred = sc.score_linear(rows, head, keep_proba=True)
     loss = sc.nll_by_temperature(pred.filter("split = 'train'"), head.classes, "truth", [1.0])[0][1]
-    return pred.groupBy("split").agg(F.count("*").alias("n")).withColumn("learnt", F.lit(bool(loss < math.log(len(head.classes)))))
+    steepest = sc.head_gradient(train, head, "truth", min(losses, key=losses.get)).agg(F.max(F.abs("gradient"))).first()[0]
+    return pred.groupBy("split").agg(F.count("*").alias("n")).withColumns(
+        {"learnt": F.lit(bool(loss < math.log(len(head.classes)))), "optimal": F.lit(bool(steepest < 1e-5))})
 
 
 @query("split_counts", """
