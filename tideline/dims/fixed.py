@@ -23,19 +23,21 @@ FOLLOWUP_ANSWERS = {"1": "better", "2": "same", "3": "worse"}
 
 # ---- fixed values: language lexicons --------------------------------------------------------
 ENGLISH_WORDS = (
-    "the a an is are was my on of and with in to it they what how there some under have has i me you this that "
-    "not no yes look looks see leaf leaves coffee spots spot yellow orange brown black powder tree trees plant "
-    "plants green dry dying turning price much hello hi please help berries berry today bad good strange wrong "
-    "something"
-).split()
+    "the", "a", "an", "is", "are", "was", "my", "on", "of", "and", "with", "in", "to", "it", "they", "what", "how", "there", "some",
+    "under", "have", "has", "i", "me", "you", "this", "that", "not", "no", "yes", "look", "looks", "see", "leaf", "leaves", "coffee",
+    "spots", "spot", "yellow", "orange", "brown", "black", "powder", "tree", "trees", "plant", "plants", "green", "dry", "dying", "turning",
+    "price", "much", "hello", "hi", "please", "help", "berries", "berry", "today", "bad", "good", "strange", "wrong", "something",
+)
 LOCAL_WORDS = (
-    "nga ku mu era naye oba kiki ki leero nnyo bulungi bubi zange byange wange kyange gyange zino bino emmwanyi "
-    "mmwanyi kaawa kawa ebikoola ekikoola amabala ssente mmeka bbeeyi beeyi wansi waggulu oli otya gyebale ssebo "
-    "nnyabo webale kale tewali langi kyenvu kacungwa nzirugavu maddugavu kiragala"
-).split()
+    "nga", "ku", "mu", "era", "naye", "oba", "kiki", "ki", "leero", "nnyo", "bulungi", "bubi", "zange", "byange", "wange", "kyange",
+    "gyange", "zino", "bino", "emmwanyi", "mmwanyi", "kaawa", "kawa", "ebikoola", "ekikoola", "amabala", "ssente", "mmeka", "bbeeyi",
+    "beeyi", "wansi", "waggulu", "oli", "otya", "gyebale", "ssebo", "nnyabo", "webale", "kale", "tewali", "langi", "kyenvu", "kacungwa",
+    "nzirugavu", "maddugavu", "kiragala",
+)
 LOCAL_WORD_BEGINNINGS = (
-    "eki ebi emi omu aba ama oku olu obu ag eb ez ek zi bi gi ki ly by zz mm nn ss tt bb kk gg"
-).split()
+    "eki", "ebi", "emi", "omu", "aba", "ama", "oku", "olu", "obu", "ag", "eb", "ez", "ek", "zi", "bi", "gi", "ki", "ly", "by", "zz", "mm",
+    "nn", "ss", "tt", "bb", "kk", "gg",
+)
 ELISION = r"^[a-z]{1,3}'[aeiou]"
 
 # ---- fixed values: hint phrases per label, and words outside the service's scope ------------
