@@ -124,6 +124,15 @@ def toxic_table(spark):
     return docs, spark.createDataFrame(docs, "doc_id long, text string, bad boolean"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
+def test_texts_under_one_id_are_learnt_from_alike_in_any_order(spark):
+    docs, _, labels = toxic_table(spark)
+    rows = [(i, text) for i, text, _ in docs] + [(i, f"zz {text} other words") for i, text, _ in docs]
+    one, two, alone = (toxicity.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels)
+                       for r, n in ((rows, 3), (rows[::-1], 7), ([(i, min(t for j, t in rows if j == i)) for i, _, _ in docs], 2)))
+    assert one.landmarks == two.landmarks == alone.landmarks != ()
+    assert np.allclose(one.weights, two.weights, atol=1e-6) and np.allclose(one.weights, alone.weights, atol=1e-6)
+
+
 def test_held_out_toxic_documents_are_found(spark):
     docs, df, labels = toxic_table(spark)
     model = toxicity.train(df, labels)

@@ -310,7 +310,8 @@ def held_out(doc_id: Column) -> Column:
 def train(df: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: int = 64, others: int = 32) -> Model:
     """Fits on at most ``per_class`` labelled documents of each class, taken in the order of a hash of their id.
 
-    ``labels`` has ``doc_id`` and ``toxic``; held-out ids are not learnt from. The words of the sample are counted in Spark;
+    ``labels`` has ``doc_id`` and ``toxic``; held-out ids are not learnt from, and of several texts
+    under one id the least is taken, so reruns agree. The words of the sample are counted in Spark;
     the driver receives at most 20,000 counted strings and, of each sampled document, the landmark values of all
     sentences that have any (those that are not 0). Without labels of both classes the model gives the share of toxic labels (0 without labels).
     """
@@ -323,7 +324,7 @@ def train(df: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: in
         return fit_machine([], np.zeros(0), shares, [])
     parts = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     picked = parts[0].unionByName(parts[1])  # 2 * per_class pairs of numbers at most
-    sample = cut_lineage(df.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]))
+    sample = cut_lineage(df.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
 
     def strings(batches):
         for batch in slices(batches):
