@@ -357,3 +357,13 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert {len(r.ids) == r.n_tokens for r in at.collect()} == {True}
         else:
             assert left == [0] * 5
+
+
+def test_wide_subsets_of_lexicon_terms_are_read_not_made(monkeypatch):
+    """Terms of the band have their wide subsets in the table already; only the others' are worked out."""
+    text, made, members = "a b c d e f", [], fingerprints.members
+    lex = fingerprints.terms_of("a b c d e")
+    table = members(lex)
+    monkeypatch.setattr(fingerprints, "members", lambda terms, *rest: made.append(len(terms)) or members(terms, *rest))
+    assert fingerprints.fingerprint_of(text, lex, table).hex() == plain_fingerprint(text, set(lex.tolist()))
+    assert sum(made) == 1

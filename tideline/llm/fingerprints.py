@@ -25,18 +25,11 @@ NARROW = 4 * len(DENSITIES) * EACH  # bytes of the lexicon's subsets, four each;
 LEXICON_LIMIT = 2_000_000
 
 
-class _Terms(dict):
-    def __missing__(self, word):
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def terms_of(text: str) -> np.ndarray:
     """Sorted hashes of the distinct words, A-Z lower-cased."""
-    found = text.encode().lower().split()
-    return np.unique(np.fromiter(map(kept("term hashes", _Terms).__getitem__, found), np.uint64, len(found)))
+    found = set(text.encode().lower().split())
+    terms = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))  # hashing is faster than a look-up in a large table
+    return np.unique(terms) if (terms[1:] == terms[:-1]).any() else terms
 
 
 def members(terms: np.ndarray, densities: tuple[int, ...] = DENSITIES) -> np.ndarray:
@@ -98,12 +91,17 @@ def fingerprint_of(text: str, lex: np.ndarray, table: np.ndarray) -> bytes:
     at = np.searchsorted(lex, terms)
     at[at == len(lex)] = 0
     inside = lex[at] == terms if len(lex) else np.zeros(len(terms), bool)
+    banded, wide = table[at[inside]], np.empty((len(terms), EACH * len(WIDE)), bool)
+    wide[inside], wide[~inside] = banded[:, :wide.shape[1]], members(terms[~inside], WIDE)  # the wide subsets are the lexicon's first ones
     out = []
-    for kind, some, rows in (("<u4", terms[inside], table[at[inside]]), ("<u2", terms, members(terms, WIDE))):
-        slots, most = np.zeros(rows.shape[1], kind), np.iinfo(kind).max
-        for k in np.flatnonzero(rows.any(axis=0)).tolist():
-            slots[k] = xxhash.xxh32_intdigest(some[rows[:, k]].tobytes()) & most or 1
-        out.append(slots.tobytes())
+    for kind, some, rows in (("<u4", terms[inside], banded), ("<u2", terms, wide)):
+        most = int(np.iinfo(kind).max)
+        by_subset = np.ascontiguousarray(rows.T)
+        marked = np.flatnonzero(by_subset)  # the terms of each subset, one subset after the other
+        held = memoryview(some[marked % max(1, len(some))].tobytes())
+        ends = (8 * np.searchsorted(marked, len(some) * np.arange(1, len(by_subset) + 1))).tolist()
+        slots = [xxhash.xxh32_intdigest(held[a:b]) & most or 1 if a < b else 0 for a, b in zip([0, *ends], ends)]
+        out.append(np.array(slots, kind).tobytes())
     return b"".join(out)
 
 
