@@ -1,12 +1,15 @@
 """Journeys of single senders, in batch and on a stream in several micro-batches."""
 
+import json
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import dialog as dg
 from tideline.plans import stream as ps
 from tideline.plans.dialog import CONVERSATION_COLUMNS, conversation, message_columns, messages, pair_verdict
-from tideline.streaming.conversation import conversation_stream
+from tideline.streaming.conversation import Conversation, conversation_stream
 from tideline.streaming.replay import ordered_stream, run_to_end
 from tideline.streaming.inbound import dedup_inbound, file_stream
 
@@ -170,3 +173,43 @@ def test_batches_of_a_replay_follow_the_order(spark, tmp_path):
 
 def test_replay_of_nothing(spark):
     assert spark.read.parquet(ps.replay(spark, messages(spark, "/root/testdata/sf0.001").limit(0))).count() == 0
+
+
+class State:
+    """The state of one group of senders, as the stream hands it over."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.until, self.watermark = None, False, False, None, 0
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, ms):
+        self.until = ms
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+
+def test_senders_of_one_group_keep_their_own_state():
+    """Many senders share a group, its state and its timer; each is answered, muted, followed up and erased alone."""
+    said = {"label": "phoma", "proba": 0.9, "llm_label": None, "llm_sure": None, "price_en": False}
+
+    def message(at, phone, kw=None):
+        return json.dumps({"id": at * 100 + (phone or 0), "phone": phone, "at": at, "epoch": at, "kw": kw, "label": "phoma", "decision": "answer", "template_id": "adv_phoma", "opinion": said})
+
+    def run(messages, watermark=0):
+        state.watermark, state.hasTimedOut = watermark * 1000, not messages
+        out = [r for pdf in talk((0,), iter([pd.DataFrame({"message": messages})]), state) for r in pdf.itertuples()]
+        return sorted((r.phone or 0, r.kind, r.action, r.welcome) for r in out)
+
+    talk, state = Conversation(), State()
+    assert run([message(2, 3, "STOP"), message(1, 2), message(1, 1), message(0, 3), message(0, None), message(9, None, "TICK")]) == [
+        (0, "reply", "answer", True), (1, "reply", "answer", True), (2, "reply", "answer", True), (3, "reply", "answer", True), (3, "reply", "stop_ack", False)]
+    due = state.until // 1000
+    assert run([message(5, 2, "ERASE"), message(6, 3), message(7, 1)]) == [(1, "reply", "answer", False), (3, "muted", "muted", False)]
+    assert run([], due) == [(0, "followup", "followup_q", False), (1, "followup", "followup_q", False), (1, "followup", "followup_q", False)]
+    assert run([message(due + 1, 2), message(due + 2, 3, "START")], due) == [(2, "reply", "answer", True), (3, "reply", "start_ack", False)]

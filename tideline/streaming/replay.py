@@ -9,7 +9,8 @@ from tideline.session import fresh_path
 from tideline.streaming.conversation import ROCKSDB
 from tideline.streaming.inbound import file_stream
 
-ROWS_PER_BATCH = 1_000_000
+ROWS_PER_BATCH = 2_000_000
+ROW_GROUP = 4 << 20  # bytes of a file's row groups, so that several tasks read the one file of a batch
 FIRST_TIME = 1_000_000_000_000  # of the first file, in milliseconds; the others follow a second apart
 
 
@@ -19,6 +20,7 @@ def run_to_end(spark, stream: DataFrame, write=None, mode: str = "append", path:
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress or fresh_path(spark, "progress")).trigger(availableNow=True)
     writer = writer.foreachBatch(lambda df, n: write(df, n, path)) if write else writer.format("parquet").option("path", path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", True)  # a batch stores what it changed, not all state
     done = writer.start()
     done.awaitTermination()
     late = sum(op.numRowsDroppedByWatermark for p in done.recentProgress for op in p.stateOperators)
@@ -48,7 +50,7 @@ def ordered_stream(spark, df: DataFrame, by: str, rows: int = ROWS_PER_BATCH, la
     """
     folder = fresh_path(spark, "log")
     ranges = max(1, -(-df.count() // rows))
-    df.repartitionByRange(ranges, by).sortWithinPartitions(by).write.parquet(f"{folder}/rows")
+    df.repartitionByRange(ranges, by).sortWithinPartitions(by).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/rows")
     done = _in_time_order(spark, f"{folder}/rows")
     if last is not None:
         last.coalesce(1).write.parquet(f"{folder}/last")
