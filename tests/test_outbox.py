@@ -8,7 +8,7 @@ from test_dialog import DAY, SCHEMA, log
 
 from tideline.plans import stream as ps
 from tideline.streaming.conversation import OUTPUT
-from tideline.streaming.outbox import Outbox, outbound
+from tideline.streaming.outbox import Outbox, outbound, sending
 
 TEMPLATES = [(t, lang, f"{t} in {lang}") for t in ("help", "welcome", "followup_q", "adv_phoma", "unsure", "agent_requested", "stop_ack", "prices", "clarify_phoma") for lang in ("en", "lg")]
 
@@ -108,3 +108,20 @@ def test_a_stream_that_starts_over_sends_nothing_twice(spark, templates, tmp_pat
     assert max(keys(sent).values()) == 1
     assert {r["kind"]: r["count"] for r in sent.groupBy("kind").count().collect()} == {"reply": 6, "welcome": 2, "followup": 2, "alert": 3}
     assert sent.filter(F.col("text").isNull() | (F.col("text") == "")).count() == 0
+
+
+def test_a_batch_is_computed_once(spark, templates, tmp_path):
+    """What the outbox reads of a batch is stored before; every other use would run the conversations of the batch again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    names = [f.split()[0] for f in OUTPUT.split(", ")]
+    rows = [dict(kind="reply", id=1, phone=7, action="help", template_id="help", lang="en", welcome=True, epoch=DAY), dict(kind="alert", id=1, phone=7, action="help", said="x", epoch=DAY)]
+    df = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], OUTPUT).mapInArrow(counted, OUTPUT)
+    box = Outbox(spark, str(tmp_path / "box"))
+    sending(box, templates)(df, 0, "")
+    assert seen.value == 2 and keys(box.sent()) == {"reply:1": 1, "welcome:1": 1, "alert:1": 1}

@@ -11,7 +11,7 @@ from tideline.plans.registry import query, table
 from tideline.session import fresh_path
 from tideline.streaming.conversation import conversation_stream
 from tideline.streaming.inbound import dedup_inbound, file_stream, inbound_stream
-from tideline.streaming.outbox import Outbox, outbound
+from tideline.streaming.outbox import Outbox, sending
 from tideline.streaming.replay import ROWS_PER_BATCH, ordered_stream, run_to_end
 
 LATENESS = "10 minutes"
@@ -77,7 +77,7 @@ def _(spark, sf):
     """All that goes out over the log, with the price board of the first market in the price message."""
     templates = sent_templates(spark, sf)
     box = Outbox(spark, fresh_path(spark, "outbox"))
-    replay(spark, messages(spark, sf, facts=True), lambda df, n, p: box.put(outbound(df, templates)))
+    replay(spark, messages(spark, sf, facts=True), sending(box, templates))
     return box.sent().select("kind", "phone", "key", "text")
 
 

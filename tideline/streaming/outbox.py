@@ -46,6 +46,11 @@ def outbound(rows: DataFrame, templates: DataFrame) -> DataFrame:
     return said.select(names).unionByName(alerts.select(names))
 
 
+def sending(box: Outbox, templates: DataFrame) -> Callable[[DataFrame, int, str], None]:
+    """Writes a batch of the conversation's output to ``box``. It is stored first, as each of its uses would run the conversations of the batch again."""
+    return lambda rows, n, path: box.put(outbound(cut_lineage(rows), templates))
+
+
 class Outbox:
     """``send`` gets the rows of a batch to hand to a gateway. Without it the log itself is the delivery.
 
