@@ -1,7 +1,7 @@
 """Translation metrics, readers and sinks on small inputs."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -205,3 +205,14 @@ def test_image_files(spark, tmp_path):
     write_images(pages, path)
     report = rd.catalog_report(rd.read_image_catalog(spark, path), rd.drop_unreadable_images(spark, path))
     assert sorted(map(tuple, report.collect())) == [("healthy", 2, 1, 2, 2), ("unlabelled", 3, 3, 3 * 2 + 1 * 3 + 2 * 3, 3)]
+
+
+def test_images_lie_in_folders_of_one_task(spark, tmp_path):
+    """No folder is written by two tasks, so a commit moves folders, and none holds more than 1,024 files."""
+    pages = spark.range(2_100).repartition(2).select(F.col("id").alias("page_id"), F.lit("http://a.b/en/1").alias("url"))
+    write_images(pages, str(tmp_path / "images"))
+    files = [f for f in (tmp_path / "images").rglob("part-*")]
+    by_folder, tasks = Counter(f.parent for f in files), defaultdict(set)
+    for f in files:
+        tasks[f.parent].add(f.name.split("-")[1])
+    assert len(files) == 2_100 and max(by_folder.values()) <= 1_024 and all(len(t) == 1 for t in tasks.values())
