@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 ENTRY = 180  # bytes of a dictionary's slot and the headers of a key and a value
+HELD = "tideline_worker_store"  # the module object that keeps values between tasks
 ROWS = 1024  # rows handled at once; long texts make even this many a fair batch
 
 
@@ -22,7 +23,7 @@ def kept(name: str, make: Callable, owner: str | None = None):
     operator asks for its first value, those of the one before are dropped and their memory is handed back before
     the new value is made, so the stages of a pipeline do not add up.
     """
-    store = sys.modules.setdefault("tideline_worker_store", types.ModuleType("tideline_worker_store")).__dict__
+    store = sys.modules.setdefault(HELD, types.ModuleType(HELD)).__dict__
     owner = owner or make.__module__
     if store.get("owner") != owner:
         store["owner"], store["held"] = owner, {}
