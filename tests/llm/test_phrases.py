@@ -90,6 +90,19 @@ def test_stretches_hold_every_run_once(piece, monkeypatch):
         assert got == want
 
 
+def test_counted_fingerprints_are_handed_on_in_small_batches(monkeypatch):
+    """No batch is larger than ``HANDED`` rows, and together they hold each fingerprint of a language once, with a place where it stands."""
+    monkeypatch.setattr(ph, "HANDED", 100)
+    rng = np.random.default_rng(3)
+    a, code = rng.integers(1, 400, 3000), rng.integers(0, 2, 3000)
+    held = [(a[i::2], a[i::2] * 5, code[i::2], a[i::2] + 1000, a[i::2] + code[i::2]) for i in range(2)]
+    got = list(ph.told(held, ["en", None]))
+    assert not held and len(got) > 5 and max(b.num_rows for b in got) <= 100
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    want = collections.Counter(zip(a.tolist(), code.tolist()))
+    assert sorted(rows, key=str) == sorted(((["en", None][c], x, x * 5, n, x + 1000, x + c) for (x, c), n in want.items()), key=str)
+
+
 def test_fingerprints_are_those_of_the_text():
     """The same run has the same numbers wherever it stands, and other runs have others."""
     w = ph.Words(np.frombuffer(b"a b  a\tb. ab a b c", np.uint8), np.array([0]))

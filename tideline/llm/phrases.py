@@ -24,7 +24,8 @@ from tideline.session import cut_lineage
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1103515245, 1664525023, 1291040389, 1812433253)
 PIECE = 1 << 17  # bytes hashed at once
-HELD = 1 << 18  # fingerprints a task holds before it counts them and hands them on
+HELD = 1 << 17  # fingerprints a task holds before it counts them and hands them on
+HANDED = 1 << 14  # rows handed on at once, as the JVM holds a whole batch of them outside its heap
 LEAST_BITS, MOST_BITS = 20, 27  # of the table of frequent fingerprints: 16 MB at most
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
@@ -187,6 +188,24 @@ def frequent_bits(frequent: DataFrame) -> FrequentBits:
     return FrequentBits(words, bits)
 
 
+RUN = ["lang", "a", "b", "f", "text_key", "word"]
+
+
+def told(held: list[tuple], langs: list[str]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of ``held`` (both numbers, code of the language, text key, word), which it empties, counted; ``HANDED`` rows a batch."""
+    a, b, code, key, word = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    order = np.argsort(a ^ mixed(code).view(np.int64), kind="stable")  # equal fingerprints of a language are neighbours
+    a, b, code = a[order], b[order], code[order]
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (code[1:] != code[:-1])])
+    count = np.diff(np.r_[new, len(a)])
+    names = pa.array(langs, pa.string())
+    for at in range(0, len(new), HANDED):
+        x = new[at:at + HANDED]
+        y = order[x]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(code[x])), *map(pa.array, (a[x], b[x], count[at:at + HANDED], key[y], word[y]))], names=RUN)
+
+
 def run_counts(df: DataFrame, n: int, below: FrequentBits | None) -> DataFrame:
     """``lang``, ``a``, ``b`` (fingerprint), ``f`` (occurrences) and, for runs of several words, ``text_key`` and ``word``: one place where it stands.
 
@@ -194,16 +213,6 @@ def run_counts(df: DataFrame, n: int, below: FrequentBits | None) -> DataFrame:
     counts all words of the language.
     """
     packed = None if below is None else df.sparkSession.sparkContext.broadcast((below.words, below.bits))
-    names = ["lang", "a", "b", "f", "text_key", "word"]
-
-    def told(held: list[tuple], langs: list[str]) -> pa.RecordBatch:
-        a, b, code, key, word = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(a ^ mixed(code).view(np.int64), kind="stable")  # equal fingerprints of a language are neighbours
-        a, b, code, key, word = a[order], b[order], code[order], key[order], word[order]
-        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (code[1:] != code[:-1])])
-        count = np.diff(np.r_[new, len(a)])
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(code[new])), *(pa.array(x[new]) for x in (a, b)), pa.array(count),
-                                           *(pa.array(x[new]) for x in (key, word))], names=names)
 
     def run(batches):
         bits = None if packed is None else FrequentBits(*packed.value)
@@ -234,14 +243,15 @@ def run_counts(df: DataFrame, n: int, below: FrequentBits | None) -> DataFrame:
                 held.append((*w.prints(first, n), code[rows[doc]], keys[rows[doc]], first - base[doc] + before))
                 size += len(first)
                 if size >= HELD:
-                    yield told(held, list(codes))
+                    yield from told(held, list(codes))
                     held, size = [], 0
+            batch = data = w = keys = None  # the next batch comes when this one is gone
         if held:
-            yield told(held, list(codes))
+            yield from told(held, list(codes))
         if totals:
             zero = pa.array(np.zeros(len(totals), np.int64))
             each = [list(codes)[x] for x in totals]
-            yield pa.RecordBatch.from_arrays([pa.array(each, pa.string()), zero, zero, pa.array(list(totals.values()), pa.int64()), zero, zero], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(each, pa.string()), zero, zero, pa.array(list(totals.values()), pa.int64()), zero, zero], names=RUN)
 
     rows = df.select("lang", "text_key", "text").mapInArrow(run, "lang string, a long, b long, f long, text_key long, word long")
     place = [F.first(c).alias(c) for c in ("text_key", "word")] if n > 1 else []  # both of the same row
