@@ -13,6 +13,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -257,6 +258,34 @@ def test_language_scores(spark):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_tokens_of_a_column():
+    """Distinct words are hashed once a column; the tokens are those of each text alone."""
+    texts = [" A b\t\n c\x0b\x0cD\r e ", "", "  ", "é x\x1c y\x85z Éé", None, "x", "the The THE cat", "\u00a0 \u3000\u4e2d", "aé é"]
+    for column in (pa.array(texts), pa.array(["no", *texts, "no"]).slice(1, len(texts)), pa.array(texts).cast(pa.large_string()), pa.array([], pa.string())):
+        tokens, code, sizes = lm.tokens_in(column)
+        want = [lm.tokens_of(t or "") for t in column.to_pylist()]
+        assert sizes.tolist() == [len(w) for w in want] and tokens[code].tolist() == [x for w in want for x in w.tolist()]
+
+
+@pytest.mark.parametrize("scale", [1, 40, 400])
+def test_normalising_without_the_greatest_logit(scale):
+    """Sums of powers agree with exact ones, also where powers of the logits as they stand leave the range of numbers."""
+    rng = np.random.default_rng(scale)
+    make = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
+    m = lm.Weights(make(30, 4), make(50, 4), make(50) * scale - 2 * scale, make(1, 4), make(1), np.ones((2, 4), np.float32))
+    w, h1, h2 = rng.integers(0, 50, 400), rng.integers(0, 30, 400), rng.integers(0, 30, 400)
+    logits = m.predicted(h1, h2).astype(float) @ m.output.T.astype(float) + m.bias
+    top = logits.max(axis=1, keepdims=True)
+    want = (logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True)))[np.arange(400), w]
+    assert np.allclose(lm.log_probabilities(m, w, h1, h2, block=64), want, rtol=1e-5, atol=1e-4)
+
+
+def test_distinct_keys_of_a_step():
+    keys, marks = np.array([5, 2, 5, 9, 2, 5]), np.full(10, 7)
+    some, at, times = lm.several(keys, marks)
+    assert some[at].tolist() == keys.tolist() and dict(zip(some.tolist(), times.tolist())) == {5: 3, 2: 2, 9: 1}
+
+
 def test_probabilities_add_up(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHORTLIST", 20)
     text = " ".join(random.Random(1).choices([f"w{i}" for i in range(60)], k=3000))

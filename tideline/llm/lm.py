@@ -15,16 +15,18 @@ with the corpus; only the frequent tokens, whose number is bounded by their shar
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.worker import kept, slices, texts_of
+from tideline.llm.worker import kept, slices
 from tideline.session import cut_lineage
 
 CLASSES, CLASS_BITS = 64, 63
@@ -49,6 +51,47 @@ def tokens_of(text: str) -> np.ndarray:
     return out
 
 
+def _endings() -> np.ndarray:
+    """Classes of the words that end in two given bytes, and of those of a single byte."""
+    two = [xxhash.xxh32_intdigest(bytes(x)) for x in itertools.product(range(256), repeat=2)]
+    return np.array(two + [xxhash.xxh32_intdigest(bytes([x])) for x in range(256)], np.uint64) & np.uint64(CLASS_BITS)
+
+
+def _numbers(words: pa.BinaryArray) -> np.ndarray:
+    """The numbers of different words, as in ``tokens_of``."""
+    out = np.fromiter(map(xxhash.xxh64_intdigest, words.to_numpy(zero_copy_only=False)), np.uint64, len(words)) & ~np.uint64(CLASS_BITS)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data, at = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.flatnonzero(np.diff(ends))
+    last = ends[at + 1] - 1
+    single = last == ends[at]
+    ending = np.where(single, 65536, data[np.maximum(last - 1, 0)].astype(np.int64) << 8) + data[last]
+    out[at] |= kept("lm endings", _endings)[ending]
+    return out
+
+
+def tokens_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens_of`` for a column, a null as the empty text: its distinct tokens, the number of each token's among these, tokens per text.
+
+    Words are told apart in Arrow, so that each different one of a batch is hashed once. The end is the last of the distinct tokens.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    told = words.flatten().dictionary_encode()
+    found = told.dictionary.cast(pa.binary())
+    tokens = np.append(_numbers(found), np.uint64(END))
+    code = told.indices.to_numpy()
+    lengths = np.diff(words.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    empty = pc.index(found, b"").as_py()
+    if empty >= 0:  # before a first and after a last blank
+        word = code != empty
+        code, owner = code[word], owner[word]
+    sizes = np.bincount(owner, minlength=len(lengths)) + 1
+    out = np.empty(sizes.sum(), np.int64)
+    out[np.arange(len(code)) + owner] = code
+    out[np.cumsum(sizes) - 1] = len(tokens) - 1
+    return tokens, out, sizes
+
+
 @dataclass
 class Corpus:
     """Counts of the training documents. ``frequent`` tokens are sorted, ``times`` their counts; the first ``short`` outputs are tokens."""
@@ -133,7 +176,7 @@ class Weights:
     position: np.ndarray
 
     def predicted(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        return self.position[0] * self.context[h1] + self.position[1] * self.context[h2]
+        return self.position[0] * self.context.take(h1, axis=0) + self.position[1] * self.context.take(h2, axis=0)
 
     def rows(self) -> np.ndarray:
         """All values as rows of one width."""
@@ -159,15 +202,13 @@ def start_weights(corpus: Corpus, size: int) -> Weights:
                    corpus.node_bias.astype(np.float32), np.full((2, size), 1.0, np.float32))
 
 
-def contexts(ids: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of several documents in a row, the one before each and the one before that; ``start`` stands before a document."""
-    w = np.concatenate(ids)
+def contexts(w: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens ``w`` of documents of ``sizes`` in a row, the one before each and the one before that; ``start`` stands before a document."""
     h1, h2 = np.empty_like(w), np.empty_like(w)
     h1[1:], h2[2:] = w[:-1], w[:-2]
-    begin = np.cumsum([0, *(len(i) for i in ids[:-1])])
+    begin = np.cumsum(sizes) - sizes
     h1[begin] = h2[begin] = start
-    second = begin[[len(i) > 1 for i in ids]] + 1
-    h2[second] = start
+    h2[begin[sizes > 1] + 1] = start
     return w, h1, h2
 
 
@@ -183,6 +224,7 @@ class Learner:
     rate: float = 0.15
     seen: list = field(default_factory=list)
     moved: list = field(default_factory=list)
+    marks: list = field(default_factory=list)
 
     def learn(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray, rng: np.random.Generator) -> None:
         """``w``, ``h1`` and ``h2`` are places."""
@@ -195,47 +237,76 @@ class Learner:
         if not self.seen:
             self.seen = [np.full(x.shape, 1.0, np.float32) for x in (m.output, m.bias, m.position, m.context, m.node, m.node_bias)]
             self.moved = [np.zeros(len(x), np.int64) for x in (m.context, m.output, m.node, m.position)]
-        false = rng.choice(len(self.noise), k, p=self.noise)
-        shift = np.log(k * self.noise).astype(np.float32)
+            self.marks = [np.zeros(len(x), np.int64) for x in (m.context, m.node)]
+            on = told.nodes >= 0
+            self.depth, self.nodes, self.left = on.sum(axis=1), told.nodes[on], told.left[on]
+            self.path = np.cumsum(self.depth) - self.depth
+            self.chances = np.cumsum(self.noise)
+            self.chances /= self.chances[-1]
+            self.shift = np.log(k * self.noise).astype(np.float32)
+        false, shift = self.chances.searchsorted(rng.random(k), "right"), self.shift
         q = m.predicted(h1, h2)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         o = told.output_of[w]
-        true_err = sigmoid((q * m.output[o]).sum(1) + m.bias[o] - shift[o]) - 1
-        false_err = sigmoid(q @ m.output[false].T + m.bias[false] - shift[false])
-        dq = true_err[:, None] * m.output[o] + false_err @ m.output[false]
+        outputs, wrong = m.output.take(o, axis=0), m.output.take(false, axis=0)
+        true_err = sigmoid(np.einsum("ij,ij->i", q, outputs) + m.bias[o] - shift[o]) - 1
+        false_err = sigmoid(q @ wrong.T + (m.bias[false] - shift[false]))
+        dq = true_err[:, None] * outputs + false_err @ wrong
         d = q.shape[1]
         out = scatter(o, true_err[:, None] * q, m.output.shape)
         np.add.at(out, false, false_err.T @ q)
         bias = np.bincount(o, true_err, len(m.bias))
         np.add.at(bias, false, false_err.sum(0))
-        tail = np.flatnonzero(o >= len(told.shortlist))
-        paths = told.nodes[w[tail]]
-        row, level = np.nonzero(paths >= 0)
-        if len(row):
-            node, left, of = paths[row, level], told.left[w[tail]][row, level], tail[row]
-            near, vectors = q[of], m.node[node]
-            err = sigmoid(np.einsum("ij,ij->i", near, vectors) + m.node_bias[node]) - left
+        tail = np.flatnonzero(self.depth[w])
+        if len(tail):
+            long, begin = self.depth[w[tail]], self.path[w[tail]]
+            first = np.cumsum(long) - long
+            way = np.arange(first[-1] + long[-1]) + np.repeat(begin - first, long)
+            node, of = self.nodes[way], np.repeat(tail, long)
+            near, vectors = q.take(of, axis=0), m.node.take(node, axis=0)
+            err = sigmoid(np.einsum("ij,ij->i", near, vectors) + m.node_bias[node]) - self.left[way]
             err = err.astype(np.float32)
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            dq[of[first]] += np.add.reduceat(err[:, None] * vectors, first)
-            some, at, times = np.unique(node, return_inverse=True, return_counts=True)
-            self.move(m.node, 4, scatter(at, err[:, None] * near, (len(some), d)), some)
+            vectors *= err[:, None]
+            dq[tail] += np.add.reduceat(vectors, first)
+            near *= err[:, None]
+            some, at, times = several(node, self.marks[1])
+            self.move(m.node, 4, scatter(at, near, (len(some), d)), some)
             self.move(m.node_bias, 5, np.bincount(at, err, len(some)), some)
             self.moved[2][some] += times
-        position = np.stack([(dq * m.context[h1]).sum(0), (dq * m.context[h2]).sum(0)])
-        some, at, times = np.unique(np.concatenate([h1, h2]), return_inverse=True, return_counts=True)
+        position = np.stack([np.einsum("ij,ij->j", dq, m.context.take(h1, axis=0)), np.einsum("ij,ij->j", dq, m.context.take(h2, axis=0))])
+        some, at, times = several(np.concatenate([h1, h2]), self.marks[0])
         context = scatter(at, np.concatenate([dq * m.position[0], dq * m.position[1]]), (len(some), d))
         self.move(m.context, 3, context, some)
         for i, (value, grad) in enumerate(((m.output, out), (m.bias, bias), (m.position, position))):
-            self.move(value, i, grad, slice(None))
+            self.move(value, i, grad)
         self.moved[0][some] += times
         self.moved[1] += np.bincount(np.concatenate([o, false]), minlength=len(m.bias))
         self.moved[3] += len(w)
 
-    def move(self, value, which, grad, rows) -> None:
-        seen = self.seen[which]
-        seen[rows] += grad * grad
-        value[rows] -= (self.rate * grad / np.sqrt(seen[rows])).astype(np.float32)
+    def move(self, value, which, grad, rows=None) -> None:
+        seen, grad = self.seen[which], grad.astype(np.float32)
+        if rows is None:
+            seen += grad * grad
+            value -= self.rate * grad / np.sqrt(seen)
+        else:
+            now = seen.take(rows, axis=0) + grad * grad
+            seen[rows] = now
+            grad *= self.rate
+            grad /= np.sqrt(now, out=now)
+            value[rows] = value.take(rows, axis=0) - grad
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def several(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, for each key its number among these, and their counts; ``marks`` is room for all possible keys, whatever it holds."""
+    each = np.arange(len(keys))
+    marks[keys] = each
+    some = keys[marks[keys] == each]
+    marks[some] = np.arange(len(some))
+    at = marks[keys]
+    return some, at, np.bincount(at, minlength=len(some))
 
 
 def scatter(rows: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -243,21 +314,29 @@ def scatter(rows: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> np.
     return np.bincount(flat, values.ravel(), shape[0] * shape[1]).reshape(shape)
 
 
-def log_probabilities(m: Weights, w: np.ndarray, h1: np.ndarray, h2: np.ndarray, block: int = 4096) -> np.ndarray:
+def log_probabilities(m: Weights, w: np.ndarray, h1: np.ndarray, h2: np.ndarray, block: int = 128) -> np.ndarray:
     """Normalised natural log-probability of each output after its context; every different context is normalised once."""
     n = len(m.context)
     pairs, back = np.unique(h1 * n + h2, return_inverse=True)
-    q = m.predicted(pairs // n, pairs % n)
-    norm = np.empty(len(pairs), np.float32)
+    q = np.ones((len(pairs), m.context.shape[1] + 1), np.float32)  # the last column takes the bias
+    q[:, :-1] = m.predicted(pairs // n, pairs % n)
+    outputs = np.hstack([m.output, m.bias[:, None]])
+    turned, one = np.ascontiguousarray(outputs.T), np.ones(len(outputs), np.float32)
+    norm, room = np.empty(len(pairs), np.float32), np.empty((block, len(outputs)), np.float32)
     for at in range(0, len(pairs), block):
-        logits = q[at:at + block] @ m.output.T + m.bias
-        top = logits.max(axis=1)
-        logits -= top[:, None]
-        norm[at:at + block] = top + np.log(np.exp(logits, out=logits).sum(axis=1))
+        part = slice(at, at + block)
+        logits = np.matmul(q[part], turned, out=room[:min(block, len(pairs) - at)])
+        with np.errstate(over="ignore"):
+            total, top = np.exp(logits, out=logits) @ one, 0
+        if not ((total > 1e-25) & np.isfinite(total)).all():  # too large or too small for its powers: the greatest logit is taken off
+            logits = q[part] @ turned
+            top = logits.max(axis=1)
+            total = np.exp(logits - top[:, None]) @ one
+        norm[part] = top + np.log(total)
     out = np.empty(len(w))
-    for at in range(0, len(w), 65_536):
-        part = slice(at, at + 65_536)
-        out[part] = np.einsum("ij,ij->i", q[back[part]], m.output[w[part]]) + m.bias[w[part]] - norm[back[part]]
+    for at in range(0, len(w), 8192):
+        part = slice(at, at + 8192)
+        out[part] = np.einsum("ij,ij->i", q.take(back[part], axis=0), outputs.take(w[part], axis=0)) - norm[back[part]]
     return out
 
 
@@ -265,16 +344,20 @@ def path_log_probabilities(m: Weights, corpus: Corpus, w: np.ndarray, h1: np.nda
     """Natural log-probability of each place within its output: 0 for tokens of the shortlist, else along the way through the tree."""
     out = np.zeros(len(w))
     tail = np.flatnonzero(corpus.output_of[w] >= len(corpus.shortlist))
-    for start in range(0, len(tail), 65_536):
-        at = tail[start:start + 65_536]
+    for start in range(0, len(tail), 8192):
+        at = tail[start:start + 8192]
+        depth = (corpus.nodes.take(w[at], axis=0) >= 0).sum(axis=1)
+        order = np.argsort(-depth, kind="stable")  # those that go further down come first
+        at, open_ = at[order], np.searchsorted(-depth[order], -np.arange(corpus.nodes.shape[1]))
+        nodes, left = corpus.nodes.take(w[at], axis=0), corpus.left.take(w[at], axis=0)
         q = m.predicted(h1[at], h2[at])
-        for level in range(corpus.nodes.shape[1]):
-            node = corpus.nodes[w[at], level]
-            if (node < 0).any():
-                open_ = node >= 0
-                at, q, node = at[open_], q[open_], node[open_]
-            x = np.einsum("ij,ij->i", q, m.node[node]) + m.node_bias[node]
-            out[at] -= np.logaddexp(0, np.where(corpus.left[w[at], level], -x, x))
+        found = np.zeros(len(at))
+        for level, k in enumerate(open_.tolist()):
+            node = nodes[:k, level]
+            x = np.einsum("ij,ij->i", q[:k], m.node.take(node, axis=0)) + m.node_bias.take(node)
+            x = np.where(left[:k, level], -x, x)
+            found[:k] -= np.maximum(x, 0) + np.log(1 + np.exp(-np.abs(x)))
+        out[at] = found
     return out
 
 
@@ -288,14 +371,17 @@ def token_counts(train: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def told():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            tokens, n = (np.concatenate(x) for x in zip(*held))
+            tokens, at = np.unique(tokens, return_inverse=True)
+            n = np.bincount(at, n).astype(np.int64)  # sums stay below 2^53
             return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], names=["token", "n"])
 
         for batch in slices(batches):
-            for t in texts_of(batch.column(0)):
-                held.append(tokens_of(t))
-                size += len(held[-1])
-            if size > 8_000_000:
+            tokens, code, _ = tokens_in(batch.column(0))
+            times = np.bincount(code, minlength=len(tokens))
+            held.append((tokens[times > 0], times[times > 0]))
+            size += len(held[-1][0])
+            if size > 1_000_000:
                 yield told()
                 held, size = [], 0
         if size:
@@ -341,9 +427,9 @@ def train(df: DataFrame, corpus: Corpus, size: int = 16, passes: int = 1) -> Wei
             told = Corpus(**fields)
             learner, rng = Learner(Weights.of(rows, told), told, told.noise, rate=0.15 / (turn + 1)), None
             for batch in slices(batches):
-                ids = [told.ids(tokens_of(t)) for t in texts_of(batch.column(0))]
-                if ids:
-                    w, h1, h2 = contexts(ids, told.places)
+                if batch.num_rows:
+                    tokens, code, sizes = tokens_in(batch.column(0))
+                    w, h1, h2 = contexts(told.ids(tokens)[code], sizes, told.places)
                     rng = rng or np.random.default_rng([turn, len(w), int(w[:64].sum())])
                     learner.learn(w, h1, h2, rng)
             if rng:
@@ -379,11 +465,11 @@ def score(df: DataFrame, counts: DataFrame, corpus: Corpus, weights: Weights) ->
         log_times, log_rest = np.log10(told.times + ADD), np.log10(told.rest)
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
-            docs = [tokens_of(t) for t in texts_of(batch.column(1))]
-            sizes = [len(d) for d in docs]
-            tokens = np.concatenate(docs)
+            tokens, code, sizes = tokens_in(batch.column(1))
+            docs = range(batch.num_rows)
             owner = np.repeat(np.arange(len(docs)), sizes)
-            w, h1, h2 = contexts([told.ids(d) for d in docs], told.places)
+            w, h1, h2 = contexts(told.ids(tokens)[code], sizes, told.places)
+            tokens = tokens[code]
             model = (log_probabilities(m, told.output_of[w], h1, h2) + path_log_probabilities(m, told, w, h1, h2)) / np.log(10)
             frequent = w < len(told.frequent)
             own = np.zeros(len(w))
@@ -397,7 +483,7 @@ def score(df: DataFrame, counts: DataFrame, corpus: Corpus, weights: Weights) ->
             times = np.diff(np.r_[first, len(rare)]).astype(np.int32)
             offsets = pa.array(np.searchsorted(rare_owner[first], np.arange(len(docs) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(len(docs))), batch.column(0), pa.array(np.array(sizes, np.int64)), pa.array(per(frequent.astype(float)).astype(np.int64)),
+                [pa.array(row + np.arange(len(docs))), batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(per(frequent.astype(float)).astype(np.int64)),
                  pa.array(per(own)), pa.array(per(model)), pa.ListArray.from_arrays(offsets, pa.array(rare[first].view(np.int64))),
                  pa.ListArray.from_arrays(offsets, pa.array(times))], names=["_row", "doc_id", "n_tokens", "known", "base", "model", "rare", "times"])
             row += len(docs)
