@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 
 from tideline.operators import neardup as nd
@@ -106,6 +107,45 @@ def test_turned_copies_join_the_earliest_leader(spark, monkeypatch, hot):
     assert nd.turned_groups(df.limit(0), 4, 8).count() == 0
 
 
+def words64(code):
+    return [int(code[i:i + 64], 2) - (1 << 64 if code[i:i + 64][0] == "1" and len(code[i:i + 64]) == 64 else 0) for i in range(0, len(code), 64)]
+
+
+@pytest.mark.parametrize("side,far", [(8, 4), (16, 20), (16, 300), (9, 7)])
+def test_tiles_find_every_near_pair(side, far):
+    """Also the emptiest and the fullest codes, whose numbers of ones leave a byte."""
+    rng, bits = random.Random(side + far), side * side
+    codes = ["0" * bits, "1" * bits, "0" * (bits - 1) + "1"]
+    for density in (0.03, 0.3, 0.9):
+        base = ["".join("1" if rng.random() < density else "0" for _ in range(bits)) for _ in range(20)]
+        for b in base:
+            code = list(rng.choice(turned(b, side)))
+            for c in rng.sample(range(bits), rng.randrange(min(bits, 2 * far // 3 + 4))):
+                code[c] = "10"[int(code[c])]
+            codes += [b, "".join(code)]
+    a, b = (np.array([words64(c) for c in x], np.int64).view(np.uint64) for x in (codes, codes[5:]))
+    got = {(i, j) for x, y in nd.near_in_tile(a, b, side, far) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert got == {(i, j) for i, c in enumerate(codes) for j, d in enumerate(codes[5:]) if min(sum(x != y for x, y in zip(c, v, strict=True)) for v in turned(d, side)) <= far}
+
+
+@pytest.mark.parametrize("first,most,tile", [(1000, 10, 1000), (20, 10**9, 30), (25, 40, 1000), (30, 0, 40)])
+def test_stretches_of_the_order_agree_with_the_rule(spark, monkeypatch, first, most, tile):
+    """Stretches, halved ones and tiles of any size give the same leaders; half of the codes are near each other, most of them late in the order."""
+    monkeypatch.setattr(nd.near_by_tiles, "__defaults__", (tile,))
+    rng, rows, leaders, want = random.Random(5), [], [], {}
+    for i in range(120):
+        few = rng.random() < (0.9 if i > 70 else 0.1)
+        rows.append((i * 3 + 1, rng.choice(["a", None]), "".join("1" if rng.random() < (0.05 if few else 0.5) else "0" for _ in range(64))))
+    for node, label, code in rows:
+        hit = next((n for n, l, c in leaders if l == label and min(sum(x != y for x, y in zip(c, v, strict=True)) for v in turned(code, 8)) <= 5), None)
+        want[node] = node if hit is None else hit
+        if hit is None:
+            leaders.append((node, label, code))
+    nodes = spark.createDataFrame([(n, l, words64(c)) for n, l, c in rows], "node long, label string, _words array<long>")
+    got = nd.leaders_by_tiles(nodes, 8, 5, first, most).collect()
+    assert len(got) == len(rows) and {r.node: r.leader for r in got} == want
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -16,10 +16,12 @@ from __future__ import annotations
 import difflib
 import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ from tideline.functions.vector import let
 from tideline.session import cut_lineage
 
 HOT_BLOCK, MAX_ROUNDS, GOOD_ROUND = 256, 6, 0.9
+ROUGH = 18  # groups of orbits by which all pairs of codes are compared first
+STRETCH, PAIRS = 4096, 20_000_000  # nodes of the first stretch of the order, near pairs that a stretch may write
+TILE = 8192  # codes compared with as many others in one group
 
 
 def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -248,13 +253,139 @@ def fingerprint_groups(items: DataFrame, max_distance: int = 20, n_words: int =
     return (keyed.select("id", "label", "_code").join(nodes.select("_code", "node"), "_code").join(led, "node").select("id", "label", "leader"))
 
 
+def bits_of(words: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of 64-bit words (the last one may be shorter) as rows of zeros and ones."""
+    sizes = [min(64, bits - at) for at in range(0, bits, 64)]
+    return np.hstack([(words[:, k, None] >> np.arange(n - 1, -1, -1, dtype=np.uint64) & np.uint64(1)).astype(np.uint8) for k, n in enumerate(sizes)])
+
+
+def near_in_tile(a: np.ndarray, b: np.ndarray, side: int, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of codes (words of ``a`` and of ``b``) that are within the distance in some orientation, some rows of ``a`` at a time.
+
+    An orientation moves bits inside their orbits only, so the differences of two codes' numbers of ones per orbit, or per any group of
+    orbits, add up to at most their distance in every orientation. What these numbers leave is compared bit by bit.
+    """
+    kinds, rough, bits = orbits(side), orbit_bands(side, min(ROUGH, len(orbits(side)))), side * side
+    bits_a, bits_b = bits_of(a, bits), bits_of(b, bits)
+    per = lambda x, groups: [x[:, g].sum(axis=1) for g in groups]
+    # Small numbers, as they are fast: sums over 255 start again at 0, which only lets more pairs through.
+    small = np.int8 if max(map(len, rough)) < 128 and max_distance < 256 else np.int32
+    sums = np.uint8 if small is np.int8 else np.int32
+    # Sorted by their ones, so that rows meet a range of the others: numbers of ones further apart than the distance tell codes apart.
+    by_a, by_b = bits_a.sum(axis=1, dtype=np.int64), bits_b.sum(axis=1, dtype=np.int64)
+    order_a, order_b = np.argsort(by_a, kind="stable"), np.argsort(by_b, kind="stable")
+    bits_a, bits_b, by_a, by_b = bits_a[order_a], bits_b[order_b], by_a[order_a], by_b[order_b]
+    rough_a, rough_b = np.array(per(bits_a, rough), small), np.array(per(bits_b, rough), small)
+    fine_a, fine_b = np.array(per(bits_a, kinds), np.int8).T.copy(), np.array(per(bits_b, kinds), np.int8).T.copy()  # an orbit has 8 cells at most
+    own = np.packbits(bits_a, axis=1)
+    views = [np.packbits(bits_b[:, cells], axis=1) for cells in orientations(side)]
+    for at in range(0, len(a), 32):
+        x = rough_a[:, at:at + 32]
+        low, high = np.searchsorted(by_b, by_a[at] - max_distance), np.searchsorted(by_b, by_a[at + x.shape[1] - 1] + max_distance, "right")
+        if low == high:
+            continue
+        apart = np.zeros((x.shape[1], high - low), sums)
+        gap = np.empty(apart.shape, small)
+        for u, v in zip(x, rough_b[:, low:high], strict=True):
+            np.abs(np.subtract(u[:, None], v, out=gap), out=gap)
+            apart += gap.view(sums)
+        i, j = np.divmod(np.flatnonzero(apart <= max_distance), high - low)
+        i, j = i + at, j + low
+        keep = np.abs(fine_a.take(i, axis=0) - fine_b.take(j, axis=0)).sum(axis=1, dtype=np.int32) <= max_distance
+        i, j = i[keep], j[keep]
+        mine = own.take(i, axis=0)
+        least = np.full(len(i), bits + 1)
+        for view in views:
+            least = np.minimum(least, np.bitwise_count(mine ^ view.take(j, axis=0)).sum(axis=1, dtype=np.int64))
+        yield order_a[i[least <= max_distance]], order_b[j[least <= max_distance]]
+
+
+def near_by_tiles(first: DataFrame, second: DataFrame | None, side: int, max_distance: int, tile: int = TILE) -> DataFrame:
+    """(a, b) of nodes of one label within the distance, a before b: all pairs among ``first``, or for each node of ``second`` its earliest near one in ``first``.
+
+    Nodes are (node, label, _words). They are dealt into tiles of some ``tile`` nodes; each pair of tiles is a group of its own, so memory
+    is bounded by two tiles and work is spread over as many groups as there are pairs of tiles.
+    """
+    within, wide = second is None, math.ceil(side * side / 64)
+    second = first if within else second
+    n, m = (max(1, math.ceil(t.count() / tile)) for t in (first, second))
+    words = [F.get("_words", F.lit(k)).alias(f"w{k}") for k in range(wide)]
+    dealt = lambda many: F.pmod(F.xxhash64("node"), F.lit(many).cast("long"))
+    others = lambda low, high: F.explode(F.sequence(low, F.lit(high).cast("long") if isinstance(high, int) else high))
+    none = F.lit(0).cast("long")  # tiles are longs on both sides, as numbers of other types go to other partitions
+    # Both sides may be the same table, so every column gets a name of its own. Among themselves, tile i meets those from i on.
+    named = lambda t, k, many: t.select(dealt(many).alias(k), F.col("node").alias(f"{k}_node"), F.col("label").alias(f"{k}_label"), *words)
+    left = named(first, "i", n).withColumn("j", others(F.col("i") if within else none, m - 1))
+    right = named(second, "j", m).withColumn("i", others(none, F.col("j") if within else n - 1))
+    parts = max(1, min(n * m, 4 * first.sparkSession.sparkContext.defaultParallelism))
+    group = lambda t, k: t.repartition(parts, "i", "j", f"{k}_label").groupBy("i", "j", f"{k}_label")
+
+    def met(x: pa.Table, y: pa.Table) -> pa.Table:
+        words_of_table = lambda t: np.stack([t[f"w{k}"].to_numpy().view(np.uint64) for k in range(wide)], axis=1)
+        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if x.num_rows and y.num_rows:
+            a, b, same = x["i_node"].to_numpy(), y["j_node"].to_numpy(), within and x["i"][0].as_py() == x["j"][0].as_py()
+            for p, q in near_in_tile(words_of_table(x), words_of_table(y), side, max_distance):
+                p, q = a[p], b[q]
+                if within:  # a pair of two tiles is met once, one inside a tile both ways
+                    some = p < q if same else p != q
+                    p, q = np.minimum(p, q)[some], np.maximum(p, q)[some]
+                else:
+                    order = np.lexsort((p, q))
+                    p, q = p[order], q[order]
+                    some = np.r_[True, q[1:] != q[:-1]][:len(q)]
+                    p, q = p[some], q[some]
+                found_a.append(p)
+                found_b.append(q)
+        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+    pairs = group(left, "i").cogroup(group(right, "j")).applyInArrow(met, "a long, b long")
+    return pairs if within else pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def leaders_by_tiles(nodes: DataFrame, side: int, max_distance: int, first: int = STRETCH, most: int = PAIRS) -> DataFrame:
+    """(node, leader) for every node (node, label, _words); a node's number is its place in the order.
+
+    The order is gone through in stretches, each about as long as all before it. Nodes near a leader of an earlier stretch join the earliest such one;
+    only what is left meets among itself. So where very many nodes are near each other, few pairs are written: those before have led.
+    A stretch that would still write over ``most`` pairs, told by ``first`` of its nodes, is gone through in two.
+    """
+    steps = max(0, math.ceil(math.log2(max(1, nodes.count()) / first)))
+    cuts = sorted({int(c) for c in nodes.approxQuantile("node", [2.0 ** -k for k in range(1, steps + 1)], 0.001)}) if steps else []
+    todo, leaders, done = list(itertools.pairwise([None, *cuts, None]))[::-1], None, []
+    while todo:
+        low, high = todo.pop()
+        mine = nodes if low is None else nodes.filter(F.col("node") > low)
+        mine = cut_lineage((mine if high is None else mine.filter(F.col("node") <= high)).select("node", "label", "_words"))
+        joined = None
+        if leaders is not None:
+            joined = cut_lineage(near_by_tiles(leaders, mine, side, max_distance).select(F.col("b").alias("node"), F.col("a").alias("leader")))
+            mine = cut_lineage(mine.join(joined, "node", "left_anti"))
+        share = mine.count() / first
+        if share > 1:
+            some = mine.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(math.ceil(share))) == 0)
+            middle = int(mine.approxQuantile("node", [0.5], 0.01)[0])
+            if near_by_tiles(some, None, side, max_distance).count() * share ** 2 > most and not mine.filter(F.col("node") > middle).isEmpty():
+                todo += [(middle, high), (low, middle)]
+                continue
+        if joined is not None:
+            done.append(joined)
+        edges = cut_lineage(near_by_tiles(mine, None, side, max_distance))
+        lead = cut_lineage(greedy_leaders(mine.select("node"), edges))
+        done.append(lead.select("node", F.col("node").alias("leader")))
+        done.append(cut_lineage(edges.join(lead.withColumnRenamed("node", "a"), "a", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))))
+        mine = mine.join(lead, "node", "left_semi")
+        leaders = cut_lineage(mine if leaders is None else leaders.unionByName(mine))
+    return reduce(DataFrame.unionByName, done)
+
+
 def turned_groups(items: DataFrame, max_distance: int = 20, side: int = 16, agree: int | None = None) -> DataFrame:
     """(id, label, leader): near-duplicate groups within a label, whichever way round an item lies.
 
     Items are (id, label, code), codes strings of ``side * side`` zeros and ones. The distance of two codes is the least over the eight
     orientations of the later one; as these form a group it is the same both ways, and all orientations of a code are one
     node, named by the least of them. Ids are unique. A null label is a label of its own; a null code or one of another
-    length is near nothing and leads itself.
+    length is near nothing and leads itself. ``agree`` is taken for the sake of older callers and changes nothing.
     """
     bits = side * side
     known = F.coalesce(F.length("code") == bits, F.lit(False))
@@ -264,22 +395,8 @@ def turned_groups(items: DataFrame, max_distance: int = 20, side: int = 16, agre
     alone = keyed.filter("_code IS NULL").select("id", "label", F.col("id").alias("leader"))
     coded = keyed.filter("_code IS NOT NULL")
     nodes = cut_lineage(coded.groupBy("label", "_code").agg(F.min("id").alias("node"))
-                        .withColumn("_views", F.transform(turned_codes(F.col("_code"), side), lambda v: words_of(v, bits))))
-    agree = agree or orbit_bands_to_agree(nodes.count(), side, max_distance)
-
-    def blocks(some: DataFrame, agree: int) -> Blocks:
-        keys = F.transform(orbit_keys(F.col("_code"), side, max_distance, agree), lambda k: F.xxhash64(k, F.col("label")))
-        both = cut_lineage(some.select("node", F.explode(F.array_distinct(keys)).alias("block")))
-        return both, both
-
-    own = nodes.select(F.col("node").alias("a"), F.col("label").alias("_la"), F.get("_views", F.lit(0)).alias("_code_a"))
-    all_ = nodes.select(F.col("node").alias("b"), F.col("label").alias("_lb"), F.col("_views").alias("_views_b"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        apart = closest(F.col("_code_a"), F.col("_views_b"), 8, math.ceil(bits / 64))
-        return (pairs.join(own, "a").join(all_, "b").filter(F.col("_la").eqNullSafe(F.col("_lb"))).filter(apart <= max_distance).select("a", "b"))
-
-    led = assign_leaders(nodes, blocks(nodes, agree), near, lambda inside: blocks(nodes.join(inside, "node", "left_semi"), agree + 1))
+                        .withColumn("_words", words_of(F.col("_code"), bits)))
+    led = leaders_by_tiles(nodes, side, max_distance)
     named = nodes.select(F.col("label").alias("_l"), F.col("_code").alias("_c"), "node").join(led, "node")
     return (coded.join(named, F.col("label").eqNullSafe(F.col("_l")) & (F.col("_code") == F.col("_c"))).select("id", "label", "leader")
             .unionByName(alone))
