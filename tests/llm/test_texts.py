@@ -280,6 +280,74 @@ def test_normalising_without_the_greatest_logit(scale):
     assert np.allclose(lm.log_probabilities(m, w, h1, h2, block=64), want, rtol=1e-5, atol=1e-4)
 
 
+@pytest.mark.parametrize("scale", [1, 30])
+def test_powers_are_taken_per_token_and_not_per_pair(scale, monkeypatch):
+    """Sums after two tokens are those of whole logits, for often used tokens, rare ones and both; their powers are taken once a token."""
+    rng = np.random.default_rng(3)
+    make = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
+    m = lm.Weights(make(60, 4) * scale, make(50, 4), make(50), make(1, 4), make(1), make(2, 4))
+    h1, h2 = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    w = rng.integers(0, 50, len(h1))
+    logits = m.predicted(h1, h2).astype(float) @ m.output.T.astype(float) + m.bias
+    top = logits.max(axis=1, keepdims=True)
+    want = (logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True)))[np.arange(len(w)), w]
+    taken, exp = [], np.exp
+    monkeypatch.setattr(lm.np, "exp", lambda x, **more: taken.append(np.size(x)) or exp(x, **more))
+    for often in (60, 40, 1, 0):
+        taken.clear()
+        got = lm.log_probabilities(m, w, h1, h2, norms=lm.Norms(m, np.arange(often), 16))
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+        if often == 60 and scale == 1:
+            assert sum(taken) == 2 * 60 * 50  # of 3,600 pairs
+
+
+def test_a_step_is_that_of_plain_loops(spark):
+    """Steps of whole arrays move the weights as loops over tokens, outputs and nodes do, and count the rows used."""
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(" ".join(rnd.choices([f"w{i}" for i in range(300)], k=2000)),)], "text string")
+    corpus = lm.corpus_of(lm.token_counts(df), 10, lm.LEAST_SHARE)
+    learner = lm.Learner(lm.start_weights(corpus, 6), corpus, corpus.noise, samples=5, batch=40)
+    m = lm.start_weights(corpus, 6)
+    rng = np.random.default_rng(1)
+    w, h1, h2 = (rng.integers(0, corpus.places, 100) for _ in range(3))
+    learner.learn(w, h1, h2, np.random.default_rng(2))
+    parts = [m.context, m.output, m.bias, m.node, m.node_bias, m.position]
+    seen, used = [np.ones(x.shape) for x in parts], [np.zeros(len(x), int) for x in (m.context, m.output, m.node, m.position)]
+    draws, chances, shift = np.random.default_rng(2), np.cumsum(corpus.noise), np.log(5 * corpus.noise)
+    on = lambda x: 1 / (1 + math.exp(-x))
+    for at in range(0, 100, 40):
+        grads = [np.zeros(x.shape) for x in parts]
+        false = (chances / chances[-1]).searchsorted(draws.random(5), "right")
+        context, output, bias, node, node_bias, position = grads
+        np.add.at(used[1], false, 1)
+        for a, b, c in zip(w[at:at + 40], h1[at:at + 40], h2[at:at + 40], strict=True):
+            q = m.position[0] * m.context[b] + m.position[1] * m.context[c]
+            dq = np.zeros(6)
+            for o, true in [(corpus.output_of[a], 1), *((x, 0) for x in false)]:
+                err = on(q @ m.output[o] + m.bias[o] - shift[o]) - true
+                dq += err * m.output[o]
+                output[o] += err * q
+                bias[o] += err
+            for x, left in zip(corpus.nodes[a], corpus.left[a], strict=True):
+                if x >= 0:
+                    err = on(q @ m.node[x] + m.node_bias[x]) - left
+                    dq += err * m.node[x]
+                    node[x] += err * q
+                    node_bias[x] += err
+                    used[2][x] += 1
+            for i, h in enumerate((b, c)):
+                context[h] += dq * m.position[i]
+                position[i] += dq * m.context[h]
+                used[0][h] += 1
+            used[1][corpus.output_of[a]] += 1
+            used[3] += 1
+        for value, total, grad in zip(parts, seen, grads, strict=True):
+            total += grad * grad
+            value -= 0.15 * grad / np.sqrt(total)
+    assert (corpus.nodes >= 0).any() and np.allclose(learner.weights.rows(), m.rows(), rtol=1e-3, atol=1e-4)
+    assert learner.moved().tolist() == np.concatenate(used).tolist()
+
+
 def test_distinct_keys_of_a_step():
     keys, marks = np.array([5, 2, 5, 9, 2, 5]), np.full(10, 7)
     some, at, times = lm.several(keys, marks)

@@ -16,6 +16,7 @@ with the corpus; only the frequent tokens, whose number is bounded by their shar
 from __future__ import annotations
 
 import itertools
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -122,6 +123,10 @@ class Corpus:
         at, found = lookup(self.frequent, tokens)
         return np.where(found, at, len(self.frequent) + (tokens & np.uint64(CLASS_BITS)).astype(np.int64))
 
+    def often(self, most: int) -> np.ndarray:
+        """The places, at most ``most``, that occur most often."""
+        return np.sort(np.argsort(-np.r_[self.times, self.rest], kind="stable")[:most])
+
     @property
     def noise(self) -> np.ndarray:
         p = np.concatenate([self.short_times, self.class_times]) + 1.0
@@ -223,120 +228,205 @@ class Learner:
     batch: int = 1024
     rate: float = 0.15
     seen: list = field(default_factory=list)
-    moved: list = field(default_factory=list)
+    used: list = field(default_factory=list)
     marks: list = field(default_factory=list)
 
     def learn(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray, rng: np.random.Generator) -> None:
-        """``w``, ``h1`` and ``h2`` are places."""
-        for at in range(0, len(w), self.batch):
-            part = slice(at, at + self.batch)
-            self.step(w[part], h1[part], h2[part], rng)
-
-    def step(self, w, h1, h2, rng) -> None:
-        m, k, told = self.weights, self.samples, self.corpus
+        """``w``, ``h1`` and ``h2`` are places. What no step changes, as draws and counts, is told for all steps at once."""
+        m, told, starts = self.weights, self.corpus, range(0, len(w), self.batch)
         if not self.seen:
             self.seen = [np.full(x.shape, 1.0, np.float32) for x in (m.output, m.bias, m.position, m.context, m.node, m.node_bias)]
-            self.moved = [np.zeros(len(x), np.int64) for x in (m.context, m.output, m.node, m.position)]
-            self.marks = [np.zeros(len(x), np.int64) for x in (m.context, m.node)]
-            on = told.nodes >= 0
-            self.depth, self.nodes, self.left = on.sum(axis=1), told.nodes[on], told.left[on]
-            self.path = np.cumsum(self.depth) - self.depth
+            self.used = [np.zeros(n, np.int64) for n in (len(m.context), len(m.output), told.places)]
+            self.marks = [np.zeros(len(x), np.int32) for x in (m.context, m.node)]
+            self.depth = (told.nodes >= 0).sum(axis=1)
             self.chances = np.cumsum(self.noise)
             self.chances /= self.chances[-1]
-            self.shift = np.log(k * self.noise).astype(np.float32)
-        false, shift = self.chances.searchsorted(rng.random(k), "right"), self.shift
-        q = m.predicted(h1, h2)
-        o = told.output_of[w]
+            self.shift = np.log(self.samples * self.noise).astype(np.float32)
+        false = self.chances.searchsorted(rng.random((len(starts), self.samples)), "right")
+        o, depth = told.output_of.take(w), self.depth.take(w)
+        for at, wrong in zip(starts, false, strict=True):
+            part = slice(at, at + self.batch)
+            self.step(w[part], o[part], depth[part], h1[part], h2[part], wrong)
+        for used, places in zip(self.used, ((h1, h2), (o, false.ravel()), (w,)), strict=True):
+            for x in places:
+                used += np.bincount(x, minlength=len(used))
+
+    def moved(self) -> np.ndarray:
+        """For each row of the weights, how often it was used."""
+        on = self.corpus.nodes >= 0
+        node = np.bincount(self.corpus.nodes[on], np.repeat(self.used[2], self.depth), len(self.weights.node)).astype(np.int64)  # sums stay below 2^53
+        return np.concatenate([*self.used[:2], node, np.full(len(self.weights.position), self.used[2].sum())])
+
+    def step(self, w, o, depth, h1, h2, false) -> None:
+        m, told, shift, n = self.weights, self.corpus, self.shift, len(w)
+        before = np.concatenate([h1, h2])
+        near = m.context.take(before, axis=0)
+        q = m.position[0] * near[:n] + m.position[1] * near[n:]
         outputs, wrong = m.output.take(o, axis=0), m.output.take(false, axis=0)
-        true_err = sigmoid(np.einsum("ij,ij->i", q, outputs) + m.bias[o] - shift[o]) - 1
-        false_err = sigmoid(q @ wrong.T + (m.bias[false] - shift[false]))
-        dq = true_err[:, None] * outputs + false_err @ wrong
-        d = q.shape[1]
-        out = scatter(o, true_err[:, None] * q, m.output.shape)
-        np.add.at(out, false, false_err.T @ q)
-        bias = np.bincount(o, true_err, len(m.bias))
-        np.add.at(bias, false, false_err.sum(0))
-        tail = np.flatnonzero(self.depth[w])
+        true_err = sigmoid(np.einsum("ij,ij->i", q, outputs) + (m.bias - shift).take(o)) - 1
+        false_err = q @ wrong.T
+        false_err += m.bias[false] - shift[false]
+        false_err = sigmoid(false_err)
+        outputs *= true_err[:, None]
+        dq = false_err @ wrong
+        dq += outputs
+        both = np.concatenate([o, false])
+        out = scatter(both, np.concatenate([true_err[:, None] * q, false_err.T @ q]), m.output.shape)
+        bias = np.bincount(both, np.concatenate([true_err, false_err.sum(0)]), len(m.bias))
+        tail = np.flatnonzero(depth)
         if len(tail):
-            long, begin = self.depth[w[tail]], self.path[w[tail]]
-            first = np.cumsum(long) - long
-            way = np.arange(first[-1] + long[-1]) + np.repeat(begin - first, long)
-            node, of = self.nodes[way], np.repeat(tail, long)
-            near, vectors = q.take(of, axis=0), m.node.take(node, axis=0)
-            err = sigmoid(np.einsum("ij,ij->i", near, vectors) + m.node_bias[node]) - self.left[way]
-            err = err.astype(np.float32)
-            vectors *= err[:, None]
-            dq[tail] += np.add.reduceat(vectors, first)
-            near *= err[:, None]
-            some, at, times = several(node, self.marks[1])
-            self.move(m.node, 4, scatter(at, near, (len(some), d)), some)
+            long, after = depth[tail], q.take(tail, axis=0)
+            nodes, left = (x.take(w[tail], axis=0)[:, :long.max()] for x in (told.nodes, told.left))
+            on = nodes >= 0
+            vectors = m.node.take(nodes, axis=0)
+            err = sigmoid(np.matmul(vectors, after[:, :, None])[:, :, 0] + m.node_bias.take(nodes)) - left
+            err *= on
+            dq[tail] += np.matmul(err[:, None, :], vectors)[:, 0]
+            node, err = nodes[on].astype(np.int64), err[on]
+            grad = after.take(np.repeat(np.arange(len(tail)), long), axis=0)
+            grad *= err[:, None]
+            some, at, _ = several(node, self.marks[1])
+            self.move(m.node, 4, scatter(at, grad, (len(some), q.shape[1])), some)
             self.move(m.node_bias, 5, np.bincount(at, err, len(some)), some)
-            self.moved[2][some] += times
-        position = np.stack([np.einsum("ij,ij->j", dq, m.context.take(h1, axis=0)), np.einsum("ij,ij->j", dq, m.context.take(h2, axis=0))])
-        some, at, times = several(np.concatenate([h1, h2]), self.marks[0])
-        context = scatter(at, np.concatenate([dq * m.position[0], dq * m.position[1]]), (len(some), d))
-        self.move(m.context, 3, context, some)
+        position = np.stack([np.diagonal(dq.T @ x) for x in (near[:n], near[n:])])
+        some, at, _ = several(before, self.marks[0])
+        np.multiply(dq, m.position[0], out=near[:n])
+        np.multiply(dq, m.position[1], out=near[n:])
+        self.move(m.context, 3, scatter(at, near, (len(some), q.shape[1])), some)
         for i, (value, grad) in enumerate(((m.output, out), (m.bias, bias), (m.position, position))):
             self.move(value, i, grad)
-        self.moved[0][some] += times
-        self.moved[1] += np.bincount(np.concatenate([o, false]), minlength=len(m.bias))
-        self.moved[3] += len(w)
 
     def move(self, value, which, grad, rows=None) -> None:
-        seen, grad = self.seen[which], grad.astype(np.float32)
+        seen, grad = self.seen[which], grad.astype(np.float32, copy=False)
         if rows is None:
             seen += grad * grad
             value -= self.rate * grad / np.sqrt(seen)
         else:
-            now = seen.take(rows, axis=0) + grad * grad
-            seen[rows] = now
-            grad *= self.rate
-            grad /= np.sqrt(now, out=now)
-            value[rows] = value.take(rows, axis=0) - grad
+            step = grad * grad
+            step += seen.take(rows, axis=0)
+            put(seen, rows, step)
+            np.sqrt(step, out=step)
+            np.divide(grad, step, out=step)
+            step *= -self.rate
+            step += value.take(rows, axis=0)
+            put(value, rows, step)
+
+
+def put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Writes whole rows of a table, each as a single value, which is faster than one number after the other."""
+    row = np.dtype((np.void, table[:1].nbytes))
+    table.view(row).ravel()[rows] = values.view(row).ravel()
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In the place of ``x``."""
+    np.negative(x, out=x)
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def several(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, for each key its number among these, and their counts; ``marks`` is room for all possible keys, whatever it holds."""
-    each = np.arange(len(keys))
+    each = np.arange(len(keys), dtype=marks.dtype)
     marks[keys] = each
-    some = keys[marks[keys] == each]
-    marks[some] = np.arange(len(some))
-    at = marks[keys]
+    some = keys[marks.take(keys) == each]
+    marks[some] = each[:len(some)]
+    at = marks.take(keys).astype(np.int64)
     return some, at, np.bincount(at, minlength=len(some))
 
 
 def scatter(rows: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    flat = (rows[:, None] * shape[1] + np.arange(shape[1])).ravel()
-    return np.bincount(flat, values.ravel(), shape[0] * shape[1]).reshape(shape)
+    """Sums of the rows of ``values`` that have the same number; two columns are added at once, as a complex number."""
+    if shape[1] % 2 or values.dtype != np.float32:
+        flat = np.arange(shape[0] * shape[1]).reshape(shape).take(rows, axis=0)
+        return np.bincount(flat.ravel(), values.ravel(), shape[0] * shape[1]).reshape(shape)
+    out = np.zeros(shape[0] * shape[1] // 2, np.complex64)
+    np.add.at(out, np.arange(len(out)).reshape(shape[0], -1).take(rows, axis=0).ravel(), np.ascontiguousarray(values).view(np.complex64).ravel())
+    return out.view(np.float32).reshape(shape)
 
 
-def log_probabilities(m: Weights, w: np.ndarray, h1: np.ndarray, h2: np.ndarray, block: int = 128) -> np.ndarray:
-    """Normalised natural log-probability of each output after its context; every different context is normalised once."""
-    n = len(m.context)
-    pairs, back = np.unique(h1 * n + h2, return_inverse=True)
-    q = np.ones((len(pairs), m.context.shape[1] + 1), np.float32)  # the last column takes the bias
-    q[:, :-1] = m.predicted(pairs // n, pairs % n)
-    outputs = np.hstack([m.output, m.bias[:, None]])
-    turned, one = np.ascontiguousarray(outputs.T), np.ones(len(outputs), np.float32)
-    norm, room = np.empty(len(pairs), np.float32), np.empty((block, len(outputs)), np.float32)
-    for at in range(0, len(pairs), block):
-        part = slice(at, at + block)
-        logits = np.matmul(q[part], turned, out=room[:min(block, len(pairs) - at)])
+class Norms:
+    """Logarithms of the sums, over all outputs, of the powers of their logits after two tokens.
+
+    The two tokens' shares of a logit add up, so their powers multiply: powers are taken once for a token at a position, and the sum is
+    the product of two rows. Sums after two of the ``often`` used places are made once in a matrix product. Where both are rare, or a sum leaves the
+    range of numbers, powers are taken of whole logits.
+    """
+
+    def __init__(self, m: Weights, often: np.ndarray, block: int = 512):
+        self.m, self.block = m, block
+        self.turned = np.ascontiguousarray(np.hstack([m.output, m.bias[:, None]]).T)
+        self.one = np.ones(len(m.output), np.float32)
+        self.number = np.full(len(m.context), -1, np.int64)
+        self.number[often] = np.arange(len(often))
+        self.often = [self.powers(often, i) for i in (0, 1)]
+        self.table = self.often[0][0] @ self.often[1][0].T
+
+    def powers(self, places: np.ndarray, position: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the places' shares of all logits, and the greatest share of each, which is taken off before; biases belong to the first position."""
+        x = self.m.context.take(places, axis=0)
+        x *= self.m.position[position]
+        x = x @ self.turned[:-1]
+        if not position:
+            x += self.turned[-1]
+        top = x.max(axis=1, initial=-np.inf)
+        x -= top[:, None]
+        return np.exp(x, out=x), top
+
+    def of(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        a, b = self.number.take(h1), self.number.take(h2)
+        total, top = np.zeros(len(h1), np.float32), np.zeros(len(h1), np.float32)
+        at = np.flatnonzero((a >= 0) & (b >= 0))
+        total[at] = self.table.take(a[at] * len(self.table) + b[at]) if len(at) else 0
+        top[at] = self.often[0][1].take(a[at]) + self.often[1][1].take(b[at]) if len(at) else 0
+        for position, rare, other, known in ((0, h1, b, (a < 0) & (b >= 0)), (1, h2, a, (a >= 0) & (b < 0))):
+            at = np.flatnonzero(known)
+            at = at[np.argsort(rare[at], kind="stable")]
+            powers, tops = self.often[1 - position]
+            for begin in range(0, len(at), self.block):
+                part = at[begin:begin + self.block]
+                places = rare[part]
+                new = np.r_[True, places[1:] != places[:-1]]
+                own, own_top = self.powers(places[new], position)
+                back = np.cumsum(new) - 1
+                total[part] = np.vecdot(own.take(back, axis=0), powers.take(other[part], axis=0))
+                top[part] = own_top.take(back) + tops.take(other[part])
+        left = np.flatnonzero(~(total > 1e-25))
+        total[left] = 1
+        out = np.log(total, out=total)
+        out += top
+        room = np.empty((128, len(self.one)), np.float32)  # stays in the cache
+        for begin in range(0, len(left), len(room)):
+            part = left[begin:begin + len(room)]
+            out[part] = self.whole(h1[part], h2[part], room)
+        return out
+
+    def whole(self, h1: np.ndarray, h2: np.ndarray, room: np.ndarray) -> np.ndarray:
+        q = np.ones((len(h1), len(self.turned)), np.float32)  # the last column takes the bias
+        q[:, :-1] = self.m.predicted(h1, h2)
+        logits, top = np.matmul(q, self.turned, out=room[:len(q)]), 0
         with np.errstate(over="ignore"):
-            total, top = np.exp(logits, out=logits) @ one, 0
+            total = np.exp(logits, out=logits) @ self.one
         if not ((total > 1e-25) & np.isfinite(total)).all():  # too large or too small for its powers: the greatest logit is taken off
-            logits = q[part] @ turned
+            logits = q @ self.turned
             top = logits.max(axis=1)
-            total = np.exp(logits - top[:, None]) @ one
-        norm[part] = top + np.log(total)
+            total = np.exp(logits - top[:, None]) @ self.one
+        return top + np.log(total)
+
+
+def log_probabilities(m: Weights, w: np.ndarray, h1: np.ndarray, h2: np.ndarray, block: int = 512, norms: Norms | None = None) -> np.ndarray:
+    """Normalised natural log-probability of each output after its context; every different context is normalised once."""
+    n = len(m.context)
+    norms = norms or Norms(m, np.empty(0, np.int64), block)
+    pairs, back = np.unique(h1 * n + h2, return_inverse=True)
+    norm = norms.of(pairs // n, pairs % n)
     out = np.empty(len(w))
     for at in range(0, len(w), 8192):
         part = slice(at, at + 8192)
-        out[part] = np.einsum("ij,ij->i", q.take(back[part], axis=0), outputs.take(w[part], axis=0)) - norm[back[part]]
+        logits = np.einsum("ij,ij->i", m.predicted(h1[part], h2[part]), m.output.take(w[part], axis=0)) + m.bias.take(w[part])
+        out[part] = logits - norm.take(back[part])
     return out
 
 
@@ -433,7 +523,7 @@ def train(df: DataFrame, corpus: Corpus, size: int = 16, passes: int = 1) -> Wei
                     rng = rng or np.random.default_rng([turn, len(w), int(w[:64].sum())])
                     learner.learn(w, h1, h2, rng)
             if rng:
-                n, moved = np.concatenate(learner.moved), learner.weights.rows() - rows
+                n, moved = learner.moved(), learner.weights.rows() - rows
                 for at in np.array_split(np.flatnonzero(n), max(1, np.count_nonzero(n) // 20_000)):
                     made = moved[at]
                     offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1])
@@ -455,13 +545,17 @@ def score(df: DataFrame, counts: DataFrame, corpus: Corpus, weights: Weights) ->
     Frequent tokens are counted where the text is read. The others, each a small share of all, meet their counts
     in a join and are summed per row.
     """
-    shared = df.sparkSession.sparkContext.broadcast((vars(corpus), weights.rows()))
+    shared, this = df.sparkSession.sparkContext.broadcast((vars(corpus), weights.rows())), uuid.uuid4().hex
     schema = "_row long, doc_id long, n_tokens long, known long, base double, model double, rare array<long>, times array<int>"
 
     def run(batches):
         fields, rows = shared.value
         told = Corpus(**fields)
         m = Weights.of(rows, told)
+        held = kept("lm norms", dict, _endings.__module__)
+        if this not in held:  # of another model, if any
+            held.clear()
+            held[this] = Norms(m, told.often(OFTEN))
         log_times, log_rest = np.log10(told.times + ADD), np.log10(told.rest)
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
@@ -470,7 +564,7 @@ def score(df: DataFrame, counts: DataFrame, corpus: Corpus, weights: Weights) ->
             owner = np.repeat(np.arange(len(docs)), sizes)
             w, h1, h2 = contexts(told.ids(tokens)[code], sizes, told.places)
             tokens = tokens[code]
-            model = (log_probabilities(m, told.output_of[w], h1, h2) + path_log_probabilities(m, told, w, h1, h2)) / np.log(10)
+            model = (log_probabilities(m, told.output_of[w], h1, h2, norms=held[this]) + path_log_probabilities(m, told, w, h1, h2)) / np.log(10)
             frequent = w < len(told.frequent)
             own = np.zeros(len(w))
             own[frequent] = log_times[w[frequent]]
@@ -501,6 +595,7 @@ def score(df: DataFrame, counts: DataFrame, corpus: Corpus, weights: Weights) ->
 
 
 LEAST_SHARE, SHORTLIST = 1 / 500_000, 768
+OFTEN = 4096  # places of which a worker keeps the sums after any two: 64 MB
 
 
 def language_scores(df: DataFrame, is_held_out: Column | None = None) -> DataFrame:
