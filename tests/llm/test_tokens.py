@@ -92,3 +92,58 @@ def test_odd_rows(spark):
     assert all(r.decoded == (r.text or "") for r in back)
     none = df.limit(0)
     assert tokens.count_tokens(none, PATH).count() == bpe.round_trip(none, PATH).count() == 0
+
+
+def test_new_words_cost_no_call_each(library, vocabulary, texts, monkeypatch):
+    """Failing words are merged together: once tokens and neighbours are known, only long words are merged one by one."""
+    verdicts = bpe.Verdicts(vocabulary)
+    first = bpe.encode_texts(vocabulary, texts, Recent(100), verdicts)
+    merged, plain = [], vocabulary.exact
+    monkeypatch.setattr(vocabulary, "exact", lambda w: merged.append(w) or plain(w))
+    assert bpe.encode_texts(vocabulary, texts, Recent(100), verdicts) == first
+    assert all(len(w) > bytebpe.SHORT for w in merged)
+
+
+def test_merging_many_words_is_merging_each(vocabulary, monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choices(LETTERS, k=rng.randint(1, 20))).encode() for _ in range(3000)]
+    words += [b"a", b"", bytes(range(256)), b"e" * 48, b"e" * 49, b" th" * 16, b"ing" * 16 + b"i", b"\xff\xfe"]
+    monkeypatch.setattr(bytebpe, "AT_ONCE", 700)
+    got = [np.frombuffer(p, "<u4").tolist() for p in vocabulary.exact_all(words)]
+    assert got == [vocabulary.exact(w) for w in words]
+    assert vocabulary.exact_all([]) == []
+
+
+def test_proposals_are_the_longest_tokens_from_the_left(vocabulary):
+    def longest(word):
+        out, at = [], 0
+        while at < len(word):
+            end = next(e for e in range(len(word), at, -1) if word[at:e] in vocabulary.ids)
+            out.append(vocabulary.ids[word[at:end]])
+            at = end
+        return out
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices(LETTERS, k=rng.randint(1, 12))).encode() for _ in range(500)] + [b"undesirable", b" undesirable", b"\xff"]
+    flat, owner = bpe.propose_all(vocabulary, words)
+    assert [flat[owner == i].tolist() for i in range(len(words))] == [longest(w) for w in words]
+    assert [bpe.propose(vocabulary, w) for w in words] == [longest(w) for w in words]
+
+
+def test_pieces_of_near_letters_are_those_of_all(vocabulary):
+    near = [chr(c) for c in range(0x250)]
+    some = [a + b + c for a in near for b in ("", " ", "a", "1", "'", "\n", "!") for c in ("", "s", " ", "é", "½", "\x1c", "\t")]
+    rng = random.Random(9)
+    some += ["".join(rng.choices([*near, *" '" * 60, *"stremvld" * 9, "日", "１"], k=12)) for _ in range(5000)]
+    assert [vocabulary.pieces(t) for t in some] == [vocabulary.far_pieces(t) for t in some]
+
+
+def test_recent_values_stay_and_old_ones_go():
+    cache = Recent(20 * 200, lambda v: 0)
+    cache.put_all({str(i): i for i in range(1500)})  # more than is entered at once
+    assert cache.find(["1499", "x", "1499"]) == ({"1499": 1499}, ["x"])
+    for i in range(2000, 2100):
+        cache.put_all({str(i): i})
+        assert cache.find(["1499"])[0]
+    assert cache.find(["0", "2000"]) == ({}, ["0", "2000"])
+    assert len(cache.new) + len(cache.old) <= 2 * 25

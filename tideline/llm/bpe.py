@@ -1,14 +1,15 @@
 """Byte-pair encoding by speculation: propose tokens greedily, verify all neighbours, merge the rest.
 
-The longest token that fits is proposed at each place. The proposal is the encoding exactly if all
-its neighbours are compatible, which is checked for all words of a slice at once in sorted
-arrays. Only words with a failing pair are merged by the definition.
+The longest token that fits is proposed at each place, by an automaton that goes through all new words
+of a slice. The proposal is the encoding exactly if all its neighbours are compatible, which is checked
+for all these words at once in sorted arrays. Only words with a failing pair are merged by the
+definition, side by side.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,27 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.bytebpe import CHUNKS, OWNER, ByteBpe, recent, vocabulary
+from tideline.llm.bytebpe import CHUNKS, OWNER, ByteBpe, cut, recent, vocabulary
 from tideline.llm.worker import kept, slices, texts_of
 
 ADDED = ("ids", "decoded")
+BETWEEN = "\u0100"  # no byte, so no token goes over it
 
 
 def propose(v: ByteBpe, word: bytes) -> list[int]:
     """Greedy longest match from the left."""
-    out, at, n, get, longest = [], 0, len(word), v.ids.get, v.longest
-    while at < n:
-        for end in range(min(n, at + longest.get(word[at:at + 2], 1)), at, -1):
-            t = get(word[at:end])
-            if t is not None:
-                out.append(t)
-                at = end
-                break
-        else:
-            t = v.one[word[at]]
-            out.append(t)
-            at += 1
-    return out
+    return [t for _, t in v.greedy().iter_long(word.decode("latin-1"))]
+
+
+def propose_all(v: ByteBpe, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The proposals for many words, one after the other, and the number of the word that each token is from."""
+    found = v.greedy().iter_long(BETWEEN.join([w.decode("latin-1") for w in words]))
+    flat = np.fromiter((t for _, t in found), np.int64)
+    word_ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return flat, np.searchsorted(word_ends, np.cumsum(v.lengths[flat]))
 
 
 class Verdicts:
@@ -57,35 +55,38 @@ class Verdicts:
         told[known] = self.right[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            v = self.v
-            told[new] = [v.exact(v.bytes_of[k >> 32] + v.bytes_of[k & 0xFFFFFFFF]) == [k >> 32, k & 0xFFFFFFFF] for k in keys[new].tolist()]
+            of = self.v.bytes_of
+            merged = self.v.exact_all([of[k >> 32] + of[k & 0xFFFFFFFF] for k in keys[new].tolist()])
+            pairs = cut(np.stack([keys[new] >> 32, keys[new] & 0xFFFFFFFF], 1).ravel(), np.full(len(new), 2))
+            told[new] = [m == pair for m, pair in zip(merged, pairs, strict=True)]
             if len(self.keys) + len(new) > 2_000_000:
                 self.keys, self.right = keys, told
             else:
-                self.keys = np.concatenate([self.keys, keys[new]])
-                self.right = np.concatenate([self.right, told[new]])
-                order = np.argsort(self.keys, kind="stable")
-                self.keys, self.right = self.keys[order], self.right[order]
+                self.keys = np.insert(self.keys, at[new], keys[new])
+                self.right = np.insert(self.right, at[new], told[new])
         return told[back]
 
 
 def encode_words(v: ByteBpe, words: list[str], verdicts: Verdicts) -> list[list[int]]:
     """Encodings of pieces, and the same as merging by definition."""
+    return [np.frombuffer(p, "<u4").tolist() for p in pack_words(v, words, verdicts)]
+
+
+def pack_words(v: ByteBpe, words: list[str], verdicts: Verdicts) -> list[bytes]:
+    """The same as little-endian unsigned 32-bit numbers."""
     words = [w.encode() for w in words]
-    proposed = [propose(v, w) for w in words]
-    sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
-    flat = np.fromiter((t for p in proposed for t in p), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(words)), sizes)
+    flat, owner = propose_all(v, words)
     inner = owner[1:] == owner[:-1]
     fails = np.zeros(len(words), bool)
     ok = verdicts.of(flat[:-1][inner], flat[1:][inner])
     fails[owner[1:][inner][~ok]] = True
-    stands = {t: v.stands(t) for t in np.unique(flat).tolist()}
-    if not all(stands.values()):
-        fails[owner[np.isin(flat, [t for t, ok in stands.items() if not ok])]] = True
-    for i in np.flatnonzero(fails).tolist():
-        proposed[i] = v.exact(words[i])
-    return proposed
+    used = np.unique(flat)
+    fails[owner[~np.array([v.stands(t) for t in used.tolist()], bool)[np.searchsorted(used, flat)]]] = True
+    found = cut(flat, np.bincount(owner, minlength=len(words)))
+    failing = np.flatnonzero(fails).tolist()
+    for i, merged in zip(failing, v.exact_all([words[i] for i in failing]), strict=True):
+        found[i] = merged
+    return found
 
 
 def encode_texts(v: ByteBpe, texts: list[str], cache, verdicts: Verdicts) -> list[bytes]:
@@ -93,16 +94,13 @@ def encode_texts(v: ByteBpe, texts: list[str], cache, verdicts: Verdicts) -> lis
     split = [[(part, None if part in v.special else CHUNKS.findall(part)) for part in v.split_special(t) if part] for t in texts]
     known, unknown = cache.find([c for parts in split for _, found in parts if found for c in found])
     if unknown:
-        cut = [v.pieces(c) for c in unknown]
-        packed, new = cache.find([p for c in cut for p in c])
-        for piece, ids in zip(new, encode_words(v, new, verdicts), strict=True):
-            packed[piece] = ids = struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= 64:
-                cache.put(piece, ids)
-        for chunk, own in zip(unknown, cut, strict=True):
-            known[chunk] = ids = b"".join(map(packed.__getitem__, own))
-            if len(own) > 1 and len(chunk) <= 64:
-                cache.put(chunk, ids)
+        parted = {c: own for c in unknown if len(own := v.pieces(c)) > 1}
+        packed, new = cache.find([*chain.from_iterable(parted.values()), *(c for c in unknown if c not in parted)])
+        fresh = dict(zip(new, pack_words(v, new, verdicts), strict=True))
+        packed |= fresh
+        joined = {c: b"".join(map(packed.__getitem__, own)) for c, own in parted.items()}
+        cache.put_all({c: ids for c, ids in (fresh | joined).items() if len(c) <= 64})
+        known |= packed | joined
     special = {s: np.array([i], "<u4").tobytes() for s, i in v.special.items()}
     return [b"".join(special[part] if found is None else b"".join(map(known.__getitem__, found)) for part, found in parts)
             for parts in split]
@@ -110,7 +108,10 @@ def encode_texts(v: ByteBpe, texts: list[str], cache, verdicts: Verdicts) -> lis
 
 def decode_ids(v: ByteBpe, ids: bytes) -> str:
     """Text of ids; bytes that are no text become replacement characters."""
-    return b"".join(map(v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    told = v.letters.take(pa.array(np.frombuffer(ids, "<u4")))
+    if told.null_count:
+        raise KeyError("an id without a token")
+    return told.buffers()[2].to_pybytes().decode("utf-8", "replace") if len(ids) else ""
 
 
 def ids_array(packed: list[bytes]) -> pa.ListArray:

@@ -11,6 +11,9 @@ import heapq
 import json
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from tideline.llm.worker import Recent, kept
 
 # The split pattern of this kind of vocabulary and the white space it knows.
@@ -18,8 +21,15 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # White space belongs to the word after it, so text may be cut here before the finer split.
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+# The same split for text whose characters all lie below U+0250, told by lists of its letters and numbers.
+LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+NEAR = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+FAR = re.compile("[^\0-\u024f]")
 WHITE = {chr(c) for c in range(0x3001) if re.match(f"[{SPACE}]", chr(c))}
 NONE = 1 << 62
+SHORT = 48  # bytes of words that are merged many at once
+AT_ONCE = 4096  # words merged at once
+PLACES = 64  # a rank and a place below this make one number
 PAIRS_KEPT = 1_000_000
 BYTES_KEPT = 40 << 20  # of words and their tokens, twice
 OWNER = "tokens"  # of what a worker keeps: counting and encoding share it
@@ -34,6 +44,12 @@ def byte_letters() -> dict[str, int]:
     return table
 
 
+def cut(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Tokens that follow each other as little-endian unsigned 32-bit numbers, the first ``sizes[0]`` of them, and so on."""
+    packed, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+    return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class ByteBpe:
     """A vocabulary with its merges."""
 
@@ -56,20 +72,34 @@ class ByteBpe:
             raise ValueError("added tokens with options are not read")
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.size = max(self.bytes_of) + 1
+        self.letters = pa.array([self.bytes_of.get(i) for i in range(self.size)], pa.large_binary())
+        self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(self.size)])
         self.merges: dict[int, int] = {}  # of two ids: the rank and the id made, in one number
         for rank, pair in enumerate(model["merges"]):
             left, right = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             self.merges[self.ids[left] << 32 | self.ids[right]] = rank << 32 | self.ids[left + right]
-        self.longest: dict[bytes, int] = {}
-        for t in self.ids:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 0), len(t))
         self.one = [self.ids[bytes([b])] for b in range(256)]
-        self.pieces = regex.compile(PIECES).findall
+        self.far_pieces = regex.compile(PIECES).findall
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split \
             if self.special else lambda text: [text]
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self._endings = None
+        self._endings = self._greedy = self._ranked = None
+
+    def pieces(self, text: str) -> list[str]:
+        """The finer split of a text without special strings."""
+        return self.far_pieces(text) if FAR.search(text) else NEAR.findall(text)
+
+    def greedy(self):
+        """An automaton that gives the longest tokens from the left."""
+        if self._greedy is None:
+            import ahocorasick
+
+            self._greedy = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for t, i in self.ids.items():
+                self._greedy.add_word(t.decode("latin-1"), i)
+            self._greedy.make_automaton()
+        return self._greedy
 
     def endings(self):
         """An automaton that gives, for each place of a byte string, the tokens that end there, longest first.
@@ -137,6 +167,69 @@ class ByteBpe:
                 offer(before[i], i)
         return [t for t in ids if t >= 0]
 
+    def _ranks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted pairs that merge and the rank of each, the tokens made by rank, and the ranks of all pairs of bytes."""
+        if self._ranked is None:
+            pairs = np.fromiter(self.merges, np.int64, len(self.merges))
+            told = np.fromiter(self.merges.values(), np.int64, len(self.merges))
+            order, by_rank = np.argsort(pairs), np.argsort(told)
+            ranks = np.argsort(by_rank)[order]
+            one = np.array(self.one)
+            self._ranked = np.append(pairs[order], NONE), np.append(ranks, 0), told[by_rank] & 0xFFFFFFFF, None
+            self._ranked = *self._ranked[:3], self._rank(np.repeat(one, 256), np.tile(one, 256))
+        return self._ranked
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, beyond the last rank for pairs that do not merge."""
+        pairs, ranks, _, _ = self._ranked
+        wanted = left << 32 | right
+        at = np.searchsorted(pairs, wanted)
+        return np.where(pairs[at] == wanted, ranks[at], len(ranks))
+
+    def exact_all(self, words: list[bytes]) -> list[bytes]:
+        """``exact`` of many words, each as little-endian unsigned 32-bit numbers. Words of like length are merged side by side, each by one merge a step."""
+        out = [b"" if len(w) <= SHORT else np.array(self.exact(w), "<u4").tobytes() for w in words]
+        short = sorted((i for i, w in enumerate(words) if len(w) <= SHORT), key=lambda i: len(words[i]))
+        for at in range(0, len(short), AT_ONCE):
+            own = short[at:at + AT_ONCE]
+            for i, ids in zip(own, self._side_by_side([words[i] for i in own]), strict=True):
+                out[i] = ids
+        return out
+
+    def _side_by_side(self, words: list[bytes]) -> list[bytes]:
+        """Merges words of at most ``SHORT`` bytes: a column a word, its tokens linked, and of each token the rank with the next one."""
+        _, ranks, made_by, first = self._ranks()
+        n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        high, none = int(sizes.max()), len(ranks) * PLACES
+        letters = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        column = np.repeat(np.arange(n), sizes)
+        row = np.arange(len(column)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids = np.full((high + 1, n), self.size)  # a token that merges with none, also in the last row
+        ids[row, column] = np.array(self.one)[letters]
+        told = np.full((high + 1, n), none)
+        inner = column[1:] == column[:-1]
+        told[row[:-1][inner], column[1:][inner]] = (first[letters[:-1] << 8 | letters[1:]] * PLACES + row[:-1])[inner]
+        after = np.repeat(np.arange(1, high + 2), n)
+        before = np.repeat(np.arange(-1, high), n)
+        before[:n] = high
+        flat_ids, flat_told = ids.ravel(), told.ravel()
+        while True:
+            least = told.min(axis=0)
+            live = np.flatnonzero(least < none)
+            if not len(live):
+                break
+            place, made = least[live] % PLACES, made_by[least[live] // PLACES]
+            here = place * n + live
+            gone = after[here] * n + live
+            behind = after[gone]
+            flat_ids[here], flat_ids[gone], flat_told[gone] = made, -1, none
+            after[here], before[behind * n + live] = behind, place
+            flat_told[here] = self._rank(made, flat_ids[behind * n + live]) * PLACES + place
+            ahead = before[here]
+            flat_told[ahead * n + live] = self._rank(flat_ids[ahead * n + live], made) * PLACES + ahead
+        left = ((ids >= 0) & (ids < self.size)).T
+        return cut(ids.T[left], left.sum(axis=1))
+
     def stands(self, token: int) -> bool:
         """Whether the bytes of a token encode to that token."""
         told = self.alone.get(token)

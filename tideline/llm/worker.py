@@ -7,11 +7,13 @@ import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 
 ENTRY = 180  # bytes of a dictionary's slot and the headers of a key and a value
 HELD = "tideline_worker_store"  # the module object that keeps values between tasks
+PUT = 1024  # values that enter a store of recent ones at once
 ROWS = 1024  # rows handled at once; long texts make even this many a fair batch
 
 
@@ -59,20 +61,27 @@ class Recent:
         self.used += len(key) + self.weigh(value) + ENTRY
         self.new[key] = value
 
+    def put_all(self, values: dict) -> None:
+        """``put`` of many, some of them at a time."""
+        items = iter(values.items())
+        while part := dict(islice(items, PUT)):
+            if self.used >= self.size:
+                self.old, self.new, self.used = self.new, {}, 0
+            self.used += sum(map(len, part)) + sum(map(self.weigh, part.values())) + ENTRY * len(part)
+            self.new |= part
+
     def find(self, keys: list) -> tuple[dict, list]:
         """Values of the known ones among ``keys`` and the list of unknown ones, each once."""
-        new, old, found, unknown = self.new, self.old, {}, {}
-        for k in dict.fromkeys(keys):
-            v = new.get(k)
-            if v is None:
-                v = old.get(k)
-                if v is None:
-                    unknown[k] = None
-                    continue
-                self.put(k, v)
-                new, old = self.new, self.old
-            found[k] = v
-        return found, list(unknown)
+        new, old = self.new.get, self.old.get
+        keys = dict.fromkeys(keys)
+        found = {k: v for k in keys if (v := new(k)) is not None}
+        unknown = [k for k in keys if k not in found]
+        older = {k: v for k in unknown if (v := old(k)) is not None}
+        if older:
+            self.put_all(older)
+            found |= older
+            unknown = [k for k in unknown if k not in older]
+        return found, unknown
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
