@@ -1,12 +1,16 @@
 """Near-duplicate leaders against the one-by-one rule."""
 
 import difflib
+import hashlib
 import random
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from tideline.operators import neardup as nd
+from tideline.plans import neardup as plan
 
 
 @pytest.mark.parametrize("hot", [2, 8])
@@ -200,3 +204,53 @@ def test_matching_blocks_agree_with_the_rule_on_all_pairs(spark, ratio):
     assert by_edits  # the measures differ on these texts
     df = spark.createDataFrame(rows, "id long, batch int, text string")
     assert {r.id: r.outcome for r in nd.dedup_in_batches(df, r"(?!)", ratio, measure="blocks").collect()} == want
+
+
+def code_by_rule(texts):
+    cells = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 256 for t in texts for w in re.sub(r"\W+", " ", t.lower()).strip().split(" "))
+    return "".join("1" if cells[c] > cells[c + 1] * (c < 255) else "0" for c in range(256))
+
+
+@pytest.mark.parametrize("batch_bytes", [20, 1 << 20])
+def test_fingerprints_agree_with_the_rule(spark, monkeypatch, batch_bytes):
+    """Rows of one id are one document, wherever they lie; words do not leave their row before they are counted."""
+    monkeypatch.setattr(plan, "BATCH_BYTES", batch_bytes)
+    rng = random.Random(3)
+    texts = [(rng.choice([None, *range(25)]), " ".join(rng.choice("abcdefghij") + rng.choice(["", "é", "7", "!?"]) for _ in range(rng.randrange(30)))) for _ in range(60)]
+    texts += [(100, ""), (101, "?!"), (102, None), (103, "w " * 700 + "v"), (103, "u"), (104, "w " * 200), (104, "w " * 200)]
+    rows, by_id = [(i, "en", t) for i, t in texts], defaultdict(list)
+    for i, t in texts:
+        if t is not None:
+            by_id[i].append(t)
+    got = plan.fingerprints(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4))
+    found = got.collect()
+    assert len(found) == len(by_id) and {r.id: r.code for r in found} == {i: code_by_rule(ts) for i, ts in by_id.items()}
+    assert {r.label for r in found} == {"en"}
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_one_task_leads_the_first_stretch(monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rng, leaders, want = random.Random(6), [], []
+    codes = ["".join("1" if rng.random() < rng.choice([0.05, 0.5]) else "0" for _ in range(64)) for _ in range(60)]
+    for i, code in enumerate(codes):
+        hit = next((j for j in leaders if min(sum(x != y for x, y in zip(codes[j], v, strict=True)) for v in turned(code, 8)) <= 12), i)
+        want.append(hit)
+        leaders += [i] * (hit == i)
+    assert 1 < len(leaders) < 60
+    assert nd.led_in_order(np.array([words64(c) for c in codes], np.int64).view(np.uint64), 8, 12).tolist() == want
+    assert nd.led_in_order(np.empty((0, 1), np.uint64), 8, 12).tolist() == []
+
+
+@pytest.mark.parametrize("few", [0, 10, 10**6])
+def test_leaders_by_rounds_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(nd, "FEW", few)
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(50)})
+    leaders = set()
+    for n in range(40):
+        if not any(a in leaders for a, b in pairs if b == n):
+            leaders.add(n)
+    got = nd.greedy_leaders(spark.range(40).withColumnRenamed("id", "node"), spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(r.node for r in got) == sorted(leaders)

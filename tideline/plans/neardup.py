@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import hashlib
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.functions.text import norm_text
 from tideline.operators import neardup as nd
@@ -11,21 +18,75 @@ from tideline.plans.corpus import BANNED_RE_SQL
 from tideline.plans.registry import query, sql_norm, table
 from tideline.plans.text import BANNED_RE, SQL_CLEANED
 
-SIDE, WORD_BITS, DISTANCE = 16, 32, 20
+SIDE, DISTANCE = 16, 20
+BATCH_BYTES = 32 << 20  # of texts whose words are told apart at once
 
 
 def fingerprints(docs):
-    """A 256-bit difference code per document: are there more words in a hash cell than in the next one. Cells fill a 16 x 16 grid row by row."""
-    words = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.explode(F.split(norm_text("text"), " ")).alias("w"))
-    cell = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % (SIDE * SIDE)
-    counts = words.groupBy("id", "label", cell.alias("cell")).agg(F.count("*").alias("n"))
-    # At most 256 cells per document meet in this window.
-    nxt = Window.partitionBy("id").orderBy("cell")
-    more = ~((F.lead("cell").over(nxt) == F.col("cell") + 1) & (F.lead("n").over(nxt) >= F.col("n")))
-    bits = counts.select("id", "label", F.floor(F.col("cell") / WORD_BITS).alias("word"), F.when(
-        F.coalesce(more, F.lit(True)), F.call_function("shiftleft", F.lit(1).cast("long"), (WORD_BITS - 1 - F.col("cell") % WORD_BITS).cast("int"))).otherwise(0).alias("bit"))
-    words = [F.coalesce(F.sum(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)) for w in range(SIDE * SIDE // WORD_BITS)]
-    return bits.groupBy("id").agg(F.first("label").alias("label"), F.concat(*[F.lpad(F.bin(w), WORD_BITS, F.lit("0")) for w in words]).alias("code"))
+    """A 256-bit difference code per document: are there more words in a hash cell than in the next one. Cells fill a 16 x 16 grid row by row.
+
+    Words are told apart and hashed a batch at a time, so one row per document and batch travels instead of one per cell. Rows of one id are
+    one document: their counts add up where the rows meet, sorted by id.
+    """
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), norm_text("text").alias("norm"))
+    kept = [texts.schema["id"], texts.schema["label"]]
+    counted = texts.mapInArrow(cell_counts, T.StructType([*kept, T.StructField("cells", T.BinaryType())]))
+    return counted.repartition("id").sortWithinPartitions("id", "label").mapInArrow(cell_codes, T.StructType([*kept, T.StructField("code", T.StringType())]))
+
+
+def first_rows(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For every row the number of its id in the order of their first rows, and these rows."""
+    numbers = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return numbers, np.unique(numbers, return_index=True)[1]
+
+
+def cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, cells) from (id, label, norm): the words of an id in each of the cells, as bytes, or as longer numbers where one is over 255."""
+    for whole in batches:
+        ends = np.cumsum(pc.binary_length(whole.column("norm")).to_numpy())
+        cuts = np.flatnonzero(np.diff(ends // BATCH_BYTES, append=-1)) + 1
+        for start, end in itertools.pairwise([0, *cuts.tolist()]):
+            batch = whole.slice(start, end - start)
+            numbers, firsts = first_rows(batch.column("id"))
+            lists = pc.split_pattern(batch.column("norm"), " ")
+            words = lists.flatten().dictionary_encode()
+            # The least of the first four bytes of a hash is what is left of them after division by 256.
+            cell = np.array([hashlib.md5(w).digest()[3] for w in words.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+            at = np.repeat(numbers * np.int64(SIDE * SIDE), pc.list_value_length(lists).to_numpy()) + cell[words.indices.to_numpy()]
+            counts = np.bincount(at, minlength=len(firsts) * SIDE * SIDE).reshape(len(firsts), SIDE * SIDE)
+            small, wide = counts.astype(np.uint8), counts.max(axis=1) > 255
+            cells = [counts[i].tobytes() if wide[i] else small[i].tobytes() for i in range(len(firsts))]
+            taken = pa.array(firsts)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(taken), batch.column("label").take(taken), pa.array(cells, pa.binary())], ["id", "label", "cells"])
+
+
+def cell_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, code) from (id, label, cells) sorted by id. The last id of a batch may go on in the next one."""
+    def coded(ids, labels, counts):
+        after = np.hstack([counts[:, 1:], np.zeros((len(counts), 1), np.int64)])
+        codes = [row.tobytes().decode() for row in (counts > after).astype(np.uint8) + np.uint8(48)]
+        return pa.RecordBatch.from_arrays([ids, labels, pa.array(codes, pa.string())], ["id", "label", "code"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers, firsts = first_rows(batch.column("id"))
+        rows = [np.frombuffer(c, np.uint8 if len(c) == SIDE * SIDE else np.int64) for c in batch.column("cells").to_pylist()]
+        counts = np.add.reduceat(np.array(rows, np.int64), firsts, axis=0)
+        taken = pa.array(firsts)
+        ids, labels = batch.column("id").take(taken), batch.column("label").take(taken)
+        if held is not None:
+            if held[0][0].as_py() == ids[0].as_py():
+                counts[0] += held[2][0]
+                labels = pa.concat_arrays([held[1], labels[1:]])
+            else:
+                yield coded(*held)
+        if len(ids) > 1:
+            yield coded(ids[:-1], labels[:-1], counts[:-1])
+        held = ids[-1:], labels[-1:], counts[-1:]
+    if held is not None:
+        yield coded(*held)
 
 
 SQL_CODES = f"""w AS (SELECT doc_id AS id, lang AS label, unnest(string_split({sql_norm('text')}, ' ')) AS w FROM documents),
