@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tideline.operators import content as ct
 from tideline.operators import cost as cs
 from tideline.operators import mt
+from tideline.plans import io as pio
 from tideline.plans.io import write_images
 from tideline.sources import readers as rd
 from tideline.sources import sinks as sk
@@ -216,3 +218,27 @@ def test_images_lie_in_folders_of_one_task(spark, tmp_path):
     for f in files:
         tasks[f.parent].add(f.name.split("-")[1])
     assert len(files) == 2_100 and max(by_folder.values()) <= 1_024 and all(len(t) == 1 for t in tasks.values())
+
+
+def test_images_of_a_local_folder_have_no_files_beside_them(spark, tmp_path):
+    """Spark's writer sets the mode of a file and of its sum by processes of their own; tasks write the files without. An empty table gives an empty folder."""
+    pages = spark.range(40).repartition(3).select(F.col("id").alias("page_id"), F.lit("http://a.b/en/1").alias("url"))
+    for k, some in enumerate((pages, pages.limit(0))):
+        path = f"file://{tmp_path}/{k}"
+        write_images(some, path)
+        assert rd.read_image_catalog(spark, path).count() == some.count()
+    found = [f.name for f in tmp_path.rglob("*") if f.is_file()]
+    assert len(found) == 40 and all(f.startswith("part-") and f.endswith(".png") for f in found)
+    with pytest.raises(FileExistsError):
+        write_images(pages, f"file://{tmp_path}/0")
+
+
+def test_a_task_that_runs_again_leaves_one_copy(tmp_path, monkeypatch):
+    monkeypatch.setattr(pio.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    rows = [pa.RecordBatch.from_pylist([{"folder": "Leaf Rust", "shard": i // 2, "bytes": t} for i, t in enumerate(["a", None, "b"])])]
+    for _ in range(2):
+        assert [b.to_pylist() for b in pio.write_files(iter(rows), str(tmp_path))] == [[{"files": 3}]]
+    got = {str(f.relative_to(tmp_path)): f.read_bytes() for f in tmp_path.rglob("*") if f.is_file()}
+    assert got == {"folder=Leaf Rust/shard=0/part-00003-00000000.png": b"a\n", "folder=Leaf Rust/shard=0/part-00003-00000001.png": b"\n",
+                   "folder=Leaf Rust/shard=1/part-00003-00000002.png": b"b\n"}
+    assert [f.name for f in tmp_path.iterdir()] == ["folder=Leaf Rust"]
